@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, new_path
+from .simhash import near_duplicates
 from .token_counts import count_tokens
 from .token_files import read_token_files, write_token_files
 from .tokens import encoder
@@ -14,6 +15,11 @@ from .tokens import encoder
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(documents(spark, sf_dir), k=3, radius=3)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir), BPE).withColumn("over_limit", F.col("n_tokens") > 1024)
 

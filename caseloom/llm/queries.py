@@ -11,6 +11,7 @@ from .simhash import near_duplicates
 from .token_counts import count_tokens
 from .token_files import read_token_files, write_token_files
 from .tokens import encoder
+from .toxicity import held_out, score_toxicity
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -20,6 +21,12 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    learn = documents(spark, sf_dir, "labels").filter(~held_out(3, 1))
+    found = score_toxicity(documents(spark, sf_dir), learn)
+    return found.select("doc_id", held_out(3, 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "n_toxic_tokens")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir), BPE).withColumn("over_limit", F.col("n_tokens") > 1024)
 

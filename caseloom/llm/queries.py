@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, new_path
+from .quality_knn import score_quality
 from .simhash import near_duplicates
 from .token_counts import count_tokens
 from .token_files import read_token_files, write_token_files
@@ -27,6 +28,12 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(3, 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "n_toxic_tokens")
 
 
+def op3_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    learn = documents(spark, sf_dir, "labels").filter(~held_out(5, 0))
+    found = score_quality(documents(spark, sf_dir), learn)
+    return found.select("doc_id", held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir), BPE).withColumn("over_limit", F.col("n_tokens") > 1024)
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .common import documents, new_path
 from .quality_knn import score_quality
+from .quality_rules import judge_quality
 from .simhash import near_duplicates
 from .token_counts import count_tokens
 from .token_files import read_token_files, write_token_files
@@ -38,6 +39,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir), BPE).withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_quality(documents(spark, sf_dir))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_path(spark, "token-files")
     shards = write_token_files(documents(spark, sf_dir), folder, BPE, end_id=2)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .common import documents, new_path
 from .decontamination import contaminated
+from .pii import private_spans
 from .quality_knn import score_quality
 from .quality_rules import judge_quality
 from .simhash import near_duplicates
@@ -36,6 +37,10 @@ def op3_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private_spans(documents(spark, sf_dir))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir), BPE).withColumn("over_limit", F.col("n_tokens") > 1024)
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .common import documents, new_path
 from .decontamination import contaminated
+from .packing import pack
 from .pii import private_spans
 from .quality_knn import score_quality
 from .quality_rules import judge_quality
@@ -49,6 +50,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(documents(spark, sf_dir), BPE, window=1024, end_id=0)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(documents(spark, sf_dir))
 

@@ -100,7 +100,7 @@ class VantageTree:
             v, m, _ = found
             d = _distance(points, v)
             visit = (d > m) & (d <= m + self.radius)
-            if visit.mean() < 0.45:  # else the split prunes too little to pay
+            if visit.mean() < 0.45 and ((d <= m) | visit).mean() < 0.9:  # else the split prunes too little to pay
                 return Node(v, m, self._build(points[(d <= m) | visit]), self._build(points[d > m]))
         self.shards += 1
         return Node(shard=self.shards - 1)
@@ -148,7 +148,7 @@ def shard_links(fp: np.ndarray, home: np.ndarray, radius: int) -> tuple[np.ndarr
             d = _distance(points, split[0])
             out = d > split[1]
             near = ~out | (d <= split[1] + radius)
-            if near.sum() + out.sum() < 1.5 * len(rows):
+            if near.sum() + out.sum() < 1.5 * len(rows) and near.sum() < 0.9 * len(rows):
                 todo += [(rows[near], at_home[near] & ~out[near]), (rows[out], at_home[out])]
                 continue
         mine, u, v = np.flatnonzero(at_home), np.empty(0, np.int64), np.empty(0, np.int64)

@@ -221,3 +221,75 @@ def near_duplicates(docs: DataFrame, k: int = 3, radius: int = 3) -> DataFrame:
     parts = components(near_links(nodes, radius))
     named = nodes.join(parts, "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
     return marks.join(named, "fp", "left").select("doc_id", "fp", "component_id")
+
+
+# Looser copies, for pipelines: SimHash of small samples of shingles -----------------------------------------
+
+ROUNDS, SHARED, SKETCH = 24, 5, 256  # samples for each text; how many must agree; shingle hashes kept to verify
+
+
+def _shingle_hashes(text: bytes, k: int) -> np.ndarray:
+    words = text.lower().split()
+    n = max(1, len(words) - k + 1) if words else 0
+    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + k]), 42) for i in range(n)], dtype=np.uint64))
+
+
+def sampled_fingerprints(h: np.ndarray) -> np.ndarray:
+    """In each round the SimHash (bitwise majority) of the three shingles that a round's order puts first."""
+    r = np.random.default_rng(42)
+    factors, salts = r.integers(1, 1 << 63, ROUNDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1), r.integers(1, 1 << 63, ROUNDS, dtype=np.uint64)
+    out = np.zeros(ROUNDS, np.uint64)
+    for i in range(ROUNDS if len(h) else 0):
+        p = h * factors[i]
+        a = np.sort(np.partition(p, 2)[:3]) if len(p) > 3 else np.sort(p)
+        a = (a ^ (a >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+        out[i] = a[0] if len(a) == 1 else a[0] & a[1] if len(a) == 2 else (a[0] & a[1]) | (a[0] & a[2]) | (a[1] & a[2])
+    return out ^ salts
+
+
+def jaccard(a: bytes, b: bytes) -> float:
+    """Of two sketches of least hashes; exact where a text has at most ``SKETCH`` different shingles."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    union = np.union1d(x, y)
+    if max(len(x), len(y)) >= SKETCH:
+        union = union[:SKETCH]
+    return len(np.intersect1d(np.intersect1d(x, y, True), union, True)) / max(1, len(union))
+
+
+def near_duplicate_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, radius: int = 3) -> DataFrame:
+    """doc_id, component_id: groups joined by whole fingerprints within radius, or by k-word similarity.
+
+    A similarity of 0.8 moves about 10 of 64 fingerprint bits, too far for a tree to prune. So texts
+    also get ``ROUNDS`` SimHashes of three sampled shingles each, of which two such texts share half.
+    Whoever shares ``SHARED`` with a leader of a bucket (its least doc_id, or least hash: never all
+    pairs) is compared with it by its sketch.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for t in b.column(1).cast(pa.binary()).to_pylist():
+                h = _shingle_hashes(t, k)
+                out.append((xxhash.xxh64_intdigest(t, 7) - (1 << 63), simhash(t, k), sampled_fingerprints(h).view(np.int64), h[:SKETCH].tobytes()))
+            body, fp, samples, sketch = zip(*out) if out else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(body, pa.int64()), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(list(samples), pa.list_(pa.int64())), pa.array(sketch, pa.binary())], names=["doc_id", "body", "fp", "samples", "sketch"])
+
+    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([jaccard(x, y) >= similarity for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())], pa.bool_())).select(["a", "b"])
+
+    marks = materialize(id_text(docs).filter("doc_id is not null").mapInArrow(run, "doc_id long, body long, fp long, samples array<long>, sketch binary"), "marks")
+    first = marks.groupBy("body").agg(F.min("doc_id").alias("id"))
+    nodes = materialize(marks.join(first, "body").filter("doc_id = id").select("id", "body", "fp", "samples", "sketch").dropDuplicates(["id", "body"]), "nodes")
+    prints = materialize(nodes.groupBy("fp").agg(F.min("id").alias("id")), "prints")
+    equal = nodes.join(prints.withColumnRenamed("id", "a"), "fp").filter("a <> id").select("a", F.col("id").alias("b"))
+    rows = materialize(nodes.select("id", F.explode_outer("samples").alias("s")), "samples")
+    lead = rows.groupBy("s").agg(F.count("*").alias("n"), F.array(F.min("id"), F.min_by("id", F.xxhash64("id"))).alias("leaders")).filter("n > 1")
+    pairs = rows.join(lead, "s").select("id", F.explode_outer(F.array_distinct("leaders")).alias("leader")).filter("id <> leader")
+    pairs = pairs.groupBy(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).agg(F.count("*").alias("n")).filter(F.col("n") >= SHARED)
+    sketches = nodes.select("id", "sketch").dropDuplicates(["id"])
+    both = pairs.join(sketches.toDF("a", "x"), "a").join(sketches.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    links = near_links(prints, radius).union(equal).union(both.mapInArrow(similar, "a long, b long"))
+    parts = components(links.distinct())
+    named = nodes.join(parts, "id", "left").select("body", F.coalesce("component", "id").alias("component_id"))
+    return marks.join(named, "body").select("doc_id", "component_id")

@@ -13,6 +13,7 @@ from .pii import private_spans
 from .quality_knn import score_quality
 from .quality_rules import judge_quality
 from .simhash import near_duplicates
+from .suffix_dedup import removed
 from .token_counts import count_tokens
 from .token_files import read_token_files, write_token_files
 from .tokens import encoder
@@ -54,6 +55,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), BPE, window=1024, end_id=0)
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removed(documents(spark, sf_dir), length=50)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(documents(spark, sf_dir))
 

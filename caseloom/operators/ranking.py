@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 
@@ -91,7 +92,7 @@ def tie_break(rows: DataFrame, query: str, pos: str, score: str, compat: str, ou
     more than ``compat_gap``: relative to the head, so a fold over each query's candidates (a bounded
     shortlist), not a window.
     """
-    schema = rows.schema.add("tie_group", "long").add("final_rank", "long")
+    schema = T.StructType([*rows.schema.fields, T.StructField("tie_group", T.LongType()), T.StructField("final_rank", T.LongType())])
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(pos)

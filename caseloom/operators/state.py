@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 
@@ -67,7 +68,7 @@ def circuit_states(rows: DataFrame, service: str, t: str, ok: str, order: str) -
         pdf = pdf.sort_values([t, order])
         return pdf.assign(state=circuit(pdf.rename(columns={t: "t", ok: "ok"})))
 
-    return rows.groupBy(service).applyInPandas(fold, rows.schema.add("state", "string"))
+    return rows.groupBy(service).applyInPandas(fold, T.StructType([*rows.schema.fields, T.StructField("state", T.StringType())]))
 
 
 def memory_fold(turns: DataFrame, session: str, order: str, text: str, recent: int = 6, summary_chars: int = 2200, budget: int = 4200) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import id_text, materialize
 
 SAMPLE = 32_768  # fingerprints that the tree is fitted on
-SHARD_ROWS = 8_000  # rows aimed at in a shard
+SHARD_ROWS = 20_000  # rows aimed at in a shard
 BLOCK = 1_024  # rows compared at once inside a shard
 
 

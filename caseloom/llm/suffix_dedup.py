@@ -301,19 +301,26 @@ def removed(docs: DataFrame, length: int = 50) -> DataFrame:
 
     def owners(t: pa.Table) -> pa.Table:
         number: dict[bytes, int] = {}
-        low, rows = [], []
-        for size, text, lo in zip(t["size"].to_pylist(), t["text"].to_pylist(), t["low"].to_pylist()):
+        low, anchor, rows = [], [], []
+        for size, text, lo, h in zip(t["size"].to_pylist(), t["text"].to_pylist(), t["low"].to_pylist(), t["h"].to_pylist()):
             at, mine = 0, []
-            for n, d in zip(np.frombuffer(size, np.int32).tolist(), np.frombuffer(lo, np.int64).tolist()):
+            for n, d, key in zip(np.frombuffer(size, np.int32).tolist(), np.frombuffer(lo, np.int64).tolist(), np.frombuffer(h, np.uint64).tolist()):
                 k = number.setdefault(text[at : at + n], len(number))
                 if k == len(low):
                     low.append(d)
+                    anchor.append(key)
                 low[k] = min(low[k], d)
                 mine.append(k)
                 at += n
             rows.append(mine)
         kept = list(number)
-        least = least_owner(kept, np.array(low), length) if kept else []
+        # equal strings share their anchor: a text that alone has its anchor meets no other text
+        _, group, count = np.unique(np.array(anchor, np.uint64), return_inverse=True, return_counts=True)
+        least = [np.full(len(s) - length + 1, d) for s, d in zip(kept, low)]
+        meet = np.flatnonzero(count[group] > 1) if kept else []
+        if len(meet):
+            for k, v in zip(meet, least_owner([kept[k] for k in meet], np.array(low)[meet], length)):
+                least[k] = v
         name = [xxhash.xxh64_intdigest(s) for s in kept]
         out: dict[str, list] = {"block": [], "h": [], "name": [], "starts": [], "least": []}
         for block, mine, h, hi in zip(t["block"].to_pylist(), rows, t["h"].to_pylist(), t["high"].to_pylist()):

@@ -5,10 +5,10 @@
    least hash); it only decides where rows go, every fingerprint is indexed. A node splits at the
    median Hamming distance ``m`` to its vantage point. Rows farther than ``m`` go outside; those of
    them not farther than ``m + radius`` visit the inside as well. By the triangle inequality any two
-   rows within ``radius`` then share a shard where one of them is at home, so no pair is lost.
-3. Each shard compares its home rows with all its rows, in blocks, after splitting itself further
-   by the same rule, and returns at most one link for each row: to the least row it is joined with
-   there. Groups of thousands of near copies thus never give all their pairs.
+   rows within ``radius`` then share a shard: both inside, both outside, or one of them visiting.
+3. Each shard compares its rows, in blocks, after splitting itself further by the same rule, and
+   returns at most one link for each row: to the least row it is joined with there. Groups of
+   thousands of near copies thus never give all their pairs.
 4. Links of all shards become components by alternating large-star and small-star steps, each
    written to the shared folder.
 
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import id_text, materialize
 
 SAMPLE = 32_768  # fingerprints that the tree is fitted on
-SHARD_ROWS = 20_000  # rows aimed at in a shard
+SHARD_ROWS = 100_000  # rows aimed at in a shard: each level of the tree repeats about a quarter of its rows
 BLOCK = 1_024  # rows compared at once inside a shard
 
 
@@ -99,26 +99,24 @@ class VantageTree:
         if len(points) * self._rows > self._most and len(points) >= 16 and (found := _vantage(points)):
             v, m, _ = found
             d = _distance(points, v)
-            visit = (d > m) & (d <= m + self.radius)
-            if visit.mean() < 0.45 and ((d <= m) | visit).mean() < 0.9:  # else the split prunes too little to pay
-                return Node(v, m, self._build(points[(d <= m) | visit]), self._build(points[d > m]))
+            near, out = d <= m + self.radius, d > m
+            if near.mean() + out.mean() < 1.45 and near.mean() < 0.9:  # else the split prunes too little to pay
+                return Node(v, m, self._build(points[near]), self._build(points[out]))
         self.shards += 1
         return Node(shard=self.shards - 1)
 
-    def route(self, fp: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(shard, row numbers, at home?) for every shard that gets rows."""
-        todo = [(self.root, np.arange(len(fp)), np.ones(len(fp), bool))]
+    def route(self, fp: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(shard, row numbers) for every shard that gets rows."""
+        todo = [(self.root, np.arange(len(fp)))]
         while todo:
-            node, rows, home = todo.pop()
+            node, rows = todo.pop()
             if not len(rows):
                 continue
             if node.vantage is None:
-                yield node.shard, rows, home
+                yield node.shard, rows
                 continue
             d = _distance(fp[rows], node.vantage)
-            out = d > node.split
-            near = ~out | (d <= node.split + self.radius)
-            todo += [(node.inside, rows[near], home[near] & ~out[near]), (node.outside, rows[out], home[out])]
+            todo += [(node.inside, rows[d <= node.split + self.radius]), (node.outside, rows[d > node.split])]
 
 
 def _least(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
@@ -135,28 +133,25 @@ def _least(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
         label = new
 
 
-def shard_links(fp: np.ndarray, home: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def shard_links(fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Row numbers (a, b), a < b, that join what is within radius; at most one for each row and part."""
     found: list[tuple[np.ndarray, np.ndarray]] = []
-    todo = [(np.arange(len(fp)), home)]
+    todo = [np.arange(len(fp))]
     while todo:
-        rows, at_home = todo.pop()
-        if not at_home.any() or len(rows) < 2:
-            continue
+        rows = todo.pop()
         points = fp[rows]
         if len(rows) > 2 * BLOCK and (split := _vantage(points)):
             d = _distance(points, split[0])
-            out = d > split[1]
-            near = ~out | (d <= split[1] + radius)
+            near, out = d <= split[1] + radius, d > split[1]
             if near.sum() + out.sum() < 1.5 * len(rows) and near.sum() < 0.9 * len(rows):
-                todo += [(rows[near], at_home[near] & ~out[near]), (rows[out], at_home[out])]
+                todo += [rows[near], rows[out]]
                 continue
-        mine, u, v = np.flatnonzero(at_home), np.empty(0, np.int64), np.empty(0, np.int64)
-        for i in range(0, len(mine), BLOCK):
-            for j in range(0, len(rows), 4 * BLOCK):
-                a, b = np.nonzero(_distance(points[mine[i : i + BLOCK], None], points[None, j : j + 4 * BLOCK]) <= radius)
-                a, b = mine[a + i], b + j
-                u, v = np.concatenate((u, a[a != b])), np.concatenate((v, b[a != b]))
+        u, v = np.empty(0, np.int64), np.empty(0, np.int64)
+        for i in range(0, len(rows), BLOCK):
+            for j in range(i, len(rows), 4 * BLOCK):
+                a, b = np.nonzero(_distance(points[i : i + BLOCK, None], points[None, j : j + 4 * BLOCK]) <= radius)
+                a, b = a + i, b + j
+                u, v = np.concatenate((u, a[a < b])), np.concatenate((v, b[a < b]))
                 if len(u) > 4_000_000:  # dense: keep a link to the least row only
                     label = _least(u, v, len(rows))
                     u = np.flatnonzero(label != np.arange(len(rows)))
@@ -179,16 +174,16 @@ def near_links(nodes: DataFrame, radius: int) -> DataFrame:
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, fp = b.column(0).to_numpy(), b.column(1).to_numpy()
-            for shard, rows, home in tree.value.route(fp.view(np.uint64)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), shard, np.int32)), pa.array(ids[rows]), pa.array(fp[rows]), pa.array(home)], names=["shard", "id", "fp", "home"])
+            for shard, rows in tree.value.route(fp.view(np.uint64)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), shard, np.int32)), pa.array(ids[rows]), pa.array(fp[rows])], names=["shard", "id", "fp"])
 
     def link(t: pa.Table) -> pa.Table:
         order = np.argsort(ids := t["id"].to_numpy())
-        a, b = shard_links(t["fp"].to_numpy()[order].view(np.uint64), t["home"].to_numpy()[order], radius)
+        a, b = shard_links(t["fp"].to_numpy()[order].view(np.uint64), radius)
         ids = ids[order]
         return pa.table({"a": ids[a], "b": ids[b]})
 
-    dealt = nodes.select("id", "fp").mapInArrow(deal, "shard int, id long, fp long, home boolean")
+    dealt = nodes.select("id", "fp").mapInArrow(deal, "shard int, id long, fp long")
     return dealt.groupBy("shard").applyInArrow(link, "a long, b long").distinct()
 
 

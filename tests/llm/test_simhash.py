@@ -48,8 +48,8 @@ def test_tree_loses_no_link(seed, n, centres):
     fp = np.unique(fp)
     tree = S.VantageTree(fp, len(fp), 3, shard_rows=20)
     links = []
-    for _, rows, home in tree.route(fp):
-        a, b = S.shard_links(fp[rows], home, 3)
+    for _, rows in tree.route(fp):
+        a, b = S.shard_links(fp[rows], 3)
         links += list(zip(rows[a].tolist(), rows[b].tolist()))
     label = S._least(np.array([a for a, _ in links], int), np.array([b for _, b in links], int), len(fp))
     assert label.tolist() == groups([int(x) for x in fp])

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import id_text, materialize
 
 GRAM, BLOCK = 16, 256
-CHUNK = 1 << 22  # bytes whose anchors are found at once
+CHUNK = 1 << 17  # bytes whose anchors are found at once: their arrays stay in a core's cache
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 # --- anchors ---------------------------------------------------------------------------------------------------
@@ -66,7 +66,7 @@ def cells(raw: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarray,
     if have < width:
         key = np.minimum(key[: len(key) - (width - have)], key[width - have :])
     at = (key & mask).astype(np.int64)
-    doc = np.searchsorted(bounds, np.arange(n), side="right")
+    doc = np.repeat(np.arange(len(bounds), dtype=np.int32), np.diff(np.minimum(bounds, n), prepend=0))
     ok = doc[: len(at)] == doc[length - 1 :]
     new = np.empty(len(at), bool)
     new[0] = True
@@ -77,24 +77,30 @@ def cells(raw: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarray,
     return first[good], last[good], h[at[first[good]]]
 
 
-def _chunks(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _chunks(texts: list[bytes]) -> Iterator[tuple[int, bytes, np.ndarray]]:
     """(number of the first document, bytes, ends) of runs of documents; a longer document comes alone."""
     i = 0
     while i < len(texts):
         j, size = i + 1, len(texts[i])
         while j < len(texts) and size + len(texts[j]) <= CHUNK:
             size, j = size + len(texts[j]), j + 1
-        yield i, np.frombuffer(b"".join(texts[i:j]), np.uint8), np.cumsum([len(t) for t in texts[i:j]])
+        yield i, b"".join(texts[i:j]), np.cumsum([len(t) for t in texts[i:j]])
         i = j
 
 
-def all_cells(texts: list[bytes], length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def all_cells(texts: list[bytes], length: int) -> Iterator[tuple[int, bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(first document, bytes, ends, first starts, last starts, hashes) of each chunk; very long documents in parts."""
-    for i, raw, bounds in _chunks(texts):
+    for i, data, bounds in _chunks(texts):
+        raw = np.frombuffer(data, np.uint8)
         for a in range(0, max(1, len(raw) - length + 1), CHUNK):
             part = raw[a : a + CHUNK + length - 1]
             first, last, h = cells(part, bounds - a, length)
-            yield i, raw, bounds, first + a, last + a, h
+            yield i, data, bounds, first + a, last + a, h
+
+
+def _runs(at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """at[0], at[0] + 1 and so on, size[0] of them, then those of the next."""
+    return np.arange(size.sum()) + np.repeat(at - (np.cumsum(size) - size), size)
 
 
 # --- suffix arrays by induced sorting ----------------------------------------------------------------------------
@@ -185,8 +191,8 @@ def suffix_array(t: np.ndarray, n_symbols: int) -> np.ndarray:
     return _induce(t, smaller, lms, n_symbols)
 
 
-def least_owner(segments: list[bytes], owner: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each segment and start of a string in it: the least owner of any segment with that string."""
+def least_owner(segments: list[bytes], owner: np.ndarray, length: int) -> np.ndarray:
+    """For each start of a string in the segments, one after the other: the least owner of any segment with that string."""
     sizes = np.array([len(s) for s in segments])
     text = np.frombuffer(b"\0".join(segments) + b"\0" * 8, np.uint8)
     begin = np.concatenate(([0], np.cumsum(sizes + 1)[:-1]))
@@ -211,7 +217,7 @@ def least_owner(segments: list[bytes], owner: np.ndarray, length: int) -> list[n
     least = np.minimum.reduceat(owner[whole[sa]], head) if len(sa) else np.empty(0, np.int64)
     out = np.empty(n, np.int64)
     out[sa] = np.repeat(least, np.diff(np.append(head, len(sa))))
-    return np.split(out[pos], np.cumsum(starts)[:-1])
+    return out[pos]
 
 
 # --- Spark ----------------------------------------------------------------------------------------------------
@@ -280,59 +286,59 @@ def removed(docs: DataFrame, length: int = 50) -> DataFrame:
         order = np.argsort(ids, kind="stable")
         ids, texts = ids[order], [texts[i] for i in order]
         wanted = np.unique(_longs(right["h"].to_pylist()))
-        least: dict[bytes, list[int]] = {}
-        for i, raw, bounds, first, last, h in all_cells(texts, length) if len(wanted) else ():
+        number: dict[bytes, int] = {}  # of each different text around an anchor
+        found: list[tuple[np.ndarray, ...]] = []
+        for i, data, bounds, first, last, h in all_cells(texts, length) if len(wanted) else ():
             ok = wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h
-            data, who = raw.tobytes(), ids[i + np.searchsorted(bounds, first[ok], side="right")]
-            for a, z, key, d in zip(first[ok].tolist(), (last[ok] + length).tolist(), h[ok].tolist(), who.tolist()):
-                have = least.setdefault(data[a:z], [key, d, d])
-                have[1], have[2] = min(have[1], d), max(have[2], d)
-        by_shard: dict[int, list[tuple[bytes, list[int]]]] = {}
-        for s, v in least.items():
-            by_shard.setdefault(v[0] % shards, []).append((s, v))
-        pick = lambda k: pa.array([np.array([v[k] for _, v in rows], np.int64 if k else np.uint64).tobytes() for rows in by_shard.values()], pa.binary())
+            first, last = first[ok], last[ok]
+            mine = [number.setdefault(data[a:z], len(number)) for a, z in zip(first.tolist(), (last + length).tolist())]
+            found.append((np.array(mine, np.int64), h[ok], ids[i + np.searchsorted(bounds, first, side="right")]))
+        which, h, who = map(np.concatenate, zip(*found)) if found else (np.empty(0, np.int64),) * 3
+        kept, key = list(number), np.empty(len(number), np.uint64)
+        low, high = np.full(len(kept), np.iinfo(np.int64).max), np.full(len(kept), np.iinfo(np.int64).min)
+        key[which] = h
+        np.minimum.at(low, which, who)
+        np.maximum.at(high, which, who)
+        shard = (key % np.uint64(shards)).astype(np.int32)
+        order = np.argsort(shard, kind="stable")
+        rows = np.split(order, np.flatnonzero(np.diff(shard[order])) + 1) if kept else []
+        each = lambda make: pa.array([make(r) for r in rows], pa.binary())
         return pa.table({
-            "shard": pa.array(list(by_shard), pa.int32()),
-            "block": pa.array([int(ids[0]) // BLOCK if len(ids) else 0] * len(by_shard), pa.int64()),
-            "size": pa.array([np.array([len(s) for s, _ in rows], np.int32).tobytes() for rows in by_shard.values()], pa.binary()),
-            "text": pa.array([b"".join(s for s, _ in rows) for rows in by_shard.values()], pa.binary()),
-            "h": pick(0), "low": pick(1), "high": pick(2),
+            "shard": pa.array([shard[r[0]] for r in rows], pa.int32()),
+            "block": pa.array([int(ids[0]) // BLOCK if len(ids) else 0] * len(rows), pa.int64()),
+            "size": each(lambda r: np.array([len(kept[k]) for k in r], np.int32).tobytes()),
+            "text": each(lambda r: b"".join([kept[k] for k in r])),
+            "h": each(lambda r: key[r].tobytes()), "low": each(lambda r: low[r].tobytes()), "high": each(lambda r: high[r].tobytes()),
         })
 
     def owners(t: pa.Table) -> pa.Table:
         number: dict[bytes, int] = {}
-        low, anchor, rows = [], [], []
-        for size, text, lo, h in zip(t["size"].to_pylist(), t["text"].to_pylist(), t["low"].to_pylist(), t["h"].to_pylist()):
-            at, mine = 0, []
-            for n, d, key in zip(np.frombuffer(size, np.int32).tolist(), np.frombuffer(lo, np.int64).tolist(), np.frombuffer(h, np.uint64).tolist()):
-                k = number.setdefault(text[at : at + n], len(number))
-                if k == len(low):
-                    low.append(d)
-                    anchor.append(key)
-                low[k] = min(low[k], d)
-                mine.append(k)
-                at += n
-            rows.append(mine)
-        kept = list(number)
+        which: list[np.ndarray] = []
+        for size, text in zip(t["size"].to_pylist(), t["text"].to_pylist()):
+            ends = np.cumsum(np.frombuffer(size, np.int32)).tolist()
+            which.append(np.array([number.setdefault(text[a:z], len(number)) for a, z in zip([0, *ends], ends)], np.int64))
+        mine, kept, h = np.concatenate(which), list(number), _longs(t["h"].to_pylist())
+        lo, hi = (np.frombuffer(b"".join(t[c].to_pylist()), np.int64) for c in ("low", "high"))
+        low, anchor = np.full(len(kept), np.iinfo(np.int64).max), np.empty(len(kept), np.uint64)
+        np.minimum.at(low, mine, lo)
+        anchor[mine] = h
+        starts = np.array([len(s) for s in kept]) - length + 1
+        at, least = np.cumsum(starts) - starts, np.repeat(low, starts)
         # equal strings share their anchor: a text that alone has its anchor meets no other text
-        _, group, count = np.unique(np.array(anchor, np.uint64), return_inverse=True, return_counts=True)
-        least = [np.full(len(s) - length + 1, d) for s, d in zip(kept, low)]
-        meet = np.flatnonzero(count[group] > 1) if kept else []
+        _, group, count = np.unique(anchor, return_inverse=True, return_counts=True)
+        meet = np.flatnonzero(count[group] > 1)
         if len(meet):
-            for k, v in zip(meet, least_owner([kept[k] for k in meet], np.array(low)[meet], length)):
-                least[k] = v
-        name = [xxhash.xxh64_intdigest(s) for s in kept]
-        out: dict[str, list] = {"block": [], "h": [], "name": [], "starts": [], "least": []}
-        for block, mine, h, hi in zip(t["block"].to_pylist(), rows, t["h"].to_pylist(), t["high"].to_pylist()):
-            hit = [(i, k) for i, (k, d) in enumerate(zip(mine, np.frombuffer(hi, np.int64).tolist())) if least[k].min() < d]
-            if hit:
-                keys = np.frombuffer(h, np.uint64)
-                out["block"].append(block)
-                out["h"].append(keys[[i for i, _ in hit]].tobytes())
-                out["name"].append(np.array([name[k] for _, k in hit], np.uint64).tobytes())
-                out["starts"].append(np.array([len(least[k]) for _, k in hit], np.int32).tobytes())
-                out["least"].append(np.concatenate([least[k] for _, k in hit]).tobytes())
-        return pa.table({c: pa.array(v, pa.int64() if c == "block" else pa.binary()) for c, v in out.items()})
+            least[_runs(at[meet], starts[meet])] = least_owner([kept[k] for k in meet], low[meet], length)
+        hit = np.flatnonzero(np.minimum.reduceat(least, at)[mine] < hi)
+        used, name = np.unique(mine[hit]), np.empty(len(kept), np.uint64)
+        name[used] = [xxhash.xxh64_intdigest(kept[k]) for k in used]
+        row = np.repeat(np.arange(len(which)), [len(w) for w in which])[hit]
+        rows = np.split(hit, np.flatnonzero(np.diff(row)) + 1) if len(hit) else []
+        each = lambda make: pa.array([make(mine[r]) for r in rows], pa.binary())
+        return pa.table({
+            "block": t["block"].combine_chunks().take(pa.array(np.unique(row))), "h": each(lambda k: anchor[k].tobytes()), "name": each(lambda k: name[k].tobytes()),
+            "starts": each(lambda k: starts[k].astype(np.int32).tobytes()), "least": each(lambda k: least[_runs(at[k], starts[k])].tobytes()),
+        })
 
     def digest(doc: int | None, text: bytes, gone: np.ndarray | None) -> tuple:
         if gone is None or not gone.any():
@@ -347,25 +353,28 @@ def removed(docs: DataFrame, length: int = 50) -> DataFrame:
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, texts = _unzip(left)
-        wanted = np.unique(_longs(right["h"].to_pylist()))
-        owner: dict[int, np.ndarray] = {}
-        for name, starts, least in zip(right["name"].to_pylist(), right["starts"].to_pylist(), right["least"].to_pylist()):
-            ends = np.cumsum(np.frombuffer(starts, np.int32))
-            owner.update(zip(np.frombuffer(name, np.uint64).tolist(), np.split(np.frombuffer(least, np.int64), ends[:-1])))
-        gone: dict[int, np.ndarray] = {}
-        for i, raw, bounds, first, last, h in all_cells(texts, length) if len(wanted) else ():
+        wanted, names = np.unique(_longs(right["h"].to_pylist())), _longs(right["name"].to_pylist())
+        starts, least = np.frombuffer(b"".join(right["starts"].to_pylist()), np.int32).astype(np.int64), np.frombuffer(b"".join(right["least"].to_pylist()), np.int64)
+        place = dict(zip(names.tolist(), (np.cumsum(starts) - starts).tolist())).get
+        dead: dict[int, list[np.ndarray]] = {}  # first document of a chunk -> starts of the strings that an earlier document has
+        for i, data, bounds, first, last, h in all_cells(texts, length) if len(wanted) else ():
             ok = wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h
-            data, number = raw.tobytes(), i + np.searchsorted(bounds, first[ok], side="right")
-            for a, z, d in zip(first[ok].tolist(), (last[ok] + length).tolist(), number.tolist()):
-                least = owner.get(xxhash.xxh64_intdigest(data[a:z]))
-                if least is not None and (hit := least < ids[d]).any():
-                    if d not in gone:
-                        gone[d] = np.zeros(len(texts[d]) + 1, np.int32)
-                    begin = int(bounds[d - i]) - len(texts[d])
-                    at = np.flatnonzero(hit) + a - begin
-                    gone[d][at] += 1
-                    gone[d][at + length] -= 1
-        return pa.table(rows_of([digest(int(d), t, np.cumsum(gone[i][:-1]) > 0 if i in gone else None) for i, (d, t) in enumerate(zip(ids.tolist(), texts))]))
+            first, last = first[ok], last[ok]
+            found = np.array([place(xxhash.xxh64_intdigest(data[a:z]), -1) for a, z in zip(first.tolist(), (last + length).tolist())], np.int64)
+            first, size, found = first[found >= 0], (last - first + 1)[found >= 0], found[found >= 0]
+            doc = ids[i + np.searchsorted(bounds, first, side="right")]
+            dead.setdefault(i, []).append(_runs(first, size)[least[_runs(found, size)] < np.repeat(doc, size)])
+        rows = []
+        for i, data, bounds in _chunks(texts):
+            at = np.concatenate(dead.get(i, [np.empty(0, np.int64)]))
+            if len(at):
+                cover = np.zeros(len(data) + 1, np.int32)
+                cover[at] += 1
+                cover[at + length] -= 1
+                gone = np.split(np.cumsum(cover[:-1]) > 0, bounds[:-1])
+            for k in range(len(bounds)):
+                rows.append(digest(int(ids[i + k]), texts[i + k], gone[k] if len(at) else None))
+        return pa.table(rows_of(rows))
 
     def compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -7,7 +7,8 @@ all, n(e) texts have e. A term that n(t, e) >= ``LEAST_TEXTS`` texts show beside
 pointwise information log2(n(t,e) N / n(t) n(e)) is at least ``LEAST_BITS``, is removed everywhere
 if the share n(t, e) / n(t) reaches ``REMOVE``, and generalised if it reaches ``GENERALISE``.
 
-Counts are pre-aggregated before each shuffle; terms are joined by broadcast only if counted to be
+Only terms that reach a share of the texts where they stand near some value are looked up in all
+texts. Counts are pre-aggregated before each shuffle; terms are joined by broadcast only if counted to be
 ``BROADCAST_ROWS`` at most. Positions are code points, end exclusive.
 
 Defined results: null and empty texts have no spans; rows with a null doc_id get base spans only;
@@ -93,6 +94,9 @@ def disclosing_terms(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     near = materialize(_contexts(with_base(docs.select("text"))), "contexts")
     n_e = near.groupBy("entity").agg(F.count_distinct("body").alias("n_e"))
     n_te = near.filter("term is not null").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_te")).filter(F.col("n_te") >= LEAST_TEXTS)
+    # texts that have t near any value: n(t) is no less, so a pair whose share of these is too small is none, and common words end here
+    n_near = near.filter("term is not null").select("term", "body").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
+    n_te = n_te.join(n_near, "term").filter(F.col("n_te") >= GENERALISE * F.col("n_near")).drop("n_near")
     pairs = materialize(n_te.join(n_e, "entity"), "term-values")
     terms = materialize(pairs.select("term").distinct(), "terms")
     side = F.broadcast(terms) if terms.count() <= BROADCAST_ROWS else terms

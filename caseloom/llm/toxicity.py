@@ -119,15 +119,13 @@ class Emissions(dict):
         return v
 
 
-def _chain(x: np.ndarray, y: np.ndarray, real: np.ndarray, steps: int = 150) -> tuple[np.ndarray, np.ndarray]:
-    """Fit a two-state chain to sequences (rows): x (row, token, feature slots; -1 none), y 0/1, real: not padding."""
-    n_features = int(x.max(initial=-1)) + 2  # the last one: bias
-    w, t = np.zeros(n_features), np.zeros((2, 2))
-    slots = np.where(x < 0, n_features, x)
+def _chain(cell: np.ndarray, feature: np.ndarray, n_features: int, y: np.ndarray, real: np.ndarray, steps: int = 150) -> tuple[np.ndarray, np.ndarray]:
+    """Fit a two-state chain to sequences (rows of y, 0/1, and real, not padding); token ``cell[i]`` has ``feature[i]``. The last weight is the bias."""
+    w, t = np.zeros(n_features + 1), np.zeros((2, 2))
     rows, length = y.shape
-    g2w, g2t = np.full(n_features, 1e-8), np.full((2, 2), 1e-8)
+    g2w, g2t = np.full(n_features + 1, 1e-8), np.full((2, 2), 1e-8)
     for _ in range(steps):
-        e = np.append(w, 0.0)[slots].sum(axis=2) + w[-1]
+        e = np.bincount(cell, w[feature], rows * length).reshape(rows, length) + w[-1]
         emit = np.where(real[..., None], np.exp(np.stack([np.zeros_like(e), np.clip(e, -30, 30)], -1)), 1.0)
         m = np.exp(t)
         fwd, bwd = np.empty((rows, length, 2)), np.ones((rows, length, 2))
@@ -141,10 +139,7 @@ def _chain(x: np.ndarray, y: np.ndarray, real: np.ndarray, steps: int = 150) ->
         p = fwd * bwd
         p1 = p[..., 1] / p.sum(-1)
         miss = np.where(real, y - p1, 0.0)
-        gw = np.zeros(n_features + 1)
-        np.add.at(gw, slots, np.broadcast_to(miss[..., None], slots.shape))
-        gw = gw[:-1]
-        gw[-1] = miss.sum()
+        gw = np.append(np.bincount(feature, miss.ravel()[cell], n_features), miss.sum())
         pair = fwd[:, :-1, :, None] * m * (bwd[:, 1:] * emit[:, 1:])[:, :, None, :]
         pair /= pair.sum((2, 3), keepdims=True)
         both = (real[:, :-1] & real[:, 1:])[..., None, None]
@@ -167,38 +162,59 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return b
 
 
+def _of(first: np.ndarray, values: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place in rows, value) of all values of the rows; those of row r lie at first[r] to first[r + 1]."""
+    size = first[rows + 1] - first[rows]
+    place = np.repeat(np.arange(len(rows)), size)
+    return place, values[np.arange(len(place)) + np.repeat(first[rows] - (np.cumsum(size) - size), size)]
+
+
 def fit(texts: list[str], y: list[int]) -> ToxicModel:
-    """The model of a bounded sample, held in the driver."""
-    words = [WORD.findall(t) for t in texts]
-    n, have = Counter(y), {0: Counter(), 1: Counter()}
+    """The model of a bounded sample, held in the driver: words are numbered, so that each is kept once."""
+    word: dict[str, int] = {}
+    docs = [np.array([word.setdefault(w, len(word)) for w in WORD.findall(t)], np.int32) for t in texts]
+    n = Counter(y)
     if not n[0] or not n[1]:
         return ToxicModel()
-    cache: dict[str, list[str]] = {}
-    for ws, label in zip(words, y):
-        have[label].update({f for w in set(ws) for f in cache.get(w) or cache.setdefault(w, token_features(w))})
-    odds = n[0] / n[1]  # as if both kinds were as frequent
-    chosen = [f for f, k in have[1].items() if k >= LEAST_DOCS and k * odds / (k * odds + have[0][f] + 1) >= LEAST_SHARE and k / (k + have[0][f]) >= LEAST_SHARE]
-    number = {f: i for i, f in enumerate(sorted(chosen))}
-    seqs, tags = [], []
-    for ws, label in zip(words, y):
-        slots = [[number[f] for f in cache[w] if f in number] for w in ws]
-        hits = [i for i, s in enumerate(slots) if s]
-        for i in (hits[:40] if hits else range(WINDOW, len(ws), 400)):
-            part = slice(max(0, i - WINDOW), i + WINDOW + 1)
-            seqs.append(slots[part])
-            tags.append([int(bool(label and s)) for s in slots[part]])
+    name: dict[str, int] = {}
+    per_word = [[name.setdefault(f, len(name)) for f in token_features(w)] for w in word]
+    first, flat = np.cumsum([0, *map(len, per_word)]), np.array([f for fs in per_word for f in fs], np.int32)
+    have = np.zeros((2, len(name)), np.int64)
+    for ids, label in zip(docs, y):
+        have[label, np.unique(_of(first, flat, np.unique(ids))[1])] += 1
+    odds, (clean, toxic) = n[0] / n[1], have  # odds: as if both kinds were as frequent
+    fits = (toxic >= LEAST_DOCS) & (toxic * odds >= LEAST_SHARE * (toxic * odds + clean + 1)) & (toxic >= LEAST_SHARE * (toxic + clean))
+    chosen = sorted(f for f, i in name.items() if fits[i])
+    slot = np.full(len(name), -1)
+    slot[[name[f] for f in chosen]] = np.arange(len(chosen))
+    owner, slots = np.repeat(np.arange(len(word)), np.diff(first)), slot[flat]
+    owner, slots = owner[slots >= 0], slots[slots >= 0]
+    first = np.searchsorted(owner, np.arange(len(word) + 1))
+    hot = np.diff(first) > 0
+    windows, tags = [], []
+    for ids, label in zip(docs, y):
+        hits = np.flatnonzero(hot[ids])
+        for i in hits[:40] if len(hits) else range(WINDOW, len(ids), 400):
+            part = np.full(2 * WINDOW + 1, -1, np.int32)
+            got = ids[max(0, i - WINDOW) : i + WINDOW + 1]
+            part[: len(got)] = got
+            windows.append(part)
+            tags.append(label)
     model = ToxicModel()
-    if number and seqs:
-        width = len(BEGINNINGS) + 1
-        x, tag, real = np.full((len(seqs), 2 * WINDOW + 1, width), -1), np.zeros((len(seqs), 2 * WINDOW + 1), int), np.zeros((len(seqs), 2 * WINDOW + 1), bool)
-        for r, (s, g) in enumerate(zip(seqs, tags)):
-            real[r, : len(s)], tag[r, : len(g)] = True, g
-            for c, k in enumerate(s):
-                x[r, c, : len(k)] = k
-        w, t = _chain(x, tag, real)
-        model.weights, model.bias = {f: float(w[i]) for f, i in number.items() if i < len(w) - 1}, float(w[-1])
+    if chosen and windows:
+        at = np.stack(windows)
+        real = at >= 0
+        offensive = real & hot[at] & (np.array(tags)[:, None] > 0)
+        cells = np.flatnonzero(real)
+        place, feature = _of(first, slots, at.ravel()[cells])
+        w, t = _chain(cells[place], feature, len(chosen), offensive.astype(int), real)
+        model.weights, model.bias = dict(zip(chosen, w[:-1].tolist())), float(w[-1])
         model.trans = tuple(np.exp(t).ravel().tolist())
-    rows = [model.evidence(*_document(model.emission, model, ws)[1:]) for ws in words]
+    emission = np.array([model.emission(w) for w in word])
+    rows = []
+    for ids in docs:
+        at = np.flatnonzero(emission[ids]) if len(ids) else np.empty(0, int)
+        rows.append(model.evidence(model.marginals(at.tolist(), emission[ids][at].tolist(), len(ids)) if len(at) else np.empty(0), len(ids)))
     model.logistic = tuple(_logistic(np.array(rows), np.array(y, float)).tolist())
     return model
 

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, materialize
+from .common import id_text, materialize, sliced
 from .tokens import encoder
 
 SHARD, QUERY_IDS, KEY_IDS, LOOK, GAP = 2_048, 16, 8, 64, 16
@@ -43,7 +43,7 @@ def encoded(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path)
         end = np.array([end_id], enc.typecode).tobytes()
-        for b in batches:
+        for b in sliced(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([enc.packed(t) + end for t in b.column(1).to_pylist()], pa.binary())], names=["doc_id", "ids"])
 
     return id_text(docs).mapInArrow(run, "doc_id long, ids binary")
@@ -54,7 +54,7 @@ def statistics(coded: DataFrame, typecode: str, n_ids: int) -> tuple[np.ndarray,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n, length = np.zeros(n_ids, np.int64), 0, 0
-        for b in batches:
+        for b in sliced(batches):
             for x in b.column(0).to_pylist():
                 ids = np.frombuffer(x, typecode)
                 df[np.unique(ids)] += 1
@@ -172,7 +172,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 1024, end_id: int =
 
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf, mean = told.value
-        for b in batches:
+        for b in sliced(batches):
             key, total, tail = [], [], []
             for x in b.column(1).to_pylist():
                 ids = np.frombuffer(x, code)
@@ -200,7 +200,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 1024, end_id: int =
             held.clear()
             return at, batch(rows)
 
-        for b in batches:
+        for b in sliced(batches):
             for row in zip(*(b.column(c).to_pylist() for c in ("doc_id", "doc_tokens", "ids"))):
                 held.append(row)
                 if len(held) == SHARD:

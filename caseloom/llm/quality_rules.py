@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text
+from .common import id_text, sliced
 
 #: Frequent function words of the four languages.
 COMMON_WORDS = (
@@ -108,7 +108,7 @@ def references(docs: DataFrame) -> list[tuple[str, np.ndarray, np.ndarray]]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
-        for b in batches:
+        for b in sliced(batches):
             for lang, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()):
                 (n, letters, *_), chars, seen = measure(t)
                 if n >= LEAST_WORDS and letters >= LEAST_LETTERS:
@@ -133,7 +133,7 @@ def judge_quality(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         refs = known.value
         by_char, by_word = (np.stack([r[i] for r in refs]) if refs else None for i in (1, 2))
-        for b in batches:
+        for b in sliced(batches):
             out = []
             for t in b.column(1).cast(pa.binary()).to_pylist():
                 counts, chars, seen = measure(t)

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, materialize
+from .common import id_text, materialize, sliced
 
 SAMPLE = 32_768  # fingerprints that the tree is fitted on
 SHARD_ROWS = 100_000  # rows aimed at in a shard: each level of the tree repeats about a quarter of its rows
@@ -54,7 +54,7 @@ def fingerprints(docs: DataFrame, k: int = 3) -> DataFrame:
     """doc_id, fp (the 64 bits as a signed long); no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             fp = np.array([simhash(t, k) for t in b.column(1).cast(pa.binary()).to_pylist()], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
@@ -261,7 +261,7 @@ def near_duplicate_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8,
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             out = []
             for t in b.column(1).cast(pa.binary()).to_pylist():
                 h = _shingle_hashes(t, k)
@@ -270,7 +270,7 @@ def near_duplicate_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8,
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(body, pa.int64()), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(list(samples), pa.list_(pa.int64())), pa.array(sketch, pa.binary())], names=["doc_id", "body", "fp", "samples", "sketch"])
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             yield b.filter(pa.array([jaccard(x, y) >= similarity for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())], pa.bool_())).select(["a", "b"])
 
     marks = materialize(id_text(docs).filter("doc_id is not null").mapInArrow(run, "doc_id long, body long, fp long, samples array<long>, sketch binary"), "marks")

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, materialize
+from .common import id_text, materialize, sliced
 
 GRAM, BLOCK = 16, 256
 CHUNK = 1 << 17  # bytes whose anchors are found at once: their arrays stay in a core's cache
@@ -377,12 +377,12 @@ def removed(docs: DataFrame, length: int = 50) -> DataFrame:
         return pa.table(rows_of(rows))
 
     def compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             texts = b.column(1).cast(pa.binary()).to_pylist()
             yield pa.RecordBatch.from_arrays([pa.array(b.column(0).to_numpy() // BLOCK), b.column(0), pa.array([len(t) for t in texts], pa.int64()), _zip(texts)], names=["block", "doc_id", "n", "z"])
 
     def unnamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             yield pa.RecordBatch.from_pydict(rows_of([digest(None, t, None) for t in b.column(1).cast(pa.binary()).to_pylist()]))
 
     blocks = named.mapInArrow(compressed, "block long, doc_id long, n long, z binary")

@@ -15,7 +15,7 @@ from itertools import chain
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import id_text
+from .common import id_text, sliced
 from .tokens import PieceCounts, encoder
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, n_merged_pieces long"
@@ -28,7 +28,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, known = encoder(tokenizer_path), whole.value
         counts, pieces, special = PieceCounts(enc, known), enc._pieces, list(enc.special)
-        for b in batches:
+        for b in sliced(batches):
             texts = b.column(1).to_pylist()
             n_bytes, n_tokens, n_rest = [], [], []
             for t in texts:

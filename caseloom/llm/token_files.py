@@ -25,7 +25,7 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import id_text
+from .common import id_text, sliced
 from .tokens import encoder
 
 NO_ID = np.iinfo(np.int64).min
@@ -60,7 +60,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
         width = len(end)
 
         def encoded():
-            for b in batches:
+            for b in sliced(batches):
                 sizes.append(b.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False))
                 for t in b.column(1).to_pylist():
                     packed = enc.packed(t)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text
+from .common import id_text, sliced
 
 SAMPLE = 6_000  # labelled documents the model is fitted on
 BEGINNINGS = (4, 5, 6, 7)  # lengths of word beginnings that can be features
@@ -233,7 +233,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         emission = Emissions(m).__getitem__
-        for b in batches:
+        for b in sliced(batches):
             score, count, spans = [], [], []
             for t in b.column(1).to_pylist():
                 at, p, n = _document(emission, m, WORD.findall(t))

@@ -218,9 +218,16 @@ def near_duplicates(docs: DataFrame, k: int = 3, radius: int = 3) -> DataFrame:
     return marks.join(named, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-# Looser copies, for pipelines: SimHash of small samples of shingles -----------------------------------------
+# Looser copies, for pipelines: exact similarity of word shingles ------------------------------------------
 
-ROUNDS, SHARED, SKETCH = 24, 5, 256  # samples for each text; how many must agree; shingle hashes kept to verify
+ORDER_SAMPLE = 10_000  # texts whose shingle counts give the order, rare ones first; it decides cost, never results
+ORDER_SHINGLES = 1_000_000  # of their repeated shingles so many, the most frequent, are broadcast
+SHARED = 2  # shingles that two prefixes must share
+LIGHT = 32  # texts that all meet in a bucket; in larger ones leaders come first
+LEADS, SALTS = 2, 8  # rounds of leaders; parts of a bucket that is compared in full
+CACHED = 2_000_000  # shingle hashes that a task keeps while it compares
+BITS = 8  # 64-bit words of a parity bitmap
+BROADCAST_ROWS = 1_000_000  # doc_ids that may be broadcast
 
 
 def _shingle_hashes(text: bytes, k: int) -> np.ndarray:
@@ -229,62 +236,134 @@ def _shingle_hashes(text: bytes, k: int) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + k]), 42) for i in range(n)], dtype=np.uint64))
 
 
-def sampled_fingerprints(h: np.ndarray) -> np.ndarray:
-    """In each round the SimHash (bitwise majority) of the three shingles that a round's order puts first."""
-    r = np.random.default_rng(42)
-    factors, salts = r.integers(1, 1 << 63, ROUNDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1), r.integers(1, 1 << 63, ROUNDS, dtype=np.uint64)
-    out = np.zeros(ROUNDS, np.uint64)
-    for i in range(ROUNDS if len(h) else 0):
-        p = h * factors[i]
-        a = np.sort(np.partition(p, 2)[:3]) if len(p) > 3 else np.sort(p)
-        a = (a ^ (a >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-        out[i] = a[0] if len(a) == 1 else a[0] & a[1] if len(a) == 2 else (a[0] & a[1]) | (a[0] & a[2]) | (a[1] & a[2])
-    return out ^ salts
+def _parity(h: np.ndarray) -> np.ndarray:
+    """Each shingle flips a bit: two bitmaps differ in no more bits than their sets in shingles."""
+    odd = np.bincount((h >> np.uint64(55)).astype(np.int64), minlength=64 * BITS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def jaccard(a: bytes, b: bytes) -> float:
-    """Of two sketches of least hashes; exact where a text has at most ``SKETCH`` different shingles."""
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-    union = np.union1d(x, y)
-    if max(len(x), len(y)) >= SKETCH:
-        union = union[:SKETCH]
-    return len(np.intersect1d(np.intersect1d(x, y, True), union, True)) / max(1, len(union))
+def jaccard(x: np.ndarray, y: np.ndarray) -> float:
+    """Of two sorted sets, each of different shingle hashes."""
+    both = len(np.intersect1d(x, y, True))
+    return both / max(1, len(x) + len(y) - both)
+
+
+def _prefix(n, similarity: float, any_size: bool, ceil=np.ceil):
+    """Shingles of a text of n among which it shares ``SHARED`` with any similar one (or any not smaller)."""
+    return n - ceil((similarity if any_size else 2 * similarity / (1 + similarity)) * n - 1e-6) + SHARED
+
+
+def _common(rows: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that occur in several texts of a sample, sorted, and in how many."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
+            for t in b.column(1).cast(pa.binary()).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(_shingle_hashes(t, k).view(np.int64))], names=["s"])
+
+    every = max(1, rows.count() // ORDER_SAMPLE)
+    few = rows.filter(F.pmod(F.col("body"), F.lit(every)) == 0).dropDuplicates(["body"]).select("body", "text")
+    found = few.mapInArrow(run, "s long").groupBy("s").count().filter("count > 1").orderBy(F.desc("count"), "s").limit(ORDER_SHINGLES).toPandas()
+    s, n = found["s"].to_numpy(np.int64).view(np.uint64), found["count"].to_numpy(np.int64)
+    order = np.argsort(s)
+    return s[order], n[order]
+
+
+def _similar(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, k: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of bodies whose whole texts have the similarity."""
+    pairs = materialize(pairs, "pairs")
+    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("body")).distinct().join(nodes.select("id", "body"), "body"), "compared")
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+    texts = materialize(rows.join(ids.withColumnRenamed("id", "doc_id"), ["doc_id", "body"], "left_semi").dropDuplicates(["body"]).select("body", "text"), "texts")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, np.ndarray] = {}
+        held = [0]
+
+        def shingles(body: int, text: bytes) -> np.ndarray:
+            if body not in known:
+                known[body] = _shingle_hashes(text, k)
+                held[0] += len(known[body])
+                while held[0] > CACHED and len(known) > 2:
+                    held[0] -= len(known.pop(next(x for x in known if x != body)))
+            return known[body]
+
+        for b in sliced(batches):
+            a, c, x, y = (b.column(i).cast(pa.binary()).to_pylist() if i > 1 else b.column(i).to_pylist() for i in range(4))
+            yield b.filter(pa.array([jaccard(shingles(*p), shingles(*q)) >= similarity for p, q in zip(zip(a, x), zip(c, y))], pa.bool_())).select(["a", "b"])
+
+    both = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    return materialize(both.mapInArrow(run, "a long, b long"), "similar")
 
 
 def near_duplicate_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, radius: int = 3) -> DataFrame:
     """doc_id, component_id: groups joined by whole fingerprints within radius, or by k-word similarity.
 
-    A similarity of 0.8 moves about 10 of 64 fingerprint bits, too far for a tree to prune. So texts
-    also get ``ROUNDS`` SimHashes of three sampled shingles each, of which two such texts share half.
-    Whoever shares ``SHARED`` with a leader of a bucket (its least doc_id, or least hash: never all
-    pairs) is compared with it by its sketch.
+    A similarity of 0.8 moves about 10 of 64 fingerprint bits, too far for a tree to prune. So the
+    texts are also joined by prefixes: with the shingles of each text in one order, rare ones first,
+    similar texts share ``SHARED`` among their first ones, and no later than their sizes allow. Texts
+    of a small bucket (one shingle) all meet. Those of a large bucket are first compared with
+    ``LEADS`` leaders; then whoever is not joined yet meets all others of the bucket. Each meeting
+    pair is decided by all shingles of both texts, so no pair is missed and none is estimated.
     """
+    need = lambda m, n: similarity / (1 + similarity) * (m + n) - 1e-6  # noqa: E731  shingles in common at the least
+    rows = id_text(docs).filter("doc_id is not null").withColumn("body", F.xxhash64("text"))
+    common = docs.sparkSession.sparkContext.broadcast(_common(rows, k))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, counts = common.value
         for b in sliced(batches):
-            out = []
+            fp, sizes, firsts, bits = [], [], [], []
             for t in b.column(1).cast(pa.binary()).to_pylist():
                 h = _shingle_hashes(t, k)
-                out.append((xxhash.xxh64_intdigest(t, 7) - (1 << 63), simhash(t, k), sampled_fingerprints(h).view(np.int64), h[:SKETCH].tobytes()))
-            body, fp, samples, sketch = zip(*out) if out else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(body, pa.int64()), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(list(samples), pa.list_(pa.int64())), pa.array(sketch, pa.binary())], names=["doc_id", "body", "fp", "samples", "sketch"])
-
-    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sliced(batches):
-            yield b.filter(pa.array([jaccard(x, y) >= similarity for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())], pa.bool_())).select(["a", "b"])
-
-    marks = materialize(id_text(docs).filter("doc_id is not null").mapInArrow(run, "doc_id long, body long, fp long, samples array<long>, sketch binary"), "marks")
+                at = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
+                often = np.where(known[at] == h, counts[at], 0) if len(known) else np.zeros(len(h), np.int64)
+                fp.append(simhash(t, k))
+                sizes.append(len(h))
+                bits.append(_parity(h))
+                firsts.append(h[np.lexsort((h, often))[: int(_prefix(len(h), similarity, True))]].view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], names=["doc_id", "body", "fp", "n", "first", "bits"])
+
+    marks = materialize(rows.select("doc_id", "text", "body").mapInArrow(run, "doc_id long, body long, fp long, n int, first array<long>, bits array<long>"), "marks")
     first = marks.groupBy("body").agg(F.min("doc_id").alias("id"))
-    nodes = materialize(marks.join(first, "body").filter("doc_id = id").select("id", "body", "fp", "samples", "sketch").dropDuplicates(["id", "body"]), "nodes")
+    nodes = materialize(marks.join(first, "body").filter("doc_id = id").select("id", "body", "fp", "n", "first", "bits").dropDuplicates(["body"]), "nodes")
     prints = materialize(nodes.groupBy("fp").agg(F.min("id").alias("id")), "prints")
     equal = nodes.join(prints.withColumnRenamed("id", "a"), "fp").filter("a <> id").select("a", F.col("id").alias("b"))
-    rows = materialize(nodes.select("id", F.explode_outer("samples").alias("s")), "samples")
-    lead = rows.groupBy("s").agg(F.count("*").alias("n"), F.array(F.min("id"), F.min_by("id", F.xxhash64("id"))).alias("leaders")).filter("n > 1")
-    pairs = rows.join(lead, "s").select("id", F.explode_outer(F.array_distinct("leaders")).alias("leader")).filter("id <> leader")
-    pairs = pairs.groupBy(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).agg(F.count("*").alias("n")).filter(F.col("n") >= SHARED)
-    sketches = nodes.select("id", "sketch").dropDuplicates(["id"])
-    both = pairs.join(sketches.toDF("a", "x"), "a").join(sketches.toDF("b", "y"), "b").select("a", "b", "x", "y")
-    links = near_links(prints, radius).union(equal).union(both.mapInArrow(similar, "a long, b long"))
-    parts = components(links.distinct())
-    named = nodes.join(parts, "id", "left").select("body", F.coalesce("component", "id").alias("component_id"))
-    return marks.join(named, "body").select("doc_id", "component_id")
+
+    every = nodes.select("body", "n", F.posexplode("first").alias("at", "s")).withColumn("indexed", F.col("at") < _prefix(F.col("n"), similarity, False, F.ceil))
+    buckets = every.groupBy("s").agg(F.count("*").alias("met"), F.max("indexed").alias("any")).filter("met > 1 and any")
+    met = materialize(every.join(buckets.select("s", "met"), "s").join(nodes.select("body", "bits"), "body"), "met")
+
+    def may(a: str, b: str):
+        """Sizes, places and bitmaps allow for the similarity."""
+        m, n = F.col(f"{a}.n"), F.col(f"{b}.n")
+        differ = sum((F.bit_count(F.col(f"{a}.bits")[i].bitwiseXOR(F.col(f"{b}.bits")[i])) for i in range(BITS)), F.lit(0))
+        return (F.least(m, n) >= similarity * F.greatest(m, n) - 1e-6) & (SHARED + F.least(m - 1 - F.col(f"{a}.at"), n - 1 - F.col(f"{b}.at")) >= need(m, n)) & (differ <= m + n - 2 * need(m, n))
+
+    smaller = F.col("x.indexed") & (F.struct("x.n", "x.body") < F.struct("y.n", "y.body")) & may("x", "y")
+    light = met.filter(F.col("met") <= LIGHT)
+    pairs = light.alias("x").join(light.alias("y"), (F.col("x.s") == F.col("y.s")) & smaller)
+    pairs = pairs.groupBy(F.col("x.body").alias("a"), F.col("y.body").alias("b")).agg(F.count("*").alias("c"), F.first(need(F.col("x.n"), F.col("y.n"))).alias("need"))
+    links = _similar(pairs.filter(F.col("c") >= F.least(F.lit(SHARED), F.ceil("need"))).select("a", "b"), nodes, rows, k, similarity)
+
+    heavy = met.filter(F.col("met") > LIGHT).drop("met")
+    for i in range(LEADS + 1 if not heavy.isEmpty() else 0):
+        parts = components(links).toDF("body", "part")
+        open_ = heavy.join(parts, "body", "left").withColumn("part", F.coalesce("part", "body"))
+        split = open_.groupBy("s").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.min_by(F.struct("body", "n", "at", "part", "bits"), F.xxhash64("body", F.lit(i))).alias("y")).filter("p <> q")
+        open_ = materialize(open_.join(split.select("s", "y"), "s"), "open")
+        if open_.isEmpty():
+            break
+        if i < LEADS:
+            pairs = open_.select(F.struct("body", "n", "at", "part", "bits").alias("x"), "y")
+        else:
+            salted = open_.drop("y").withColumn("salt", F.pmod(F.xxhash64("body"), F.lit(SALTS)))
+            other = open_.drop("y").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+            pairs = salted.alias("x").join(other.alias("y"), (F.col("x.s") == F.col("y.s")) & (F.col("x.salt") == F.col("y.salt")) & smaller)
+        pairs = pairs.filter(F.col("x.part") != F.col("y.part")).filter(may("x", "y")).select(F.col("x.body").alias("a"), F.col("y.body").alias("b")).distinct()
+        links = materialize(links.union(_similar(pairs, nodes, rows, k, similarity)), "links")
+    names = nodes.select("body", "id")
+    named = links.join(names.toDF("a", "m"), "a").join(names.toDF("b", "n"), "b").select(F.least("m", "n").alias("a"), F.greatest("m", "n").alias("b")).filter("a <> b")
+    parts = components(near_links(prints, radius).union(equal).union(named).distinct())
+    done = names.join(parts, "id", "left").select("body", F.coalesce("component", "id").alias("component_id"))
+    return marks.join(done, "body").select("doc_id", "component_id")

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -83,3 +84,32 @@ def test_near_copies_by_words(spark):
         assert got[20 + i] == i and got[40 + i] == 40 + i
     assert got[60] == 0 and got[62] == 61
     assert S.near_duplicate_groups(empty(spark)).count() == 0
+
+
+@pytest.mark.parametrize("leads", [0, 1])
+def test_near_copies_with_a_common_core(spark, monkeypatch, leads):
+    """Families that share most shingles: only mates and a few chance pairs are similar, in buckets large and small."""
+    monkeypatch.setattr(S, "LIGHT", 3)
+    monkeypatch.setattr(S, "LEADS", leads)
+    k, texts = 5, []
+    r = np.random.default_rng(3)
+    for size in (60, 25):
+        core = " ".join(f"core{size}-{i}" for i in range(178))  # 174 shingles
+        for i in range(0, size, 2):
+            mates = " ".join(f"m{size}-{i}-{j}" for j in range(16))  # 12 shingles
+            texts += [f"{core} \n {mates} " + " ".join(f"u{size}-{i}-{x}-{j}" for j in range(int(r.integers(8, 14)))) for x in range(2)]
+    words = [f"w{i}" for i in range(9000)]
+    for _ in range(4):  # long texts: 300 to 900 shingles, changed at some places
+        base = r.choice(words, int(r.integers(300, 900))).tolist()
+        for share in (0.01, 0.02, 0.024, 0.026, 0.04):
+            texts.append(" ".join(f"x{r.integers(1e9)}" if r.random() < share else w for w in base))
+    sets = [set(S._shingle_hashes(t.encode(), k).tolist()) for t in texts]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8:
+                a, b = sorted((label[i], label[j]))
+                label = [a if x == b else x for x in label]
+    got = {x.doc_id: x.component_id for x in S.near_duplicate_groups(docs(spark, texts), k, 0.8, radius=0).collect()}
+    assert [got[i] for i in range(len(texts))] == label
+    assert len(set(label)) > 20

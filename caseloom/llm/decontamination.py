@@ -6,7 +6,10 @@ hash-joined with those of the benchmark items (windows with fewer than ``LEAST_L
 words say nothing and are left out of an item's count). A document that holds ``SHARE`` or more of
 an item's windows is a candidate. If its windows have placeholders, the slot values are compared
 along each alignment of document and item: a consistent one maps every value of the item to one
-value of the document and back, so re-parameterised questions count and chance patterns do not.
+value of the document, so re-parameterised questions count and chance patterns do not. Alignments
+at most a window apart are chained, as a word put in or left out moves them; of a chain those count
+that agree with its larger ones. All this is done for two readings of names, and either suffices:
+capitalised words inside a sentence, and all capitalised words (names may begin a sentence or line).
 
 The benchmark's windows are broadcast only if counted to be at most ``BROADCAST_ROWS``; beyond that
 the join shuffles. Documents send each distinct window once, so no group of copies multiplies.
@@ -20,6 +23,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from .common import materialize
 
@@ -30,10 +34,10 @@ NAME, NUMBER, UNIT = "", "", ""
 UNITS = "km|m|cm|mm|mi|miles|ft|feet|kg|g|mg|lb|lbs|l|ml|h|hours|min|minutes|s|seconds|days|years|eur|usd|euros|dollars|percent"
 
 
-def _tokens(text: Column) -> Column:
+def _tokens(text: Column, wide: bool = False) -> Column:
     """Lower-case words; those in a slot begin with its placeholder character."""
     t = F.regexp_replace(F.coalesce(text, F.lit("")), f"[{NAME}-{UNIT}]", " ")
-    t = F.regexp_replace(t, r"(?<=[\p{Ll},;] )\p{Lu}\p{Ll}+", f"{NAME}$0")
+    t = F.regexp_replace(t, r"(?<![\p{L}\p{M}\p{N}])\p{Lu}\p{Ll}+" if wide else r"(?<=[\p{Ll},;] )\p{Lu}\p{Ll}+", f"{NAME}$0")
     t = F.regexp_replace(t, r"\d++(?:[.,]\d++)*+", f" {NUMBER}$0 ")
     t = F.regexp_replace(t, rf"({NUMBER}\S++  ?)(?i:({UNITS}))(?![\p{{L}}\p{{N}}])", f"$1{UNIT}$2")
     t = F.regexp_replace(t, r"(?<=\d)[.,](?=\d)", "_")
@@ -44,9 +48,9 @@ def _is_slot(w: Column) -> Column:
     return F.substring(w, 1, 1).between(NAME, UNIT)
 
 
-def _with_windows(rows: DataFrame, key: str, slots: bool) -> DataFrame:
+def _with_windows(rows: DataFrame, key: str, slots: bool, wide: bool) -> DataFrame:
     """key, windows: array of hashes, or of (hash, at, slots) with the values in the placeholders."""
-    df = rows.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias(key), _tokens(F.col("text")).alias("w"))
+    df = rows.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias(key), _tokens(F.col("text"), wide).alias("w"))
     df = df.withColumn("h", F.transform("w", lambda w: F.xxhash64(F.when(_is_slot(w), F.substring(w, 1, 1)).otherwise(w))))
     last = F.greatest(F.size("w") - WINDOW, F.lit(0))
     # beyond the end of a text shorter than a window, get() is null, which leaves the hash as it is
@@ -60,20 +64,25 @@ def _with_windows(rows: DataFrame, key: str, slots: bool) -> DataFrame:
     return df.select(key, F.when(F.size("w") > 0, made).alias("windows"))
 
 
-def _item_windows(benchmark: DataFrame) -> DataFrame:
+def _item_windows(benchmark: DataFrame, wide: bool) -> DataFrame:
     """item_id, hash, at, slots, n_windows of the windows that say something."""
-    w = _with_windows(benchmark, "item_id", slots=True).select("item_id", F.explode_outer("windows").alias("x")).filter("x is not null").select("item_id", "x.*")
+    w = _with_windows(benchmark, "item_id", slots=True, wide=wide).select("item_id", F.explode_outer("windows").alias("x")).filter("x is not null").select("item_id", "x.*")
     w = w.filter(F.col("n") - F.size("slots") >= F.least(F.col("n"), F.lit(LEAST_LITERAL))).drop("n")
     per_item = w.groupBy("item_id").agg(F.count_distinct("hash").alias("n_windows"))
     return w.join(per_item, "item_id")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
-    """doc_id, item_id, n_windows, n_matched, n_slots for every document that holds an item."""
-    items = materialize(_item_windows(benchmark), "item-windows")
+    """doc_id, item_id, n_windows, n_matched, n_slots for every document that holds an item, by either reading of names."""
+    found, more = (materialize(_contaminated(docs, benchmark, share, wide), "found") for wide in (False, True))
+    return found.unionByName(more.join(found, ["doc_id", "item_id"], "left_anti"))
+
+
+def _contaminated(docs: DataFrame, benchmark: DataFrame, share: float, wide: bool) -> DataFrame:
+    items = materialize(_item_windows(benchmark, wide), "item-windows")
     distinct = items.groupBy("item_id", "hash").agg(F.first("n_windows").alias("n_windows"), F.max(F.size("slots")).alias("n_slots"))
     side = F.broadcast(distinct) if items.count() <= BROADCAST_ROWS else distinct
-    sent = _with_windows(docs, "doc_id", slots=False).select("doc_id", F.explode_outer("windows").alias("hash")).join(side, "hash")
+    sent = _with_windows(docs, "doc_id", slots=False, wide=wide).select("doc_id", F.explode_outer("windows").alias("hash")).join(side, "hash")
     pairs = sent.groupBy("doc_id", "item_id").agg(F.first("n_windows").alias("n_windows"), F.count_distinct("hash").alias("n_matched"), F.max("n_slots").alias("n_slots"))
     pairs = materialize(pairs.filter(F.col("n_matched") >= share * F.col("n_windows")), "candidates")
     plain = pairs.filter("n_slots = 0")
@@ -82,13 +91,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) ->
         return plain
     ids = slotted.select("doc_id", "item_id", "n_windows")
     texts = docs.join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
-    found = _with_windows(texts, "doc_id", slots=True).select("doc_id", F.explode_outer("windows").alias("x"))
+    found = _with_windows(texts, "doc_id", slots=True, wide=wide).select("doc_id", F.explode_outer("windows").alias("x"))
     found = found.select("doc_id", F.col("x.hash").alias("hash"), F.col("x.at").alias("doc_at"), F.col("x.slots").alias("doc_slots"))
     both = ids.join(items.drop("n_windows"), "item_id").join(found, ["doc_id", "hash"])
     lines = both.withColumn("shift", F.col("doc_at") - F.col("at"))
-    values = lines.select("doc_id", "item_id", "shift", F.explode(F.arrays_zip(F.col("slots").alias("a"), F.col("doc_slots").alias("b"))).alias("v"))
-    odd = values.select("doc_id", "item_id", "shift", "v.a", "v.b").distinct().groupBy("doc_id", "item_id", "shift")
-    odd = odd.agg(F.count("*").alias("n"), F.count_distinct("a").alias("na"), F.count_distinct("b").alias("nb")).filter("n <> na or n <> nb")
-    held = lines.groupBy("doc_id", "item_id", "shift").agg(F.count_distinct("hash").alias("n"), F.first("n_windows").alias("n_windows"))
-    held = held.filter(F.col("n") >= share * F.col("n_windows")).join(odd, ["doc_id", "item_id", "shift"], "left_anti")
+    line = ["doc_id", "item_id", "shift"]
+    values = lines.select(*line, F.explode(F.arrays_zip(F.col("slots").alias("a"), F.col("doc_slots").alias("b"))).alias("v")).select(*line, "v.a", "v.b").distinct()
+    odd = values.groupBy(*line).agg(F.count("*").alias("n"), F.count_distinct("a").alias("na")).filter("n <> na")
+    lines = materialize(lines.join(odd, line, "left_anti").select(*line, "hash", "n_windows"), "lines")
+    # a word put in or left out moves the shift: shifts no farther apart than a window belong together
+    sizes = lines.groupBy(*line).agg(F.count_distinct("hash").alias("n"))
+    w = W.partitionBy("doc_id", "item_id").orderBy("shift")
+    sizes = sizes.withColumn("chain", F.sum(F.when(F.col("shift") - F.lag("shift").over(w) > WINDOW, 1).otherwise(0)).over(w))
+    values = values.join(sizes, line)
+    first = values.groupBy("doc_id", "item_id", "chain", "a").agg(F.min_by("b", F.struct(-F.col("n"), "shift")).alias("meant"))
+    against = values.join(first, ["doc_id", "item_id", "chain", "a"]).filter("b <> meant").select(*line).distinct()
+    held = lines.join(sizes.drop("n"), line).join(against, line, "left_anti").groupBy("doc_id", "item_id", "chain")
+    held = held.agg(F.count_distinct("hash").alias("n"), F.first("n_windows").alias("n_windows")).filter(F.col("n") >= share * F.col("n_windows"))
     return plain.unionByName(slotted.join(held, ["doc_id", "item_id"], "left_semi"))

@@ -75,6 +75,19 @@ def test_decontamination(spark):
     assert contaminated(odd(spark), bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_edited_copies(spark):
+    one = "the boat of Mara left port at 7 in the morning with some of the fishing crew on board and it came back to the old harbour of the town near the sea at 9 when Mara was done"
+    sums = "Tom has 5 apples in his bag. Tom buys 3 more at the shop.\nTom gives all of them away to his friends. How many apples does Tom still have in his bag now"
+    w = one.split()
+    texts = [
+        " ".join([*w[:19], "then", *w[19:]]), " ".join(w[:18] + w[19:]), one.replace("7", "5").replace("9", "5"), sums.replace("Tom", "Ann").replace("5", "6"),
+        one.replace("the", "a").replace("of", "by"),
+    ]
+    bench = spark.createDataFrame([(1, one), (2, sums)], "item_id long, text string")
+    found = contaminated(docs(spark, texts), bench).collect()
+    assert sorted((r.doc_id, r.item_id) for r in found) == [(0, 1), (1, 1), (2, 1), (3, 2)]
+
+
 def brute(text):
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)

@@ -2,8 +2,8 @@
 
 Base spans are what four patterns find (e-mail, IP address, card, phone), checked by their rules.
 The method adds spans of terms that give a protected value away. Over all documents, copies of a
-text counted once: n(t, e) texts have term t within ``NEAR`` words of value e, n(t) texts have t at
-all, n(e) texts have e. A term that n(t, e) >= ``LEAST_TEXTS`` texts show beside one value, whose
+text counted once: n(t, e) texts have term t within ``NEAR`` words of value e (values are no words
+and are not counted over), n(t) texts have t at all, n(e) texts have e, N texts differ (counted exactly). A term that n(t, e) >= ``LEAST_TEXTS`` texts show beside one value, whose
 pointwise information log2(n(t,e) N / n(t) n(e)) is at least ``LEAST_BITS``, is removed everywhere
 if the share n(t, e) / n(t) reaches ``REMOVE``, and generalised if it reaches ``GENERALISE``.
 
@@ -63,13 +63,12 @@ def _placed(text: Column, found: Column, pattern: str, rank: int, kind: str) ->
     return F.when(F.size(found) > 0, F.aggregate(pairs, zero, step, lambda acc: acc["spans"])).otherwise(F.expr(f"cast(array() as {SPAN})"))
 
 
-def with_base(docs: DataFrame) -> DataFrame:
-    """Adds ``_text`` (null: empty) and ``_base``, the base spans ordered by start, then kind."""
-    df = docs.withColumn("_text", F.coalesce(F.col("text"), F.lit("")))
-    df = df.withColumns({f"_m_{k}": F.regexp_extract_all("_text", F.lit(p), F.lit(0)) for k, p in PATTERNS.items()})
-    df = df.withColumns({f"_s_{k}": _placed(F.col("_text"), F.col(f"_m_{k}"), p, i, k) for i, (k, p) in enumerate(PATTERNS.items())})
-    df = df.withColumn("_base", F.array_sort(F.concat(*[F.col(f"_s_{k}") for k in KINDS])))
-    return df.drop(*[f"_{x}_{k}" for x in "ms" for k in KINDS])
+def with_base(texts: DataFrame) -> DataFrame:
+    """Adds ``base``, the base spans of column ``text`` (not null), ordered by start, then kind."""
+    df = texts.withColumns({f"m_{k}": F.regexp_extract_all("text", F.lit(p), F.lit(0)) for k, p in PATTERNS.items()})
+    df = df.withColumns({f"s_{k}": _placed(F.col("text"), F.col(f"m_{k}"), p, i, k) for i, (k, p) in enumerate(PATTERNS.items())})
+    df = df.withColumn("base", F.array_sort(F.concat(*[F.col(f"s_{k}") for k in KINDS])))
+    return df.drop(*[f"{x}_{k}" for x in "ms" for k in KINDS])
 
 
 def _words(text: Column) -> Column:
@@ -77,21 +76,28 @@ def _words(text: Column) -> Column:
 
 
 def _contexts(marked: DataFrame) -> DataFrame:
-    """entity, term, body: a term stands near a value in a text (body: the text's hash); distinct."""
-    left = lambda s: _words(F.substring(F.col("_text"), F.greatest(s["start"] - 199, F.lit(1)), F.least(s["start"], F.lit(200))))
-    right = lambda s: _words(F.substring(F.col("_text"), s["end"] + 1, F.lit(200)))
-    near = lambda s: F.concat(F.reverse(F.slice(F.reverse(left(s)), 1, NEAR)), F.slice(right(s), 1, NEAR))
+    """entity, term, body: a term stands near a value in a text (body: the text's hash); distinct.
+
+    The words of a text are those outside its base spans; of them the ``NEAR`` last ones before a
+    value and the ``NEAR`` first ones after it are its context, however far away they are.
+    """
+    n = F.size("base")
+    done = lambda i: F.when(i > 0, F.array_max(F.transform(F.slice("base", 1, i), lambda s: s["end"]))).otherwise(0)  # noqa: E731  where the spans before i end
+    piece = lambda i: F.substring(F.col("text"), done(i) + 1, F.when(i < n, F.greatest(F.get("base", i)["start"] - done(i), F.lit(0))).otherwise(F.length("text")))
+    rows = marked.filter("size(base) > 0").withColumn("pieces", F.transform(F.sequence(F.lit(0), n), lambda i: _words(piece(i))))
+    rows = rows.select("base", F.xxhash64("text").alias("body"), F.flatten("pieces").alias("words"), F.transform("pieces", lambda p: F.size(p)).alias("sizes"))
+    before = lambda i: F.aggregate(F.slice("sizes", 1, i + 1), F.lit(0), lambda acc, x: acc + x)  # noqa: E731  words before value i
+    near = lambda i: F.slice("words", F.greatest(before(i) - NEAR + 1, F.lit(1)), F.least(before(i), F.lit(NEAR)) + NEAR)
     entity = lambda s: F.concat_ws(":", s["kind"], F.lower(s["value"]))
-    made = F.transform("_base", lambda s: F.struct(entity(s).alias("entity"), F.array_distinct(near(s)).alias("terms")))
-    rows = marked.select(F.xxhash64("_text").alias("body"), F.explode_outer(made).alias("x")).filter("x is not null")
+    made = F.transform("base", lambda s, i: F.struct(entity(s).alias("entity"), F.array_distinct(near(i)).alias("terms")))
     # copies of a text give the same rows: dropped in the tasks, before the shuffle
-    rows = rows.select("body", "x.entity", "x.terms").distinct()
+    rows = rows.select("body", F.explode_outer(made).alias("x")).select("body", "x.entity", "x.terms").distinct()
     return rows.select("body", "entity", F.explode_outer("terms").alias("term"))
 
 
-def disclosing_terms(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(term, action) of the terms that give a value away, and (doc_id, term) where candidates occur."""
-    near = materialize(_contexts(with_base(docs.select("text"))), "contexts")
+def disclosing_terms(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """texts (doc_id, text) -> (term, action) of the terms that give a value away, and (doc_id, term) where candidates occur."""
+    near = materialize(_contexts(with_base(texts.select("text"))), "contexts")
     n_e = near.groupBy("entity").agg(F.count_distinct("body").alias("n_e"))
     n_te = near.filter("term is not null").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_te")).filter(F.col("n_te") >= LEAST_TEXTS)
     # texts that have t near any value: n(t) is no less, so a pair whose share of these is too small is none, and common words end here
@@ -100,11 +106,10 @@ def disclosing_terms(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     pairs = materialize(n_te.join(n_e, "entity"), "term-values")
     terms = materialize(pairs.select("term").distinct(), "terms")
     side = F.broadcast(terms) if terms.count() <= BROADCAST_ROWS else terms
-    body = F.coalesce(F.col("text"), F.lit(""))
-    words = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(body).alias("body"), F.explode_outer(F.array_distinct(_words(body))).alias("term"))
+    words = texts.select("doc_id", F.xxhash64("text").alias("body"), F.explode_outer(F.array_distinct(_words(F.col("text")))).alias("term"))
     where = materialize(words.join(side, "term"), "term-places")
     n_t = where.select("term", "body").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
-    total = docs.select(F.approx_count_distinct(F.xxhash64(body), 0.01)).first()[0]
+    total = texts.select(F.xxhash64("text").alias("body")).distinct().count()
     bits = F.log2(F.col("n_te") * float(max(total, 1)) / (F.col("n_t") * F.col("n_e")))
     share = F.col("n_te") / F.col("n_t")
     strong = pairs.join(n_t, "term").filter((bits >= LEAST_BITS) & (share >= GENERALISE))
@@ -113,24 +118,25 @@ def disclosing_terms(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def with_spans(docs: DataFrame) -> DataFrame:
-    """docs with ``_text``, ``_base`` and ``_spans`` (base spans, and those of disclosing terms that touch none)."""
-    actions, where = disclosing_terms(docs)
-    listed = where.filter("doc_id is not null").distinct().join(actions, "term").groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("term", "action")))).alias("_terms"))
-    listed = materialize(listed.withColumnRenamed("doc_id", "_id"), "document-terms")
-    df = with_base(docs).join(listed, F.col("doc_id").cast("long") == F.col("_id"), "left").drop("_id")
-    pieces = F.arrays_zip(F.slice(F.split("_text", WORD, -1), 1, F.size(F.regexp_extract_all("_text", F.lit(WORD), F.lit(0)))).alias("gap"), F.regexp_extract_all("_text", F.lit(WORD), F.lit(0)).alias("m"))
+    """``row`` (all columns of docs), doc_id, text (null: empty), base and ``spans`` (base spans, and those of disclosing terms that touch none)."""
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    actions, where = disclosing_terms(packed.select("doc_id", "text"))
+    listed = where.filter("doc_id is not null").distinct().join(actions, "term").groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("term", "action")))).alias("terms"))
+    listed = materialize(listed, "document-terms")
+    df = with_base(packed).join(listed, "doc_id", "left")
+    pieces = F.arrays_zip(F.slice(F.split("text", WORD, -1), 1, F.size(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))).alias("gap"), F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("m"))
     zero = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {SPAN})").alias("spans"))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["gap"])
         end = start + F.length(x["m"])
-        action = F.element_at("_terms", F.lower(x["m"]))
+        action = F.element_at("terms", F.lower(x["m"]))
         span = F.struct(start.alias("start"), F.lit(len(KINDS)).alias("rank"), end.alias("end"), action.alias("kind"), x["m"].alias("value"))
-        free = action.isNotNull() & ~F.exists("_base", lambda b: (b["start"] < end) & (b["end"] > start))
+        free = action.isNotNull() & ~F.exists("base", lambda b: (b["start"] < end) & (b["end"] > start))
         return F.struct(end.alias("at"), F.when(free, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
 
-    extra = F.when(F.col("_terms").isNotNull(), F.aggregate(pieces, zero, step, lambda acc: acc["spans"])).otherwise(F.expr(f"cast(array() as {SPAN})"))
-    return df.withColumn("_spans", F.array_sort(F.concat("_base", extra))).drop("_terms")
+    extra = F.when(F.col("terms").isNotNull(), F.aggregate(pieces, zero, step, lambda acc: acc["spans"])).otherwise(F.expr(f"cast(array() as {SPAN})"))
+    return df.withColumn("spans", F.array_sort(F.concat("base", extra))).drop("terms")
 
 
 def _listed(spans: Column) -> Column:
@@ -140,21 +146,21 @@ def _listed(spans: Column) -> Column:
 def private_spans(docs: DataFrame) -> DataFrame:
     """doc_id, counts of the base kinds, base_sha256, spans."""
     df = with_spans(docs.select("doc_id", "text"))
-    count = lambda k: F.size(F.filter("_base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
-    return df.select("doc_id", *map(count, KINDS), F.sha2(_listed(F.col("_base")), 256).alias("base_sha256"), _listed(F.col("_spans")).alias("spans"))
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    return df.select("doc_id", *map(count, KINDS), F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
-    """docs with every span of ``text`` replaced by its label, or removed; same columns."""
+    """docs with every span of ``text`` replaced by its label, or removed; same columns, whatever their names."""
     df = with_spans(docs)
     label = lambda kind: F.element_at(F.create_map(*[F.lit(x) for kv in LABEL.items() for x in kv]), kind)
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
-        out = F.concat(acc["out"], F.substring(F.col("_text"), acc["at"] + 1, s["start"] - acc["at"]), label(s["kind"]))
+        out = F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), label(s["kind"]))
         joined = F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))
         return F.when(s["start"] >= acc["at"], F.struct(s["end"].alias("at"), out.alias("out"))).otherwise(joined)
 
-    end = lambda acc: F.concat(acc["out"], F.substring(F.col("_text"), acc["at"] + 1, F.length("_text")))
-    clean = F.when(F.size("_spans") > 0, F.aggregate("_spans", zero, step, end)).otherwise(F.col("text"))
-    return df.withColumn("text", clean).select(*docs.columns)
+    end = lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text")))
+    clean = F.when(F.size("spans") > 0, F.aggregate("spans", zero, step, end)).otherwise(F.col("row.text"))
+    return df.withColumn("clean", clean).select(*[(F.col("clean") if c == "text" else F.col("row").getField(c)).alias(c) for c in docs.columns])

@@ -1,22 +1,26 @@
 """Benchmark decontamination by template canonicalisation (operator 6). DataFrame functions only.
 
 Texts become template tokens: lower-case words, with numbers, units after a number and capitalised
-words inside a sentence replaced by typed placeholders. Windows of ``WINDOW`` tokens are hashed and
-hash-joined with those of the benchmark items (windows with fewer than ``LEAST_LITERAL`` literal
-words say nothing and are left out of an item's count). A document that holds ``SHARE`` or more of
-an item's windows is a candidate. If its windows have placeholders, the slot values are compared
-along each alignment of document and item: a consistent one maps every value of the item to one
-value of the document, so re-parameterised questions count and chance patterns do not. Alignments
-at most a window apart are chained, as a word put in or left out moves them; of a chain those count
-that agree with its larger ones. All this is done for two readings of names, and either suffices:
-capitalised words inside a sentence, and all capitalised words (names may begin a sentence or line).
+words replaced by typed placeholders. Names are read in two ways, and either suffices: capitalised
+words inside a sentence only, and all capitalised words (names may begin a sentence or line). Of
+every text the windows of ``WINDOW`` tokens of both readings are hashed and hash-joined with those
+of the benchmark items. Windows with fewer than ``LEAST_LITERAL`` literal words say little as
+templates: they are hashed with their values, so that only verbatim copies meet. Items shorter than
+a window are one window of their own length, and texts send windows of these few lengths as well.
+
+A document that holds ``SHARE`` or more of an item's template windows, or of all its windows, is a
+candidate. If its windows have placeholders, the slot values are compared along each alignment of
+document and item: a consistent one maps every value of the item to one value of the document, so
+re-parameterised questions count and chance patterns do not. Alignments at most a window apart are
+chained, as a word put in or left out moves them; of a chain those count that agree with its larger
+ones.
 
 The benchmark's windows are broadcast only if counted to be at most ``BROADCAST_ROWS``; beyond that
 the join shuffles. Documents send each distinct window once, so no group of copies multiplies.
 
-Defined results: null and empty texts hold nothing; texts shorter than a window are compared as a
-whole; null doc_ids or item_ids are left out; a doc_id or item_id that occurs twice is read as one
-document or item with the windows of both; empty tables give no rows; other columns are ignored.
+Defined results: null and empty texts, and texts without a word, hold nothing; null doc_ids or
+item_ids are left out; a doc_id or item_id that occurs twice is read as one document or item with
+the windows of both; empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,83 +33,130 @@ from .common import materialize
 
 WINDOW, SHARE, LEAST_LITERAL = 8, 0.5, 4
 BROADCAST_ROWS = 1_000_000
-NAME, NUMBER, UNIT = "", "", ""
+NAME, NUMBER, UNIT, FIRST = "\ue000", "\ue001", "\ue002", "\ue003"  # FIRST: capitalised, but not inside a sentence
 #: Units of measure that may follow a number.
 UNITS = "km|m|cm|mm|mi|miles|ft|feet|kg|g|mg|lb|lbs|l|ml|h|hours|min|minutes|s|seconds|days|years|eur|usd|euros|dollars|percent"
 
 
-def _tokens(text: Column, wide: bool = False) -> Column:
-    """Lower-case words; those in a slot begin with its placeholder character."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), f"[{NAME}-{UNIT}]", " ")
-    t = F.regexp_replace(t, r"(?<![\p{L}\p{M}\p{N}])\p{Lu}\p{Ll}+" if wide else r"(?<=[\p{Ll},;] )\p{Lu}\p{Ll}+", f"{NAME}$0")
+def _tokens(text: Column) -> Column:
+    """Lower-case words; those that may be in a slot begin with its placeholder character."""
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), f"[{NAME}-{FIRST}]", " ")
+    t = F.regexp_replace(t, r"(?<=[\p{Ll},;] )\p{Lu}\p{Ll}+", f"{NAME}$0")
+    t = F.regexp_replace(t, rf"(?<![\p{{L}}\p{{M}}\p{{N}}{NAME}])\p{{Lu}}\p{{Ll}}+", f"{FIRST}$0")
     t = F.regexp_replace(t, r"\d++(?:[.,]\d++)*+", f" {NUMBER}$0 ")
     t = F.regexp_replace(t, rf"({NUMBER}\S++  ?)(?i:({UNITS}))(?![\p{{L}}\p{{N}}])", f"$1{UNIT}$2")
     t = F.regexp_replace(t, r"(?<=\d)[.,](?=\d)", "_")
-    return F.filter(F.split(F.lower(t), rf"[^\p{{L}}\p{{M}}\p{{N}}_{NAME}-{UNIT}]++"), lambda w: w != "")
+    return F.filter(F.split(F.lower(t), rf"[^\p{{L}}\p{{M}}\p{{N}}_{NAME}-{FIRST}]++"), lambda w: w != "")
+
+
+def _kind(w: Column) -> Column:
+    return F.substring(w, 1, 1)
 
 
 def _is_slot(w: Column) -> Column:
-    return F.substring(w, 1, 1).between(NAME, UNIT)
-
-
-def _with_windows(rows: DataFrame, key: str, slots: bool, wide: bool) -> DataFrame:
-    """key, windows: array of hashes, or of (hash, at, slots) with the values in the placeholders."""
-    df = rows.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias(key), _tokens(F.col("text"), wide).alias("w"))
-    df = df.withColumn("h", F.transform("w", lambda w: F.xxhash64(F.when(_is_slot(w), F.substring(w, 1, 1)).otherwise(w))))
-    last = F.greatest(F.size("w") - WINDOW, F.lit(0))
-    # beyond the end of a text shorter than a window, get() is null, which leaves the hash as it is
-    hashed = lambda i: F.xxhash64(*[F.get("h", i + j) for j in range(WINDOW)])
-    if slots:
-        one = lambda i: F.struct(hashed(i).alias("hash"), i.alias("at"), F.filter(F.slice("w", i + 1, WINDOW), _is_slot).alias("slots"), F.least(F.size("w"), F.lit(WINDOW)).alias("n"))
-        made = F.transform(F.sequence(F.lit(0), last), one)
-    else:
-        made = F.array_distinct(F.transform(F.sequence(F.lit(0), last), hashed))
+    return _kind(w).between(NAME, UNIT)
+
+
+def _read(tokens: Column, wide: bool) -> Column:
+    """The tokens in one reading of names."""
+    rest = lambda w: F.concat(F.lit(NAME), F.substring(w, 2, 1 << 30)) if wide else F.substring(w, 2, 1 << 30)
+    return F.transform(tokens, lambda w: F.when(_kind(w) == FIRST, rest(w)).otherwise(w))
+
+
+def _hashes(w: Column) -> Column:
+    """A hash for each token, of its placeholder where it is in a slot, which the last bit tells."""
+    return F.transform(w, lambda x: F.when(_is_slot(x), F.xxhash64(_kind(x)).bitwiseOR(F.lit(1))).otherwise(F.xxhash64(x).bitwiseAND(F.lit(-2))))
+
+
+def _shifted(a: str, k: int, f) -> Column:
+    """f of the elements of column a and those k later; a column by name, so that it is made once."""
+    return F.zip_with(a, F.slice(a, k + 1, 1 << 30), f)
+
+
+def _with_windows(rows: DataFrame, key: str, slots: bool, lengths: list[int], exact: bool = False) -> DataFrame:
+    """key, windows: array of hashes, or of (wide, hash, at, telling, slots). lengths: short ones to send besides, if exact only of texts as short."""
+    df = rows.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias(key), _tokens(F.col("text")).alias("tokens"))
+    df = df.select(key, F.size("tokens").alias("n"), *[_read(F.col("tokens"), wide).alias(f"w{wide:d}") for wide in (False, True)])
+    df = df.withColumns({f"h{r}": _hashes(F.col(f"w{r}")) for r in "01"})
+    df = df.withColumns({f"t{r}": F.col(f"h{r}") for r in "01"} | {f"c{r}": F.transform(f"h{r}", lambda x: x.bitwiseAND(F.lit(1))) for r in "01"})
+    for k in (1, 2, 4):  # hashes of 2, 4, 8 tokens from those of 1, 2, 4; and how many of the tokens are in slots
+        df = df.withColumns({f"t{r}": _shifted(f"t{r}", k, lambda x, y: F.xxhash64(x, y)) for r in "01"} | {f"c{r}": _shifted(f"c{r}", k, lambda x, y: x + y) for r in "01"})
+    whole = lambda c: F.slice(c, 1, F.greatest(F.col("n") - WINDOW + 1, F.lit(0))).alias(c[0])
+    # zipped, as a column that a lambda reads once would be made anew for each element
+    df = df.withColumns({f"z{r}": F.arrays_zip(whole(f"t{r}"), whole(f"c{r}")) for r in "01"})
+
+    def of(r: str, length: int) -> Column:
+        w, h = F.col(f"w{r}"), F.col(f"h{r}")
+
+        def one(i: Column, known: Column | None = None) -> Column:
+            hashed = lambda tag, a: F.xxhash64(F.lit(tag), *[F.get(a, i + j) for j in range(length)])
+            filled = known["c"] if known is not None else sum((F.get(h, i + j).bitwiseAND(F.lit(1)) for j in range(length)), F.lit(0))
+            telling = filled <= length - min(length, LEAST_LITERAL)
+            hash_ = F.when(telling, hashed(length, h) if known is None else known["t"]).otherwise(hashed(-length, w))
+            if not slots:
+                return hash_
+            values = F.when(telling, F.filter(F.slice(w, i + 1, length), _is_slot)).otherwise(F.expr("cast(array() as array<string>)"))
+            return F.struct(F.lit(r == "1").alias("wide"), hash_.alias("hash"), i.alias("at"), telling.alias("telling"), values.alias("slots"))
+
+        if length == WINDOW:
+            return F.transform(f"z{r}", lambda x, i: one(i, x))
+        return F.when(F.col("n") == length if exact else F.col("n") >= length, F.transform(F.sequence(F.lit(0), F.greatest(F.col("n") - length, F.lit(0))), lambda i: one(i)))
+
+    made = F.array_compact(F.array(*[of(r, n) for r in "01" for n in [WINDOW, *lengths]]))
     # read with explode_outer: explode would push a copy of this whole expression below as a filter on its size
-    return df.select(key, F.when(F.size("w") > 0, made).alias("windows"))
+    return df.select(key, F.array_distinct(F.flatten(made)).alias("windows"))
 
 
-def _item_windows(benchmark: DataFrame, wide: bool) -> DataFrame:
-    """item_id, hash, at, slots, n_windows of the windows that say something."""
-    w = _with_windows(benchmark, "item_id", slots=True, wide=wide).select("item_id", F.explode_outer("windows").alias("x")).filter("x is not null").select("item_id", "x.*")
-    w = w.filter(F.col("n") - F.size("slots") >= F.least(F.col("n"), F.lit(LEAST_LITERAL))).drop("n")
-    per_item = w.groupBy("item_id").agg(F.count_distinct("hash").alias("n_windows"))
-    return w.join(per_item, "item_id")
+def _item_windows(benchmark: DataFrame, short: list[int]) -> DataFrame:
+    """item_id, wide, hash, at, telling, slots, length, n_telling, n_windows."""
+    w = _with_windows(benchmark, "item_id", slots=True, lengths=short, exact=True).select("item_id", F.explode_outer("windows").alias("x")).filter("x is not null").select("item_id", "x.*")
+    n = w.groupBy("item_id", "wide").agg(F.count_distinct(F.when(F.col("telling"), F.col("hash"))).alias("n_telling"), F.count_distinct("hash").alias("n_windows"))
+    return w.join(n, ["item_id", "wide"])
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
-    """doc_id, item_id, n_windows, n_matched, n_slots for every document that holds an item, by either reading of names."""
-    found, more = (materialize(_contaminated(docs, benchmark, share, wide), "found") for wide in (False, True))
-    return found.unionByName(more.join(found, ["doc_id", "item_id"], "left_anti"))
+def _enough(share: float):
+    """Of rows grouped by document and item: enough of the item's template windows, or of all its windows."""
+    told = F.count_distinct(F.when(F.col("telling"), F.col("hash")))
+    return ((F.max("n_telling") > 0) & (told >= share * F.max("n_telling"))) | (F.count_distinct("hash") >= share * F.max("n_windows"))
 
 
-def _contaminated(docs: DataFrame, benchmark: DataFrame, share: float, wide: bool) -> DataFrame:
-    items = materialize(_item_windows(benchmark, wide), "item-windows")
-    distinct = items.groupBy("item_id", "hash").agg(F.first("n_windows").alias("n_windows"), F.max(F.size("slots")).alias("n_slots"))
+def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
+    """doc_id, item_id, n_windows, n_matched, n_slots for every document that holds an item."""
+    sizes = benchmark.filter("item_id is not null").select(F.size(_tokens(F.col("text"))).alias("n")).filter(F.col("n").between(1, WINDOW - 1)).distinct()
+    short = sorted(r.n for r in sizes.collect())  # seven rows at most
+    items = materialize(_item_windows(benchmark, short), "item-windows")
+    key = ["doc_id", "item_id", "wide"]
+    distinct = items.groupBy("item_id", "wide", "hash").agg(*[F.max(c).alias(c) for c in ("telling", "n_telling", "n_windows")], F.max(F.size("slots")).alias("n_slots"))
     side = F.broadcast(distinct) if items.count() <= BROADCAST_ROWS else distinct
-    sent = _with_windows(docs, "doc_id", slots=False, wide=wide).select("doc_id", F.explode_outer("windows").alias("hash")).join(side, "hash")
-    pairs = sent.groupBy("doc_id", "item_id").agg(F.first("n_windows").alias("n_windows"), F.count_distinct("hash").alias("n_matched"), F.max("n_slots").alias("n_slots"))
-    pairs = materialize(pairs.filter(F.col("n_matched") >= share * F.col("n_windows")), "candidates")
+    sent = _with_windows(docs, "doc_id", slots=False, lengths=short).select("doc_id", F.explode_outer("windows").alias("hash")).join(side, "hash")
+    pairs = sent.groupBy(*key).agg(F.max("n_windows").alias("n_windows"), F.count_distinct("hash").alias("n_matched"), F.max("n_slots").alias("n_slots"), _enough(share).alias("enough"))
+    pairs = materialize(pairs.filter("enough").drop("enough"), "candidates")
     plain = pairs.filter("n_slots = 0")
     slotted = pairs.filter("n_slots > 0")
     if slotted.isEmpty():
-        return plain
-    ids = slotted.select("doc_id", "item_id", "n_windows")
-    texts = docs.join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
-    found = _with_windows(texts, "doc_id", slots=True, wide=wide).select("doc_id", F.explode_outer("windows").alias("x"))
+        return _once(plain)
+    texts = docs.join(slotted.select("doc_id").distinct(), "doc_id", "left_semi")
+    found = _with_windows(texts, "doc_id", slots=True, lengths=short).select("doc_id", F.explode_outer("windows").alias("x"))
     found = found.select("doc_id", F.col("x.hash").alias("hash"), F.col("x.at").alias("doc_at"), F.col("x.slots").alias("doc_slots"))
-    both = ids.join(items.drop("n_windows"), "item_id").join(found, ["doc_id", "hash"])
+    both = slotted.select(*key).join(items, ["item_id", "wide"]).join(found, ["doc_id", "hash"])
     lines = both.withColumn("shift", F.col("doc_at") - F.col("at"))
-    line = ["doc_id", "item_id", "shift"]
+    line = [*key, "shift"]
     values = lines.select(*line, F.explode(F.arrays_zip(F.col("slots").alias("a"), F.col("doc_slots").alias("b"))).alias("v")).select(*line, "v.a", "v.b").distinct()
     odd = values.groupBy(*line).agg(F.count("*").alias("n"), F.count_distinct("a").alias("na")).filter("n <> na")
-    lines = materialize(lines.join(odd, line, "left_anti").select(*line, "hash", "n_windows"), "lines")
+    lines = materialize(lines.join(odd, line, "left_anti").select(*line, "hash", "telling", "n_telling", "n_windows"), "lines")
     # a word put in or left out moves the shift: shifts no farther apart than a window belong together
     sizes = lines.groupBy(*line).agg(F.count_distinct("hash").alias("n"))
-    w = W.partitionBy("doc_id", "item_id").orderBy("shift")
+    w = W.partitionBy(*key).orderBy("shift")
     sizes = sizes.withColumn("chain", F.sum(F.when(F.col("shift") - F.lag("shift").over(w) > WINDOW, 1).otherwise(0)).over(w))
     values = values.join(sizes, line)
-    first = values.groupBy("doc_id", "item_id", "chain", "a").agg(F.min_by("b", F.struct(-F.col("n"), "shift")).alias("meant"))
-    against = values.join(first, ["doc_id", "item_id", "chain", "a"]).filter("b <> meant").select(*line).distinct()
-    held = lines.join(sizes.drop("n"), line).join(against, line, "left_anti").groupBy("doc_id", "item_id", "chain")
-    held = held.agg(F.count_distinct("hash").alias("n"), F.first("n_windows").alias("n_windows")).filter(F.col("n") >= share * F.col("n_windows"))
-    return plain.unionByName(slotted.join(held, ["doc_id", "item_id"], "left_semi"))
+    first = values.groupBy(*key, "chain", "a").agg(F.min_by("b", F.struct(-F.col("n"), "shift")).alias("meant"))
+    against = values.join(first, [*key, "chain", "a"]).filter("b <> meant").select(*line).distinct()
+    held = lines.join(sizes.drop("n"), line).join(against, line, "left_anti").groupBy(*key, "chain")
+    held = held.agg(_enough(share).alias("enough")).filter("enough")
+    return _once(plain.unionByName(slotted.join(held, key, "left_semi")))
+
+
+def _once(pairs: DataFrame) -> DataFrame:
+    """Of the two readings the first that holds."""
+    rest = ["n_windows", "n_matched", "n_slots"]
+    return pairs.groupBy("doc_id", "item_id").agg(F.min_by(F.struct(*rest), "wide").alias("x")).select("doc_id", "item_id", *[f"x.{c}" for c in rest])

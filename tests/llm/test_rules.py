@@ -178,3 +178,83 @@ def test_sanitise_keeps_columns_of_any_name(spark):
     got = sorted(map(tuple, sanitise(rows).collect()), key=str)
     assert got == [(1, "mail <EMAIL>", "x", 5, "k", "b", "s"), (None,) * 7]
     assert sanitise(rows).columns == rows.columns
+
+
+def test_decontamination_of_short_and_numeric_items(spark):
+    short, sums = "quick brown foxes jump here", "12 34 56 78 90 12 km 5 6 and 7 8 9 10 add"
+    bench = spark.createDataFrame([(1, short), (2, sums), (3, "ok")], "item_id long, text string")
+    texts = [short, f"we saw that {short.upper()} and then left", f"x {sums} y z", sums.replace("12", "13"), "quick brown foxes jump over there", "well it is OK, they said", "", None]
+    found = {(r.doc_id, r.item_id) for r in contaminated(docs(spark, texts), bench).collect()}
+    assert found == {(0, 1), (1, 1), (2, 2), (5, 3)}
+
+
+def plain_templates(text, wide):
+    """Tokens as (slot kind or None, value) by the docstring's rule."""
+    from caseloom.llm.decontamination import UNITS
+
+    units, out = set(UNITS.split("|")), []
+    for m in re.finditer(r"\d+(?:[.,]\d+)*|[^\W\d_]+", text or ""):
+        w, before = m[0], (text or "")[: m.start()]
+        if w[0].isdigit():
+            out.append(("number", w.replace(",", "_").replace(".", "_")))
+        elif out and out[-1][0] == "number" and re.search(r"\d {0,1}$", before) and w.lower() in units:
+            out.append(("unit", w.lower()))
+        elif w[0].isupper() and w[1:].islower() and (wide or re.search(r"[a-z,;] $", before)):
+            out.append(("name", w.lower()))
+        else:
+            out.append((None, w.lower()))
+    return out
+
+
+def plain_contaminated(rows, items):
+    """Windows, shares and slot values compared by dicts; one alignment, so for texts without edits inside an item."""
+    tell = lambda w: sum(k is None for k, _ in w) >= min(len(w), 4)
+    form = lambda w: tuple(k or v for k, v in w) if tell(w) else w
+    cut = lambda t, n: [tuple(t[i : i + n]) for i in range(len(t) - n + 1)]
+    found = set()
+    for doc, text in rows:
+        places = {}
+        both = [plain_templates(text, wide) for wide in (False, True)]
+        for item, t in items:
+            for wide in (False, True):
+                ti = plain_templates(t, wide)
+                n = min(8, len(ti))
+                if n not in places:
+                    places[n] = {}
+                    for td in both:
+                        for j, d in enumerate(cut(td, n)):
+                            places[n].setdefault(form(d), []).append((j, d))
+                wins = cut(ti, n) if ti else []
+                forms = {form(w): tell(w) for w in wins}
+                lines = {}
+                for i, w in enumerate(wins):
+                    for j, d in places[n].get(form(w), ()):
+                        lines.setdefault(j - i, []).append((form(w), [(a[1], b[1]) for a, b in zip(w, d) if a[0] and tell(w)]))
+                for hits in lines.values():
+                    pairs = {p for _, ps in hits for p in ps}
+                    got, n_tell = {f for f, _ in hits}, sum(forms.values())
+                    enough = (n_tell and sum(forms[f] for f in got) >= 0.5 * n_tell) or len(got) >= 0.5 * len(forms)
+                    if enough and len(pairs) == len({a for a, _ in pairs}):
+                        found.add((doc, item))
+    return found
+
+
+def test_decontamination_equals_the_plain_rule(spark):
+    r = np.random.default_rng(4)
+    words = ["boat", "river", "takes", "and", "then", "the", "of", "with", "Mara", "Tom", "Anna", "7", "12", "km", "3.5", "old", "town", "near", "sea"]
+    sentence = lambda n: " ".join(r.choice(words, n).tolist()) + "."
+    items = [(i, " ".join(sentence(int(r.integers(2, 14))) for _ in range(int(r.integers(1, 4))))) for i in range(25)]
+    swap = {"Mara": "Lena", "Tom": "Paul", "7": "9", "12": "40", "3.5": "8"}
+    texts = []
+    for i in range(120):
+        t = items[int(r.integers(0, 25))][1]
+        if i % 3 == 0:
+            t = re.sub(r"Mara|Tom|3\.5|7|12", lambda m: swap[m[0]], t)
+        if i % 3 == 1:
+            t = " ".join(w if r.random() > 0.1 else str(r.choice(words)) for w in t.split())
+        texts.append(f"{sentence(5)} {t} {sentence(6)}")
+    rows = docs(spark, texts)
+    got = {(x.doc_id, x.item_id) for x in contaminated(rows, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = plain_contaminated(list(enumerate(texts)), items)
+    assert want <= got and len(want) > 80
+    assert len(got - want) <= 0.1 * len(want)  # chained alignments find some more

@@ -30,7 +30,7 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     learn = documents(spark, sf_dir, "labels").filter(~held_out(3, 1))
     found = score_toxicity(documents(spark, sf_dir), learn)
-    return found.select("doc_id", held_out(3, 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "n_toxic_tokens")
+    return found.select("doc_id", held_out(3, 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "n_toxic_tokens", F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"])), ",").alias("spans"))
 
 
 def op3_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:

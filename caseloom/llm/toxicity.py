@@ -1,9 +1,13 @@
 """Toxicity by a linear-chain conditional random field over tokens (operator 2).
 
 Learning takes at most ``SAMPLE`` labelled documents (those of least hash of doc_id; a bound of the
-model only). Words and word beginnings that occur in far more toxic documents than others become
-features, and label the tokens of toxic documents that have one as offensive. A two-state chain is
-then fitted to those token labels by gradient ascent on its exact log-likelihood.
+model only), whole texts, which stay on the executors. Words and word beginnings that occur in far
+more toxic documents than others become features, and label the tokens of toxic documents that have
+one as offensive. The training sequences are the ``WINDOW`` tokens around each token with a feature;
+of a document without any, those around every 400th token. Of a document with more than
+``DOC_WINDOWS`` sequences so many are taken, evenly over the whole text, and weighted to count for
+all. Equal sequences are counted in Spark; the driver fits a two-state chain to the different ones
+by gradient ascent on its exact log-likelihood.
 
 Scoring reads each whole text: forward-backward marginals of every token with a feature (runs of
 tokens without one are stepped over exactly, with a power of their transfer matrix). The document
@@ -11,8 +15,11 @@ score is a logistic function, fitted on the same sample, of the marginals' sum,
 tokens with a marginal of 0.5 or more are the offending spans. No shuffle.
 
 Defined results: null and empty texts get the score of a text without offending tokens; unlabelled
-or null-labelled rows are not learnt from, and without any labels of both kinds all scores are 0;
-repeated rows give repeated results; an empty table gives none; other columns are ignored.
+or null-labelled rows and null doc_ids are not learnt from; a doc_id with several labels counts as
+toxic if one of them does, and one with several texts is learnt from the least of them; without
+labels of both kinds all scores are 0; ties in the sample go to the lesser doc_id; null doc_ids are
+scored and not held out; repeated rows give repeated results; an empty table gives none; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,12 +35,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, sliced
+from .common import id_text, materialize, sliced
 
 SAMPLE = 6_000  # labelled documents the model is fitted on
 BEGINNINGS = (4, 5, 6, 7)  # lengths of word beginnings that can be features
 LEAST_DOCS, LEAST_SHARE = 6, 0.8  # a feature: toxic documents that have it, and their share of all that have it
-WINDOW = 8  # tokens before and after a token in a training sequence
+WINDOW, DOC_WINDOWS = 8, 64  # tokens before and after a token in a training sequence; sequences of a document
 WORD = re.compile(r"[^\W\d_]+")
 SCHEMA = "doc_id long, score double, n_toxic_tokens long, spans array<struct<start:int,end:int,p:double>>"
 
@@ -44,14 +51,16 @@ def token_features(word: str) -> list[str]:
 
 
 def held_out(mod: int, rest: int) -> Column:
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % mod == rest
+    """The fold of a doc_id; a null doc_id is in none."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % mod == rest, F.lit(False))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, n: int) -> DataFrame:
-    """doc_id, text, y of at most n labelled documents, those of least hash of doc_id."""
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).dropna()
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(n).dropDuplicates(["doc_id"])
-    return id_text(docs).join(F.broadcast(known), "doc_id")  # n rows at most
+    """doc_id, text, y (0 or 1) of at most n labelled documents, those of least hash of doc_id."""
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col(label) > 0).cast("int").alias("y")).dropna()
+    known = known.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+    rows = id_text(docs).join(F.broadcast(known), "doc_id")  # n rows at most
+    return rows.groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("doc_id", "text", "y")
 
 
 @dataclass
@@ -119,8 +128,8 @@ class Emissions(dict):
         return v
 
 
-def _chain(cell: np.ndarray, feature: np.ndarray, n_features: int, y: np.ndarray, real: np.ndarray, steps: int = 150) -> tuple[np.ndarray, np.ndarray]:
-    """Fit a two-state chain to sequences (rows of y, 0/1, and real, not padding); token ``cell[i]`` has ``feature[i]``. The last weight is the bias."""
+def _chain(cell: np.ndarray, feature: np.ndarray, n_features: int, y: np.ndarray, real: np.ndarray, weight: np.ndarray, steps: int = 150) -> tuple[np.ndarray, np.ndarray]:
+    """Fit a two-state chain to weighted sequences (rows of y, 0/1, and real, not padding); token ``cell[i]`` has ``feature[i]``. The last weight is the bias."""
     w, t = np.zeros(n_features + 1), np.zeros((2, 2))
     rows, length = y.shape
     g2w, g2t = np.full(n_features + 1, 1e-8), np.full((2, 2), 1e-8)
@@ -138,13 +147,13 @@ def _chain(cell: np.ndarray, feature: np.ndarray, n_features: int, y: np.ndarray
             bwd[:, i] /= bwd[:, i].sum(1, keepdims=True)
         p = fwd * bwd
         p1 = p[..., 1] / p.sum(-1)
-        miss = np.where(real, y - p1, 0.0)
+        miss = np.where(real, y - p1, 0.0) * weight[:, None]
         gw = np.append(np.bincount(feature, miss.ravel()[cell], n_features), miss.sum())
         pair = fwd[:, :-1, :, None] * m * (bwd[:, 1:] * emit[:, 1:])[:, :, None, :]
         pair /= pair.sum((2, 3), keepdims=True)
-        both = (real[:, :-1] & real[:, 1:])[..., None, None]
+        both = (real[:, 1:] * weight[:, None])[..., None, None]
         seen = np.zeros((2, 2))
-        np.add.at(seen, (y[:, :-1][real[:, 1:]], y[:, 1:][real[:, 1:]]), 1.0)
+        np.add.at(seen, (y[:, :-1], y[:, 1:]), both[..., 0, 0])
         gt = seen - (pair * both).sum((0, 1))
         gw, gt = gw - 0.05 * w, gt - 0.05 * t
         g2w, g2t = g2w + gw**2, g2t + gt**2
@@ -162,60 +171,90 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return b
 
 
-def _of(first: np.ndarray, values: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place in rows, value) of all values of the rows; those of row r lie at first[r] to first[r + 1]."""
-    size = first[rows + 1] - first[rows]
-    place = np.repeat(np.arange(len(rows)), size)
-    return place, values[np.arange(len(place)) + np.repeat(first[rows] - (np.cumsum(size) - size), size)]
-
-
-def fit(texts: list[str], y: list[int]) -> ToxicModel:
-    """The model of a bounded sample, held in the driver: words are numbered, so that each is kept once."""
-    word: dict[str, int] = {}
-    docs = [np.array([word.setdefault(w, len(word)) for w in WORD.findall(t)], np.int32) for t in texts]
-    n = Counter(y)
-    if not n[0] or not n[1]:
-        return ToxicModel()
-    name: dict[str, int] = {}
-    per_word = [[name.setdefault(f, len(name)) for f in token_features(w)] for w in word]
-    first, flat = np.cumsum([0, *map(len, per_word)]), np.array([f for fs in per_word for f in fs], np.int32)
-    have = np.zeros((2, len(name)), np.int64)
-    for ids, label in zip(docs, y):
-        have[label, np.unique(_of(first, flat, np.unique(ids))[1])] += 1
-    odds, (clean, toxic) = n[0] / n[1], have  # odds: as if both kinds were as frequent
+def _features(rows: DataFrame) -> list[str]:
+    """The features: words and beginnings that most often stand in toxic documents."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        have, n = (Counter(), Counter()), [0, 0]
+        for b in sliced(batches):
+            for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                n[y] += 1
+                have[y].update({f for w in set(WORD.findall(t)) for f in token_features(w)})
+        names = ["", *(have[0] | have[1])]  # the empty name stands for all documents
+        clean, toxic = ([n[y], *(have[y][f] for f in names[1:])] for y in (0, 1))
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(clean, pa.int64()), pa.array(toxic, pa.int64())], names=["feature", "clean", "toxic"])
+
+    counts = rows.select("text", "y").mapInArrow(count, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counts = materialize(counts, "toxic-features")
+    n = counts.filter("feature = ''").first()
+    if n is None or not n.clean or not n.toxic:
+        return []
+    odds = n.clean / n.toxic  # as if both kinds were as frequent
+    clean, toxic = F.col("clean"), F.col("toxic")
     fits = (toxic >= LEAST_DOCS) & (toxic * odds >= LEAST_SHARE * (toxic * odds + clean + 1)) & (toxic >= LEAST_SHARE * (toxic + clean))
-    chosen = sorted(f for f, i in name.items() if fits[i])
-    slot = np.full(len(name), -1)
-    slot[[name[f] for f in chosen]] = np.arange(len(chosen))
-    owner, slots = np.repeat(np.arange(len(word)), np.diff(first)), slot[flat]
-    owner, slots = owner[slots >= 0], slots[slots >= 0]
-    first = np.searchsorted(owner, np.arange(len(word) + 1))
-    hot = np.diff(first) > 0
-    windows, tags = [], []
-    for ids, label in zip(docs, y):
-        hits = np.flatnonzero(hot[ids])
-        for i in hits[:40] if len(hits) else range(WINDOW, len(ids), 400):
-            part = np.full(2 * WINDOW + 1, -1, np.int32)
-            got = ids[max(0, i - WINDOW) : i + WINDOW + 1]
-            part[: len(got)] = got
-            windows.append(part)
-            tags.append(label)
+    return sorted(r.feature for r in counts.filter(fits & (F.col("feature") != "")).collect())
+
+
+def _evenly(at: np.ndarray) -> np.ndarray:
+    """At most ``DOC_WINDOWS`` of the places, evenly."""
+    return at if len(at) <= DOC_WINDOWS else at[np.linspace(0, len(at) - 1, DOC_WINDOWS).round().astype(int)]
+
+
+def _sequences(rows: DataFrame, slot: dict[str, int]) -> DataFrame:
+    """(y, n, cells, weight): different training sequences of n tokens; cells: place:slot of their features."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, list[int]] = {}
+        for b in sliced(batches):
+            out = []
+            for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if len(known) > 300_000:
+                    known.clear()
+                words = WORD.findall(t)
+                for w in set(words) - known.keys():
+                    known[w] = [slot[f] for f in token_features(w) if f in slot]
+                hot = [known[w] for w in words]
+                hits = np.array([i for i, h in enumerate(hot) if h], int)
+                places = hits if len(hits) else np.arange(WINDOW, len(words), 400)
+                taken = _evenly(places)
+                for i in taken:
+                    part = hot[max(0, i - WINDOW) : i + WINDOW + 1]
+                    out.append((y, len(part), " ".join(f"{j}:{k}" for j, h in enumerate(part) for k in h), len(places) / len(taken)))
+            kinds = (pa.int32(), pa.int32(), pa.string(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 4, kinds)], names=["y", "n", "cells", "weight"])
+
+    found = rows.select("text", "y").mapInArrow(cut, "y int, n int, cells string, weight double")
+    return found.groupBy("y", "n", "cells").agg(F.sum("weight").alias("weight"))
+
+
+def fit(rows: DataFrame) -> ToxicModel:
+    """The model of a bounded sample (text, y); its texts stay on the executors."""
+    chosen = _features(rows)
+    if not chosen:
+        n = {r.y for r in rows.select("y").distinct().collect()}
+        if n != {0, 1}:
+            return ToxicModel()
     model = ToxicModel()
-    if chosen and windows:
-        at = np.stack(windows)
-        real = at >= 0
-        offensive = real & hot[at] & (np.array(tags)[:, None] > 0)
-        cells = np.flatnonzero(real)
-        place, feature = _of(first, slots, at.ravel()[cells])
-        w, t = _chain(cells[place], feature, len(chosen), offensive.astype(int), real)
+    sequences = _sequences(rows, {f: i for i, f in enumerate(chosen)}).orderBy("y", "n", "cells").collect() if chosen else []
+    if sequences:
+        real = np.arange(2 * WINDOW + 1) < np.array([r.n for r in sequences])[:, None]
+        pairs = [(i, *map(int, x.split(":"))) for i, r in enumerate(sequences) for x in r.cells.split()]
+        row, place, feature = np.array(pairs, int).reshape(-1, 3).T
+        cell = row * real.shape[1] + place
+        offensive = np.zeros(real.shape, int)
+        offensive.ravel()[cell] = np.array([r.y for r in sequences])[row]
+        w, t = _chain(cell, feature, len(chosen), offensive, real, np.array([r.weight for r in sequences]))
         model.weights, model.bias = dict(zip(chosen, w[:-1].tolist())), float(w[-1])
         model.trans = tuple(np.exp(t).ravel().tolist())
-    emission = np.array([model.emission(w) for w in word])
-    rows = []
-    for ids in docs:
-        at = np.flatnonzero(emission[ids]) if len(ids) else np.empty(0, int)
-        rows.append(model.evidence(model.marginals(at.tolist(), emission[ids][at].tolist(), len(ids)) if len(at) else np.empty(0), len(ids)))
-    model.logistic = tuple(_logistic(np.array(rows), np.array(y, float)).tolist())
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        emission = Emissions(model).__getitem__
+        for b in sliced(batches):
+            made = [model.evidence(*_document(emission, model, WORD.findall(t))[1:]) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(made, pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
+
+    found = rows.select("doc_id", "text", "y").mapInArrow(weigh, "doc_id long, y int, x array<double>").orderBy("doc_id").collect()  # SAMPLE rows of four numbers
+    model.logistic = tuple(_logistic(np.array([r.x for r in found]), np.array([r.y for r in found], float)).tolist())
     return model
 
 
@@ -227,8 +266,7 @@ def _document(emission, model: ToxicModel, words: list[str]) -> tuple[list[int],
 
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, score, n_toxic_tokens, spans of every document; labels: those to learn from (doc_id, toxic)."""
-    rows = labelled_sample(docs, labels, "toxic", SAMPLE).orderBy("doc_id").collect()
-    model = docs.sparkSession.sparkContext.broadcast(fit([r.text for r in rows], [int(r.y > 0) for r in rows]))
+    model = docs.sparkSession.sparkContext.broadcast(fit(materialize(labelled_sample(docs, labels, "toxic", SAMPLE), "toxic-sample")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value

@@ -1,7 +1,9 @@
+import re
+
 import numpy as np
 
 from caseloom.llm.quality_knn import score_quality, term_vector
-from caseloom.llm.toxicity import ToxicModel, fit, score_toxicity
+from caseloom.llm.toxicity import ToxicModel, _chain, _evenly, fit, labelled_sample, score_toxicity
 
 from .data import docs, empty, odd
 
@@ -54,7 +56,51 @@ def test_toxicity_edges(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r.score for r in score_toxicity(odd(spark), none).collect()} == {ToxicModel().score(np.empty(0), 0)}
     assert score_toxicity(empty(spark), none).count() == 0
-    assert fit(["a"], [1]).weights == {}
+    assert fit(spark.createDataFrame([(1, "a", 1)], "doc_id long, text string, y int")).weights == {}
+    assert fit(spark.createDataFrame([(1, "a", 1), (2, "b", 0)], "doc_id long, text string, y int")).weights == {}
+
+
+def test_sample_with_repeated_labels_and_texts(spark):
+    rows = docs(spark, ["b", "a", "c", None], [1, 1, 2, None])
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (2, None), (None, 1)], "doc_id long, toxic int")
+    assert sorted(map(tuple, labelled_sample(rows, labels, "toxic", 10).collect())) == [(1, "a", 1), (2, "c", 0)]
+    assert labelled_sample(rows, labels, "toxic", 1).count() == 1
+
+
+def test_weighted_sequences_count_like_repeated_ones():
+    """A sequence of weight 3 acts as three; a long document's sequences count for all its hits."""
+    r = np.random.default_rng(0)
+    y = r.integers(0, 2, (6, 5))
+    cell = np.flatnonzero(r.random(30) < 0.5)
+    feature, real, times = r.integers(0, 3, len(cell)), np.ones((6, 5), bool), np.array([1, 3, 1, 2, 1, 1])
+    rows = np.repeat(np.arange(6), times)
+    cells, features = zip(*[(i * 5 + c % 5, f) for i, old in enumerate(rows) for c, f in zip(cell, feature) if c // 5 == old])
+    w1, t1 = _chain(cell, feature, 3, y, real, times.astype(float))
+    w2, t2 = _chain(np.array(cells), np.array(features), 3, y[rows], real[rows], np.ones(len(rows)))
+    assert np.allclose(w1, w2, atol=1e-6) and np.allclose(t1, t2, atol=1e-6)
+    assert len(_evenly(np.arange(1000))) == 64 and _evenly(np.arange(1000))[-1] == 999
+
+
+def test_document_scores_and_spans_equal_plain_forward_backward(spark):
+    texts, y = corpus(120)
+    rows = docs(spark, texts)
+    labels = spark.createDataFrame(list(enumerate(y)), "doc_id long, toxic int")
+    m = fit(labelled_sample(rows, labels, "toxic", 1000))
+    t = np.array(m.trans).reshape(2, 2)
+    for r in score_toxicity(rows, labels).collect():
+        words = [(w.start(), w.end(), w[0]) for w in re.finditer(r"[^\W\d_]+", texts[r.doc_id])]
+        e = [np.array([1.0, np.exp(m.bias + m.emission(w))]) for *_, w in words]
+        fwd, bwd = [e[0] / e[0].sum()], [np.ones(2)]
+        for x in e[1:]:
+            fwd.append((fwd[-1] @ t) * x)
+            fwd[-1] = fwd[-1] / fwd[-1].sum()
+        for x in reversed(e[1:]):
+            bwd.insert(0, t @ (x * bwd[0]))
+            bwd[0] = bwd[0] / bwd[0].sum()
+        p = [(f * b)[1] / (f * b).sum() for f, b in zip(fwd, bwd)]
+        hot = [i for i, (*_, w) in enumerate(words) if m.emission(w)]
+        assert abs(r.score - m.score(np.array([p[i] for i in hot]), len(words))) < 1e-9
+        assert [(s.start, s.end) for s in r.spans] == [words[i][:2] for i in hot if p[i] >= 0.5]
 
 
 def test_quality_votes(spark):

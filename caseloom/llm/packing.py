@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_text, materialize, sliced
-from .tokens import encoder
+from .tokens import encoder, whole_tokens
 
 SHARD, QUERY_IDS, KEY_IDS, LOOK, GAP = 2_048, 16, 8, 64, 16
 K1, B = 1.2, 0.75
@@ -40,8 +40,10 @@ FULL, PER_TASK = 1 << 62, 1 << 36  # sequence_id: full windows from FULL on; eac
 def encoded(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
     """doc_id, ids (native unsigned integers, closed by the end id)."""
 
+    strict = not whole_tokens(tokenizer_path)[1]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer_path)
+        enc = encoder(tokenizer_path, strict)
         end = np.array([end_id], enc.typecode).tobytes()
         for b in sliced(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([enc.packed(t) + end for t in b.column(1).to_pylist()], pa.binary())], names=["doc_id", "ids"])

@@ -1,6 +1,6 @@
 """Token counts with a whole-token shortcut (operator 5).
 
-Offline, once: prove which vocabulary strings encode alone as one token. Per document: cut into
+Offline, once: prove, by the library's own merges, which vocabulary strings encode alone as one token. Per document: cut into
 pre-tokens; those in the proven set count 1 without any merging, only the rest is merged.
 
 Defined results: null text counts as empty (0 bytes, 0 tokens); a null doc_id is kept; repeated
@@ -16,17 +16,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import id_text, sliced
-from .tokens import PieceCounts, encoder
+from .tokens import PieceCounts, encoder, whole_tokens
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, n_merged_pieces long"
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """doc_id, n_bytes, n_tokens, n_merged_pieces (pre-tokens outside the shortcut); no shuffle."""
-    whole = docs.sparkSession.sparkContext.broadcast(encoder(tokenizer_path).prove_whole_tokens())
+    proven, all_reached = whole_tokens(tokenizer_path)
+    whole = docs.sparkSession.sparkContext.broadcast(proven)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, known = encoder(tokenizer_path), whole.value
+        enc, known = encoder(tokenizer_path, not all_reached), whole.value
         counts, pieces, special = PieceCounts(enc, known), enc._pieces, list(enc.special)
         for b in sliced(batches):
             texts = b.column(1).to_pylist()

@@ -8,7 +8,8 @@ Only one row of totals for each shard reaches the driver; shard bases are their
 ``read_token_files`` maps the files into memory, a task for each shard.
 
 Defined results: null text counts as empty (the end id alone); null doc_ids come first and are
-restored on reading; repeated rows are all written, ordered by text; an empty table gives no rows.
+restored on reading; repeated rows are all written, ordered by a hash of
+the text; very long texts are encoded and written one at a time; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,9 +25,10 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import id_text, sliced
-from .tokens import encoder
+from .tokens import encoder, whole_tokens
 
 NO_ID = np.iinfo(np.int64).min
 TOTALS = "shard int, n_docs long, n_ids long"
@@ -54,8 +56,10 @@ def _map(folder: str, name: str, dtype: str) -> np.ndarray:
 def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int) -> list[tuple[int, int, int, int]]:
     """Write the shards; return (shard, documents, ids, ids in all shards before it) in ascending doc_id order."""
 
+    strict = not whole_tokens(tokenizer_path)[1]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, shard = encoder(tokenizer_path), TaskContext.get().partitionId()
+        enc, shard = encoder(tokenizer_path, strict), TaskContext.get().partitionId()
         end, ids, sizes = np.array([end_id], f"<u{2 if enc.typecode == 'H' else 4}").tobytes(), [0], []
         width = len(end)
 
@@ -73,7 +77,9 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
             _put(folder, f"{shard:06d}.doc", [np.concatenate(sizes).astype("<i8").tobytes()])
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "n_docs": [len(ids) - 1], "n_ids": [ids[-1]]})
 
-    dealt = id_text(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # the hash deals a repeated or null doc_id to several tasks
+    keyed = id_text(docs).withColumn("h", F.xxhash64("text"))
+    dealt = keyed.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").drop("h")
     totals = sorted(tuple(r) for r in dealt.mapInArrow(run, TOTALS).collect())  # a row for each shard
     bases = accumulate((n for _, _, n in totals), initial=0)
     return [(*t, base) for t, base in zip(totals, bases)]

@@ -2,7 +2,9 @@
 
 The file's vocabulary is read as ranks (checked: merge *i* makes the token whose id is the i-th
 after the bytes, so merge order equals id order) and merged by tiktoken, several times faster than
-per-text calls of the library itself; tests hold both against each other on random texts.
+per-text calls of the library itself; tests hold both against each other on random texts. tiktoken
+returns a vocabulary entry without running its merges; so the library proves, entry by entry, which
+ones its merges reach. If one is out of reach (``strict``), the library encodes everything.
 Strings of special tokens inside a text become their id, as is the library's default.
 """
 
@@ -15,6 +17,7 @@ from functools import lru_cache
 
 import regex
 import tiktoken
+from tokenizers import Tokenizer
 
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: The same pre-tokens where no two white-space characters meet: without look-ahead a faster engine serves it.
@@ -31,7 +34,8 @@ def _byte_of_char() -> dict[str, int]:
 
 
 class TokenEncoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, strict: bool = False):
+        self.path, self.strict = path, strict
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = {a["content"]: a["id"] for a in spec["added_tokens"]}
@@ -49,8 +53,11 @@ class TokenEncoder:
         self._cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         pattern = PRE_TOKEN.replace(r"(?!\S)", f"(?![^{WHITE}])").replace(r"\s", WHITE)
         self._pieces = regex.compile(pattern).findall
+        self._library = Tokenizer.from_file(path) if strict else None
 
     def _plain(self, text: str) -> list[int]:
+        if self._library is not None:
+            return self._library.encode(text, add_special_tokens=False).ids
         return (self._any if _SPACE_RUN.search(text) else self._single).encode_ordinary(text)
 
     def ids(self, text: str) -> list[int]:
@@ -65,23 +72,31 @@ class TokenEncoder:
         """The ids as native unsigned integers, of two bytes where the vocabulary allows it."""
         return array(self.typecode, self.ids(text)).tobytes()
 
-    def prove_whole_tokens(self) -> frozenset[str]:
-        """Vocabulary strings that are one pre-token and that the merges turn into exactly their own id."""
-        whole = set()
+    def prove_whole_tokens(self) -> tuple[frozenset[str], bool]:
+        """(vocabulary strings that are one pre-token and that the library's merges turn into exactly their own id, whether these are all such strings)."""
+        alone = []
         for raw, rank in self.ranks.items():
             try:
                 text = raw.decode("utf-8")
             except UnicodeDecodeError:
                 continue
-            if self._pieces(text) == [text] and self._plain(text) == [rank]:
-                whole.add(text)
-        return frozenset(whole)
+            if self._pieces(text) == [text]:
+                alone.append((text, rank))
+        said = Tokenizer.from_file(self.path).encode_batch([t for t, _ in alone], add_special_tokens=False)
+        whole = frozenset(t for (t, rank), e in zip(alone, said) if e.ids == [rank])
+        return whole, len(whole) == len(alone)
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> TokenEncoder:
+def encoder(path: str, strict: bool = False) -> TokenEncoder:
     """One encoder for each path and Python process."""
-    return TokenEncoder(path)
+    return TokenEncoder(path, strict)
+
+
+@lru_cache(maxsize=4)
+def whole_tokens(path: str) -> tuple[frozenset[str], bool]:
+    """The proof, once for each path; for the driver, which tells the tasks whether they must be strict."""
+    return encoder(path).prove_whole_tokens()
 
 
 class PieceCounts(dict):
@@ -92,7 +107,8 @@ class PieceCounts(dict):
 
     def __init__(self, enc: TokenEncoder, whole: frozenset[str], most: int = 300_000):
         super().__init__(dict.fromkeys(whole, 1))
-        self._whole, self._merge, self._most, self._rest = whole, enc._any.encode_ordinary, most + len(whole), 0
+        self._whole, self._most = whole, most + len(whole)
+        self._merge = enc._plain if enc.strict else enc._any.encode_ordinary
 
     def __missing__(self, piece: str) -> int:
         if len(self) >= self._most:

@@ -2,7 +2,7 @@ import re
 
 import numpy as np
 
-from caseloom.llm.quality_knn import score_quality, term_vector
+from caseloom.llm.quality_knn import NEIGHBOURS, SHARPNESS, Columns, Neighbours, principal, score_quality, term_vector
 from caseloom.llm.toxicity import ToxicModel, _chain, _evenly, fit, labelled_sample, score_toxicity
 
 from .data import docs, empty, odd
@@ -113,4 +113,32 @@ def test_quality_votes(spark):
     assert len(score_quality(odd(spark), labels).collect()) == 9
     assert all(0 <= r.score <= 1 for r in score_quality(odd(spark).unionAll(docs(spark, texts)), labels).collect())
     assert score_quality(empty(spark), labels).count() == 0
-    assert np.isfinite(term_vector(b"")).all()
+    assert np.isfinite(term_vector(b"", Columns())).all()
+
+
+def test_quality_votes_equal_a_plain_vote(spark):
+    texts, _ = corpus(160)
+    y = [i % 3 > 0 for i in range(160)]
+    labels = spark.createDataFrame([(i, int(v)) for i, v in enumerate(y) if i % 2], "doc_id long, quality int")
+    got = {r.doc_id: r.score for r in score_quality(docs(spark, texts), labels).collect()}
+    x = np.stack([term_vector(t.encode(), Columns()) for t in texts])
+    m = Neighbours(x[1::2].astype(np.float16).astype(np.float32), np.array(y[1::2]))
+    lat = ((x - m.mean) * m.idf) @ m.basis
+    for i in range(160):
+        cosine = [float(lat[i] @ m.latent[j] / max(1e-9, np.linalg.norm(lat[i]))) for j in range(80)]
+        near = sorted(range(80), key=lambda j: -cosine[j])[:NEIGHBOURS]
+        w = [min(1, max(1e-3, cosine[j])) ** SHARPNESS for j in near]
+        assert abs(got[i] - sum(a * y[2 * j + 1] for a, j in zip(w, near)) / sum(w)) < 1e-3
+    a = np.random.default_rng(0).standard_normal((60, 40)).astype(np.float32) @ np.diag(0.8 ** np.arange(40)).astype(np.float32)
+    _, _, right = np.linalg.svd(a)
+    assert np.allclose(np.abs((principal(a, 5) * right[:5].T).sum(0)), 1, atol=1e-3)
+
+
+def test_quality_hears_words(spark):
+    """Texts of one shape whose words tell the label."""
+    r = np.random.default_rng(1)
+    good, bad = ([f"{a}{b}{c}" for a in x for b in "aeiou" for c in "lnrst"] for x in ("bdfg", "kmpz"))
+    texts = [" ".join(r.choice(good if i % 2 else bad, 40)) for i in range(200)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, quality int")
+    got = {x.doc_id: x.score for x in score_quality(docs(spark, texts), labels).collect()}
+    assert np.mean([(got[i] >= 0.5) == bool(i % 2) for i in range(120, 200)]) > 0.95

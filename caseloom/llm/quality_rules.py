@@ -1,9 +1,9 @@
 """Quality rules by distribution divergence (operator 9).
 
-Base counts of each whole text come with two histograms: character classes and common words. One
-pass sums the histograms of all documents by language into references (sums are pre-aggregated in
-each task; a language is a row of fixed width), a second pass compares each document with every
-reference by Jensen-Shannon distance and keeps it if the closest language is near enough. Guards:
+One pass over the texts gives base counts and two histograms, of character classes and of common
+words, and writes these numbers. They are summed by language, over all documents, into references
+(pre-aggregated in each task; a language is a row of fixed width), and each document's are compared
+with every reference by Jensen-Shannon distance; it stays if the closest one is near enough. Guards:
 texts shorter than ``LEAST_LETTERS`` or ``LEAST_WORDS`` have no reliable histogram and are not
 judged by it. A language needs ``LEAST_DOCS`` documents to be a reference.
 
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, sliced
+from .common import id_text, materialize, sliced
 
 #: Frequent function words of the four languages.
 COMMON_WORDS = (
@@ -92,62 +92,94 @@ def measure(text: bytes) -> tuple[tuple[int, int, int, int, int], np.ndarray, np
 
 
 def jensen_shannon(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Distance (square root of the divergence in bits) of a histogram to each row of references."""
-    p, q = p / p.sum(), q / q.sum(axis=1, keepdims=True)
+    """Distances (square root of the divergence in bits) of histograms, rows of p, to references, rows of q."""
+    p, q = (x / x.sum(axis=1, keepdims=True) for x in (p, q))
+    p, q = p[:, None, :], q[None, :, :]
     m = (p + q) / 2
 
-    def kl(a):
+    def kl(a: np.ndarray) -> np.ndarray:
         with np.errstate(divide="ignore", invalid="ignore"):
-            return np.where(a > 0, a * np.log2(a / m), 0.0).sum(axis=1)
+            return np.where(a > 0, a * np.log2(a / m), 0.0).sum(axis=2)
 
-    return np.sqrt(np.maximum(0, (kl(np.broadcast_to(p, q.shape)) + kl(q)) / 2))
+    return np.sqrt(np.maximum(0, (kl(np.broadcast_to(p, m.shape)) + kl(np.broadcast_to(q, m.shape))) / 2))
 
 
-def references(docs: DataFrame) -> list[tuple[str, np.ndarray, np.ndarray]]:
-    """(language, mean character shares, mean common-word shares) over all documents of fair length."""
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+MEASURED = "doc_id long, lang string, " + ", ".join(f"{c} long" for c in COUNTS) + ", chars array<int>, heard array<int>"
+LANGS_HELD = 1_000  # languages whose sums a task holds at once
+
+
+def measured(docs: DataFrame) -> DataFrame:
+    """doc_id, lang, the base counts and both histograms of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[str, np.ndarray] = {}
         for b in sliced(batches):
-            for lang, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()):
-                (n, letters, *_), chars, seen = measure(t)
-                if n >= LEAST_WORDS and letters >= LEAST_LETTERS:
-                    total[lang] = total.get(lang, 0) + np.concatenate(([1.0], chars / chars.sum(), seen / seen.sum()))
-        for lang, v in total.items():
-            for i, x in enumerate(v):
-                yield pa.RecordBatch.from_pydict({"lang": [lang], "i": pa.array([i], pa.int32()), "x": [float(x)]})
-
-    known = docs.filter("lang is not null").select("lang", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    sums = known.mapInArrow(run, "lang string, i int, x double").groupBy("lang", "i").agg(F.sum("x").alias("x"))
+            found = [measure(t) for t in b.column(2).cast(pa.binary()).to_pylist()]
+            counts = np.array([f[0] for f in found], np.int64).reshape(-1, len(COUNTS))
+            arrays = [pa.FixedSizeListArray.from_arrays(pa.array(np.array([f[i] for f in found], np.int32).ravel()), n).cast(pa.list_(pa.int32())) for i, n in ((1, N_CHARS), (2, N_WORDS))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c) for c in counts.T), *arrays], names=["doc_id", "lang", *COUNTS, "chars", "heard"])
+
+    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lang.alias("lang"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    return rows.mapInArrow(run, MEASURED)
+
+
+def _histograms(b: pa.RecordBatch, name: str, width: int) -> np.ndarray:
+    return b.column(name).flatten().to_numpy().reshape(-1, width).astype(float)
+
+
+def _judged(b: pa.RecordBatch) -> np.ndarray:
+    return (b.column("n_words").to_numpy() >= LEAST_WORDS) & (b.column("word_chars").to_numpy() >= LEAST_LETTERS)
+
+
+def references(rows: DataFrame) -> list[tuple[str, np.ndarray, np.ndarray]]:
+    """(language, mean character shares, mean common-word shares) over all measured documents of fair length."""
+
+    def sums(total: dict[str, np.ndarray]) -> pa.RecordBatch:
+        width = 1 + N_CHARS + N_WORDS
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(list(total), width).tolist(), pa.string()), pa.array(np.tile(np.arange(width, dtype=np.int32), len(total))), pa.array(np.concatenate(list(total.values())) if total else np.empty(0))], names=["lang", "i", "x"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[str, np.ndarray] = {}
+        for b in batches:
+            ok = np.flatnonzero(_judged(b))
+            chars, heard = _histograms(b, "chars", N_CHARS)[ok], _histograms(b, "heard", N_WORDS)[ok]
+            each = np.hstack((np.ones((len(ok), 1)), chars / chars.sum(axis=1, keepdims=True), heard / heard.sum(axis=1, keepdims=True)))
+            langs = b.column("lang").take(pa.array(ok)).to_pylist()
+            for lang in dict.fromkeys(langs):
+                total[lang] = total.get(lang, 0) + each[[x == lang for x in langs]].sum(axis=0)
+                if len(total) > LANGS_HELD:
+                    yield sums(total)
+                    total.clear()
+        yield sums(total)
+
+    found = rows.filter("lang is not null").mapInArrow(run, "lang string, i int, x double").groupBy("lang", "i").agg(F.sum("x").alias("x"))
+    found = materialize(found, "language-sums")
+    known = found.filter(f"i = 0 and x >= {LEAST_DOCS}").select("lang")
     wide: dict[str, np.ndarray] = {}
-    for r in sums.collect():  # a row for each language and histogram bin
+    for r in found.join(known, "lang", "left_semi").collect():  # a row for each histogram bin of a language with enough documents
         wide.setdefault(r.lang, np.zeros(1 + N_CHARS + N_WORDS))[r.i] = r.x
-    return [(lang, v[1 : 1 + N_CHARS] / v[0], v[1 + N_CHARS :] / v[0]) for lang, v in sorted(wide.items()) if v[0] >= LEAST_DOCS]
+    return [(lang, v[1 : 1 + N_CHARS] / v[0], v[1 + N_CHARS :] / v[0]) for lang, v in sorted(wide.items())]
 
 
 def judge_quality(docs: DataFrame) -> DataFrame:
-    """doc_id, the base counts, base_failed, the distances to the closest language, and kept."""
-    known = docs.sparkSession.sparkContext.broadcast(references(docs))
-    schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, char_distance double, word_distance double"
+    """doc_id, the base counts, base_failed, kept, and the distances to the closest language."""
+    rows = materialize(measured(docs), "measured")
+    known = docs.sparkSession.sparkContext.broadcast(references(rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         refs = known.value
         by_char, by_word = (np.stack([r[i] for r in refs]) if refs else None for i in (1, 2))
         for b in sliced(batches):
-            out = []
-            for t in b.column(1).cast(pa.binary()).to_pylist():
-                counts, chars, seen = measure(t)
-                n, letters, _, _, repeat = counts
-                failed = n < 20 or 100 * repeat > 30 * n
-                far = near_c = near_w = None
-                if refs and n >= LEAST_WORDS and letters >= LEAST_LETTERS:
-                    c, w = jensen_shannon(chars, by_char), jensen_shannon(seen, by_word)
-                    best = int(np.argmin(c / FAR_CHARS + w / FAR_WORDS))
-                    near_c, near_w = float(c[best]), float(w[best])
-                    far = near_c > FAR_CHARS or near_w > FAR_WORDS
-                out.append((*counts, failed, not failed and not far, near_c, near_w))
-            kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 2
-            columns = [pa.array(x, k) for x, k in zip(zip(*out), kinds)] if out else [pa.array([], k) for k in kinds]
-            yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=[x.split(" ")[0] for x in schema.split(", ")])
-
-    return id_text(docs).mapInArrow(run, schema)
+            n, repeat = b.column("n_words").to_numpy(), b.column("n_repeat_words").to_numpy()
+            failed = (n < 20) | (100 * repeat > 30 * n)
+            near = np.full((2, len(n)), np.nan)
+            ok = np.flatnonzero(_judged(b)) if refs else []
+            if len(ok):
+                c, w = jensen_shannon(_histograms(b, "chars", N_CHARS)[ok], by_char), jensen_shannon(_histograms(b, "heard", N_WORDS)[ok], by_word)
+                best = np.argmin(c / FAR_CHARS + w / FAR_WORDS, axis=1)
+                near[:, ok] = c[np.arange(len(ok)), best], w[np.arange(len(ok)), best]
+            far = (near[0] > FAR_CHARS) | (near[1] > FAR_WORDS)  # false where not judged
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(b.column(c) for c in COUNTS), pa.array(failed), pa.array(~failed & ~far), *(pa.array(x, mask=np.isnan(x)) for x in near)], names=["doc_id", *COUNTS, "base_failed", "kept", "char_distance", "word_distance"])
+
+    return rows.mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, kept boolean, char_distance double, word_distance double")

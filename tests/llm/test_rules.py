@@ -115,7 +115,7 @@ def test_quality_counts_and_verdicts(spark):
     assert all(g.kept for g in got if g.doc_id is not None and 9 <= g.doc_id < 60 and not g.base_failed)
     assert judge_quality(empty(spark)).count() == 0
     assert measure(b"")[0] == (0, 0, 0, 0, 0)
-    assert jensen_shannon(np.array([1.0, 0]), np.array([[1.0, 0], [0, 1.0]])).tolist() == [0.0, 1.0]
+    assert jensen_shannon(np.array([[1.0, 0]]), np.array([[1.0, 0], [0, 1.0]])).tolist() == [[0.0, 1.0]]
 
 
 def plain_added(rows):

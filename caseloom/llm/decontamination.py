@@ -104,7 +104,8 @@ def _with_windows(rows: DataFrame, key: str, slots: bool, lengths: list[int], ex
 
     made = F.array_compact(F.array(*[of(r, n) for r in "01" for n in [WINDOW, *lengths]]))
     # read with explode_outer: explode would push a copy of this whole expression below as a filter on its size
-    return df.select(key, F.array_distinct(F.flatten(made)).alias("windows"))
+    # (distinct structs are found by comparing all of them, distinct hashes by a set; readers of slots tell repeats apart themselves)
+    return df.select(key, (F.flatten(made) if slots else F.array_distinct(F.flatten(made))).alias("windows"))
 
 
 def _item_windows(benchmark: DataFrame, short: list[int]) -> DataFrame:

@@ -8,13 +8,14 @@
    the least hash among its most telling ids, so that similar texts are neighbours, and groups of
    copies of any size are split between tasks by doc_id.
 4. A shard of ``SHARD`` pieces holds a BM25 inverted index (global statistics). Each seed asks it
-   for unused neighbours with its ``QUERY_IDS`` most telling ids; those that fit fill its window in
-   order of score, then the best one left is cut to close the gap, and its rest is the next seed.
+   for unused neighbours with its ``QUERY_IDS`` most telling ids, ``LOOK`` at a time until none shares
+   one of them; those that fit fill its window in order of score, then the best one left is cut to
+   close the gap, and its rest is the next seed. Only without neighbours any piece follows.
    Gaps of up to ``GAP`` ids stay as padding; besides, only a shard's last sequence has padding.
 
 Defined results: null and empty texts are the end id alone; rows with a null doc_id are packed with
-a null doc_id; repeated rows are packed each; an empty table gives no pieces; other columns are
-ignored.
+a null doc_id; repeated rows are packed each; very long texts are cut into full windows; neighbours
+of equal score come in order of place; an empty table gives no pieces; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -124,20 +125,22 @@ def pack_shard(pieces: list[np.ndarray], idf: np.ndarray, mean: float, window: i
             seed, shard.free[first] = (first, 0), False
         piece, start = seed
         row, room, seed = [(piece, start, int(shard.size[piece]))], window - int(shard.size[piece]) + start, None
-        best = None
-        for p in shard.neighbours(piece) if room > GAP else ():
-            if shard.size[p] <= room:
-                row.append((int(p), 0, int(shard.size[p])))
-                room, shard.free[p] = room - int(shard.size[p]), False
-                if room <= GAP:
-                    break
-            elif best is None:
-                best = int(p)
         while room > GAP and seed is None:
-            p = best if best is not None else shard.any_free()
+            near, best = shard.neighbours(piece), None
+            for p in map(int, near):
+                if shard.size[p] <= room:
+                    row.append((p, 0, int(shard.size[p])))
+                    room, shard.free[p] = room - int(shard.size[p]), False
+                    if room <= GAP:
+                        break
+                elif best is None:
+                    best = p
+            if room <= GAP or (len(near) and best is None):
+                continue  # full, or all that were returned fit: ask for the next ones
+            p = best if best is not None else shard.any_free()  # any piece only when none shares a term
             if p is None:
                 break
-            shard.free[p], best = False, None
+            shard.free[p] = False
             take = min(room, int(shard.size[p]))
             row.append((p, 0, take))
             room -= take

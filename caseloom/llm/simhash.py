@@ -6,6 +6,7 @@
    median Hamming distance ``m`` to its vantage point. Rows farther than ``m`` go outside; those of
    them not farther than ``m + radius`` visit the inside as well. By the triangle inequality any two
    rows within ``radius`` then share a shard: both inside, both outside, or one of them visiting.
+   A region too dense to split is cut into blocks by a hash, and each pair of blocks is a shard.
 3. Each shard compares its rows, in blocks, after splitting itself further by the same rule, and
    returns at most one link for each row: to the least row it is joined with there. Groups of
    thousands of near copies thus never give all their pairs.
@@ -20,12 +21,14 @@ component of the least known doc_id; repeated rows give repeated results; empty
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
+from itertools import combinations_with_replacement
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import id_text, materialize, sliced
@@ -72,6 +75,7 @@ class Node:
     inside: "Node | None" = None
     outside: "Node | None" = None
     shard: int = -1
+    blocks: int = 1
 
 
 def _vantage(points: np.ndarray) -> tuple[np.uint64, int, float] | None:
@@ -102,8 +106,10 @@ class VantageTree:
             near, out = d <= m + self.radius, d > m
             if near.mean() + out.mean() < 1.45 and near.mean() < 0.9:  # else the split prunes too little to pay
                 return Node(v, m, self._build(points[near]), self._build(points[out]))
-        self.shards += 1
-        return Node(shard=self.shards - 1)
+        # what no split prunes is cut into blocks, and each pair of blocks is a shard
+        blocks = max(1, round(len(points) * self._rows / self._most))
+        self.shards += blocks * (blocks + 1) // 2
+        return Node(shard=self.shards - blocks * (blocks + 1) // 2, blocks=blocks)
 
     def route(self, fp: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         """(shard, row numbers) for every shard that gets rows."""
@@ -113,7 +119,10 @@ class VantageTree:
             if not len(rows):
                 continue
             if node.vantage is None:
-                yield node.shard, rows
+                block = (fp[rows] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(node.blocks)
+                for k, (i, j) in enumerate(combinations_with_replacement(range(node.blocks), 2)):
+                    if i < j or node.blocks == 1:
+                        yield node.shard + k, rows[(block == i) | (block == j)]
                 continue
             d = _distance(fp[rows], node.vantage)
             todo += [(node.inside, rows[d <= node.split + self.radius]), (node.outside, rows[d > node.split])]
@@ -269,6 +278,20 @@ def _common(rows: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     return s[order], n[order]
 
 
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Pairs of long texts reach a Python task in batches of bounded size."""
+    limits = {"spark.sql.execution.arrow.maxBytesPerBatch": "16m", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+    before = {k: spark.conf.get(k) for k in limits}
+    try:
+        for k, v in limits.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def _similar(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, k: int, similarity: float) -> DataFrame:
     """The pairs (a, b) of bodies whose whole texts have the similarity."""
     pairs = materialize(pairs, "pairs")
@@ -293,7 +316,8 @@ def _similar(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, k: int, simila
             yield b.filter(pa.array([jaccard(shingles(*p), shingles(*q)) >= similarity for p, q in zip(zip(a, x), zip(c, y))], pa.bool_())).select(["a", "b"])
 
     both = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b").select("a", "b", "x", "y")
-    return materialize(both.mapInArrow(run, "a long, b long"), "similar")
+    with _small_batches(pairs.sparkSession):
+        return materialize(both.mapInArrow(run, "a long, b long"), "similar")
 
 
 def near_duplicate_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, radius: int = 3) -> DataFrame:

@@ -39,6 +39,7 @@ from .common import id_text, materialize, sliced
 
 SAMPLE = 6_000  # labelled documents the model is fitted on
 BEGINNINGS = (4, 5, 6, 7)  # lengths of word beginnings that can be features
+COUNTED = 50_000  # features that a task counts at a time
 LEAST_DOCS, LEAST_SHARE = 6, 0.8  # a feature: toxic documents that have it, and their share of all that have it
 WINDOW, DOC_WINDOWS = 8, 64  # tokens before and after a token in a training sequence; sequences of a document
 WORD = re.compile(r"[^\W\d_]+")
@@ -117,7 +118,7 @@ class ToxicModel:
 class Emissions(dict):
     """Word -> emission, remembered for at most ``most`` words at a time."""
 
-    def __init__(self, model: ToxicModel, most: int = 300_000):
+    def __init__(self, model: ToxicModel, most: int = 200_000):
         super().__init__()
         self._model, self._most = model, most
 
@@ -176,13 +177,22 @@ def _features(rows: DataFrame) -> list[str]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have, n = (Counter(), Counter()), [0, 0]
+
+        def out() -> pa.RecordBatch:
+            names = ["", *(have[0] | have[1])]  # the empty name stands for all documents
+            clean, toxic = (pa.array([n[y], *(have[y][f] for f in names[1:])], pa.int64()) for y in (0, 1))
+            for x in have:
+                x.clear()
+            n[:] = 0, 0
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), clean, toxic], names=["feature", "clean", "toxic"])
+
         for b in sliced(batches):
             for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 n[y] += 1
                 have[y].update({f for w in set(WORD.findall(t)) for f in token_features(w)})
-        names = ["", *(have[0] | have[1])]  # the empty name stands for all documents
-        clean, toxic = ([n[y], *(have[y][f] for f in names[1:])] for y in (0, 1))
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(clean, pa.int64()), pa.array(toxic, pa.int64())], names=["feature", "clean", "toxic"])
+                if len(have[0]) + len(have[1]) > COUNTED:
+                    yield out()
+        yield out()
 
     counts = rows.select("text", "y").mapInArrow(count, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     counts = materialize(counts, "toxic-features")
@@ -208,7 +218,7 @@ def _sequences(rows: DataFrame, slot: dict[str, int]) -> DataFrame:
         for b in sliced(batches):
             out = []
             for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if len(known) > 300_000:
+                if len(known) > 2 * COUNTED:
                     known.clear()
                 words = WORD.findall(t)
                 for w in set(words) - known.keys():

@@ -6,7 +6,7 @@ import public_tokenizers
 import xxhash
 from tokenizers import Tokenizer
 
-from caseloom.llm.packing import pack, pack_shard
+from caseloom.llm.packing import B, GAP, K1, QUERY_IDS, Shard, pack, pack_shard
 from caseloom.llm.token_counts import count_tokens
 from caseloom.llm.token_files import read_token_files, write_token_files
 from caseloom.llm.tokens import PieceCounts, TokenEncoder
@@ -108,3 +108,28 @@ def test_entries_out_of_reach_of_the_merges(spark, tmp_path):
     shards = write_token_files(docs(spark, texts), str(tmp_path / "toy"), path, 2)
     files = {r.doc_id: r.n_tokens for r in read_token_files(spark, str(tmp_path / "toy"), shards, 2).collect()}
     assert files == {i: n + 1 for i, n in got.items()}
+
+
+def test_neighbours_equal_a_plain_bm25():
+    r = np.random.default_rng(6)
+    pieces = [(r.zipf(1.4, int(r.integers(1, 60))) % 300).astype(np.uint16) for _ in range(300)]
+    idf = r.random(400).astype(np.float32) * 5
+    shard = Shard(pieces, idf, 30.0)
+    shard.free[r.integers(0, 300, 60)] = False
+
+    def weight(t, p):
+        tf = int((p == t).sum())
+        return idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(p) / 30.0))
+
+    for seed in range(0, 300, 7):
+        query = sorted({int(t) for t in pieces[seed]}, key=lambda t: (-weight(t, pieces[seed]), t))[:QUERY_IDS]
+        plain = {i: sum(weight(t, p) for t in query) for i, p in enumerate(pieces) if shard.free[i]}
+        got = [plain[int(i)] for i in shard.neighbours(seed)]
+        want = sorted((x for x in plain.values() if x > 0), reverse=True)[:64]
+        assert np.allclose(got, want, rtol=1e-4)
+
+
+def test_short_pieces_take_all_neighbours_before_others():
+    a, b = ([np.array([base + i % 5, base + 7], np.uint16) for i in range(400)] for base in (10, 50))
+    rows = pack_shard([x for pair in zip(a, b) for x in pair], np.ones(100, np.float32), 2.0, 512)
+    assert {p % 2 for p, _, _ in rows[0]} == {0} and sum(j - i for _, i, j in rows[0]) >= 512 - GAP

@@ -77,10 +77,11 @@ def expanded(labels: Column, parts: dict[str, list[str]]) -> Column:
 
 
 def clean(text: Column) -> Column:
-    """One line: blanks collapsed, none between CJK characters or around date units."""
+    """One line: blanks collapsed, none between CJK characters or between a digit and a date unit."""
     t = F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
     t = F.regexp_replace(t, r"(?<=\p{IsHan}) (?=\p{IsHan})", "")
-    return F.regexp_replace(t, r" ?([年月日时]) ?", "$1")
+    t = F.regexp_replace(t, r"(?<=\d) (?=[年月日号])", "")
+    return F.regexp_replace(t, r"(?<=[年月日号]) (?=\d)", "")
 
 
 def compact(text: Column, limit: int = 160) -> Column:

@@ -29,8 +29,8 @@ def chunk_records(paras: DataFrame, stem: str) -> DataFrame:
 
 
 def merge_lines(lines: DataFrame, doc: str, pos: str, page: str, text: str, title: str = r"^(?:第?[一二三四五六七八九十\d]+[、.章节]|#+ )") -> DataFrame:
-    """Lines into paragraphs: a title or a new page ends one; so do 420 characters, a line that would pass 500,
-    and a sentence end from 180 characters on before a line that would pass 90. A fold over each document."""
+    """Lines into paragraphs: a title or a new page ends one; so do 420 characters, a line that alone passes 500,
+    and a sentence end from 180 characters on before a line that passes 90. Latin word ends keep a blank. A fold over each document."""
     import re
 
     is_title, ends = re.compile(title), ("。", "！", "？", ".", "!", "?")
@@ -53,9 +53,10 @@ def merge_lines(lines: DataFrame, doc: str, pos: str, page: str, text: str, titl
                 at, held = p, line
                 flush()
                 continue
-            if held and (p != at or len(held) >= 420 or len(held) + len(line) > 500 or (held.endswith(ends) and len(held) >= 180 and len(line) > 90)):
+            if held and (p != at or len(held) >= 420 or len(line) > 500 or (held.endswith(ends) and len(held) >= 180 and len(line) > 90)):
                 flush()
-            at, held = p, held + line
+            blank = held[-1:].isascii() and held[-1:].isalnum() and line[0].isascii() and line[0].isalnum()
+            at, held = p, held + " " * blank + line
         flush()
         return pd.DataFrame(out, columns=["doc", "chunk_no", "page_no", "content"])
 

@@ -32,13 +32,15 @@ def evidence_hit(expected: Column, actual: Column) -> Column:
 
 
 def fact_coverage(facts: Column, text: Column) -> Column:
-    """Share of facts in the text; a fact may list alternatives with |, an empty one counts as covered."""
-    hit = lambda f: (f == "") | F.exists(F.split(f, r"\|"), lambda a: F.contains(text, F.trim(a)))
+    """Share of facts in the text; a fact may list alternatives with | (empty ones are none), an empty fact counts as covered."""
+    options = lambda f: F.filter(F.transform(F.split(f, r"\|"), lambda a: F.trim(a)), lambda a: a != "")
+    any_of = lambda f: F.contains(f, F.lit("|")) & (F.size(options(f)) > 0)
+    hit = lambda f: (f == "") | F.when(any_of(f), F.exists(options(f), lambda a: F.contains(text, a))).otherwise(F.contains(text, f))
     return F.when(F.size(facts) == 0, 1.0).otherwise(F.size(F.filter(facts, hit)) / F.size(facts))
 
 
 def forbidden_claims(claims: Column, text: Column) -> Column:
-    return F.size(F.filter(claims, lambda c: F.contains(text, c)))
+    return F.size(F.filter(claims, lambda c: (c != "") & F.contains(text, c)))
 
 
 def citation_support(cited: Column, evidence: Column) -> Column:

@@ -52,8 +52,9 @@ def unit_fits(metric: Column, u: Column, metrics=METRICS) -> Column:
 def checked(proposed: DataFrame, chunks: DataFrame, key: str, text: str) -> DataFrame:
     """Proposed facts with the reason they are rejected for (null: accepted)."""
     both = proposed.join(chunks.select(key, F.col(text).alias("_t")), key, "left")
-    number = F.regexp_replace(F.format_string("%s", F.col("value")), r"\.0$", "")
-    reason = F.when(F.col("_t").isNull(), "unknown chunk").when(~F.contains("_t", number), "value not in text").when(~unit_fits(F.col("metric"), F.col("unit")), "unit does not fit")
+    said = F.transform(F.regexp_extract_all("_t", F.lit(r"[-−]?\d+(?:\.\d+)?"), F.lit(0)), lambda x: F.replace(x, F.lit("−"), F.lit("-")).cast("double"))
+    there = F.exists(said, lambda x: (x == F.col("value")) | (F.abs(x) == F.col("value")))  # a dash before a number may join a range
+    reason = F.when(F.col("_t").isNull(), "unknown chunk").when(~there, "value not in text").when(~unit_fits(F.col("metric"), F.col("unit")), "unit does not fit")
     return both.withColumn("reason", reason).drop("_t")
 
 

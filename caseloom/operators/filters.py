@@ -30,11 +30,12 @@ def term_matches(text: Column, labels: Column, term: str, atoms: dict[str, list[
     return whole | reduce(lambda a, b: a & b, map(hit, parts)) if parts else whole
 
 
-def region_matches(regions: Column, terms: list[str], provinces: tuple[str, ...] = ()) -> Column:
-    """Either contains the other; a province term matches every row that has any region."""
-    if any(t in provinces for t in terms):
-        return F.size(regions) > 0
-    return F.exists(regions, lambda x: reduce(lambda a, b: a | b, [F.contains(x, F.lit(t)) | F.contains(F.lit(t), x) for t in terms]))
+def region_matches(regions: Column, terms: list[str], provinces: tuple[str, ...] = (), text: Column | None = None) -> Column:
+    """A term is in the text, or it and a region contain one another; a province term matches every row that has any region."""
+    near = F.exists(regions, lambda x: reduce(lambda a, b: a | b, [F.contains(x, F.lit(t)) | F.contains(F.lit(t), x) for t in terms]))
+    if text is not None:
+        near = near | reduce(lambda a, b: a | b, [F.contains(text, F.lit(t)) for t in terms])
+    return near | (F.size(regions) > 0) if any(t in provinces for t in terms) else near
 
 
 def search(cases: DataFrame, dimensions: dict[str, Column | None]) -> DataFrame:

@@ -40,11 +40,17 @@ def keep_latest(rows: DataFrame, group: str, order: list[Column], keep: int) ->
     return n.withColumn("status", F.when(F.col("age") <= keep, "active").otherwise("expired"))
 
 
-def neighbours(rows: DataFrame, doc: str, pos: str, hit: Column, limit: int) -> DataFrame:
-    """Hits and the rows next to them, the first ``limit`` of each document, in document order."""
-    w = W.partitionBy(doc).orderBy(pos)
-    near = hit | F.coalesce(F.lag(hit).over(w), F.lit(False)) | F.coalesce(F.lead(hit).over(w), F.lit(False))
-    return number(rows.withColumn("_near", near).filter("_near").drop("_near"), [doc], [F.asc(pos)], "_n").filter(F.col("_n") <= limit).drop("_n")
+def neighbours(rows: DataFrame, doc: str, pos: str, score: Column, limit: int) -> DataFrame:
+    """Best rows first, each with the rows next to it, until a document has ``limit``; without a hit its first rows. In document order."""
+    w = W.partitionBy(doc)
+    hit = F.when(score > 0, score)
+    out = rows.withColumn("_hit", hit).withColumn("_r", F.when(F.col("_hit").isNotNull(), F.row_number().over(w.orderBy(F.desc_nulls_last("_hit"), pos))))
+    out = out.withColumn("_cover", F.least("_r", F.lag("_r").over(w.orderBy(pos)), F.lead("_r").over(w.orderBy(pos))))
+    # taken: covered before the limit was reached, that is fewer than ``limit`` rows are covered by better hits
+    before = F.count("_cover").over(w.orderBy("_cover").rangeBetween(W.unboundedPreceding, -1))
+    taken = F.when(F.max("_r").over(w).isNull(), True).otherwise(F.col("_cover").isNotNull() & (before < limit))
+    out = out.withColumn("_taken", taken).filter("_taken").drop("_hit", "_r", "_cover", "_taken")
+    return number(out, [doc], [F.asc(pos)], "_n").filter(F.col("_n") <= limit).drop("_n")
 
 
 def between_headings(rows: DataFrame, doc: str, pos: str, heading: Column, anchor: Column) -> DataFrame:
@@ -68,7 +74,8 @@ def offsets(rows: DataFrame, doc: str, pos: str, text: str, gap: int = 1) -> Dat
 
 
 def sequence_id(stem: str, kind: str, n: str, width: int = 3) -> Column:
-    return F.concat(F.col(stem), F.lit(f"-{kind}-"), F.lpad(F.col(n).cast("string"), width, "0"))
+    """Numbers of at least ``width`` digits."""
+    return F.concat(F.col(stem), F.lit(f"-{kind}-"), F.lpad(F.col(n).cast("string"), F.greatest(F.lit(width), F.length(F.col(n).cast("string"))), F.lit("0")))
 
 
 def rank_score(rows: DataFrame, order: list[Column], out: str = "rank_score") -> DataFrame:

@@ -67,12 +67,21 @@ def hybrid(rows: DataFrame, queries: DataFrame, k: int, key: str, vector: str, t
     return fuse([dense(rows, queries, DENSE, key, vector), bm25(rows, queries, SPARSE, key, tokens)], k, key)
 
 
-def retrieve(rows: DataFrame, query: str, vectors: DataFrame | None, k: int, key: str, text: str, ids: DataFrame | None = None) -> tuple[DataFrame, str]:
-    """Scoped rows, else vectors, else words; with the mode that answered."""
-    scope = rows.join(ids, key, "left_semi") if ids is not None else rows
+def retrieve(rows: DataFrame, query: str, vectors: DataFrame | None, k: int, key: str, text: str, ids: DataFrame | None = None) -> tuple[DataFrame, str, str]:
+    """Vectors over the scope, then words over it; on no hit the next step, at last words over all rows. With the mode that answered, and why."""
+    steps = []
     if vectors is not None and "embedding" in rows.columns:
-        return dense(scope, vectors, k, key), "scoped-vector" if ids is not None else "vector"
-    return lexical(scope, query, k, key, text), "scoped-lexical" if ids is not None else "lexical"
+        steps.append((ids, True))
+    steps += [(ids, False)] + ([(None, False)] if ids is not None else [])
+    reasons = [] if steps[0][1] else ["no vectors"]
+    for within, dense_step in steps:
+        scope = rows.join(within.select(key).distinct(), key, "left_semi") if within is not None else rows
+        mode = ("scoped-" if within is not None else "") + ("vector" if dense_step else "lexical")
+        found = dense(scope, vectors, k, key) if dense_step else lexical(scope, query, k, key, text)
+        if not found.isEmpty():
+            break
+        reasons.append(f"{mode} found nothing")
+    return found, mode, "; ".join(reasons)
 
 
 def candidate_scores(links: DataFrame, rows: DataFrame, query: DataFrame, key: str, keep: int = 4, best: int = 2) -> DataFrame:

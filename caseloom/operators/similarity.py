@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,17 +70,14 @@ def disaster_score(title: Column, labels: Column, wanted: dict[str, float], fami
     return F.when(conflict, F.least(mean, F.lit(0.35))).otherwise(mean)
 
 
-def importance(text: str, terms: list[str], weak: list[str], strong: list[str], process: list[str]) -> dict[str, tuple[float, str]]:
-    """(weight, primary or secondary) of the terms of one query text."""
-    first = text.replace("；", "。").split("。")[0]
+def importance(text: str, terms: list[str], weak: list[str], strong: list[str], process: str = "") -> dict[str, tuple[float, str]]:
+    """(weight, primary or secondary) of the terms of one query text; a mention near weak and strong words takes both factors."""
+    first = re.split(r"[。！？；]", text, maxsplit=1)[0]
     scores = {}
     for t in terms:
-        at = [i for i in range(len(text)) if text.startswith(t, i)]
-        factors = 0.0
-        for i in at:
-            near = text[max(0, i - 8) : i + len(t) + 8]
-            factors += 0.55 if any(w in near for w in weak) else 1.25 if any(w in near for w in strong) else 1.0
-        scores[t] = (1.0 if at else 0.75) + 0.45 * min(3.0, factors) + 0.55 * (t in first) + 0.75 * any(p + t in text or t + p in text for p in process)
+        near = [text[max(0, m.start() - 8) : m.end() + 8] for m in re.finditer(re.escape(t), text)]
+        factors = sum((0.55 if any(w in x for w in weak) else 1.0) * (1.25 if any(w in x for w in strong) else 1.0) for x in near)
+        scores[t] = (1.0 if near else 0.75) + 0.45 * min(3.0, factors) + 0.55 * (t in first) + 0.75 * (t in process)
     most = max(scores.values(), default=0.0)
     return {t: (round(s, 4), "primary" if s >= 0.72 * most else "secondary") for t, s in scores.items()}
 
@@ -93,8 +92,8 @@ def temporal_ring(months: Column, wanted: list[int], days: Column | None = None,
     return F.when(days.isNotNull(), 0.85 * score + 0.15 * alike).otherwise(score)
 
 
-def recall(cases: DataFrame, scores: dict[str, Column], weights: dict[str, float], title_gate: Column, n: int) -> DataFrame:
-    """Weighted mean of the requested dimensions, damped: .35 for a weak disaster, .5 for no area, .35 for a failed title gate.
+def recall(cases: DataFrame, scores: dict[str, Column], weights: dict[str, float], title_gate: Column, n: int, areas: Column | None = None) -> DataFrame:
+    """Weighted mean of the requested dimensions, damped: .35 for a weak disaster, .5 for none of the areas (of a case that names some), .35 for a failed title gate.
 
     Keeps min(40, max(15, 30 % of n)) cases.
     """
@@ -102,7 +101,7 @@ def recall(cases: DataFrame, scores: dict[str, Column], weights: dict[str, float
     if "disaster" in scores:
         s = s * F.when(scores["disaster"] < 0.45, 0.35).otherwise(1.0)
     if "area" in scores:
-        s = s * F.when(scores["area"] == 0, 0.5).otherwise(1.0)
+        s = s * F.when((scores["area"] == 0) & (F.size(areas) > 0 if areas is not None else F.lit(True)), 0.5).otherwise(1.0)
     s = s * F.when(title_gate, 1.0).otherwise(0.35)
     budget = min(40, max(15, -(-3 * n // 10)))
     return cases.withColumn("structured", F.round(s, 6)).orderBy(F.desc("structured"), F.desc("case_id")).limit(budget)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -113,20 +115,32 @@ def memory_candidate(text: Column) -> Column:
     return F.when(low.rlike("prefer|always|never|喜欢|偏好"), "preference").when(low.rlike("my name|i am|我是|我叫"), "fact").when(low.rlike("remind|remember|记住|提醒"), "task")
 
 
-def version_roots(rows: DataFrame, key: str, parent: str, group: str, checkpoint, most: int = 64) -> DataFrame:
-    """key -> root: follow parents to the first row that has a group, else to the oldest ancestor; cycles end.
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """A checkpoint in the folder of ``spark.checkpoint.dir``; where it is unset, in a temporary one, on a local master only."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="caseloom-"))
+    return df.checkpoint()
+
+
+def version_roots(rows: DataFrame, key: str, parent: str, group: str) -> DataFrame:
+    """key -> root: follow parents to the first row that has a group, else to the oldest ancestor, however far; cycles end.
 
-    Pointer doubling: ceil(log2(depth)) joins instead of one for each level. ``checkpoint`` cuts the lineage.
+    Pointer doubling: about log2(depth) joins instead of one for each level, until no root moves. A
+    root that still moves after log2(rows) joins is in a cycle.
     """
     p = rows.select(key, parent)
     known = rows.select(F.col(key).alias("_k"), F.col(group).alias("_g"))
     links = p.join(known, F.col(key) == F.col("_k"), "left").select(key, F.when(F.col("_g").isNull(), F.col(parent)).alias("up"))
-    links = links.join(rows.select(F.col(key).alias("_k")), F.col("up") == F.col("_k"), "left").select(key, F.coalesce("_k", key).alias("root"))
-    span = 1
-    while span < most:
+    links = cut_lineage(links.join(rows.select(F.col(key).alias("_k")), F.col("up") == F.col("_k"), "left").select(key, F.coalesce("_k", key).alias("root")))
+    for _ in range(links.count().bit_length()):
         above = links.select(F.col(key).alias("_k"), F.col("root").alias("_r"))
-        links = checkpoint(links.join(above, F.col("root") == F.col("_k"), "left").select(key, F.coalesce("_r", "root").alias("root")))
-        span *= 2
+        moved = cut_lineage(links.join(above, F.col("root") == F.col("_k"), "left").select(key, F.coalesce("_r", "root").alias("root"), (~F.col("_r").eqNullSafe(F.col("root")) & F.col("_r").isNotNull()).alias("moves")))
+        links = moved.drop("moves")
+        if moved.filter("moves").isEmpty():
+            break
     return links
 
 

@@ -287,10 +287,10 @@ def top2_mean(spark, sf_dir):
     return ranking.top_mean(rows, "case_id", "l_extendedprice", "l_partkey")
 
 
-@query("SELECT p_partkey, p_brand || '-case-' || lpad(CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS VARCHAR), 3, '0') AS case_id FROM part")
+@query("SELECT p_partkey, p_brand || '-case-' || CASE WHEN n < 1000 THEN lpad(CAST(n AS VARCHAR), 3, '0') ELSE CAST(n AS VARCHAR) END AS case_id FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n FROM part)")
 def sequence_ids(spark, sf_dir):
     rows = ranking.number(S.table(spark, sf_dir, "part"), ["p_brand"], [F.asc("p_partkey")], "n")
-    return rows.select("p_partkey", F.when(F.col("n") < 1000, ranking.sequence_id("p_brand", "case", "n")).otherwise(ranking.sequence_id("p_brand", "case", "n", 3)).alias("case_id"))
+    return rows.select("p_partkey", ranking.sequence_id("p_brand", "case", "n").alias("case_id"))
 
 
 @query("SELECT s_suppkey, round(CASE WHEN count(*) OVER () > 1 THEN 1 - (row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) - 1.0) / (count(*) OVER () - 1) ELSE 1 END, 6) AS rank_score, round((s_acctbal - min(s_acctbal) OVER ()) / (max(s_acctbal) OVER () - min(s_acctbal) OVER ()), 6) AS stretched FROM supplier")

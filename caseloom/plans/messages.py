@@ -29,7 +29,7 @@ def version_collapse(spark, sf_dir):
     c = S.table(spark, sf_dir, "conversations")
     key = F.col("conv_id") * 1000 + F.col("turn")
     m = c.select(key.alias("id"), F.when(F.col("turn") % 3 != 0, key - 1).alias("parent"), F.when(F.col("turn") % 6 == 0, F.col("conv_id") * 10 + F.floor(F.col("turn") / 6)).alias("grp"), F.col("turn").alias("turn"))
-    roots = state.version_roots(m, "id", "parent", "grp", lambda df: df, most=8)
+    roots = state.version_roots(m, "id", "parent", "grp")
     return state.collapse_versions(roots.join(m.select("id", "turn"), "id").withColumnRenamed("root", "r"), "r", "id", "turn").select(F.col("r").alias("root"), "total", "place", F.col("id").alias("latest"))
 
 

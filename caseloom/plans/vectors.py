@@ -11,13 +11,14 @@ from ..operators import evaluation, ranking, retrieval
 from ..sources import tables as S
 from .registry import query
 
-DENSE = """WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS qe, label AS ql FROM embeddings WHERE vec_id < 10),
+DENSE = """WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS qe, label AS ql FROM embeddings WHERE vec_id % 100 = 0),
 s AS (SELECT query_id, vec_id, label, ql, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), qe), 6) AS score FROM embeddings, q),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS BIGINT) AS rank FROM s) """
 
 
-def queries(v, n=10):
-    return v.filter(F.col("vec_id") < n).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+def queries(v, one=False):
+    """Every id divisible by 100, or the first row alone."""
+    return v.filter("vec_id = 0" if one else "vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
 
 
 @query(DENSE + "SELECT query_id, vec_id, score, rank FROM r WHERE rank <= 10")
@@ -37,15 +38,15 @@ r AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY s DESC, vec_id)
 def semantic_scores(spark, sf_dir):
     v = S.table(spark, sf_dir, "embeddings")
     links = v.select((F.col("vec_id") % 40).alias("case_id"), "vec_id")
-    return retrieval.candidate_scores(links, v, queries(v, 1).select("query_vector"), "vec_id")
+    return retrieval.candidate_scores(links, v, queries(v, one=True).select("query_vector"), "vec_id")
 
 
-@query("""WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS qe FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id % 30 AS case_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), qe) AS cosine, CAST((vec_id * 37) % 101 AS DOUBLE) AS rerank FROM embeddings, q WHERE vec_id < 100),
+@query("""WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS qe FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id % 30 AS case_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), qe) AS cosine, CAST((vec_id * 37) % 101 AS DOUBLE) AS rerank FROM embeddings, q),
 x AS (SELECT *, (rerank - min(rerank) OVER ()) / (max(rerank) OVER () - min(rerank) OVER ()) AS r FROM s), n AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY r DESC, cosine DESC) rn FROM x)
 SELECT case_id, round(0.7 * avg(cosine) + 0.3 * max(r), 6) AS score FROM n WHERE rn <= 2 GROUP BY 1""")
 def rerank_merge(spark, sf_dir):
     v = S.table(spark, sf_dir, "embeddings")
-    rows = v.filter("vec_id < 100").crossJoin(F.broadcast(queries(v, 1)))  # one query
+    rows = v.crossJoin(F.broadcast(queries(v, one=True)))  # one query
     rows = rows.select((F.col("vec_id") % 30).alias("case_id"), cosine(F.col("embedding"), F.col("query_vector")).alias("cosine"), ((F.col("vec_id") * 37) % 101).cast("double").alias("rerank"))
     return retrieval.rerank_merge(rows)
 
@@ -53,7 +54,7 @@ def rerank_merge(spark, sf_dir):
 def results(spark, sf_dir):
     """backend, expected (same label, the ten least ids), actual (ranked ids)."""
     v = S.table(spark, sf_dir, "embeddings")
-    q = v.filter("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql"))
+    q = v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql"))
     same = v.join(F.broadcast(q), F.col("label") == F.col("ql"))
     few = same.withColumn("_n", F.row_number().over(W.partitionBy("query_id").orderBy("vec_id"))).filter("_n <= 10")
     expected = few.groupBy("query_id").agg(F.sort_array(F.collect_list("vec_id")).alias("expected"))

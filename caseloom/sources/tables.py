@@ -88,16 +88,20 @@ def rebuild(authority: DataFrame, prior: DataFrame, key: str, vector: str) -> Da
 
 
 def insert_or_skip(target: DataFrame, new: DataFrame, key: str, owner: str) -> DataFrame:
-    """new with outcome: inserted, skipped (same owner has it) or conflict (another owner has it)."""
-    have = target.select(key, F.col(owner).alias("_owner"))
-    outcome = F.when(F.col("_owner").isNull(), "inserted").when(F.col("_owner") == F.col(owner), "skipped").otherwise("conflict")
-    return new.join(have, key, "left").withColumn("outcome", outcome).drop("_owner")
+    """new with outcome: inserted, skipped (same owner has it) or conflict (another owner has it); of repeated keys the first row is inserted."""
+    have = target.groupBy(key).agg(F.min(owner).alias("_owner"), F.lit(True).alias("_there"))
+    w = W.partitionBy(key).orderBy(*[c for c in new.columns if c != key])
+    rows = new.withColumn("_n", F.row_number().over(w)).withColumn("_first", F.first(owner).over(w)).join(have, key, "left")
+    holder = F.when(F.col("_there"), F.col("_owner")).otherwise(F.col("_first"))
+    outcome = F.when(F.col("_there").isNull() & (F.col("_n") == 1), "inserted").when(holder.eqNullSafe(F.col(owner)), "skipped").otherwise("conflict")
+    return rows.withColumn("outcome", outcome).select(*new.columns, "outcome")
 
 
 def export_csv(rows: DataFrame, path: str) -> None:
     """CSV with header; arrays and structs as JSON."""
     flat = [F.to_json(c).alias(c) if isinstance(rows.schema[c].dataType, (T.ArrayType, T.StructType, T.MapType)) else F.col(c) for c in rows.columns]
-    rows.select(*flat).write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(path)
+    first = flat[0].alias("\ufeff" + rows.columns[0])  # the mark that tells spreadsheets it is UTF-8
+    rows.select(first, *flat[1:]).write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(path)
 
 
 def append_audit(rows: DataFrame, path: str) -> None:

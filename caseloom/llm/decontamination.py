@@ -49,57 +49,50 @@ def _tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(t), rf"[^\p{{L}}\p{{M}}\p{{N}}_{NAME}-{FIRST}]++"), lambda w: w != "")
 
 
-def _kind(w: Column) -> Column:
-    return F.substring(w, 1, 1)
+PAST = "\ue004"  # the character after the placeholders: a token in a slot lies between them
 
 
-def _is_slot(w: Column) -> Column:
-    return _kind(w).between(NAME, UNIT)
+def _in_slot(x: Column, wide: bool) -> Column:
+    return (x >= NAME) & (x < (PAST if wide else FIRST))
 
 
-def _read(tokens: Column, wide: bool) -> Column:
-    """The tokens in one reading of names."""
-    rest = lambda w: F.concat(F.lit(NAME), F.substring(w, 2, 1 << 30)) if wide else F.substring(w, 2, 1 << 30)
-    return F.transform(tokens, lambda w: F.when(_kind(w) == FIRST, rest(w)).otherwise(w))
+def _hashes(tokens: Column, wide: bool) -> Column:
+    """For each token, in one reading of names, a hash, of its placeholder where it is in a slot; the last four bits count slots."""
+    word = lambda x: F.xxhash64(x).bitwiseAND(F.lit(-16))
+    slot = lambda kind: F.lit(16 * (ord(kind) - ord(NAME) + 1) + 1)
+    first = lambda x: slot(NAME) if wide else word(F.substring(x, 2, 1 << 30))
+    return F.transform(tokens, lambda x: F.when((x < NAME) | (x >= PAST), word(x)).when(x < NUMBER, slot(NAME)).when(x < UNIT, slot(NUMBER)).when(x < FIRST, slot(UNIT)).otherwise(first(x)))
 
 
-def _hashes(w: Column) -> Column:
-    """A hash for each token, of its placeholder where it is in a slot, which the last bit tells."""
-    return F.transform(w, lambda x: F.when(_is_slot(x), F.xxhash64(_kind(x)).bitwiseOR(F.lit(1))).otherwise(F.xxhash64(x).bitwiseAND(F.lit(-2))))
-
-
-def _shifted(a: str, k: int, f) -> Column:
-    """f of the elements of column a and those k later; a column by name, so that it is made once."""
-    return F.zip_with(a, F.slice(a, k + 1, 1 << 30), f)
+def _doubled(a: str, k: int) -> Column:
+    """Of column a, hashes of k tokens, those of 2k; a column by name, so that it is made once."""
+    one = lambda x, y: F.xxhash64(x, y).bitwiseAND(F.lit(-16)).bitwiseOR(x.bitwiseAND(F.lit(15)) + y.bitwiseAND(F.lit(15)))
+    return F.zip_with(a, F.slice(a, k + 1, 1 << 30), lambda x, y: one(x, y))
 
 
 def _with_windows(rows: DataFrame, key: str, slots: bool, lengths: list[int], exact: bool = False) -> DataFrame:
     """key, windows: array of hashes, or of (wide, hash, at, telling, slots). lengths: short ones to send besides, if exact only of texts as short."""
     df = rows.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias(key), _tokens(F.col("text")).alias("tokens"))
-    df = df.select(key, F.size("tokens").alias("n"), *[_read(F.col("tokens"), wide).alias(f"w{wide:d}") for wide in (False, True)])
-    df = df.withColumns({f"h{r}": _hashes(F.col(f"w{r}")) for r in "01"})
-    df = df.withColumns({f"t{r}": F.col(f"h{r}") for r in "01"} | {f"c{r}": F.transform(f"h{r}", lambda x: x.bitwiseAND(F.lit(1))) for r in "01"})
-    for k in (1, 2, 4):  # hashes of 2, 4, 8 tokens from those of 1, 2, 4; and how many of the tokens are in slots
-        df = df.withColumns({f"t{r}": _shifted(f"t{r}", k, lambda x, y: F.xxhash64(x, y)) for r in "01"} | {f"c{r}": _shifted(f"c{r}", k, lambda x, y: x + y) for r in "01"})
-    whole = lambda c: F.slice(c, 1, F.greatest(F.col("n") - WINDOW + 1, F.lit(0))).alias(c[0])
-    # zipped, as a column that a lambda reads once would be made anew for each element
-    df = df.withColumns({f"z{r}": F.arrays_zip(whole(f"t{r}"), whole(f"c{r}")) for r in "01"})
+    df = df.select(key, "tokens", F.size("tokens").alias("n"), *[_hashes(F.col("tokens"), r == "1").alias(f"h{r}") for r in "01"])
+    df = df.withColumns({f"t{r}": _doubled(f"h{r}", 1) for r in "01"})
+    for k in (2, 4):
+        df = df.withColumns({f"t{r}": _doubled(f"t{r}", k) for r in "01"})
 
     def of(r: str, length: int) -> Column:
-        w, h = F.col(f"w{r}"), F.col(f"h{r}")
-
-        def one(i: Column, known: Column | None = None) -> Column:
-            hashed = lambda tag, a: F.xxhash64(F.lit(tag), *[F.get(a, i + j) for j in range(length)])
-            filled = known["c"] if known is not None else sum((F.get(h, i + j).bitwiseAND(F.lit(1)) for j in range(length)), F.lit(0))
+        def one(i: Column, whole: Column | None = None) -> Column:
+            over = lambda tag, make: F.xxhash64(F.lit(tag), *[make(i + j) for j in range(length)])
+            filled = whole.bitwiseAND(F.lit(15)) if whole is not None else sum((F.get(f"h{r}", i + j).bitwiseAND(F.lit(15)) for j in range(length)), F.lit(0))
             telling = filled <= length - min(length, LEAST_LITERAL)
-            hash_ = F.when(telling, hashed(length, h) if known is None else known["t"]).otherwise(hashed(-length, w))
+            template = whole if whole is not None else over(length, lambda at: F.get(f"h{r}", at))
+            hash_ = F.when(telling, template).otherwise(over(-length, lambda at: F.translate(F.get("tokens", at), NAME + NUMBER + UNIT + FIRST, "")))
             if not slots:
                 return hash_
-            values = F.when(telling, F.filter(F.slice(w, i + 1, length), _is_slot)).otherwise(F.expr("cast(array() as array<string>)"))
+            values = F.transform(F.filter(F.slice("tokens", i + 1, length), lambda x: _in_slot(x, r == "1")), lambda x: F.substring(x, 2, 1 << 30))
+            values = F.when(telling, values).otherwise(F.expr("cast(array() as array<string>)"))
             return F.struct(F.lit(r == "1").alias("wide"), hash_.alias("hash"), i.alias("at"), telling.alias("telling"), values.alias("slots"))
 
         if length == WINDOW:
-            return F.transform(f"z{r}", lambda x, i: one(i, x))
+            return F.transform(F.slice(f"t{r}", 1, F.greatest(F.col("n") - WINDOW + 1, F.lit(0))), lambda x, i: one(i, x))
         return F.when(F.col("n") == length if exact else F.col("n") >= length, F.transform(F.sequence(F.lit(0), F.greatest(F.col("n") - length, F.lit(0))), lambda i: one(i)))
 
     made = F.array_compact(F.array(*[of(r, n) for r in "01" for n in [WINDOW, *lengths]]))

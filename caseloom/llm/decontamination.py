@@ -133,7 +133,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) ->
     found = _with_windows(texts, "doc_id", slots=True, lengths=short).select("doc_id", F.explode_outer("windows").alias("x"))
     found = found.select("doc_id", F.col("x.hash").alias("hash"), F.col("x.at").alias("doc_at"), F.col("x.slots").alias("doc_slots"))
     both = slotted.select(*key).join(items, ["item_id", "wide"]).join(found, ["doc_id", "hash"])
-    lines = both.withColumn("shift", F.col("doc_at") - F.col("at"))
+    lines = materialize(both.withColumn("shift", F.col("doc_at") - F.col("at")), "aligned")
     line = [*key, "shift"]
     values = lines.select(*line, F.explode(F.arrays_zip(F.col("slots").alias("a"), F.col("doc_slots").alias("b"))).alias("v")).select(*line, "v.a", "v.b").distinct()
     odd = values.groupBy(*line).agg(F.count("*").alias("n"), F.count_distinct("a").alias("na")).filter("n <> na")

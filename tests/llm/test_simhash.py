@@ -113,3 +113,23 @@ def test_near_copies_with_a_common_core(spark, monkeypatch, leads):
     got = {x.doc_id: x.component_id for x in S.near_duplicate_groups(docs(spark, texts), k, 0.8, radius=0).collect()}
     assert [got[i] for i in range(len(texts))] == label
     assert len(set(label)) > 20
+
+
+def test_recall_of_a_thousand_pairs_just_above_the_threshold(spark):
+    """Pairs of similarity 0.80 to 0.85 are all joined, and pairs just below are not."""
+    r = np.random.default_rng(12)
+    texts, similarity = [], []
+    while len(texts) < 3600:
+        words = [f"w{x}" for x in r.integers(0, 20_000, int(r.integers(60, 400)))]
+        other = list(words)
+        for _ in range(max(1, round(len(words) * r.uniform(0.018, 0.026)))):
+            other[int(r.integers(len(other)))] = f"x{r.integers(10**9)}"
+        a, b = (set(S._shingle_hashes(" ".join(w).encode(), 5).tolist()) for w in (words, other))
+        j = len(a & b) / len(a | b)
+        if 0.76 <= j <= 0.85:
+            texts += [" ".join(words), " ".join(other)]
+            similarity.append(j)
+    got = {x.doc_id: x.component_id for x in S.near_duplicate_groups(docs(spark, texts), 5, 0.8, radius=0).collect()}
+    joined = [got[2 * i] == got[2 * i + 1] for i in range(1800)]
+    assert sum(j >= 0.8 for j in similarity) >= 1000
+    assert joined == [j >= 0.8 for j in similarity]

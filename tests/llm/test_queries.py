@@ -41,3 +41,19 @@ def test_pipeline_stages(spark):
         docs, before = out, kept
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, SMALL)
     assert {r.doc_id for r in pieces.select("doc_id").distinct().collect()} == set(before)
+
+
+def test_stages_take_nulls_repeats_and_clashing_columns(spark):
+    """Rows without an id stay through the filters, repeated rows of a kept id once after near-dedup, other columns as they are."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _text string, _id long, terms string, base string, score double, component_id long, w int"
+    made = [(None, None), (None, "mail a@b.cc now"), (1, ""), (2, "one two three"), (2, "one two three"), (3, "w " * 20_000), (4, None)]
+    rows = spark.createDataFrame([(i, t, None, "s", None, "x", 1, "t", "b", 0.5, 9, 1) for i, t in made], schema)
+    for docs in (rows, rows.limit(0)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = corpus_pipeline.materialize(stage(spark, docs, SMALL), name)
+            assert docs.columns == rows.columns, name
+        kept = docs.collect()
+        assert sorted(r.doc_id or 0 for r in kept if r.doc_id not in (1, 4)) in ([], [0, 0, 2, 3], [0, 2, 3])
+        assert all((r._text, r._id, r.terms, r.component_id) == ("x", 1, "t", 9) for r in kept)
+        pieces = corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).collect()
+        assert {p.doc_id for p in pieces} == {r.doc_id for r in kept}

@@ -7,8 +7,9 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from .joins import orphans
+from .joins import best_overlap, orphans
 from .ranking import number, offsets, segments, sequence_id
 
 
@@ -105,3 +106,33 @@ def validate(cases: DataFrame, chunks: DataFrame) -> DataFrame:
     dangling = orphans(refs, chunks, "chunk_id").agg(F.lit("chunk exists").alias("check"), F.count("*").alias("failures"))
     foreign = refs.join(chunks.select("chunk_id", F.col("source_pdf").alias("_s")), "chunk_id").filter("_s <> source_pdf").agg(F.lit("same source").alias("check"), F.count("*").alias("failures"))
     return twice.unionAll(dangling).unionAll(foreign)
+
+
+def numbered_cases(segments: DataFrame, source: str, order: list[str], width: int = 3) -> DataFrame:
+    """Adds case_id: the source, then the segment's number in it from 1, of at least ``width`` digits."""
+    n = F.row_number().over(W.partitionBy(source).orderBy(*order))
+    return segments.withColumn("_n", n).withColumn("case_id", sequence_id(source, "case", "_n", width)).drop("_n")
+
+
+def relative_path(path: Column, root: str = "resource") -> Column:
+    """Slashes forward, and what stands before the root folder removed; a path without it is kept."""
+    flat = F.regexp_replace(path, r"\\+", "/")
+    return F.regexp_replace(flat, rf"^.*?(?:^|/)({root}/)", "$1")
+
+
+def relinked(images: DataFrame, chunks: DataFrame, n: int = 8, least: float = 0.1, keep: int = 3) -> DataFrame:
+    """images (source_pdf, image_id, nearby_text) with related_chunk_ids: the chunks (source_pdf, chunk_id, content) of their
+    source that share most n-grams with the nearby text, best first; no such chunk: an empty array."""
+    left = images.select("source_pdf", F.col("image_id").alias("id_l"), F.col("nearby_text").alias("text_l")).dropna()
+    right = chunks.select("source_pdf", F.col("chunk_id").alias("id_r"), F.col("content").alias("text_r")).dropna()
+    best = best_overlap(left, right, n, least, keep, "source_pdf")
+    ids = best.groupBy("source_pdf", F.col("id_l").alias("image_id")).agg(F.array_sort(F.collect_list(F.struct("rank", "id_r"))).alias("_l"))
+    ids = ids.withColumn("related_chunk_ids", F.transform("_l", lambda x: x["id_r"])).drop("_l")
+    return images.join(ids, ["source_pdf", "image_id"], "left").withColumn("related_chunk_ids", F.coalesce("related_chunk_ids", F.expr("cast(array() as array<string>)")))
+
+
+def manifest(chunks: DataFrame, images: DataFrame, source: str = "source_pdf") -> DataFrame:
+    """Chunks, images and linked images of each source of either table."""
+    linked = F.when(F.size("related_chunk_ids") > 0, 1).otherwise(0)
+    sides = chunks.select(source, F.lit(1).alias("c"), F.lit(0).alias("i"), F.lit(0).alias("l")).unionByName(images.select(source, F.lit(0).alias("c"), F.lit(1).alias("i"), linked.alias("l")))
+    return sides.groupBy(source).agg(F.sum("c").alias("chunks"), F.sum("i").alias("images"), F.sum("l").alias("linked"))

@@ -7,6 +7,7 @@ import datetime
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..operators import build, extraction
 from ..operators import evidence as V
 from ..operators import requests as R
 from ..sources import tables as S
@@ -375,3 +376,32 @@ def soft_deleted(spark, sf_dir):
     items = d.select("doc_id", F.when(old, "deleted").otherwise("active").alias("status"), F.when(old, F.lit(1).cast("long")).alias("deleted_at"))
     rows, index = V.soft_delete(items, d.filter("doc_id % 2 = 0").select("doc_id"), d.filter("doc_id % 3 = 0"), "doc_id", F.lit(9).cast("long"))
     return rows.join(index.withColumn("indexed", F.lit(1)), "doc_id", "left").select("doc_id", "status", "deleted_at", F.coalesce("indexed", F.lit(0)).alias("indexed"))
+
+
+# --- build and supplements ---------------------------------------------------------------------------------------
+
+@query(expect([
+    (0, "precipitation", 150.4, "mm", "range"), (1, "temperature_drop", 13.3, "℃", "range"), (2, "temperature_drop", 8.5, "℃", "station"), (2, "temperature_drop", 12.0, "℃", "station"),
+    (3, "visibility", 0.2, "km", "visibility"), (3, "visibility", 1.5, "km", "visibility"), (4, "temperature", 41.2, "℃", "range"),
+], "id", "metric", "value", "unit", "relation"))
+def supplemental_facts(spark, sf_dir):
+    data = ["累计降水量为 0.1～150.4 毫米。", "各地降温\n介于1.4-13.3℃之间。", "降温站点：太原8.5 大同 12 阳泉45。", "能见度200米，后升至1.5公里，风速3 m/s。", "最高气温介于35—41.2℃。", None]
+    return extraction.supplements(texts(spark, data), "id", "text").drop("confidence", "sentence")
+
+
+@query("SELECT o_orderkey, o_custkey || '-case-' || CASE WHEN n < 1000 THEN lpad(CAST(n AS VARCHAR), 3, '0') ELSE CAST(n AS VARCHAR) END AS case_id FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders)")
+def numbered_case_ids(spark, sf_dir):
+    rows = S.table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("source"), "o_orderkey", "o_orderdate")
+    return build.numbered_cases(rows, "source", ["o_orderdate", "o_orderkey"]).select("o_orderkey", "case_id")
+
+
+@query(expect([("a", 2, 2, 1), ("b", 1, 0, 0)], "source_pdf", "chunks", "images", "linked"))
+def relinked_manifest(spark, sf_dir):
+    chunks = spark.createDataFrame([("a", "c1", "强降水集中在太原南部和大同"), ("a", "c2", "风"), ("b", "c3", "强降水集中在太原南部和大同")], "source_pdf string, chunk_id string, content string")
+    images = spark.createDataFrame([("a", "i1", "图一 强降水集中在太原南部"), ("a", "i2", None)], "source_pdf string, image_id string, nearby_text string")
+    return build.manifest(chunks, build.relinked(images, chunks))
+
+
+@query(expect([(0, "resource/a/b.png"), (1, "resource/x.png"), (2, "a/b.png")], "id", "path"))
+def relative_paths(spark, sf_dir):
+    return texts(spark, ["C:\\data\\resource\\a\\b.png", "resource/x.png", "a/b.png"]).select("id", build.relative_path(F.col("text")).alias("path"))

@@ -2,54 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import materialize, new_path, remove, shared_dir, small_batches  # noqa: F401  (for the operators)
+
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset, a temporary one, on a local master only."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return (found or f"{tempfile.gettempdir()}/caseloom-shared").rstrip("/")
-
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-
-
-@contextmanager
-def small_batches(spark: SparkSession) -> Iterator[None]:
-    """Texts, and pairs of texts, reach Python tasks in Arrow batches of bounded size."""
-    limits = {"spark.sql.execution.arrow.maxBytesPerBatch": "4m", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
-    before = {k: spark.conf.get(k) for k in limits}
-    try:
-        for k, v in limits.items():
-            spark.conf.set(k, v)
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v)
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write to the shared folder and read again: cuts the lineage, survives lost executors."""
-    spark, path = df.sparkSession, new_path(df.sparkSession, tag)
-    with small_batches(spark):
-        df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def id_text(docs: DataFrame) -> DataFrame:
     """Only the two columns that the operators read; a null text counts as empty."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))

@@ -6,8 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, new_path
+from .common import documents, materialize, new_path
+from .conversations import audits, damaged, digests, repaired, turns_of
 from .decontamination import contaminated
+from .merkle import FIELDS, leaf, manifest
 from .packing import pack
 from .pii import private_spans
 from .quality_knn import score_quality
@@ -19,6 +21,7 @@ from .token_files import read_token_files, write_token_files
 from .tokens import encoder
 from .toxicity import held_out, score_toxicity
 
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
@@ -69,5 +72,23 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, folder, shards, 2 if encoder(BPE).typecode == "H" else 4)
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    lower = F.translate("text", UPPER, UPPER.lower())
+    altered = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, leaf([lower if c == "text" else F.col(c) for c in FIELDS]))
+    found = manifest(docs, "doc_id", "source", FIELDS, altered).withColumns({"doc_id": F.col("key"), "proof_sha256": F.sha2("proof", 256), "folded_root": F.col("folded")})
+    return materialize(found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded") == F.col("root")).alias("verified")), "manifest")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = documents(spark, sf_dir, "conversations")
+    turns = damaged(turns_of(rows))
+    solved = materialize(audits(turns), "audits")
+    hashed = digests(repaired(turns, solved))
+    conv_id = F.when(F.col("conv") != "-", F.substring("conv", 2, 1 << 30)).cast(rows.schema["conv_id"].dataType).alias("conv_id")
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit"]
+    return solved.join(hashed, "conv", "left").select(conv_id, *counts, F.coalesce("sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
 def queries() -> dict:
     return {n: f for n, f in globals().items() if n.startswith("op") and callable(f)}

@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .block_search import top_products
 from .common import documents, materialize, new_path
 from .conversations import audits, damaged, digests, repaired, turns_of
 from .decontamination import contaminated
@@ -72,6 +73,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, folder, shards, 2 if encoder(BPE).typecode == "H" else 4)
 
 
+def op11_block_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_products(documents(spark, sf_dir, "embeddings"), k=5, every=50).select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     lower = F.translate("text", UPPER, UPPER.lower())

@@ -14,7 +14,22 @@ SMALL = "/root/testdata/sf0.001"
 
 def test_every_operator_is_registered():
     names = {n.split("_")[0] for n in __spark_entry__.queries() if n.startswith("op")}
-    assert names == {f"op{i}" for i in range(1, 11)} and "pipeline" in __spark_entry__.queries()
+    assert names == {f"op{i}" for i in range(1, 14)} and "pipeline" in __spark_entry__.queries()
+
+
+def test_queries_equal_their_sql(spark):
+    import duckdb
+
+    from caseloom.llm.oracles import oracle_sql
+
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
+    for name, sql in oracle_sql().items():
+        got, want = Q.queries()[name](spark, SMALL), con.execute(sql)
+        columns = [c[0] for c in want.description]
+        assert sorted(got.columns) == sorted(columns)
+        assert sorted(tuple(r) for r in got.select(*columns).collect()) == sorted(want.fetchall()), name
 
 
 def test_decontamination_equals_plain_search(spark):

@@ -10,17 +10,17 @@ a window are one window of their own length, and texts send windows of these few
 
 A document that holds ``SHARE`` or more of an item's template windows, or of all its windows, is a
 candidate. If its windows have placeholders, the slot values are compared along each alignment of
-document and item: a consistent one maps every value of the item to one value of the document, so
-re-parameterised questions count and chance patterns do not. Alignments at most a window apart are
-chained, as a word put in or left out moves them; of a chain those count that agree with its larger
-ones.
+document and item: a value of the item means itself, where it stands unchanged somewhere, else what two thirds of its
+places say, else nothing; windows that say otherwise do not count. So re-parameterised questions count, chance
+patterns do not, and one edited number costs the windows around it alone. Alignments at most a window apart are
+chained, as a word put in or left out moves them; in a chain the larger ones say what a value means.
 
 The benchmark's windows are broadcast only if counted to be at most ``BROADCAST_ROWS``; beyond that
 the join shuffles. Documents send each distinct window once, so no group of copies multiplies.
 
 Defined results: null and empty texts, and texts without a word, hold nothing; null doc_ids or
 item_ids are left out; a doc_id or item_id that occurs twice is read as one document or item with
-the windows of both; empty tables give no rows; other columns are ignored.
+the windows of both; very long texts are read whole, each distinct window once; empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,6 +32,7 @@ from pyspark.sql.window import Window as W
 from .common import materialize
 
 WINDOW, SHARE, LEAST_LITERAL = 8, 0.5, 4
+CLEAR = 2 / 3  # of the places of an item's value: so many must say the same, or it means nothing
 BROADCAST_ROWS = 1_000_000
 NAME, NUMBER, UNIT, FIRST = "\ue000", "\ue001", "\ue002", "\ue003"  # FIRST: capitalised, but not inside a sentence
 #: Units of measure that may follow a number.
@@ -134,18 +135,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) ->
     found = found.select("doc_id", F.col("x.hash").alias("hash"), F.col("x.at").alias("doc_at"), F.col("x.slots").alias("doc_slots"))
     both = slotted.select(*key).join(items, ["item_id", "wide"]).join(found, ["doc_id", "hash"])
     lines = materialize(both.withColumn("shift", F.col("doc_at") - F.col("at")), "aligned")
-    line = [*key, "shift"]
-    values = lines.select(*line, F.explode(F.arrays_zip(F.col("slots").alias("a"), F.col("doc_slots").alias("b"))).alias("v")).select(*line, "v.a", "v.b").distinct()
-    odd = values.groupBy(*line).agg(F.count("*").alias("n"), F.count_distinct("a").alias("na")).filter("n <> na")
-    lines = materialize(lines.join(odd, line, "left_anti").select(*line, "hash", "telling", "n_telling", "n_windows"), "lines")
+    line, place = [*key, "shift"], [*key, "shift", "at"]
+    said = lines.select(*place, F.explode(F.arrays_zip(F.col("slots").alias("a"), F.col("doc_slots").alias("b"))).alias("v")).select(*place, "v.a", "v.b")
+    # what an item's value means in each line; windows that say otherwise do not count
+    most = said.groupBy(*line, "a", "b").agg(F.count("*").alias("n")).groupBy(*line, "a")
+    most = most.agg(F.max(F.col("a") == F.col("b")).alias("same"), F.max_by("b", F.struct("n", "b")).alias("most"), (F.max("n") >= CLEAR * F.sum("n")).alias("clear"))
+    most = most.select(*line, "a", F.when(F.col("same"), F.col("a")).when(F.col("clear"), F.col("most")).otherwise("").alias("meant"))
+    odd = said.join(most, [*line, "a"]).filter("b <> meant").select(*place).distinct()
+    sizes = lines.join(odd, place, "left_anti").groupBy(*line).agg(F.count_distinct("hash").alias("n"))
     # a word put in or left out moves the shift: shifts no farther apart than a window belong together
-    sizes = lines.groupBy(*line).agg(F.count_distinct("hash").alias("n"))
     w = W.partitionBy(*key).orderBy("shift")
     sizes = sizes.withColumn("chain", F.sum(F.when(F.col("shift") - F.lag("shift").over(w) > WINDOW, 1).otherwise(0)).over(w))
-    values = values.join(sizes, line)
-    first = values.groupBy(*key, "chain", "a").agg(F.min_by("b", F.struct(-F.col("n"), "shift")).alias("meant"))
-    against = values.join(first, [*key, "chain", "a"]).filter("b <> meant").select(*line).distinct()
-    held = lines.join(sizes.drop("n"), line).join(against, line, "left_anti").groupBy(*key, "chain")
+    first = most.join(sizes, line).groupBy(*key, "chain", "a").agg(F.min_by("meant", F.struct(F.col("meant") == "", -F.col("n"), "shift")).alias("meant"))
+    sizes = sizes.drop("n")
+    against = said.join(sizes, line).join(first, [*key, "chain", "a"]).filter("b <> meant").select(*place).distinct()
+    held = lines.join(sizes, line).join(against, place, "left_anti").groupBy(*key, "chain")
     held = held.agg(_enough(share).alias("enough")).filter("enough")
     return _once(plain.unionByName(slotted.join(held, key, "left_semi")))
 

@@ -274,8 +274,8 @@ def _document(emission, model: ToxicModel, words: list[str]) -> tuple[list[int],
     return at, model.marginals(at, [found[i] for i in at], len(words)) if at else np.empty(0), len(words)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, score, n_toxic_tokens, spans of every document; labels: those to learn from (doc_id, toxic)."""
+def score_toxicity(docs: DataFrame, labels: DataFrame, scored: DataFrame | None = None) -> DataFrame:
+    """doc_id, score, n_toxic_tokens, spans of every document; labels: those to learn from (doc_id, toxic). scored: other documents to score than those learnt from."""
     model = docs.sparkSession.sparkContext.broadcast(fit(materialize(labelled_sample(docs, labels, "toxic", SAMPLE), "toxic-sample")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,4 +292,4 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score, pa.float64()), pa.array(count, pa.int64()), pa.array(spans, kind)], names=["doc_id", "score", "n_toxic_tokens", "spans"])
 
-    return id_text(docs).mapInArrow(run, SCHEMA)
+    return id_text(docs if scored is None else scored).mapInArrow(run, SCHEMA)

@@ -59,16 +59,31 @@ def test_pipeline_stages(spark):
 
 
 def test_stages_take_nulls_repeats_and_clashing_columns(spark):
-    """Rows without an id stay through the filters, repeated rows of a kept id once after near-dedup, other columns as they are."""
-    schema = "doc_id long, text string, lang string, source string, n_chars long, _text string, _id long, terms string, base string, score double, component_id long, w int"
-    made = [(None, None), (None, "mail a@b.cc now"), (1, ""), (2, "one two three"), (2, "one two three"), (3, "w " * 20_000), (4, None)]
+    """Every row is a document of its own: unlike texts without an id or of one id all stay, near copies once; other columns as they are."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _text string, _id long, terms string, base string, score double, component_id long, _row int"
+    quite = "quite another text about old boats and the sea"
+    made = [(None, None), (None, "mail a@b.cc now"), (None, quite), (None, quite), (1, ""), (2, "one two three"), (2, "one two three"), (3, "w " * 20_000), (4, None), (5, "alpha beta gamma delta epsilon zeta"), (5, "words of a different kind stand here"), (6, quite)]
     rows = spark.createDataFrame([(i, t, None, "s", None, "x", 1, "t", "b", 0.5, 9, 1) for i, t in made], schema)
-    for docs in (rows, rows.limit(0)):
+    want = sorted([(0, "mail <EMAIL> now"), (1, ""), (2, "one two three"), (3, "w " * 20_000), (5, "alpha beta gamma delta epsilon zeta"), (5, "words of a different kind stand here"), (6, quite)])
+    for docs, expected in ((rows, want), (rows.limit(0), [])):
         for name, stage in corpus_pipeline.STAGES[:-1]:
             docs = corpus_pipeline.materialize(stage(spark, docs, SMALL), name)
             assert docs.columns == rows.columns, name
         kept = docs.collect()
-        assert sorted(r.doc_id or 0 for r in kept if r.doc_id not in (1, 4)) in ([], [0, 0, 2, 3], [0, 2, 3])
-        assert all((r._text, r._id, r.terms, r.component_id) == ("x", 1, "t", 9) for r in kept)
+        assert sorted((r.doc_id or 0, r.text) for r in kept) == expected
+        assert all((r._text, r._id, r.terms, r.component_id, r._row) == ("x", 1, "t", 9, 1) for r in kept)
         pieces = corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).collect()
         assert {p.doc_id for p in pieces} == {r.doc_id for r in kept}
+
+
+def test_toxic_and_leaked_rows_go_whatever_their_id(spark):
+    """Of two texts of one id, and of rows without one, only the toxic or leaked ones go."""
+    item = spark.read.parquet(f"{SMALL}/benchmark.parquet").orderBy("item_id").first().text
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    gone = docs.join(corpus_pipeline.toxicity(spark, docs, SMALL), "doc_id", "left_anti").first()
+    mixed = docs.union(spark.createDataFrame([(None, gone.text if gone else "x"), (None, "clean words only"), (7, item), (None, f"before {item} after")], docs.schema))
+    kept = corpus_pipeline.toxicity(spark, mixed, SMALL).collect()
+    assert (None, "clean words only") in {(r.doc_id, r.text) for r in kept} and (not gone or gone.text not in {r.text for r in kept})
+    kept = {(r.doc_id, r.text) for r in corpus_pipeline.decontamination(spark, mixed, SMALL).collect()}
+    was = {(r.doc_id, r.text) for r in docs.filter("doc_id = 7").collect()}
+    assert was <= kept and (7, item) not in kept and (None, f"before {item} after") not in kept

@@ -22,13 +22,16 @@ def numeral(c: Column) -> Column:
 
 
 def months(text: Column) -> Column:
-    """Months named in a text: ranges like 3-5月 and 11月至2月 (over the year's end), single ones, numerals."""
-    n = r"(\d{1,2}|十[一二]?|[一二三四五六七八九])"
-    pair = rf"{n}月?\s*(?:-|—|~|至|到)\s*{n}月"
+    """Months named in a text: ranges like 3-5月 and 11月至2月 (over the year's end), single ones, numerals.
+
+    A number that stands behind 月 is a day, and so is one that no 月 follows: 7月28-8月3日 names July and August.
+    """
+    n = r"(?<![\d月/-])(1[0-2]|0?[1-9]|十[一二]?|[一二三四五六七八九])(?!\d)"
+    pair = rf"{n}\s*月?\s*(?:-|—|~|～|至|到)\s*(?<![月])(1[0-2]|0?[1-9]|十[一二]?|[一二三四五六七八九])\s*月"
     lo, hi = (F.regexp_extract_all(text, F.lit(pair), F.lit(i)) for i in (1, 2))
     span = lambda a, b: F.when(a <= b, F.sequence(a, b)).otherwise(F.concat(F.sequence(a, F.lit(12)), F.sequence(F.lit(1), b)))
     ranges = F.flatten(F.transform(F.arrays_zip(lo.alias("a"), hi.alias("b")), lambda x: span(numeral(x["a"]), numeral(x["b"]))))
-    single = F.transform(F.regexp_extract_all(text, F.lit(rf"{n}月"), F.lit(1)), numeral)
+    single = F.transform(F.regexp_extract_all(text, F.lit(r"(?<!\d)(1[0-2]|0?[1-9]|十[一二]?|[一二三四五六七八九])\s*月"), F.lit(1)), numeral)
     return F.array_sort(F.array_distinct(F.filter(F.concat(ranges, single), lambda m: m.between(1, 12))))
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..functions.scalars import months
+
 
 def ranked(rows: DataFrame, by: list[Column], out: str = "rank", partition: list[str] = ()) -> DataFrame:
     """Row numbers in a total order; without a partition the order is over all rows (use on aggregates)."""
@@ -23,7 +25,7 @@ def most_common(counts: DataFrame, k: int, label: str = "label", n: str = "n", f
 
 
 def month_of(*sources: tuple[str, Column]) -> Column:
-    """The first source that tells months: ("months", array), ("date", date) or ("text", text with N月 or ISO dates)."""
+    """The first source that tells months: ("months", array), ("date", date) or ("text", text with months or ISO dates; days behind 月 are none)."""
     tries = []
     for kind, c in sources:
         if kind == "months":
@@ -31,8 +33,8 @@ def month_of(*sources: tuple[str, Column]) -> Column:
         elif kind == "date":
             tries.append(F.when(c.isNotNull(), F.array(F.month(c))))
         else:
-            found = F.transform(F.regexp_extract_all(c, F.lit(r"(?:\d{4}-)?(\d{1,2})(?:月|-\d{1,2})"), F.lit(1)), lambda x: x.cast("int"))
-            found = F.array_sort(F.array_distinct(F.filter(found, lambda m: m.between(1, 12))))
+            iso = F.transform(F.regexp_extract_all(c, F.lit(r"\d{4}-(\d{1,2})-\d{1,2}"), F.lit(1)), lambda x: x.cast("int"))
+            found = F.array_sort(F.array_distinct(F.concat(F.filter(iso, lambda m: m.between(1, 12)), months(c))))
             tries.append(F.when(F.size(found) > 0, found))
     return F.coalesce(*tries, F.array().cast("array<int>"))
 

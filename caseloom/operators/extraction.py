@@ -1,4 +1,4 @@
-"""Metric facts from text: sentence gate, number and unit, place, unit normalisation, plausibility."""
+"""Checks of proposed facts, values of months, derived facts; facts.py finds facts in texts."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.scalars import sentences, unit, wind_force
+from ..functions.scalars import sentences, wind_force
 
 #: The metrics, what names them, the units that fit, and their plausible range.
 METRICS = [
@@ -16,31 +16,6 @@ METRICS = [
     ("visibility", ["能见度", "visibility"], ["km", "公里", "千米", "m", "米"], (0.0, 100_000.0)),
     ("hail", ["冰雹", "hail"], ["mm", "毫米", "cm", "厘米"], (0.0, 500.0)),
 ]
-NUMBER = r"([-−]?\d+(?:\.\d+)?)\s*"
-
-
-def facts(chunks: DataFrame, id_column: str, text: str, metrics=METRICS) -> DataFrame:
-    """A row for each number with a fitting unit in a sentence that names the metric.
-
-    value and unit as written, the normalised value (visibility in metres), the bracketed place after
-    it, the sentence and its number. Every step is an engine expression: no Python per row.
-    """
-    out = None
-    rows = chunks.select(F.col(id_column), F.posexplode(sentences(F.regexp_replace(F.col(text), r"\s*\n\s*", ""))).alias("sentence_no", "sentence"))
-    for name, words, units, (lo, hi) in metrics:
-        named = F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(F.lower("sentence"), w))
-        pattern = F.lit(NUMBER + "(" + "|".join(sorted(units, key=lambda u: (-len(u), u))) + r")(?!/)(?:[（(]([^）)]{1,20})[）)])?")
-        part = lambda i, p=pattern: F.regexp_extract_all("sentence", p, F.lit(i))
-        found = F.arrays_zip(part(1).alias("v"), part(2).alias("u"), part(3).alias("place"))
-        one = rows.filter(named).select(id_column, "sentence_no", "sentence", F.posexplode(found).alias("fact_no", "x"))
-        value = F.replace(F.col("x.v"), F.lit("−"), F.lit("-")).cast("double")
-        one = one.select(id_column, "sentence_no", "fact_no", F.lit(name).alias("metric"), value.alias("value"), unit(F.col("x.u")).alias("unit"), F.nullif(F.col("x.place"), F.lit("")).alias("place"), "sentence")
-        one = one.filter(F.col("value").between(lo, hi))
-        out = one if out is None else out.unionAll(one)
-    normal = F.when((F.col("metric") == "visibility") & (F.col("unit") == "km"), F.col("value") * 1000).when((F.col("metric") == "hail") & (F.col("unit") == "cm"), F.col("value") * 10).otherwise(F.col("value"))
-    normal_unit = F.when(F.col("metric") == "visibility", "m").when(F.col("metric") == "hail", "mm").otherwise(F.col("unit"))
-    return out.withColumn("normalized_value", normal).withColumn("normalized_unit", normal_unit)
-
 
 def unit_fits(metric: Column, u: Column, metrics=METRICS) -> Column:
     ok = F.lit(False)
@@ -84,35 +59,3 @@ def nearest_time(rows: DataFrame, group: str, order: str, stamp: Column) -> Data
     """Each fact gets the time named last before it in its document."""
     w = W.partitionBy(group).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
     return rows.withColumn("time", F.last(stamp, ignorenulls=True).over(w))
-
-
-#: Metrics that texts give as a range or a list, what names them, and the unit of the value kept.
-RANGED = [("precipitation", "降水量", "mm|毫米"), ("temperature", "(?:日)?最高(?:气温|温度)", "℃|°C"), ("temperature_drop", "降温(?:幅度)?", "℃|°C"), ("snow_depth", "积雪深度|雪深", "cm|厘米")]
-
-
-def supplements(chunks: DataFrame, key: str, text: str) -> DataFrame:
-    """key, metric, value, unit, relation, confidence, sentence: facts that stand in ranges and lists.
-
-    range: the upper end of a range after the metric's name; station: every number after a station's name in a
-    list of temperature drops (0 to 30); visibility: all distances, in km. A null or empty text has none;
-    a fact said twice in a sentence is there twice.
-    """
-    rows = chunks.select(key, F.explode(sentences(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"\s*\r?\n\s*", ""))).alias("sentence"))
-    number = r"\d+(?:\.\d+)?"
-    found = None
-    for name, words, units in RANGED:
-        pattern = rf"(?:{words})[^。；]{{0,80}}?{number}\s*[～~\-－—至到]+\s*({number})\s*({units})"
-        value, u = (F.regexp_extract_all("sentence", F.lit(pattern), F.lit(i)) for i in (1, 2))
-        one = rows.select(key, "sentence", F.lit(name).alias("metric"), F.explode(F.arrays_zip(value.alias("v"), u.alias("u"))).alias("x"), F.lit("range").alias("relation"), F.lit(0.86).alias("confidence"))
-        found = one if found is None else found.unionAll(one)
-    listed = F.regexp_extract_all(F.substring_index("sentence", "：", -1), F.lit(rf"\p{{IsHan}}{{1,10}}\s*(-?{number})"), F.lit(1))
-    drops = rows.filter(F.contains("sentence", F.lit("降温")) & F.contains("sentence", F.lit("站")) & F.contains("sentence", F.lit("：")))
-    drops = drops.select(key, "sentence", F.lit("temperature_drop").alias("metric"), F.explode(F.transform(listed, lambda v: F.struct(v.alias("v"), F.lit("℃").alias("u")))).alias("x"), F.lit("station").alias("relation"), F.lit(0.9).alias("confidence"))
-    drops = drops.filter((F.col("x.v").cast("double") > 0) & (F.col("x.v").cast("double") <= 30))
-    sight = [F.regexp_extract_all("sentence", F.lit(rf"({number})\s*(km|公里|千米|m(?!\s*/\s*s)|米(?!\s*/))"), F.lit(i)) for i in (1, 2)]
-    seen = rows.filter(F.contains("sentence", F.lit("能见度")))
-    seen = seen.select(key, "sentence", F.lit("visibility").alias("metric"), F.explode(F.arrays_zip(sight[0].alias("v"), sight[1].alias("u"))).alias("x"), F.lit("visibility").alias("relation"), F.lit(0.88).alias("confidence"))
-    out = found.unionAll(drops).unionAll(seen)
-    u, v = unit(F.col("x.u")), F.col("x.v").cast("double")
-    short = (F.col("metric") == "visibility") & (u == "m")
-    return out.select(key, "metric", F.when(short, v / 1000).otherwise(v).alias("value"), F.when(short, "km").otherwise(u).alias("unit"), "relation", "confidence", "sentence")

@@ -7,7 +7,7 @@ import datetime
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..operators import build, extraction
+from ..operators import build
 from ..operators import evidence as V
 from ..operators import requests as R
 from ..sources import tables as S
@@ -380,15 +380,6 @@ def soft_deleted(spark, sf_dir):
 
 # --- build and supplements ---------------------------------------------------------------------------------------
 
-@query(expect([
-    (0, "precipitation", 150.4, "mm", "range"), (1, "temperature_drop", 13.3, "℃", "range"), (2, "temperature_drop", 8.5, "℃", "station"), (2, "temperature_drop", 12.0, "℃", "station"),
-    (3, "visibility", 0.2, "km", "visibility"), (3, "visibility", 1.5, "km", "visibility"), (4, "temperature", 41.2, "℃", "range"),
-], "id", "metric", "value", "unit", "relation"))
-def supplemental_facts(spark, sf_dir):
-    data = ["累计降水量为 0.1～150.4 毫米。", "各地降温\n介于1.4-13.3℃之间。", "降温站点：太原8.5 大同 12 阳泉45。", "能见度200米，后升至1.5公里，风速3 m/s。", "最高气温介于35—41.2℃。", None]
-    return extraction.supplements(texts(spark, data), "id", "text").drop("confidence", "sentence")
-
-
 @query("SELECT o_orderkey, o_custkey || '-case-' || CASE WHEN n < 1000 THEN lpad(CAST(n AS VARCHAR), 3, '0') ELSE CAST(n AS VARCHAR) END AS case_id FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders)")
 def numbered_case_ids(spark, sf_dir):
     rows = S.table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("source"), "o_orderkey", "o_orderdate")

@@ -46,14 +46,6 @@ joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
 
 # --- column functions ------------------------------------------------------------------------------------------
 
-MONTHS = ["3-5月", "11月至2月多雪", "七月和9月", "十二月", "无", "13月"]
-
-
-@query(expect([(0, "3,4,5"), (1, "1,2,11,12"), (2, "7,9"), (3, "12"), (4, ""), (5, "3")], "id", "months"))
-def months_named(spark, sf_dir):
-    return texts(spark, MONTHS[:5] + ["3月"]).select("id", joined(X.months(F.col("text"))).alias("months"))
-
-
 @query("SELECT o_orderkey, CAST(month(o_orderdate) AS BIGINT) AS a, (month(o_orderdate) + 4) % 12 + 1 AS b, CASE WHEN month(o_orderdate) <= (month(o_orderdate) + 4) % 12 + 1 THEN (month(o_orderdate) + 4) % 12 + 2 - month(o_orderdate) ELSE 14 - month(o_orderdate) + (month(o_orderdate) + 4) % 12 END AS n FROM orders")
 def month_spans(spark, sf_dir):
     a = F.month("o_orderdate")
@@ -237,15 +229,6 @@ def ids_or_source(spark, sf_dir):
     return of(few, "ids").unionByName(of(few.limit(0), "source"))
 
 
-MONTH_ROWS = [(0, [7, 8], None, ""), (1, [], datetime.date(2025, 3, 4), "9月"), (2, [], None, "2024-11-02至12月"), (3, [], None, "无")]
-
-
-@query(expect([(0, "7,8"), (1, "3"), (2, "11,12"), (3, "")], "id", "months"))
-def month_sources(spark, sf_dir):
-    rows = spark.createDataFrame(MONTH_ROWS, "id long, months array<int>, start date, text string")
-    return rows.select("id", joined(aggregates.month_of(("months", F.col("months")), ("date", F.col("start")), ("text", F.col("text")))).alias("months"))
-
-
 @query("""SELECT user_id, place AS event_id, event_type FROM (SELECT *, min(event_id) OVER (PARTITION BY user_id) AS place, row_number() OVER (PARTITION BY user_id ORDER BY CASE event_type WHEN 'purchase' THEN 2 WHEN 'signup' THEN 1 ELSE 0 END DESC, event_id) rn FROM events) WHERE rn = 1""")
 def upgraded_facts(spark, sf_dir):
     rows = S.table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")

@@ -42,11 +42,12 @@ UNITS = "km|m|cm|mm|mi|miles|ft|feet|kg|g|mg|lb|lbs|l|ml|h|hours|min|minutes|s|s
 def _tokens(text: Column) -> Column:
     """Lower-case words; those that may be in a slot begin with its placeholder character."""
     t = F.regexp_replace(F.coalesce(text, F.lit("")), f"[{NAME}-{FIRST}]", " ")
-    t = F.regexp_replace(t, r"(?<=[\p{Ll},;] )\p{Lu}\p{Ll}+", f"{NAME}$0")
-    t = F.regexp_replace(t, rf"(?<![\p{{L}}\p{{M}}\p{{N}}{NAME}])\p{{Lu}}\p{{Ll}}+", f"{FIRST}$0")
+    # looking ahead before looking back: a capital is rarer than what may stand before it
+    t = F.regexp_replace(t, r"(?=\p{Lu})(?<=[\p{Ll},;] )\p{Lu}\p{Ll}+", f"{NAME}$0")
+    t = F.regexp_replace(t, rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{M}}\p{{N}}{NAME}])\p{{Lu}}\p{{Ll}}+", f"{FIRST}$0")
     t = F.regexp_replace(t, r"\d++(?:[.,]\d++)*+", f" {NUMBER}$0 ")
     t = F.regexp_replace(t, rf"({NUMBER}\S++  ?)(?i:({UNITS}))(?![\p{{L}}\p{{N}}])", f"$1{UNIT}$2")
-    t = F.regexp_replace(t, r"(?<=\d)[.,](?=\d)", "_")
+    t = F.regexp_replace(t, r"(?=[.,])(?<=\d)[.,](?=\d)", "_")
     return F.filter(F.split(F.lower(t), rf"[^\p{{L}}\p{{M}}\p{{N}}_{NAME}-{FIRST}]++"), lambda w: w != "")
 
 
@@ -57,24 +58,38 @@ def _in_slot(x: Column, wide: bool) -> Column:
     return (x >= NAME) & (x < (PAST if wide else FIRST))
 
 
-def _hashes(tokens: Column, wide: bool) -> Column:
-    """For each token, in one reading of names, a hash, of its placeholder where it is in a slot; the last four bits count slots."""
-    word = lambda x: F.xxhash64(x).bitwiseAND(F.lit(-16))
-    slot = lambda kind: F.lit(16 * (ord(kind) - ord(NAME) + 1) + 1)
-    first = lambda x: slot(NAME) if wide else word(F.substring(x, 2, 1 << 30))
-    return F.transform(tokens, lambda x: F.when((x < NAME) | (x >= PAST), word(x)).when(x < NUMBER, slot(NAME)).when(x < UNIT, slot(NUMBER)).when(x < FIRST, slot(UNIT)).otherwise(first(x)))
+COUNT, MARK = 15, 16  # the low bits of a hash: how many slots it holds, and whether its word is capitalised but not inside a sentence
+
+
+def _hashes(tokens: Column) -> Column:
+    """For each token a hash, of its placeholder where it is in a slot; the low bits count slots, and mark what the two readings of names read differently."""
+    word = lambda x: F.xxhash64(x).bitwiseAND(F.lit(-32))
+    marked = lambda x: word(F.substring(x, 2, 1 << 30)).bitwiseOR(F.lit(MARK))
+    return F.transform(tokens, lambda x: F.when((x < NAME) | (x >= PAST), word(x)).when(x < NUMBER, _slot(NAME)).when(x < UNIT, _slot(NUMBER)).when(x < FIRST, _slot(UNIT)).otherwise(marked(x)))
+
+
+def _slot(kind: str) -> Column:
+    return F.lit(32 * (ord(kind) - ord(NAME) + 1) + 1)
+
+
+def _read(hashes: str, wide: bool) -> Column:
+    """The hashes in one reading of names: a marked word is a name in the wide one, a word in the other."""
+    if wide:
+        return F.transform(hashes, lambda x: F.when(x.bitwiseAND(F.lit(MARK)) == 0, x).otherwise(_slot(NAME)))
+    return F.transform(hashes, lambda x: x.bitwiseAND(F.lit(~MARK)))
 
 
 def _doubled(a: str, k: int) -> Column:
     """Of column a, hashes of k tokens, those of 2k; a column by name, so that it is made once."""
-    one = lambda x, y: F.xxhash64(x, y).bitwiseAND(F.lit(-16)).bitwiseOR(x.bitwiseAND(F.lit(15)) + y.bitwiseAND(F.lit(15)))
+    one = lambda x, y: F.xxhash64(x, y).bitwiseAND(F.lit(-32)).bitwiseOR(x.bitwiseAND(F.lit(COUNT)) + y.bitwiseAND(F.lit(COUNT)))
     return F.zip_with(a, F.slice(a, k + 1, 1 << 30), lambda x, y: one(x, y))
 
 
 def _with_windows(rows: DataFrame, key: str, slots: bool, lengths: list[int], exact: bool = False) -> DataFrame:
     """key, windows: array of hashes, or of (wide, hash, at, telling, slots). lengths: short ones to send besides, if exact only of texts as short."""
     df = rows.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias(key), _tokens(F.col("text")).alias("tokens"))
-    df = df.select(key, "tokens", F.size("tokens").alias("n"), *[_hashes(F.col("tokens"), r == "1").alias(f"h{r}") for r in "01"])
+    df = df.select(key, "tokens", F.size("tokens").alias("n"), _hashes(F.col("tokens")).alias("h"))
+    df = df.select(key, "tokens", "n", *[_read("h", r == "1").alias(f"h{r}") for r in "01"])
     df = df.withColumns({f"t{r}": _doubled(f"h{r}", 1) for r in "01"})
     for k in (2, 4):
         df = df.withColumns({f"t{r}": _doubled(f"t{r}", k) for r in "01"})
@@ -82,7 +97,7 @@ def _with_windows(rows: DataFrame, key: str, slots: bool, lengths: list[int], ex
     def of(r: str, length: int) -> Column:
         def one(i: Column, whole: Column | None = None) -> Column:
             over = lambda tag, make: F.xxhash64(F.lit(tag), *[make(i + j) for j in range(length)])
-            filled = whole.bitwiseAND(F.lit(15)) if whole is not None else sum((F.get(f"h{r}", i + j).bitwiseAND(F.lit(15)) for j in range(length)), F.lit(0))
+            filled = whole.bitwiseAND(F.lit(COUNT)) if whole is not None else sum((F.get(f"h{r}", i + j).bitwiseAND(F.lit(COUNT)) for j in range(length)), F.lit(0))
             telling = filled <= length - min(length, LEAST_LITERAL)
             template = whole if whole is not None else over(length, lambda at: F.get(f"h{r}", at))
             hash_ = F.when(telling, template).otherwise(over(-length, lambda at: F.translate(F.get("tokens", at), NAME + NUMBER + UNIT + FIRST, "")))

@@ -21,7 +21,7 @@ def reports(spark, sf_dir):
         F.month(day), F.lit("月"), F.dayofmonth(day), F.lit("日累计降水量最高达"), q, F.lit("毫米（"), F.try_element_at(place, F.col("l_returnflag")), F.lit("）。局地出现"), q % 4 + 5, F.lit("-"), q % 4 + 8,
         F.lit("级雷暴大风；最高气温介于"), q + 5, F.lit("～"), q + 20, F.lit("℃。\n能见度"), q * 10, F.lit("米，后升\n至1.5公里。"), F.when(F.col("l_returnflag") == "R", "预警区域内阵风可达9级。").otherwise(""),
     )
-    lines = S.table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct("l_linenumber", said.alias("said")).alias("x"))
+    lines = S.table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct("l_linenumber", day.alias("day"), said.alias("said")).alias("x"))
     return lines.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["said"]), "").alias("text"))  # an order has a few lines
 
 
@@ -48,7 +48,7 @@ def metric_readings(spark, sf_dir):
     return N.readings(reports(spark, sf_dir), "l_orderkey", "text", N.SPECS["precipitation"]).select("l_orderkey", F.col("normalized_value").alias("value"), F.col("normalized_unit").alias("unit"), "time", "place")
 
 
-@query("""WITH l AS (SELECT l_orderkey, CAST(l_quantity AS INTEGER) AS q, first_value(month(l_shipdate)) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS m FROM lineitem),
+@query("""WITH l AS (SELECT l_orderkey, CAST(l_quantity AS INTEGER) AS q, first_value(month(l_shipdate)) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_shipdate) AS m FROM lineitem),
 r AS (SELECT *, row_number() OVER (PARTITION BY m ORDER BY q, l_orderkey) AS n FROM l) SELECT CAST(m AS VARCHAR) AS month, CAST(q * 10 AS DOUBLE) AS metres, l_orderkey FROM r WHERE n = 1""")
 def lowest_visibility(spark, sf_dir):
     """The lowest visibility of each month, with the order that proves it; sentences without a day are of the report's first one."""

@@ -229,7 +229,7 @@ def near_duplicates(docs: DataFrame, k: int = 3, radius: int = 3) -> DataFrame:
 # Looser copies, for pipelines: exact similarity of word shingles ------------------------------------------
 
 ORDER_SAMPLE = 10_000  # texts whose shingle counts give the order, rare ones first; it decides cost, never results
-ORDER_SHINGLES = 1_000_000  # of their repeated shingles so many, the most frequent, are broadcast
+ORDER_SHINGLES = 250_000  # of their repeated shingles so many, the most frequent, are broadcast
 SHARED = 2  # shingles that two prefixes must share
 LIGHT = 32  # texts that all meet in a bucket; in larger ones leaders come first
 LEADS, SALTS = 2, 8  # rounds of leaders; parts of a bucket that is compared in full
@@ -271,8 +271,8 @@ def _common(rows: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
 
     every = max(1, rows.count() // ORDER_SAMPLE)
     few = rows.filter(F.pmod(F.col("body"), F.lit(every)) == 0).dropDuplicates(["body"]).select("body", "text")
-    found = few.mapInArrow(run, "s long").groupBy("s").count().filter("count > 1").orderBy(F.desc("count"), "s").limit(ORDER_SHINGLES).toPandas()
-    s, n = found["s"].to_numpy(np.int64).view(np.uint64), found["count"].to_numpy(np.int64)
+    found = few.mapInArrow(run, "s long").groupBy("s").count().filter("count > 1").orderBy(F.desc("count"), "s").limit(ORDER_SHINGLES).toArrow()
+    s, n = found.column("s").to_numpy().view(np.uint64), found.column("count").to_numpy()
     order = np.argsort(s)
     return s[order], n[order]
 

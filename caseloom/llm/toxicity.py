@@ -32,6 +32,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -245,15 +246,21 @@ def fit(rows: DataFrame) -> ToxicModel:
         if n != {0, 1}:
             return ToxicModel()
     model = ToxicModel()
-    sequences = _sequences(rows, {f: i for i, f in enumerate(chosen)}).orderBy("y", "n", "cells").collect() if chosen else []
-    if sequences:
-        real = np.arange(2 * WINDOW + 1) < np.array([r.n for r in sequences])[:, None]
-        pairs = [(i, *map(int, x.split(":"))) for i, r in enumerate(sequences) for x in r.cells.split()]
-        row, place, feature = np.array(pairs, int).reshape(-1, 3).T
+    # as Arrow columns: rows of Python objects would cost the driver many times their bytes
+    sequences = _sequences(rows, {f: i for i, f in enumerate(chosen)}).orderBy("y", "n", "cells").toArrow().combine_chunks() if chosen else None
+    if sequences is not None and sequences.num_rows:
+        y, n, weight = (sequences.column(c).to_numpy() for c in ("y", "n", "weight"))
+        real = np.arange(2 * WINDOW + 1) < n[:, None]
+        said = pc.split_pattern(sequences.column("cells").combine_chunks(), " ")
+        row = np.repeat(np.arange(len(y)), pc.list_value_length(said).to_numpy())
+        said = said.flatten()
+        told = pc.not_equal(said, "")
+        row = row[told.to_numpy(zero_copy_only=False)]
+        place, feature = pc.split_pattern(said.filter(told), ":").flatten().cast(pa.int64()).to_numpy().reshape(-1, 2).T
         cell = row * real.shape[1] + place
         offensive = np.zeros(real.shape, int)
-        offensive.ravel()[cell] = np.array([r.y for r in sequences])[row]
-        w, t = _chain(cell, feature, len(chosen), offensive, real, np.array([r.weight for r in sequences]))
+        offensive.ravel()[cell] = y[row]
+        w, t = _chain(cell, feature, len(chosen), offensive, real, weight)
         model.weights, model.bias = dict(zip(chosen, w[:-1].tolist())), float(w[-1])
         model.trans = tuple(np.exp(t).ravel().tolist())
 

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
+from .order import placed
+
 
 def number(rows: DataFrame, partition: list[str], order: list[Column], out: str) -> DataFrame:
     return rows.withColumn(out, F.row_number().over((W.partitionBy(*partition) if partition else W.partitionBy(F.lit(0))).orderBy(*order)).cast("long"))
@@ -79,10 +81,9 @@ def sequence_id(stem: str, kind: str, n: str, width: int = 3) -> Column:
 
 
 def rank_score(rows: DataFrame, order: list[Column], out: str = "rank_score") -> DataFrame:
-    """1 for the first, 0 for the last of a ranking."""
-    w = W.partitionBy(F.lit(0))
-    n = number(rows, [], order, "_n").withColumn("_all", F.count("*").over(w))
-    return n.withColumn(out, F.when(F.col("_all") > 1, 1 - (F.col("_n") - 1) / (F.col("_all") - 1)).otherwise(1.0)).drop("_n", "_all")
+    """1 for the first, 0 for the last of a ranking; places by prefix sums over ranges, so no task holds the table."""
+    n = placed(rows, order, name="_n", total="_all")
+    return n.withColumn(out, F.when(F.col("_all") > 1, 1 - F.col("_n") / (F.col("_all") - 1)).otherwise(1.0)).drop("_n", "_all")
 
 
 def min_max(rows: DataFrame, score: str, out: str) -> DataFrame:

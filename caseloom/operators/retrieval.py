@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.scalars import cosine, cosine_score, lexical_terms
+from ..functions.scalars import cosine_score, lexical_terms
+from .blocks import top_cosines
 
 DENSE, SPARSE, RRF_K, BM25_K1, BM25_B = 30, 30, 60, 1.2, 0.75
 
@@ -17,13 +18,11 @@ def check_dimension(rows: DataFrame, vector: str, n: int) -> DataFrame:
 
 
 def dense(rows: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", where: Column | None = None) -> DataFrame:
-    """Exact cosine top k of each query (query_id, query_vector): a stated query set against all rows.
+    """Exact cosine top k of each query (query_id, query_vector): a stated query set against all rows, matrix by matrix.
 
-    The query set is broadcast; each task keeps k rows of a query before the shuffle (window group limit).
+    Neither side is broadcast, and no pair of rows is made: see ``blocks``.
     """
-    rows = rows.filter(where) if where is not None else rows
-    scored = rows.select(key, vector).crossJoin(F.broadcast(queries)).select("query_id", key, F.round(cosine(F.col(vector), F.col("query_vector")), 6).alias("score"))
-    return _top(scored, k, key)
+    return top_cosines(rows.filter(where) if where is not None else rows, queries, k, key, vector)
 
 
 def _top(scored: DataFrame, k: int, key: str) -> DataFrame:

@@ -109,10 +109,24 @@ def budget_check(steps: DataFrame, run: str, order: str, limits: dict[str, float
     return out.withColumn("stop", stop)
 
 
-def memory_candidate(text: Column) -> Column:
-    """Type of a remark worth remembering, or null: preference, fact or task, by marker words."""
+#: Words that make a remark worth remembering at all, hazards, and what regions and work habits are told by.
+MARKERS = ("以后", "每次", "偏好", "重点关注", "请记得", "记得以后", "关注一下", "后续都")
+HAZARDS = ("暴雨", "冰雹", "大风", "沙尘", "暴雪", "洪涝", "干旱", "雷电")
+FOLLOWED, REGIONS = ("关注",), ("区域", "地区", "市", "县", "省")
+HABITS = ("分析", "报告", "结论")
+
+
+def memory_candidate(text: Column, markers=MARKERS, hazards=HAZARDS, followed=FOLLOWED, regions=REGIONS, habits=HABITS) -> Column:
+    """(type, confidence) of a remark worth remembering, else null.
+
+    A remark without a marker is none. preference .85: it names a hazard; region .8: it follows a region within
+    a clause; habit .6: it is about reports; preference .5: any other.
+    """
     low = F.lower(text)
-    return F.when(low.rlike("prefer|always|never|喜欢|偏好"), "preference").when(low.rlike("my name|i am|我是|我叫"), "fact").when(low.rlike("remind|remember|记住|提醒"), "task")
+    has = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(low, w))
+    region = low.rlike(f"(?:{'|'.join(followed)})[^，。；,.;]*(?:{'|'.join(regions)})")
+    kind = lambda k, c: F.struct(F.lit(k).alias("type"), F.lit(c).alias("confidence"))
+    return F.when(has(markers), F.when(has(hazards), kind("preference", 0.85)).when(region, kind("region", 0.8)).when(has(habits), kind("habit", 0.6)).otherwise(kind("preference", 0.5)))
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -150,14 +164,14 @@ def collapse_versions(rows: DataFrame, group: str, version: str, pos: str) -> Da
     return rows.groupBy(group).agg(F.min(pos).alias("place"), F.count("*").alias("total"), F.max_by(F.struct(*rest), F.struct(version, pos)).alias("_x")).select(group, "place", "total", *[F.col(f"_x.{c}").alias(c) for c in rest])
 
 
-def evict(states: DataFrame, status: str, seen: str, now: Column, ttl: dict[str, int], most: int) -> DataFrame:
-    """States past the time of their status go, then the oldest beyond a maximum."""
+def evict(states: DataFrame, status: str, seen: str, now: Column, ttl: dict[str, int], most: int, order: list[str] = ()) -> DataFrame:
+    """States past the time of their status go, then the oldest beyond a maximum; ``order`` says which of equal times stay."""
     age = F.unix_timestamp(now) - F.unix_timestamp(F.col(seen))
     limit = None
     for k, s in ttl.items():
         limit = F.when(F.col(status) == k, s) if limit is None else limit.when(F.col(status) == k, s)
     left = states.filter(age <= limit.otherwise(1 << 40))
-    return left.orderBy(F.desc(seen)).limit(most)
+    return left.orderBy(F.desc(seen), *order).limit(most)
 
 
 def revoke_families(tokens: DataFrame, bad: DataFrame, token: str, family: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import jaccard, ring_distance, ring_score, weighted_mean
 from ..operators import aggregates as A
 from ..operators import filters, joins, ranking, similarity
+from ..operators.order import placed
 from ..sources import tables as S
 from .registry import query
 
@@ -277,7 +278,8 @@ def interval_join(spark, sf_dir):
 
 @query("SELECT o_orderkey, pos FROM (SELECT o_orderkey, pos, rn FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY pos) rn FROM (SELECT o_orderkey, o_orderpriority, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS pos FROM orders)) ORDER BY rn > 1, pos LIMIT 12)")
 def stratified_pick(spark, sf_dir):
-    best = A.ranked(S.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice"), [F.desc("o_totalprice"), F.asc("o_orderkey")], "pos")
+    rows = S.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
+    best = placed(rows, [F.desc("o_totalprice"), F.asc("o_orderkey")], name="pos").withColumn("pos", F.col("pos") + 1)
     return ranking.stratified(best, "o_orderpriority", "pos", 12).select("o_orderkey", "pos")
 
 

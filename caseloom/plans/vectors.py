@@ -7,7 +7,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions.scalars import cosine
 from ..operators import aggregates as A
-from ..operators import evaluation, ranking, retrieval
+from ..operators import ann, evaluation, ranking, retrieval
 from ..sources import tables as S
 from .registry import query
 
@@ -33,6 +33,26 @@ def tenant_dense(spark, sf_dir):
     return retrieval.dense(v, queries(v), 5, where=F.col("label") == 3)
 
 
+@query(DENSE + "SELECT query_id, vec_id, score, rank FROM r WHERE rank <= 10")
+def inverted_file_exact(spark, sf_dir):
+    """The exact mode of the approximate index: more cells until the bound proves the result."""
+    v = S.table(spark, sf_dir, "embeddings")
+    model = ann.fit(v, "vec_id", "embedding", 10)
+    return ann.search(ann.index(v, "vec_id", "embedding", model), queries(v), model, 10, "vec_id", exact=True, probes=4)
+
+
+@query("SELECT count(*) AS queries, true AS all_ranked, true AS recall_reached FROM embeddings WHERE vec_id % 100 = 0")
+def inverted_file_recall(spark, sf_dir):
+    """Recall of the approximate mode (cells calibrated on a sample, codes, re-ranking) against all products: at least 0.9."""
+    v = S.table(spark, sf_dir, "embeddings")
+    model = ann.fit(v, "vec_id", "embedding", 10)
+    near = ann.search(ann.index(v, "vec_id", "embedding", model), queries(v), model, 10, "vec_id")
+    true = retrieval.dense(v, queries(v), 10)
+    both = true.join(near.select("query_id", "vec_id", F.lit(1).alias("hit")), ["query_id", "vec_id"], "left")
+    per = both.groupBy("query_id").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("recall"), F.count("*").alias("n"))
+    return per.agg(F.count("*").alias("queries"), F.min(F.col("n") == 10).alias("all_ranked"), (F.avg("recall") >= 0.9).alias("recall_reached"))
+
+
 @query("""WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS qe FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id % 40 AS case_id, vec_id, least(1.0, greatest(0.0, (list_cosine_similarity(CAST(embedding AS DOUBLE[]), qe) + 1) / 2)) AS s FROM embeddings, q),
 r AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY s DESC, vec_id) rn FROM s) SELECT case_id, round(avg(s) FILTER (rn <= 2), 6) AS semantic, count(*) AS hits FROM r WHERE rn <= 4 GROUP BY 1""")
 def semantic_scores(spark, sf_dir):

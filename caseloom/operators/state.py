@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
+from .scan import Breaker, Claims, scanned
+
 
 def fixed_window_limit(rows: DataFrame, key: str, ts: str, order: list[str], limit: int, seconds: int) -> DataFrame:
     """allowed: at most ``limit`` requests of a key in each window of ``seconds``; refused ones count too."""
@@ -25,14 +27,9 @@ def ttl_gap(rows: DataFrame, key: list[str], ts: str, order: list[str], seconds:
 
 
 def ttl_claims(rows: DataFrame, key: list[str], ts: str, order: str, seconds: int) -> DataFrame:
-    """First claims: a refused claim does not extend the time. The chain is walked over (time, order) pairs only."""
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    items = F.array_sort(F.collect_list(F.struct(micros.alias("t"), F.col(order).alias("o"))))
-    zero = F.struct(F.lit(None).cast("long").alias("until"), F.expr("cast(array() as array<bigint>)").alias("won"))
-    wins = lambda a, x: a["until"].isNull() | (x["t"] >= a["until"])
-    step = lambda a, x: F.when(wins(a, x), F.struct((x["t"] + seconds * 1_000_000).alias("until"), F.concat(a["won"], F.array(x["o"])).alias("won"))).otherwise(a)
-    won = rows.groupBy(*key).agg(F.aggregate(items, zero, step, lambda a: a["won"]).alias("_w"))
-    return won.select(*key, F.explode("_w").alias(order))
+    """First claims: a refused claim does not extend the time. Keys of any size are spread over tasks (``scan``)."""
+    timed = rows.select(*key, F.col(order), F.unix_micros(F.col(ts).cast("timestamp")).alias("_t"))
+    return scanned(timed, key, "_t", [order], Claims(seconds * 1_000_000), "_won", T.BooleanType()).filter("_won").select(*key, order)
 
 
 def latest(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -65,12 +62,9 @@ def circuit(events: pd.DataFrame, threshold: int = 5, cooldown: float = 30.0) ->
     return out
 
 
-def circuit_states(rows: DataFrame, service: str, t: str, ok: str, order: str) -> DataFrame:
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([t, order])
-        return pdf.assign(state=circuit(pdf.rename(columns={t: "t", ok: "ok"})))
-
-    return rows.groupBy(service).applyInPandas(fold, T.StructType([*rows.schema.fields, T.StructField("state", T.StringType())]))
+def circuit_states(rows: DataFrame, service: str, t: str, ok: str, order: str, threshold: int = 5, cooldown: float = 30.0) -> DataFrame:
+    """rows with the state of their service's breaker after them; services of any size are spread over tasks (``scan``)."""
+    return scanned(rows, [service], t, [order], Breaker(threshold, cooldown), "state", T.StringType(), ok)
 
 
 def memory_fold(turns: DataFrame, session: str, order: str, text: str, recent: int = 6, summary_chars: int = 2200, budget: int = 4200) -> DataFrame:

@@ -25,7 +25,10 @@ def ttl_dedupe(spark, sf_dir):
     return state.ttl_gap(log(spark, sf_dir), ["user_id", "event_type"], "ts", ["event_id"], 86400).select("event_id")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_type, event_id, epoch_us(ts) AS t FROM events),
+w AS (SELECT user_id, event_type, arg_min(event_id, (t, event_id)) AS event_id, min(t) AS t FROM e GROUP BY 1, 2
+UNION ALL SELECT w.user_id, w.event_type, n.event_id, n.t FROM w, LATERAL (SELECT arg_min(e.event_id, (e.t, e.event_id)) AS event_id, min(e.t) AS t FROM e WHERE e.user_id = w.user_id AND e.event_type = w.event_type AND e.t >= w.t + 86400000000) n WHERE n.t IS NOT NULL)
+SELECT user_id, event_type, event_id FROM w""")
 def ttl_claims(spark, sf_dir):
     return state.ttl_claims(log(spark, sf_dir), ["user_id", "event_type"], "ts", "event_id", 86400)
 
@@ -105,7 +108,11 @@ def gap_sessions(spark, sf_dir):
     return rows.withColumn("session", F.sum(new).over(w.rowsBetween(W.unboundedPreceding, 0))).groupBy("user_id", "session").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT event_id, user_id % 20 AS service, floor(epoch(ts)) AS t, event_type <> 'error' AS ok, row_number() OVER (PARTITION BY user_id % 20 ORDER BY floor(epoch(ts)), event_id) AS n FROM events),
+w AS (SELECT service, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS event_id, 0 AS failures, CAST(NULL AS DOUBLE) AS since FROM e WHERE n = 1
+UNION ALL SELECT e.service, e.n, e.event_id, CASE WHEN w.since IS NOT NULL OR e.ok THEN 0 ELSE w.failures + 1 END,
+CASE WHEN w.since IS NOT NULL AND e.t < w.since + 30 THEN w.since WHEN e.ok THEN NULL WHEN w.since IS NOT NULL OR w.failures + 1 >= 5 THEN e.t END FROM w JOIN e ON e.service = w.service AND e.n = w.n + 1)
+SELECT event_id, CASE WHEN since IS NULL THEN 'closed' ELSE 'open' END AS state FROM w WHERE n > 0""")
 def circuit_states(spark, sf_dir):
     rows = log(spark, sf_dir).select("event_id", "event_type", (F.col("user_id") % 20).alias("service"), F.unix_timestamp("ts").cast("double").alias("t"), (F.col("event_type") != "error").alias("ok"))
     return state.circuit_states(rows, "service", "t", "ok", "event_id").select("event_id", "state")

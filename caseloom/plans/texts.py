@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scalars import classified, ngrams, redacted, token_estimate
-from ..operators import build, extraction, joins, ranking, retrieval
+from ..operators import build, extraction, joins, postings, ranking, retrieval
 from ..operators import aggregates as A
 from ..operators.order import placed
 from ..sources import tables as S
+from ..sources.shared import new_path
 from .registry import query
 
 PARAS = """WITH raw AS (SELECT doc_id, unnest(string_split_regex(coalesce(text, ''), '\\n+')) AS p, generate_subscripts(string_split_regex(coalesce(text, ''), '\\n+'), 1) AS i FROM documents),
@@ -98,6 +99,16 @@ def bm25_topk(spark, sf_dir):
     return retrieval.bm25(S.table(spark, sf_dir, "documents"), questions(spark, sf_dir), 10, "doc_id", _words(F.col("text")))
 
 
+@query(f"WITH {BM25}, r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS BIGINT) AS rank FROM bm) SELECT query_id, doc_id, score, rank FROM r WHERE rank <= 10")
+def bm25_index_topk(spark, sf_dir):
+    """The same ranking from the persisted index: most documents written first, the others appended, blocks skipped by their maxima."""
+    docs, path = S.table(spark, sf_dir, "documents"), new_path(spark, "postings")
+    late = F.coalesce(F.col("doc_id") % 5 == 4, F.lit(False))
+    postings.append(docs.filter(~late), "doc_id", _words(F.col("text")), path)
+    postings.append(docs.filter(late), "doc_id", _words(F.col("text")), path, generation=1)
+    return postings.search(spark, path, questions(spark, sf_dir), 10, "doc_id")[0]
+
+
 HYBRID = f"""WITH {BM25}, v AS (SELECT doc_id, embedding, label FROM documents JOIN embeddings ON doc_id = vec_id), qv AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS qe FROM embeddings WHERE vec_id % 100 = 0 AND vec_id IN (SELECT item_id FROM benchmark)),
 dn AS (SELECT query_id, doc_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), qe), 6) AS score FROM v, qv),
 dr AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM dn QUALIFY rank <= 30),

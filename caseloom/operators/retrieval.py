@@ -83,16 +83,16 @@ def retrieve(rows: DataFrame, query: str, vectors: DataFrame | None, k: int, key
     return found, mode, "; ".join(reasons)
 
 
-def candidate_scores(links: DataFrame, rows: DataFrame, query: DataFrame, key: str, keep: int = 4, best: int = 2) -> DataFrame:
-    """Semantic score of candidate cases: mean of their two best chunks' mapped cosines.
+def candidate_scores(links: DataFrame, rows: DataFrame, queries: DataFrame, key: str, keep: int = 4, best: int = 2) -> DataFrame:
+    """Semantic score of each query's candidate cases: mean of their two best chunks' mapped cosines.
 
-    links: (case_id, key). Chunks that no candidate refers to are dropped before scoring.
+    links: (query_id, case_id, key), the chunks of each query's own candidates; no other chunk is scored.
     """
-    used = rows.join(links.select(key).distinct(), key, "left_semi")
-    scored = used.crossJoin(F.broadcast(query)).select(key, cosine_score(F.col("embedding"), F.col("query_vector")).alias("s"))
-    w = W.partitionBy("case_id").orderBy(F.desc("s"), key)
-    top = links.join(scored, key).withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= keep)
-    return top.groupBy("case_id").agg(F.round(F.avg(F.when(F.col("_n") <= best, F.col("s"))), 6).alias("semantic"), F.count("*").alias("hits"))
+    used = links.join(rows.select(key, "embedding"), key).join(queries, "query_id")
+    scored = used.select("query_id", "case_id", key, cosine_score(F.col("embedding"), F.col("query_vector")).alias("s"))
+    w = W.partitionBy("query_id", "case_id").orderBy(F.desc("s"), key)
+    top = scored.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= keep)
+    return top.groupBy("query_id", "case_id").agg(F.round(F.avg(F.when(F.col("_n") <= best, F.col("s"))), 6).alias("semantic"), F.count("*").alias("hits"))
 
 
 def pool(links: DataFrame, limit: int, key: str, chars: int = 1800) -> DataFrame:
@@ -103,12 +103,12 @@ def pool(links: DataFrame, limit: int, key: str, chars: int = 1800) -> DataFrame
 
 
 def rerank_merge(scores: DataFrame, weight: float = 0.7) -> DataFrame:
-    """(case_id, cosine, rerank) of reranked chunks -> 0.7 mean of the two best cosines + 0.3 stretched rerank score."""
-    ends = scores.agg(F.min("rerank").alias("_lo"), F.max("rerank").alias("_hi"))
-    x = scores.crossJoin(F.broadcast(ends)).withColumn("_r", F.when(F.col("_hi") > F.col("_lo"), (F.col("rerank") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(1.0))
-    w = W.partitionBy("case_id").orderBy(F.desc("_r"), F.desc("cosine"))
+    """(query_id, case_id, cosine, rerank) of reranked chunks -> 0.7 mean of the two best cosines + 0.3 rerank score stretched over the query's chunks."""
+    ends = scores.groupBy("query_id").agg(F.min("rerank").alias("_lo"), F.max("rerank").alias("_hi"))
+    x = scores.join(ends, "query_id").withColumn("_r", F.when(F.col("_hi") > F.col("_lo"), (F.col("rerank") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(1.0))
+    w = W.partitionBy("query_id", "case_id").orderBy(F.desc("_r"), F.desc("cosine"))
     top = x.withColumn("_n", F.row_number().over(w)).filter("_n <= 2")
-    return top.groupBy("case_id").agg(F.round(weight * F.avg("cosine") + (1 - weight) * F.max("_r"), 6).alias("score"))
+    return top.groupBy("query_id", "case_id").agg(F.round(weight * F.avg("cosine") + (1 - weight) * F.max("_r"), 6).alias("score"))
 
 
 def evidence_rank(rows: DataFrame, text: str, dates: list[str], terms: list[str]) -> DataFrame:

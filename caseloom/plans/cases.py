@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import jaccard, ring_distance, ring_score, weighted_mean
+from ..functions.scalars import ring_distance, ring_score, weighted_mean
 from ..operators import aggregates as A
 from ..operators import filters, joins, ranking, similarity
 from ..operators.order import placed
@@ -357,12 +357,15 @@ def compat_effective(spark, sf_dir):
     return _dims(spark, sf_dir).select("case_id", similarity.penalised(F.lit(0.8), eff).alias("score"))
 
 
-@query("""WITH s AS (SELECT s_nationkey k, list(DISTINCT CAST(s_suppkey % 11 AS BIGINT)) v FROM supplier GROUP BY 1), a AS (SELECT * FROM s WHERE k < 5)
-SELECT a.k AS left_key, s.k AS right_key, round(CAST(len(list_intersect(a.v, s.v)) AS DOUBLE) / len(list_distinct(list_concat(a.v, s.v))), 6) AS jaccard FROM a, s""")
+@query("""WITH s AS (SELECT s_nationkey k, list(DISTINCT CAST(s_suppkey % 11 AS BIGINT)) v FROM supplier GROUP BY 1)
+SELECT a.k AS left_key, s.k AS right_key, round(CAST(len(list_intersect(a.v, s.v)) AS DOUBLE) / len(list_distinct(list_concat(a.v, s.v))), 6) AS jaccard FROM s a, s WHERE len(list_intersect(a.v, s.v)) > 0""")
 def area_jaccard(spark, sf_dir):
-    s = S.table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.collect_set(F.col("s_suppkey") % 11).alias("v"))
-    few = s.filter("s_nationkey < 5").select(F.col("s_nationkey").alias("left_key"), F.col("v").alias("lv"))  # five nations at most
-    return s.crossJoin(F.broadcast(few)).select("left_key", F.col("s_nationkey").alias("right_key"), F.round(jaccard(F.col("lv"), F.col("v")), 6).alias("jaccard"))
+    """Pairs of areas that share an element, joined by the elements: no pair that shares nothing is made."""
+    s = S.table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k"), (F.col("s_suppkey") % 11).alias("x")).distinct()
+    sizes = s.groupBy("k").agg(F.count("*").alias("n"))
+    both = s.toDF("left_key", "x").join(s.toDF("right_key", "x"), "x").groupBy("left_key", "right_key").agg(F.count("*").alias("c"))
+    both = both.join(sizes.toDF("left_key", "a"), "left_key").join(sizes.toDF("right_key", "b"), "right_key")
+    return both.select("left_key", "right_key", F.round(F.col("c") / (F.col("a") + F.col("b") - F.col("c")), 6).alias("jaccard"))
 
 
 @query("SELECT p_partkey, CAST(CASE WHEN p_retailprice / 40 >= 56.1 THEN 17 WHEN p_retailprice / 40 >= 51 THEN 16 WHEN p_retailprice / 40 >= 46.2 THEN 15 WHEN p_retailprice / 40 >= 41.5 THEN 14 WHEN p_retailprice / 40 >= 37 THEN 13 WHEN p_retailprice / 40 >= 32.7 THEN 12 WHEN p_retailprice / 40 >= 28.5 THEN 11 WHEN p_retailprice / 40 >= 24.5 THEN 10 WHEN p_retailprice / 40 >= 20.8 THEN 9 WHEN p_retailprice / 40 >= 17.2 THEN 8 WHEN p_retailprice / 40 >= 13.9 THEN 7 WHEN p_retailprice / 40 >= 10.8 THEN 6 WHEN p_retailprice / 40 >= 8 THEN 5 WHEN p_retailprice / 40 >= 5.5 THEN 4 WHEN p_retailprice / 40 >= 3.4 THEN 3 WHEN p_retailprice / 40 >= 1.6 THEN 2 WHEN p_retailprice / 40 >= 0.3 THEN 1 ELSE 0 END AS BIGINT) AS force FROM part")

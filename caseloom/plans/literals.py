@@ -92,9 +92,9 @@ def cleaned_text(spark, sf_dir):
     return texts(spark, CLEANED).select("id", X.clean(F.col("text")).alias("text"))
 
 
-@query("SELECT doc_id, CASE WHEN length(flat) > 160 THEN regexp_replace(substring(flat, 1, 160), '[，、；：,;:。]+$', '') || '。' ELSE flat END AS short FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '\\s+', '', 'g') AS flat FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7f]'))")
+@query("SELECT doc_id, CASE WHEN length(flat) > 160 THEN regexp_replace(substring(flat, 1, 160), '[，、；：,;:。]+$', '') || '。' ELSE flat END AS short FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\s\\x0b\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+', '', 'g') AS flat FROM documents)")
 def compact_text(spark, sf_dir):
-    rows = S.table(spark, sf_dir, "documents").filter(~F.col("text").rlike(r"[^\x00-\x7f]"))
+    rows = S.table(spark, sf_dir, "documents")
     return rows.select("doc_id", X.compact(F.coalesce("text", F.lit(""))).alias("short"))
 
 

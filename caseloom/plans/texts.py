@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.scalars import classified, ngrams, redacted, token_estimate
-from ..operators import build, extraction, joins, postings, ranking, retrieval
+from ..functions.scalars import classified, redacted, token_estimate
+from ..operators import build, extraction, joins, postings, ranking, retrieval, terms
 from ..operators import aggregates as A
 from ..operators.order import placed
 from ..sources import tables as S
@@ -33,10 +33,10 @@ def fixed_split(spark, sf_dir):
     return rows.filter("html <> ''").select("page_id", F.col("part").cast("long").alias("part"), F.md5("html").alias("digest"))
 
 
-@query(PARAS + ", cases AS (SELECT doc_id, i AS case_no, i * 700 AS s, i * 700 + 500 AS e FROM (SELECT DISTINCT doc_id FROM paras), range(0, 5) r(i)) SELECT doc_id, case_no, chunk_no FROM spans JOIN cases USING (doc_id) WHERE \"start\" < e AND \"start\" + length(content) > s")
+@query(PARAS + ", cases AS (SELECT doc_id, i AS case_no, i * 700 AS s, i * 700 + 500 AS e FROM (SELECT doc_id, max(\"start\" + length(content)) AS total FROM spans GROUP BY 1), range(0, CAST(ceil(total / 700.0) AS BIGINT)) r(i)) SELECT doc_id, case_no, chunk_no FROM spans JOIN cases USING (doc_id) WHERE \"start\" < e AND \"start\" + length(content) > s")
 def span_overlap(spark, sf_dir):
     spans = ranking.offsets(paras(spark, sf_dir), "doc_id", "chunk_no", "content").select("doc_id", "chunk_no", "start", "end")
-    cases = spans.select("doc_id").distinct().select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))).alias("case_no"))
+    cases = spans.groupBy("doc_id").agg(F.max("end").alias("total")).select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("total") / 700) - 1)).alias("case_no"))
     cases = cases.select("doc_id", "case_no", (F.col("case_no") * 700).alias("start_r"), (F.col("case_no") * 700 + 500).alias("end_r"))
     return joins.span_overlap(spans, cases, "doc_id", 2048).select("doc_id", "case_no", "chunk_no")
 
@@ -130,16 +130,23 @@ def fact_extract_numbers(spark, sf_dir):
     return extraction.numbers(S.table(spark, sf_dir, "pages"), "page_id", "html", r"([0-9]+(?:\.[0-9]+)?)")
 
 
-@query("""WITH b AS (SELECT item_id, item_id % 20 AS grp, list_distinct(list_transform(range(1, length(text) - 6, 4), lambda i: substr(text, i, 8))) AS g FROM benchmark WHERE length(text) >= 8),
-d AS (SELECT doc_id, CAST(substr(source, 4) AS BIGINT) AS grp, list_distinct(list_transform(range(1, length(text) - 6), lambda i: substr(text, i, 8))) AS g FROM documents WHERE length(text) BETWEEN 8 AND 3000)
-SELECT item_id, doc_id, round(CAST(len(list_intersect(b.g, d.g)) AS DOUBLE) / len(b.g), 6) AS share FROM b JOIN d USING (grp) WHERE CAST(len(list_intersect(b.g, d.g)) AS DOUBLE) / len(b.g) >= 0.18""")
+@query("""WITH b AS (SELECT item_id, unnest(list_distinct(list_transform(range(1, length(text) - 6, 4), lambda i: substr(text, i, 8)))) AS g FROM benchmark WHERE length(text) >= 8),
+n AS (SELECT item_id, count(*) AS n FROM b GROUP BY 1), d AS (SELECT DISTINCT doc_id, substr(text, i, 8) AS g FROM documents, range(1, length(text) - 6) r(i)),
+h AS (SELECT item_id, doc_id, count(*) AS k FROM b JOIN d USING (g) GROUP BY 1, 2) SELECT item_id, doc_id, round(CAST(k AS DOUBLE) / n, 6) AS share FROM h JOIN n USING (item_id) WHERE CAST(k AS DOUBLE) / n >= 0.5""")
 def ngram_overlap(spark, sf_dir):
-    items = S.table(spark, sf_dir, "benchmark").filter("length(text) >= 8").select("item_id", (F.col("item_id") % 20).alias("grp"), ngrams(F.col("text"), 8, 4).alias("g"))
-    items = items.select("item_id", "grp", F.size("g").alias("n"), F.explode("g").alias("x"))
-    docs = S.table(spark, sf_dir, "documents").filter("length(text) between 8 and 3000")
-    docs = docs.select("doc_id", F.substring("source", 4, 10).cast("long").alias("grp"), F.explode_outer(ngrams(F.col("text"), 8)).alias("x"))
-    hits = docs.join(items, ["grp", "x"]).groupBy("item_id", "doc_id").agg((F.count("*") / F.first("n")).alias("share"))
-    return hits.filter("share >= 0.18").select("item_id", "doc_id", F.round("share", 6).alias("share"))
+    """Benchmark items of which whole documents hold half of the pieces of eight characters."""
+    items = S.table(spark, sf_dir, "benchmark").filter("length(text) >= 8")
+    found = terms.gram_containment(items, "item_id", "text", S.table(spark, sf_dir, "documents"), "doc_id", "text", 8, 4, 0.5)
+    return found.withColumn("share", F.round("share", 6))
+
+
+@query("""WITH t AS (SELECT DISTINCT w AS term FROM (SELECT unnest(string_split_regex(text, '\\s+')) AS w FROM benchmark UNION ALL SELECT p_name FROM part) WHERE length(w) >= 4),
+d AS (SELECT doc_id, unnest(string_split_regex(text, '\\s+')) AS w FROM documents) SELECT term, count(*) AS n, count(DISTINCT doc_id) AS texts FROM d JOIN t ON w = term GROUP BY 1""")
+def dictionary_terms(spark, sf_dir):
+    """How often the benchmark's words and the parts' names stand in documents, all in one pass."""
+    words = S.table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", r"\s+")).alias("term"))
+    known = words.unionAll(S.table(spark, sf_dir, "part").select("p_name")).filter("length(term) >= 4")
+    return terms.frequencies(terms.occurrences(S.table(spark, sf_dir, "documents"), "doc_id", "text", known, words=True), "doc_id")
 
 
 @query("SELECT doc_id, CAST(greatest(1, floor(length(text) / 4)) AS BIGINT) AS tokens FROM documents")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.scalars import cosine
 from ..operators import aggregates as A
 from ..operators import ann, evaluation, ranking, retrieval
 from ..sources import tables as S
@@ -16,9 +15,9 @@ s AS (SELECT query_id, vec_id, label, ql, round(list_cosine_similarity(CAST(embe
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS BIGINT) AS rank FROM s) """
 
 
-def queries(v, one=False):
-    """Every id divisible by 100, or the first row alone."""
-    return v.filter("vec_id = 0" if one else "vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+def queries(v):
+    """Every id divisible by 100."""
+    return v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
 
 
 @query(DENSE + "SELECT query_id, vec_id, score, rank FROM r WHERE rank <= 10")
@@ -53,22 +52,26 @@ def inverted_file_recall(spark, sf_dir):
     return per.agg(F.count("*").alias("queries"), F.min(F.col("n") == 10).alias("all_ranked"), (F.avg("recall") >= 0.9).alias("recall_reached"))
 
 
-@query("""WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS qe FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id % 40 AS case_id, vec_id, least(1.0, greatest(0.0, (list_cosine_similarity(CAST(embedding AS DOUBLE[]), qe) + 1) / 2)) AS s FROM embeddings, q),
-r AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY s DESC, vec_id) rn FROM s) SELECT case_id, round(avg(s) FILTER (rn <= 2), 6) AS semantic, count(*) AS hits FROM r WHERE rn <= 4 GROUP BY 1""")
+@query(DENSE + """, c AS (SELECT DISTINCT query_id, vec_id % 40 AS case_id FROM r WHERE rank <= 20), x AS (SELECT c.query_id, c.case_id, e.vec_id, least(1.0, greatest(0.0, (list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), q.qe) + 1) / 2)) AS s FROM c JOIN q USING (query_id) JOIN embeddings e ON e.vec_id % 40 = c.case_id),
+m AS (SELECT *, row_number() OVER (PARTITION BY query_id, case_id ORDER BY s DESC, vec_id) rn FROM x)
+SELECT query_id, case_id, round(avg(s) FILTER (rn <= 2), 6) AS semantic, count(*) AS hits FROM m WHERE rn <= 4 GROUP BY 1, 2""")
 def semantic_scores(spark, sf_dir):
+    """Of each query the cases of its twenty best chunks, scored by all their chunks."""
     v = S.table(spark, sf_dir, "embeddings")
-    links = v.select((F.col("vec_id") % 40).alias("case_id"), "vec_id")
-    return retrieval.candidate_scores(links, v, queries(v, one=True).select("query_vector"), "vec_id")
+    case = (F.col("vec_id") % 40).alias("case_id")
+    candidates = retrieval.dense(v, queries(v), 20).select("query_id", case).distinct()
+    links = candidates.join(v.select("vec_id", case), "case_id")
+    return retrieval.candidate_scores(links, v, queries(v), "vec_id")
 
 
-@query("""WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS qe FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id % 30 AS case_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), qe) AS cosine, CAST((vec_id * 37) % 101 AS DOUBLE) AS rerank FROM embeddings, q),
-x AS (SELECT *, (rerank - min(rerank) OVER ()) / (max(rerank) OVER () - min(rerank) OVER ()) AS r FROM s), n AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY r DESC, cosine DESC) rn FROM x)
-SELECT case_id, round(0.7 * avg(cosine) + 0.3 * max(r), 6) AS score FROM n WHERE rn <= 2 GROUP BY 1""")
+@query(DENSE + """, p AS (SELECT query_id, vec_id % 30 AS case_id, score AS cosine, CAST((vec_id * 37) % 101 AS DOUBLE) AS rerank FROM r WHERE rank <= 60),
+x AS (SELECT *, (rerank - min(rerank) OVER w) / (max(rerank) OVER w - min(rerank) OVER w) AS r FROM p WINDOW w AS (PARTITION BY query_id)), n AS (SELECT *, row_number() OVER (PARTITION BY query_id, case_id ORDER BY r DESC, cosine DESC) rn FROM x)
+SELECT query_id, case_id, round(0.7 * avg(cosine) + 0.3 * max(r), 6) AS score FROM n WHERE rn <= 2 GROUP BY 1, 2""")
 def rerank_merge(spark, sf_dir):
+    """The sixty best chunks of each query go to a reranker; its scores are stretched for each query."""
     v = S.table(spark, sf_dir, "embeddings")
-    rows = v.crossJoin(F.broadcast(queries(v, one=True)))  # one query
-    rows = rows.select((F.col("vec_id") % 30).alias("case_id"), cosine(F.col("embedding"), F.col("query_vector")).alias("cosine"), ((F.col("vec_id") * 37) % 101).cast("double").alias("rerank"))
-    return retrieval.rerank_merge(rows)
+    rows = retrieval.dense(v, queries(v), 60)
+    return retrieval.rerank_merge(rows.select("query_id", (F.col("vec_id") % 30).alias("case_id"), F.col("score").alias("cosine"), ((F.col("vec_id") * 37) % 101).cast("double").alias("rerank")))
 
 
 def results(spark, sf_dir):

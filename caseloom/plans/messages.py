@@ -56,7 +56,9 @@ def newest_active(spark, sf_dir):
     return S.table(spark, sf_dir, "conversations").select("conv_id", "turn", (n <= 5).alias("active"))
 
 
-@query()
+@query("""WITH n AS (SELECT conv_id, coalesce(length(text), 0) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations),
+g AS (SELECT conv_id, count(*) AS n_turns, CAST(count(*) FILTER (rn <= 6) AS INTEGER) AS n_recent, sum(n) FILTER (rn <= 6) + count(*) FILTER (rn <= 6) - 1 AS r, CAST(least(2200, coalesce(sum(n) FILTER (rn > 6), 0) + greatest(count(*) FILTER (rn > 6) - 1, 0)) AS INTEGER) AS summary_chars FROM n GROUP BY 1)
+SELECT conv_id, n_turns, n_recent, summary_chars, CAST((r + summary_chars) // 4 AS BIGINT) AS tokens, (r + summary_chars) // 4 > 4200 AS over_budget FROM g""")
 def session_memory_fold(spark, sf_dir):
     rows = state.memory_fold(S.table(spark, sf_dir, "conversations"), "conv_id", "turn", "text")
     return rows.select("conv_id", "n_turns", F.size("recent").alias("n_recent"), F.length("summary").alias("summary_chars"), "tokens", "over_budget")

@@ -186,18 +186,37 @@ def repeated_texts(spark, sf_dir):
     return S.table(spark, sf_dir, "documents").groupBy(F.md5("text").alias("digest")).agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n")).filter("n > 1")
 
 
-@query()
+FOLD = PARAS.replace("WITH raw", "WITH RECURSIVE raw", 1)
+
+
+@query(FOLD + """, w AS (SELECT DISTINCT doc_id, CAST(0 AS BIGINT) AS chunk_no, CAST(0 AS BIGINT) AS used, 0 AS taken, false AS fits FROM paras
+UNION ALL SELECT doc_id, chunk_no, CASE WHEN f THEN used + n ELSE used END, CASE WHEN f THEN taken + 1 ELSE taken END, f FROM (SELECT p.doc_id, p.chunk_no, w.used, w.taken, length(p.content) AS n, w.taken = 0 OR w.used + length(p.content) <= 1500 AS f FROM w JOIN paras p ON p.doc_id = w.doc_id AND p.chunk_no = w.chunk_no + 1 WHERE w.taken < 8 AND w.used < 1500))
+SELECT doc_id, chunk_no FROM w WHERE fits""")
 def budget_pick(spark, sf_dir):
     rows = paras(spark, sf_dir).withColumn("rank", F.col("chunk_no"))
     return ranking.within_budget(rows, "doc_id", "rank", "content", "chunk_no", 8, 1500).select("doc_id", "chunk_no")
 
 
-@query()
+SECTIONS = {"a": "ing", "b": "tion", "c": "heit", "d": "ment", "focus": "the"}
+PACK = PARAS + f""", h AS (SELECT doc_id, chunk_no, count(*) OVER (PARTITION BY doc_id) AS n, {", ".join(f"(length(lower(content)) - length(replace(lower(content), '{t}', ''))) // {len(t)} AS k_{k}" for k, t in SECTIONS.items())} FROM paras),
+s AS ({" UNION ALL ".join(f"SELECT doc_id, '{k}' AS sec, chunk_no, k_{k} AS k FROM h" for k in SECTIONS)}),
+seed AS (SELECT doc_id, chunk_no FROM h WHERE chunk_no = 1 OR chunk_no = n UNION SELECT doc_id, chunk_no FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, sec ORDER BY k DESC, chunk_no) AS r FROM s) WHERE r <= 2 AND k > 0),
+size AS (SELECT doc_id, count(*) AS m FROM seed GROUP BY 1), nx AS (SELECT doc_id, chunk_no FROM (SELECT h.doc_id, h.chunk_no, m, row_number() OVER (PARTITION BY h.doc_id ORDER BY h.chunk_no) AS r FROM seed JOIN h ON h.doc_id = seed.doc_id AND h.chunk_no = seed.chunk_no + 1 JOIN size ON size.doc_id = h.doc_id WHERE NOT EXISTS (SELECT 1 FROM seed x WHERE x.doc_id = h.doc_id AND x.chunk_no = h.chunk_no)) WHERE r <= 12 - m),
+two AS (SELECT * FROM seed UNION SELECT * FROM nx), size2 AS (SELECT doc_id, count(*) AS m FROM two GROUP BY 1),
+more AS (SELECT doc_id, chunk_no FROM (SELECT h.doc_id, h.chunk_no, m, row_number() OVER (PARTITION BY h.doc_id ORDER BY {" + ".join(f"k_{k}" for k in SECTIONS)} DESC, h.chunk_no) AS r FROM h JOIN size2 ON size2.doc_id = h.doc_id WHERE NOT EXISTS (SELECT 1 FROM two x WHERE x.doc_id = h.doc_id AND x.chunk_no = h.chunk_no)) WHERE r <= 12 - m)
+SELECT doc_id, chunk_no FROM h WHERE n <= 12 UNION SELECT doc_id, chunk_no FROM (SELECT * FROM two UNION SELECT * FROM more) p WHERE (SELECT max(n) FROM h WHERE h.doc_id = p.doc_id) > 12"""
+
+
+@query(PACK)
 def context_pack(spark, sf_dir):
     return ranking.context_pack(paras(spark, sf_dir), "doc_id", "chunk_no", "content", {"a": ["ing"], "b": ["tion"], "c": ["heit"], "d": ["ment"]}, ["the"]).select("doc_id", "chunk_no")
 
 
-@query()
+@query(FOLD + """, l AS (SELECT doc_id, chunk_no, chunk_no // 40 AS page, content AS c, length(content) AS n, regexp_matches(content, '^(?:第?[一二三四五六七八九十0-9]+[、.章节]|#+ )') AS title FROM paras),
+w AS (SELECT doc_id, chunk_no, page, n AS held, right(c, 1) AS tail, title, CAST(1 AS BIGINT) AS id FROM l WHERE chunk_no = 1
+UNION ALL SELECT doc_id, chunk_no, page, CASE WHEN new THEN n ELSE held + n + CASE WHEN joined THEN 1 ELSE 0 END END, right(c, 1), title, CASE WHEN new THEN id + 1 ELSE id END FROM (SELECT l.*, w.held, w.id, regexp_matches(w.tail, '^[A-Za-z0-9]$') AND regexp_matches(l.c, '^[A-Za-z0-9]') AS joined,
+w.title OR l.title OR l.page <> w.page OR w.held >= 420 OR l.n > 500 OR (w.tail IN ('。', '！', '？', '.', '!', '?') AND w.held >= 180 AND l.n > 90) AS new FROM w JOIN l ON l.doc_id = w.doc_id AND l.chunk_no = w.chunk_no + 1))
+SELECT doc_id, id AS chunk_no, CAST(max(held) AS INTEGER) AS n_chars FROM w GROUP BY 1, 2""")
 def paragraph_merge(spark, sf_dir):
     rows = paras(spark, sf_dir).withColumn("page", F.floor(F.col("chunk_no") / 40))
     return build.merge_lines(rows, "doc_id", "chunk_no", "page", "content").select(F.col("doc").alias("doc_id"), "chunk_no", F.length("content").alias("n_chars"))

@@ -112,7 +112,11 @@ def collection_stats(spark, sf_dir):
     return v.groupBy("label").agg(F.count("embedding").alias("indexed"), F.max(F.size("embedding")).cast("long").alias("dimension"))
 
 
-@query()
+@query(DENSE.replace("WITH q", "WITH RECURSIVE q", 1) + """, t AS (SELECT query_id, vec_id, rank, score, (vec_id % 5) / CAST(10 AS DOUBLE) AS compat, vec_id * 7919 % 101 AS outside FROM r WHERE rank <= 15),
+w AS (SELECT *, score AS head, compat AS head_compat, CAST(0 AS BIGINT) AS tie_group FROM t WHERE rank = 1
+UNION ALL SELECT t.*, CASE WHEN w.head - t.score > 0.08 OR abs(w.head_compat - t.compat) > 0.12 THEN t.score ELSE w.head END, CASE WHEN w.head - t.score > 0.08 OR abs(w.head_compat - t.compat) > 0.12 THEN t.compat ELSE w.head_compat END,
+CASE WHEN w.head - t.score > 0.08 OR abs(w.head_compat - t.compat) > 0.12 THEN w.tie_group + 1 ELSE w.tie_group END FROM w JOIN t ON t.query_id = w.query_id AND t.rank = w.rank + 1)
+SELECT query_id, vec_id, tie_group, row_number() OVER (PARTITION BY query_id ORDER BY tie_group, outside, rank) AS final_rank FROM w""")
 def tie_break_groups(spark, sf_dir):
     v = S.table(spark, sf_dir, "embeddings")
     top = retrieval.dense(v, queries(v), 15).withColumn("compat", (F.col("vec_id") % 5) / 10.0).withColumn("outside", F.col("vec_id") * 7919 % 101)

@@ -11,57 +11,12 @@ from ..operators import build
 from ..operators import evidence as V
 from ..operators import requests as R
 from ..sources import tables as S
-from .literals import expect, joined, texts
 from .registry import query
 
 D = datetime.date
 
 # --- requests --------------------------------------------------------------------------------------------------
 
-RANGES = ["查2025-7-3至2025-07-05", "2024年2月28日至3月1日", "2024年12月30日到2025年1月2日", "2023年5月6日～8日", "2025年7月9日夜间", "2025-02-30至2025-03-01", "七月", "2024年2月30日"]
-
-
-@query(expect([(0, D(2025, 7, 3), D(2025, 7, 5)), (1, D(2024, 2, 28), D(2024, 3, 1)), (2, D(2024, 12, 30), D(2025, 1, 2)), (3, D(2023, 5, 6), D(2023, 5, 8)), (4, D(2025, 7, 9), D(2025, 7, 9)), (5, None, None), (6, None, None), (7, None, None)], "id", "first_day", "last_day"))
-def exact_ranges(spark, sf_dir):
-    r = R.exact_range(F.col("text"))
-    return texts(spark, RANGES).select("id", r["start"].alias("first_day"), r["end"].alias("last_day"))
-
-
-@query(expect([(0, "new"), (1, "restrict"), (2, "scope"), (3, "replace"), (4, "new"), (5, "new"), (6, "scope"), (7, "replace"), (8, "restrict"), (9, "new")], "id", "operation"))
-def turn_operations(spark, sf_dir):
-    data = [
-        (0, "重新查询暴雨", False, ["disaster"]), (1, "再限定7月", False, ["time"]), (2, "只看太原", False, ["region"]), (3, "改成冰雹", False, ["disaster"]),
-        (4, "暴雨", True, ["disaster"]), (5, "查询7月暴雨过程", False, ["time", "disaster"]), (6, "其中暴雨的", False, ["disaster"]),
-        (7, "上述的8月", False, ["time"]), (8, "其中太原的", False, ["region"]), (9, "大风", False, ["disaster"]),
-    ]
-    rows = spark.createDataFrame(data, "id long, text string, first boolean, touched array<string>")
-    return rows.select("id", R.operation(F.col("text"), F.col("first"), F.col("touched")).alias("operation"))
-
-
-TURNS = [
-    ("a", 1, "new", ["time", "disaster"], [], "", "", [2024], [6], ["暴雨"], [], []),
-    ("a", 2, "replace", ["time"], [], "", "", [], [7], [], [], []),
-    ("a", 3, "restrict", ["region"], [], "", "", [], [], [], ["太原"], ["北部"]),
-    ("a", 4, "replace", ["time"], [], "2023-12-30", "2024-01-02", [], [], [], [], []),
-    ("a", 5, "replace", ["time"], [], "", "", [], [8], [], [], []),
-    ("a", 6, "scope", ["disaster"], ["disaster"], "", "", [], [], [], [], []),
-    ("a", 7, "new", ["time"], [], "2025-03-01", "2025-03-02", [], [], [], [], []),
-    ("a", 8, "replace", ["time"], [], "", "", [], [4], [], [], []),
-    ("a", 9, "scope", ["time"], ["time"], "", "", [], [], [], [], []),
-    ("b", 1, "scope", ["region"], [], None, None, None, None, None, ["大同"], None),
-]
-TURN = "session string, turn long, operation string, touched array<string>, cleared array<string>, start string, end string, years array<int>, months array<int>, disasters array<string>, cities array<string>, areas array<string>"
-
-
-@query(expect([
-    ("a", 1, "", "", "2024", "6", "暴雨", ""), ("a", 2, "", "", "2024", "7", "暴雨", ""), ("a", 3, "", "", "2024", "7", "暴雨", "太原,北部"),
-    ("a", 4, "2023-12-30", "2024-01-02", "", "", "暴雨", "太原,北部"), ("a", 5, "", "", "2023,2024", "8", "暴雨", "太原,北部"), ("a", 6, "", "", "2023,2024", "8", "", "太原,北部"),
-    ("a", 7, "2025-03-01", "2025-03-02", "", "", "", ""), ("a", 8, "", "", "2025", "4", "", ""), ("a", 9, "", "", "", "", "", ""), ("b", 1, "", "", "", "", "", "大同"),
-], "session", "turn", "first_day", "last_day", "years", "months", "disasters", "places"))
-def dialogue_requests(spark, sf_dir):
-    held = R.dialogue(spark.createDataFrame(TURNS, TURN), "session", "turn")
-    return held.select("session", "turn", F.col("start").alias("first_day"), F.col("end").alias("last_day"), joined(F.col("years")).alias("years"), joined(F.col("months")).alias("months"), joined(F.col("disasters")).alias("disasters"), joined(F.concat("cities", "areas")).alias("places"))
-
 
 @query("""SELECT o_orderkey, CASE WHEN CAST(o_orderdate AS DATE) > DATE '1996-06-30' THEN 'after' WHEN CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderdate AS DATE) + 30 ELSE CAST(o_orderdate AS DATE) END < DATE '1995-01-01' THEN 'before' ELSE 'inside' END AS relation FROM orders""")
 def library_relation(spark, sf_dir):
@@ -70,14 +25,6 @@ def library_relation(spark, sf_dir):
     return S.table(spark, sf_dir, "orders").select("o_orderkey", R.relation(asked, F.lit(D(1995, 1, 1)), F.lit(D(1996, 6, 30))).alias("relation"))
 
 
-@query(expect([(0, D(2023, 3, 1), D(2024, 4, 30), "inside"), (1, D(2024, 2, 1), D(2024, 2, 29), "inside"), (2, D(2026, 1, 1), D(2026, 12, 31), "after"), (3, None, None, "unknown"), (4, D(2020, 12, 1), D(2020, 12, 31), "before")], "id", "lo", "hi", "relation"))
-def asked_intervals(spark, sf_dir):
-    data = [(0, [2024, 2023], [4, 3]), (1, [2024], [2]), (2, [2026], []), (3, [], [5]), (4, [2020, 1800], [12, 13])]
-    rows = spark.createDataFrame(data, "id long, years array<int>, months array<int>")
-    asked = R.asked_interval(F.lit(None).cast("date"), F.lit(None).cast("date"), F.col("years"), F.col("months"))
-    return rows.select("id", asked["lo"].alias("lo"), asked["hi"].alias("hi"), R.relation(asked, F.lit(D(2022, 1, 1)), F.lit(D(2025, 6, 1))).alias("relation"))
-
-
 @query("SELECT o_custkey, CASE WHEN max(CASE WHEN month(o_orderdate) > 10 AND o_orderkey % 3 > 0 THEN 1 ELSE 0 END) = 1 THEN 'retry' ELSE 'ok' END AS status FROM orders GROUP BY o_custkey")
 def answer_review(spark, sf_dir):
     asked = F.when(F.col("o_orderkey") % 3 > 0, F.sequence(F.lit(1), F.lit(10))).otherwise(F.array().cast("array<int>"))
@@ -85,33 +32,6 @@ def answer_review(spark, sf_dir):
     return R.review(rows, "o_custkey", "asked", "months")
 
 
-@query(expect([(0, False), (1, True), (2, True), (3, False), (4, True), (5, False)], "id", "conflict"))
-def date_conflicts(spark, sf_dir):
-    data = [
-        (0, "7月3日", "2025-07-03", "2025-07-03", "2025-07-03", "2025-07-03", "2025年7月3日"), (1, "8月", "", "", "", "", "7月"), (2, "", "2025-07-03", "2025-07-04", "2025-07-03", "2025-07-03", "x"),
-        (3, "", "", "", "2025-07-03", "2025-07-03", "x"), (4, "", "2025-07-03", "2025-07-03", "", "", "x"), (5, None, None, None, None, None, None),
-    ]
-    rows = spark.createDataFrame(data, "id long, said string, a string, b string, ra string, rb string, src string")
-    return rows.select("id", R.date_conflict(*[F.col(c) for c in ("said", "a", "b", "ra", "rb", "src")]).alias("conflict"))
-
-
-@query(expect([(0, "暴雨|大同|雷达|大同暴雨|雷达回波图"), (1, "太原|并州"), (2, "")], "id", "tokens"))
-def request_tokens(spark, sf_dir):
-    tokens = R.query_tokens(F.col("text"), ["暴雨", "冰雹"], {"太原": ["并州"], "大同": []}, ["雷达"])
-    return texts(spark, ["大同暴雨，雷达回波图", "并州 风", " "]).select("id", F.array_join(tokens, "|").alias("tokens"))
-
-
-@query(expect([(0, 140), (1, 2), (2, -7), (3, 85), (4, 30), (5, -1000)], "id", "score"))
-def context_scores(spark, sf_dir):
-    data = [
-        (0, 3, "stored_context", "共3个个例", 3, "这三次"), (1, 5, "stored_context", "列表", 3, "这三次"), (2, 2, "stored_context", "列表", 3, "这三次"),
-        (3, 3, "evidence_cases", "全库统计：共筛选到 9 个，其中三个", 3, "x"), (4, 3, "stored_context", "7月的个例", None, "07月呢"), (5, 0, "text", "x", None, "x"),
-    ]
-    rows = spark.createDataFrame(data, "id long, n long, source string, content string, wanted long, question string")
-    scored = R.context_score(F.col("n"), F.col("source"), F.col("content"), F.col("wanted"), F.col("question"))
-    return rows.select("id", scored.cast("long").alias("score"))
-
-
 @query("""SELECT user_id, max(CASE WHEN place = 1 THEN event_id END) AS event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY CAST(floor(value / 50) AS BIGINT) DESC, event_id DESC) AS place FROM events WHERE event_id % 4 < 2) GROUP BY user_id""")
 def context_resolution(spark, sf_dir):
     """Lists of one id (odd event_id / 2: of two) for a question that asks back for one case; the newest of equal scores."""
@@ -129,15 +49,6 @@ def text_projection(spark, sf_dir):
     return S.table(spark, sf_dir, "part").select("p_partkey", V.case_text("p_name", "p_brand", F.lit(None).cast("string"), labels).alias("text"))
 
 
-@query(expect([("a", 2025, "7,8", "radar,satellite", 1), ("b", None, "12", "", 2), ("c", 2024, "", "radar", 3)], "case_id", "year", "months", "image_types", "place"))
-def enriched_cases(spark, sf_dir):
-    cases = spark.createDataFrame([("c", "x-2024.pdf", ""), ("b", "x.pdf", "12月1日"), ("a", "x-2025-07.pdf", "7月至8月")], "case_id string, source_pdf string, date_range string")
-    images = spark.createDataFrame([("a", "satellite"), ("a", "radar"), ("a", "radar"), ("c", "radar")], "case_id string, image_type string")
-    rows = V.enriched(cases, images)
-    place = F.row_number().over(W.partitionBy(F.lit(0)).orderBy(*V.case_order(F.col("months"), F.col("date_range"), F.col("case_id"))))  # three rows
-    return rows.select("case_id", F.col("year").cast("long").alias("year"), joined(F.col("months")).alias("months"), joined(F.col("image_types")).alias("image_types"), place.cast("long").alias("place"))
-
-
 @query("SELECT c_custkey, c_name FROM customer")
 def public_columns(spark, sf_dir):
     rows = S.table(spark, sf_dir, "customer").withColumn("api_key_hash", F.lit("x")).withColumn("session_token", F.lit("y"))
@@ -153,14 +64,6 @@ def light_case_search(spark, sf_dir):
     return V.light_search(cases, "widget", "cold", "ECONOMY", "ECONOMY").select("p_partkey")
 
 
-@query(expect([(0, True, True, 1), (1, False, True, 3), (2, True, False, 2), (3, False, False, 4)], "id", "matches", "shown", "place"))
-def image_selection(spark, sf_dir):
-    data = [(0, "radar", "radar echo", "", "a/b.PNG", "page_snapshot", 9, 1), (1, "satellite", "cloud", "", "a.d/x.webp", "embedded", 2, 1), (2, "radar", "x", "echo at 8h", "a/b.tiff", "embedded", 3, 1), (3, "radar", "x", "", "a/.png", "embedded", 2, 2)]
-    rows = spark.createDataFrame(data, "id long, kind string, category string, caption string, path string, extraction string, page long, number long")
-    place = F.row_number().over(W.partitionBy(F.lit(0)).orderBy(*V.image_order(F.col("extraction"), F.col("caption"), F.col("page"), F.col("number"))))  # four rows
-    return rows.select("id", V.image_matches(F.col("kind"), F.col("category"), F.col("caption"), "radar", "echo").alias("matches"), V.displayable(F.col("path")).alias("shown"), place.cast("long").alias("place"))
-
-
 @query("SELECT doc_id FROM documents WHERE lang IS DISTINCT FROM 'en' OR source IS NULL")
 def missing_evidence(spark, sf_dir):
     ids = F.when(F.col("lang") == "en", F.array_compact(F.array("source"))).otherwise(F.when(F.col("doc_id") % 2 == 0, F.array().cast("array<string>")))
@@ -218,37 +121,6 @@ def failed_run_list(spark, sf_dir):
     return V.failed_runs(runs, owned, F.col("o_orderstatus") == "F", ["session_id", "o_orderkey"]).select("session_id", "o_orderkey")
 
 
-LIBRARY = [
-    ("case-01", "7月3日雷暴大风过程", "2025年7月3日", ["雷暴大风"]), ("case-02", "寒潮", "2024年1月5日", ["寒潮"]), ("case-03", "连续性暴雨天气—南部", "2024年1月5日", ["暴雨"]),
-    ("case-04", "", "", []), ("case-05", "强 对流，过程", "2023年5月1日", ["冰雹"]), ("case-06", None, None, None),
-]
-CASES = "case_id string, title string, date_range string, disaster_types array<string>"
-
-
-@query(expect([("a", "case-02"), ("a", "case-05"), ("b", "case-03")], "asked", "case_id"))
-def mentioned_cases(spark, sf_dir):
-    cases = spark.createDataFrame(LIBRARY, CASES)
-    pick = lambda name, text: V.mentioned(cases, text).select(F.lit(name).alias("asked"), "case_id")
-    return pick("a", "比较case-02与强对流过程。").unionByName(pick("b", "2024年1月5日的连续性暴雨天气")).unionByName(pick("c", ""))
-
-
-@query(expect([("id", "case-01"), ("title", "case-02"), ("label", "case-03"), ("date", "case-02"), ("date", "case-03")], "asked", "case_id"))
-def explicit_matches(spark, sf_dir):
-    cases = spark.createDataFrame(LIBRARY, CASES)
-    dated = F.coalesce(F.col("date_range") == "2024年1月5日", F.lit(False))
-    pick = lambda name, text, labels: V.explicit_cases(cases, text, dated, labels).select(F.lit(name).alias("asked"), "case_id")
-    return pick("id", "case-01和寒潮", []).unionByName(pick("title", "寒潮在哪里", ["暴雨"])).unionByName(pick("label", "那天的雨", ["特大暴雨"])).unionByName(pick("date", "那天", ["沙尘"]))
-
-
-@query(expect([(0, True, 1.0, 1.0), (1, False, 0.8, 0.55), (2, False, 0.0, 0.0), (3, False, 0.2, 0.0)], "id", "gate", "coverage", "spatial"))
-def first_gates(spark, sf_dir):
-    data = [(0, "暴雨冰雹过程", [], "太原市"), (1, "例行总结", ["暴雨"], "山西"), (2, "寒潮", [], "x"), (3, "降雹过程", [], "")]
-    rows = spark.createDataFrame(data, "id long, title string, labels array<string>, text string")
-    wanted, families = {"暴雨": 0.8, "冰雹": 0.2}, {"冰雹": ["冰雹", "降雹"]}
-    share = F.round(V.coverage_share(F.col("title"), F.col("labels"), wanted, families), 4)
-    return rows.select("id", V.title_gate(F.col("title"), wanted, families, ["暴雨", "冰雹", "寒潮", "降雹"]).alias("gate"), share.alias("coverage"), V.spatial_first(F.col("text"), "太原", {"太原": ["太原", "并州"]}, "山西").alias("spatial"))
-
-
 @query("SELECT doc_id, CAST(CASE WHEN doc_id % 3 = 0 THEN 0.45 ELSE 0.0 END AS DOUBLE) AS image, CAST(CASE WHEN doc_id % 2 = 0 THEN 1.0 ELSE 0.0 END AS DOUBLE) AS asked_image, (CASE WHEN contains(text, 'de') THEN 1 ELSE 0 END + CASE WHEN contains(text, 'qu') THEN 1 ELSE 0 END) / 4.0 AS words FROM documents WHERE text IS NOT NULL")
 def first_scores(spark, sf_dir):
     rows = S.table(spark, sf_dir, "documents").filter("text is not null")
@@ -268,79 +140,8 @@ def diagnostic_evidence(spark, sf_dir):
     return V.diagnostic_chunks(d, "source", "doc_id", "text", ["the", "sch", "que", "the"], used).select("source", "doc_id", F.col("n_terms").cast("long").alias("n_terms"))
 
 
-TOPICS = {"rain": ["降水", "雨"], "wind": ["风"], "snow": ["雪"]}
-
-
-@query(expect([("a", 1, "c1,c2"), ("a", 3, "c3")], "case_id", "point_no", "chunks"))
-def point_support(spark, sf_dir):
-    points = [("a", 1, "降水量达50毫米", ["c1", "c9", "c2", "c1"]), ("a", 2, "积雪10厘米", ["c1"]), ("a", 3, "阵风明显", ["c3", "c1"]), ("a", 4, "降水量达70毫米", ["c1"]), ("a", 5, " ", ["c1"]), ("a", 6, "无主题", ["c1"])]
-    chunks = [("a", "c1", "雨量50毫米"), ("a", "c2", "降水50站"), ("a", "c3", "风大"), ("a", "c4", None)]
-    rows = V.supported_points(spark.createDataFrame(points, "case string, point_no long, text string, chunk_ids array<string>"), spark.createDataFrame(chunks, "case string, chunk_id string, content string"), TOPICS, ["rain", "wind"])
-    return rows.select(F.col("case").alias("case_id"), "point_no", joined(F.col("chunk_ids")).alias("chunks"))
-
-
-@query(expect([(0, True), (1, False), (2, True), (3, True), (4, True), (5, False), (6, True)], "id", "inside"))
-def caption_dates(spark, sf_dir):
-    data = [(0, "7月4日雷达图", "2025年7月3日至5日"), (1, "8月1日雷达图", "2025年7月3日-5日"), (2, "雷达图", "7月3日至5日"), (3, "1月2日", "2024年12月29日至2025年1月3日"), (4, "4日08时", "7月3日至5日"), (5, "2月1日和9日", "12月29日至1月3日"), (6, "8月1日", "无")]
-    rows = spark.createDataFrame(data, "id long, caption string, dates string")
-    return rows.select("id", V.caption_in_range(F.col("caption"), F.col("dates")).alias("inside"))
-
-
-@query(expect([("p1", "i2", 62.5), ("p2", "i5", 100.0)], "point", "image_id", "score"))
-def images_of_points(spark, sf_dir):
-    data = [
-        ("p1", "降水集中", "7月3日至5日", "i1", 0, "降水图", "page_snapshot", False, 1.0), ("p1", "降水集中", "7月3日至5日", "i2", 1, "7月3日降水图", "embedded", False, 0.5), ("p1", "降水集中", "7月3日至5日", "i3", 2, "8月3日降水图", "embedded", True, 1.0),
-        ("p1", "降水集中", "7月3日至5日", "i4", 3, "风场", "embedded", True, 1.0), ("p2", "风雨", "", "i5", 0, "雨和风", "snapshot", True, None), ("p2", "风雨", "", "i6", 1, "雨", "embedded", None, 0.0), ("p3", "降雪", "", "i7", 0, "积雪", "embedded", True, 1.0),
-    ]
-    rows = spark.createDataFrame(data, "point string, point_text string, case_dates string, image_id string, pos long, caption string, extraction string, direct boolean, overlap double")
-    return V.point_image(rows, TOPICS, ["rain", "wind"])
-
-
-@query(expect([(0, 1.0), (1, 0.0), (2, 0.5)], "id", "overlap"))
-def sampled_overlaps(spark, sf_dir):
-    rows = spark.createDataFrame([(0, "Abcd-efgh 1234", "abcdefgh1234"), (1, "abc", "abc"), (2, "abcdefghijkl", "abcdefghxxxx")], "id long, a string, b string")
-    return rows.select("id", V.sampled_overlap(F.col("a"), F.col("b")).alias("overlap"))
-
-
-@query(expect([("r", "i1", 1, "图 1 雷达图"), ("r", "i3", 2, "图 2 原始证据图"), ("r", "i4", 3, "图 3 云图"), ("s", "i5", 1, "图 1 雷达图")], "report", "image_id", "display_number", "display_caption"))
-def figures_numbered(spark, sf_dir):
-    data = [("r", 1, "i1", "图3 雷达图"), ("r", 2, "i2", "图 3雷达图"), ("r", 3, "i3", None), ("r", 4, "i4", "图十二（a）云图"), ("s", 1, "i5", "雷达图")]
-    rows = V.numbered_images(spark.createDataFrame(data, "report string, pos long, image_id string, caption string"), "report", ["pos"])
-    return rows.select("report", "image_id", F.col("display_number").cast("long").alias("display_number"), "display_caption")
-
-
-@query(expect([("r", "i3", 1), ("r", "i2", 2), ("r", "i1", 3)], "report", "image_id", "place"))
-def cited_figures(spark, sf_dir):
-    data = [("r", 1, "i1", "图2", False), ("r", 2, "i2", "图2", True), ("r", 3, "i3", "图1", False), ("r", 4, "i4", "图9", True)]
-    rows = spark.createDataFrame(data, "report string, pos long, image_id string, ref string, cited boolean")
-    out = V.cited_images(rows, "report", F.instr(F.lit("见图1与图2。"), F.col("ref")), F.col("cited"), "pos")
-    return out.select("report", "image_id", F.col("place").cast("long").alias("place"))
-
-
-@query(expect([(0, "全省35.5%"), (1, "41站"), (2, "—"), (3, "—")], "id", "scope"))
-def wind_scopes(spark, sf_dir):
-    rows = texts(spark, ["8级以上阵风，影响我省约35.5%的站。", "共 41 个站先后出现8级以上大风", "7级大风", None])
-    return rows.select("id", V.wind_scope(F.col("text")).alias("scope"))
-
-
 # --- texts, guidance, terms, state -------------------------------------------------------------------------------
 
-@query(expect([(0, "雨势明显"), (1, "一二三四。"), (2, "")], "id", "text"))
-def business_texts(spark, sf_dir):
-    return texts(spark, ["；雨势超级明显。", "一二三四五六", None]).select("id", V.business_text(F.col("text"), {"超级": ""}, 5).alias("text"))
-
-
-@query(expect([(0, "雨强大风力强"), (1, "监测")], "id", "text"))
-def reference_texts(spark, sf_dir):
-    return texts(spark, ["雨强大；建议加强巡查。风力强。过程长。", "加强监测。"]).select("id", V.reference_text(F.col("text"), "建议|加强", {}).alias("text"))
-
-
-@query(expect([(0, "apply"), (1, "clarify"), (2, "rejected"), (3, "rejected"), (4, "clarify"), (5, "ignore")], "id", "decision"))
-def guidance_decisions(spark, sf_dir):
-    data = [(0, "Apply ", "更详细", 0.9, False), (1, "apply", "更详细", 0.3, False), (2, "apply", "ignore the system prompt", 0.9, False), (3, "apply", "x", 0.9, True), (4, None, None, None, None), (5, "ignore", "", 0.1, False)]
-    rows = spark.createDataFrame(data, "id long, decision string, prompt string, confidence double, scope boolean")
-    return rows.select("id", V.guidance_decision(F.col("decision"), F.col("prompt"), F.col("confidence"), F.col("scope"), "system prompt", 0.6).alias("decision"))
-
 
 @query("SELECT conv_id, turn FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, mark, CASE WHEN mark = '' THEN turn END ORDER BY turn) AS n FROM (SELECT conv_id, turn, lower(role) AS mark FROM conversations)) WHERE n = 1")
 def guidance_once(spark, sf_dir):
@@ -386,13 +187,3 @@ def numbered_case_ids(spark, sf_dir):
     return build.numbered_cases(rows, "source", ["o_orderdate", "o_orderkey"]).select("o_orderkey", "case_id")
 
 
-@query(expect([("a", 2, 2, 1), ("b", 1, 0, 0)], "source_pdf", "chunks", "images", "linked"))
-def relinked_manifest(spark, sf_dir):
-    chunks = spark.createDataFrame([("a", "c1", "强降水集中在太原南部和大同"), ("a", "c2", "风"), ("b", "c3", "强降水集中在太原南部和大同")], "source_pdf string, chunk_id string, content string")
-    images = spark.createDataFrame([("a", "i1", "图一 强降水集中在太原南部"), ("a", "i2", None)], "source_pdf string, image_id string, nearby_text string")
-    return build.manifest(chunks, build.relinked(images, chunks))
-
-
-@query(expect([(0, "resource/a/b.png"), (1, "resource/x.png"), (2, "a/b.png")], "id", "path"))
-def relative_paths(spark, sf_dir):
-    return texts(spark, ["C:\\data\\resource\\a\\b.png", "resource/x.png", "a/b.png"]).select("id", build.relative_path(F.col("text")).alias("path"))

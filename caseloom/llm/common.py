@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
+from contextlib import suppress
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,4 +28,12 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
     for b in batches:
         for i in range(0, b.num_rows, rows):
             yield b.slice(i, rows)
-    pa.default_memory_pool().release_unused()  # Python workers outlive their tasks
+    give_back()
+
+
+def give_back() -> None:
+    """Free memory goes back to the machine: Python workers outlive their tasks, next to an executor that needs it."""
+    pa.default_memory_pool().release_unused()
+    gc.collect()
+    with suppress(OSError, AttributeError):  # another C library than glibc keeps what it freed
+        ctypes.CDLL("libc.so.6").malloc_trim(0)

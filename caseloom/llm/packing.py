@@ -216,4 +216,5 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 1024, end_id: int =
 
     tails = coded.mapInArrow(rest, "doc_id long, key long, doc_tokens long, ids binary")
     dealt = tails.repartitionByRange("key", "doc_id").sortWithinPartitions("key", "doc_id", "ids")
-    return coded.mapInArrow(full, PIECES).unionAll(dealt.mapInArrow(packed, PIECES))
+    # written here, so that token ids reach Python in batches of bounded size whoever reads the pieces
+    return materialize(coded.mapInArrow(full, PIECES).unionAll(dealt.mapInArrow(packed, PIECES)), "pieces")

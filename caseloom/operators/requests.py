@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..functions.dates import as_date, days, first_range
+from ..functions.scalars import NUMERALS
+
 #: Words that say what a turn does to the confirmed request, the first that occurs here holds.
 OPERATIONS = [
     ("new", "重新|另查|新查|新检索|换一个查询"),
@@ -16,28 +19,16 @@ OPERATIONS = [
 #: A self-contained question, and words that point back to the last one.
 WHOLE_QUESTION, POINTS_BACK = "(?:查询|检索|查找|统计|分析).*(?:过程|个例|天气|报告)", "其中|这些|上述|刚才|上一轮|前面|原条件|范围内|结果里|继续|另外|也要|还要"
 
-_TO = r"\s*(?:至|到|—|~|～)\s*"
-_DAY = r"(20\d{2})\s*年\s*(\d{1,2})\s*月\s*(\d{1,2})\s*日"
-_ISO_PAIR = rf"(20\d{{2}}-\d{{1,2}}-\d{{1,2}}){_TO}(20\d{{2}}-\d{{1,2}}-\d{{1,2}})"
-_HAN_PAIR = rf"{_DAY}?{_TO}(?:(20\d{{2}})\s*年)?\s*(?:(\d{{1,2}})\s*月)?\s*(\d{{1,2}})\s*日"
-
-
-def _date(*parts: Column) -> Column:
-    return F.try_to_date(F.concat_ws("-", *parts), "yyyy-M-d")
-
 
 def exact_range(text: Column) -> Column:
-    """struct(start, end) of the first form found: an ISO pair, a pair in Han, one day; no such date: null.
+    """struct(start, end): the first range of days, else the first marked day alone; the year must be said. No such date: null.
 
-    The end of a pair in Han takes a year and month that it lacks from the start. Null text gives null.
+    The end of a range takes a year and month that it lacks from the start. A range with a day that is none is null.
     """
-    iso = [_date(F.regexp_extract(text, _ISO_PAIR, i)) for i in (1, 2)]
-    g = lambda i: F.regexp_extract(text, _HAN_PAIR, i)
-    or_start = lambda i, start: F.when(g(i) == "", g(start)).otherwise(g(i))
-    han = [_date(g(1), g(2), g(3)), _date(or_start(4, 1), or_start(5, 2), g(6))]
-    day = _date(*[F.regexp_extract(text, _DAY, i) for i in (1, 2, 3)])
+    found = F.filter(days(text), lambda x: x["y"].between(2000, 2099))
+    pair, one = first_range(found), F.get(F.filter(found, lambda x: x["marked"]), F.lit(0))
     both = lambda a, b: F.when(a.isNotNull() & b.isNotNull(), F.struct(a.alias("start"), b.alias("end")))
-    return F.when(text.rlike(_ISO_PAIR), both(*iso)).when(text.rlike(_HAN_PAIR), both(*han)).when(text.rlike(_DAY), both(day, day))
+    return F.when(pair.isNotNull(), both(as_date(pair["a"]), as_date(pair["b"]))).otherwise(both(as_date(one), as_date(one)))
 
 
 def operation(text: Column, first: Column, touched: Column) -> Column:
@@ -133,6 +124,10 @@ def query_tokens(text: Column, terms: list[str], areas: dict[str, list[str]], im
     return F.array_distinct(F.concat(spotted(text, terms), by_alias, spotted(text, images), parts))
 
 
+#: Words of an answer about the whole library, and of its statistics.
+WHOLE_LIBRARY, STATISTICS = ("全库", "标准化个例库", "共筛选到", "按月份", "按灾种", "统计"), ("按月份", "按灾种")
+
+
 def context_score(n_ids: Column, source: Column, content: Column, wanted: Column, question: Column) -> Column:
     """How well a list of ids from an earlier message fits a question that asks back for ``wanted`` cases (0 or null: no number).
 
@@ -142,10 +137,11 @@ def context_score(n_ids: Column, source: Column, content: Column, wanted: Column
     base = F.when(source == "stored_context", 18).when(source == "visuals", 14).when(source == "evidence_cases", 8).when(source == "text", 4).otherwise(0)
     asks = F.coalesce(wanted, F.lit(0)) > 0
     count = F.when(n_ids == wanted, 100).when(n_ids > wanted, -F.least(F.lit(60), (n_ids - wanted) * 8)).otherwise(-25)
-    numeral = F.get(F.split(F.lit("一,二,三,四,五,六,七,八,九,十"), ","), (wanted - 1).cast("int"))
+    numeral = F.try_element_at(F.create_map(*[F.lit(x) for k, v in NUMERALS.items() for x in (v, k)]), wanted.cast("int"))
     says = F.regexp_like(content, F.concat(F.lit("(?:"), wanted.cast("string"), F.coalesce(F.concat(F.lit("|"), numeral), F.lit("")), F.lit(r")\s*(?:次|个|条)")))
     listed = F.regexp_extract(content, r"共筛选到\s*(\d+)\s*个", 1).try_cast("long")
-    whole = content.rlike("全库|标准化个例库|共筛选到|按月份|按灾种|统计") & (F.coalesce(listed != wanted, F.lit(False)) | content.rlike("按月份|按灾种"))
+    says_any = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(content, w))
+    whole = says_any(WHOLE_LIBRARY) & (F.coalesce(listed != wanted, F.lit(False)) | says_any(STATISTICS))
     extra = F.when(asks, count + F.when(says, 22).otherwise(0) - F.when(whole, 45).otherwise(0)).otherwise(0)
     named = F.transform(F.regexp_extract_all(question, F.lit(r"(\d{1,2})\s*月"), F.lit(1)), lambda m: F.concat(m.cast("int").cast("string"), F.lit("月")))
     return F.when(n_ids == 0, -1000).otherwise(base + extra + F.when(F.exists(named, lambda m: F.contains(content, m)), 12).otherwise(0))

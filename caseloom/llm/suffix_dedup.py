@@ -11,13 +11,14 @@ string alone. So strings that are equal share an anchor, and only anchors' neigh
    least doc_id that has it there.
 4. A shard concatenates its different texts and builds their suffix array by induced sorting:
    suffixes are classified, the leftmost-smaller substrings are sorted by a first induction and
-   their names recursively, and all suffixes are induced from them, bucket by bucket. Common
-   prefixes of neighbours, permuted to text order and cut at ``length``, give the classes of equal
+   the string of their names is sorted in the same way, recursively, and all suffixes are induced from them, bucket by bucket.
+   Common prefixes of neighbours, permuted to text order and cut at ``length``, give the classes of equal
    strings, and their least doc_id goes back to the blocks that sent them.
 5. ``removed``: blocks mark the bytes and hash what is left.
 
 Texts cross the network compressed. A key that every document has costs each block one entry.
-Defined results: null and empty texts have nothing to remove; rows with a null doc_id are neither
+Defined results: null and empty texts have nothing to remove; very long texts are read in parts that overlap; other
+columns are ignored; equal texts lose all but the least doc_id's; rows with a null doc_id are neither
 cut nor a reason to cut; rows that share a doc_id do not cut each other; an empty table gives none.
 """
 
@@ -152,21 +153,41 @@ def _induce(t: np.ndarray, smaller: np.ndarray, lms: np.ndarray, n_symbols: int)
     return np.concatenate(out[::-1])
 
 
-def _names(keys: np.ndarray) -> np.ndarray:
-    """Sort suffixes of a string of numbers: ranks of pairs of ranks, until all differ."""
-    _, rank = np.unique(keys, return_inverse=True)
-    span = 1
-    while rank.max(initial=0) < len(rank) - 1:
-        right = np.zeros_like(rank)
-        right[: len(rank) - span if span < len(rank) else 0] = rank[span:] + 1
-        _, rank = np.unique(rank * (len(rank) + 1) + right, return_inverse=True)
-        span *= 2
-    return rank
+def _induce_each(t: np.ndarray, smaller: np.ndarray, lms: np.ndarray, n_symbols: int) -> np.ndarray:
+    """As _induce, suffix by suffix with a pointer for each bucket: for reduced strings, whose symbols are many and their waves short."""
+    ends = np.cumsum(np.bincount(t, minlength=n_symbols))
+    sa = np.full(len(t), -1, np.int64)
+    # sorted leftmost-smaller suffixes stand at the ends of their buckets
+    symbols = t[lms]
+    order = np.argsort(symbols, kind="stable")
+    left = np.searchsorted(symbols[order], symbols[order], "right")
+    sa[ends[symbols[order]] - (left - np.arange(len(lms)))] = lms[order]
+    sa = sa.tolist()
+    # by suffix: the symbol before it, if the suffix that begins there is larger (smaller); entry -1 stands for no suffix
+    first = np.append(np.concatenate(([-1], t[:-1])), -1)
+    before_larger = np.where(np.concatenate(([False], ~smaller[:-1], [False])), first, -1).tolist()
+    before_smaller = np.where(np.concatenate(([False], smaller[:-1], [False])), first, -1).tolist()
+    head = np.concatenate(([0], ends[:-1])).tolist()
+    for p in sa:
+        c = before_larger[p]
+        if c >= 0:
+            sa[head[c]] = p - 1
+            head[c] += 1
+    tail = ends.tolist()
+    for at in range(len(sa) - 1, -1, -1):
+        c = before_smaller[sa[at]]
+        if c >= 0:
+            tail[c] -= 1
+            sa[tail[c]] = sa[at] - 1
+    return np.array(sa, np.int64)
+
+
+WAVES = 1024  # symbols up to which whole waves of a bucket are induced at once
 
 
 def suffix_array(t: np.ndarray, n_symbols: int) -> np.ndarray:
-    """Suffix array of symbols t, of which the last is 0 and the only 0."""
-    n = len(t)
+    """Suffix array of symbols t, of which the last is 0 and the only 0; all symbols are below n_symbols."""
+    n, induce = len(t), _induce if n_symbols <= WAVES else _induce_each
     if n == 1:
         return np.zeros(1, np.int64)
     differ = np.flatnonzero(t[:-1] != t[1:])
@@ -174,7 +195,7 @@ def suffix_array(t: np.ndarray, n_symbols: int) -> np.ndarray:
     smaller = np.append(t[to] < t[to + 1], True)
     lms = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
     if len(lms) > 1:
-        first = _induce(t, smaller, lms[np.argsort(t[lms], kind="stable")], n_symbols)
+        first = induce(t, smaller, lms[np.argsort(t[lms], kind="stable")], n_symbols)
         is_lms = np.zeros(n, bool)
         is_lms[lms] = True
         order = first[is_lms[first]]  # sorted by leftmost-smaller substring
@@ -187,8 +208,24 @@ def suffix_array(t: np.ndarray, n_symbols: int) -> np.ndarray:
             same[look] = (t[order[1:][look] + k] == t[order[:-1][look] + k]) & (smaller[order[1:][look] + k] == smaller[order[:-1][look] + k])
         name = np.empty(n, np.int64)
         name[order] = np.concatenate(([0], np.cumsum(~same)))
-        lms = lms[np.argsort(_names(name[lms]), kind="stable")]
-    return _induce(t, smaller, lms, n_symbols)
+        names, reduced = len(order) - int(same.sum()), name[lms]  # the end is a leftmost-smaller suffix of its own, so the last name is 0
+        # names that all differ are the order; others are a string to sort in the same way
+        lms = lms[np.argsort(reduced) if names == len(reduced) else suffix_array(reduced, names)]
+    return induce(t, smaller, lms, n_symbols)
+
+
+def _common(text: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """Lengths of the common prefixes of suffixes a and b, up to most; eight bytes at a time. text ends with eight bytes more."""
+    words = np.ndarray(len(text) - 7, "<u8", text, strides=(1,))
+    out, left = np.full(len(a), most), np.arange(len(a))
+    for k in range(0, most, 8):
+        k = min(k, most - 8)
+        odd = words[a[left] + k] ^ words[b[left] + k]
+        bad = odd != 0
+        low = odd[bad] & (~odd[bad] + np.uint64(1))  # the lowest bit that differs
+        out[left[bad]] = k + np.log2(low.astype(np.float64)).astype(np.int64) // 8
+        left = left[~bad]
+    return out
 
 
 def least_owner(segments: list[bytes], owner: np.ndarray, length: int) -> np.ndarray:
@@ -207,12 +244,8 @@ def least_owner(segments: list[bytes], owner: np.ndarray, length: int) -> np.nda
     whole[pos] = seg
     sa = suffix_array(t, 258)
     sa = sa[whole[sa] >= 0]
-    words = np.ndarray(len(text) - 7, "<u8", text, strides=(1,))
-    equal = np.ones(len(sa) - 1, bool)
-    for k in [*range(0, length - 8, 8), length - 8]:
-        equal &= words[sa[1:] + k] == words[sa[:-1] + k]
-    common = np.zeros(n, np.int64)  # permuted: in text order, cut at the length that matters
-    common[sa[1:]] = np.where(equal, length, 0)
+    common = np.zeros(n, np.int64)  # permuted: of each suffix with the one before it, in text order
+    common[sa[1:]] = _common(text, sa[1:], sa[:-1], length)
     head = np.flatnonzero(common[sa] < length)
     least = np.minimum.reduceat(owner[whole[sa]], head) if len(sa) else np.empty(0, np.int64)
     out = np.empty(n, np.int64)

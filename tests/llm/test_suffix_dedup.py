@@ -68,3 +68,24 @@ def test_long_documents_are_read_in_parts(monkeypatch):
             for s in range(a, z + 1):
                 key.setdefault(s % len(text), set()).add(int(k))
     assert all(len(v) == 1 for v in key.values())
+
+
+def test_recursion_and_common_prefixes_on_repetitive_strings():
+    import numpy as np
+
+    from caseloom.llm import suffix_dedup as S
+
+    r = np.random.default_rng(5)
+    for n, k in [(1, 2), (40, 2), (300, 3), (800, 3), (600, 500)]:
+        for _ in range(10):
+            t = np.append(np.tile(r.integers(1, k, max(1, n // 4)), 4), 0)
+            want = sorted(range(len(t)), key=lambda i: t[i:].tolist())
+            assert S.suffix_array(t, k).tolist() == want
+            waves, S.WAVES = S.WAVES, 0  # both ways of inducing, at every level
+            assert S.suffix_array(t, k).tolist() == want
+            S.WAVES = waves
+    raw = bytes(r.integers(97, 99, 400, dtype=np.uint8)) * 2
+    text = np.frombuffer(raw + b"\0" * 8, np.uint8)
+    a, b = r.integers(0, 700, 300), r.integers(0, 700, 300)
+    plain = [next((i for i in range(50) if raw[x + i : x + i + 1] != raw[y + i : y + i + 1]), 50) for x, y in zip(a.tolist(), b.tolist())]
+    assert S._common(text, a, b, 50).tolist() == plain

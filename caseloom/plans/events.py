@@ -7,8 +7,11 @@ from pyspark.sql.window import Window as W
 
 from ..operators import aggregates as A
 from ..operators import evaluation, ranking, state
+from ..sources import kept
 from ..sources import tables as S
-from .registry import query
+from ..sources.shared import new_path
+from ..streaming import stateful
+from .registry import ORACLES, query
 
 
 def log(spark, sf_dir):
@@ -116,3 +119,37 @@ SELECT event_id, CASE WHEN since IS NULL THEN 'closed' ELSE 'open' END AS state
 def circuit_states(spark, sf_dir):
     rows = log(spark, sf_dir).select("event_id", "event_type", (F.col("user_id") % 20).alias("service"), F.unix_timestamp("ts").cast("double").alias("t"), (F.col("event_type") != "error").alias("ok"))
     return state.circuit_states(rows, "service", "t", "ok", "event_id").select("event_id", "state")
+
+
+@query("SELECT event_id, length(props) AS size, sha256(event_type || props) AS digest FROM events")
+def cached_results(spark, sf_dir):
+    """Results kept by content: half of the events first, then all; the second run computes only the other half."""
+    path, rows = new_path(spark, "cache"), log(spark, sf_dir).select("event_id", "event_type", "props")
+    make = lambda few: few.select("_key", F.length("props").cast("long").alias("size"), F.sha2(F.concat("event_type", "props"), 256).alias("digest"))
+    kept.cached(rows.filter("event_id % 2 = 0"), ["event_type", "props"], make, path, "1")
+    return kept.cached(rows, ["event_type", "props"], make, path, "1")[0].select("event_id", "size", "digest")
+
+
+@query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) WHERE n = 1 AND event_type <> 'error'")
+def bucketed_upsert(spark, sf_dir):
+    """The last event of each user, merged in three batches into buckets; users whose last event is an error are deleted, a repeated batch does nothing."""
+    path, rows = new_path(spark, "upsert"), log(spark, sf_dir).select("user_id", "event_id", "event_type")
+    for number, part in enumerate(("event_id % 3 = 0", "event_id % 3 = 1", "event_id % 3 = 2")):
+        for _ in range(2):
+            kept.upsert(rows.filter(part), path, ["user_id"], ["event_id"], number, buckets=8)
+    gone = rows.groupBy("user_id").agg(F.max_by(F.struct("event_id", "event_type"), "event_id").alias("x")).select("user_id", "x.*").filter("event_type = 'error'")
+    kept.upsert(gone, path, ["user_id"], ["event_id"], 3, deleted=F.col("event_type") == "error", buckets=8)
+    return kept.current(spark, path, rows.schema)
+
+
+@query(ORACLES["ttl_claims"])
+def streamed_claims(spark, sf_dir):
+    """ttl_claims as a stream: the events in four files by time, two before and two after a restart."""
+    path, rows = new_path(spark, "claims"), log(spark, sf_dir).select("user_id", "event_type", "event_id", "ts")
+    for i in range(4):
+        low, high = (f"2024-01-{d:02d}" for d in (1 + 7 * i, 8 + 7 * i))
+        part = (F.col("ts") >= F.lit(low) if i else F.lit(True)) & (F.col("ts") < F.lit(high) if i < 3 else F.lit(True))
+        rows.filter(part).coalesce(1).write.mode("append").parquet(f"{path}/in")
+        if i % 2:
+            stateful.run_available(lambda s: stateful.claims(s, ["user_id", "event_type"], "ts", "event_id", 86400), spark, f"{path}/in", rows.schema, path)
+    return spark.read.parquet(f"{path}/rows")

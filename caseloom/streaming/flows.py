@@ -80,14 +80,7 @@ def memory(rows: DataFrame, session: str, turn: str, text: str, recent: int = 6,
 
 
 def latest_to(path: str, key: list[str], order: list[str]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink that keeps the last row of each key: each batch writes its own version, then names it current."""
-    from ..operators.state import latest
+    """A foreachBatch sink that keeps the last row of each key; a batch rewrites only the buckets of its keys."""
+    from ..sources.kept import sink
 
-    def merge(batch: DataFrame, number: int) -> None:
-        spark, rows = batch.sparkSession, latest(batch, key, order)
-        known = spark.createDataFrame([], rows.schema)
-        if number:
-            known = spark.read.schema(rows.schema).parquet(f"{path}/v{number - 1}")
-        latest(known.unionByName(rows), key, order).write.mode("overwrite").parquet(f"{path}/v{number}")
-
-    return merge
+    return sink(path, key, order)

@@ -109,25 +109,52 @@ def scanned(rows: DataFrame, keys: list[str], time: str, order: list[str], rule,
     held = held.withColumns({n: F.coalesce(F.col(k).cast("string"), F.lit("\0")) for n, k in zip(names, keys)})  # a key that joins where it is null
 
     def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_place")
         said = json.dumps(rule.summarise(pdf[time].tolist(), pdf["_ok"].tolist()))
         return pd.DataFrame([[*pdf[names].iloc[0], pdf["_chunk"].iloc[0], said]], columns=[*names, "_chunk", "_said"])
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, state, entries = pdf.sort_values("_chunk"), rule.start, []
+        state, entries = rule.start, []
         for said in pdf["_said"]:
             entries.append(json.dumps(state))
             state = rule.advance(json.loads(said), state)
         return pdf[[*names, "_chunk"]].assign(_entry=entries)
 
     def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_place")
-        pdf[out] = rule.replay(pdf[time].tolist(), pdf["_ok"].tolist(), json.loads(pdf["_entry"].iloc[0]))
-        return pdf[[*fields, out]]
+        return pdf[fields].assign(**{out: rule.replay(pdf[time].tolist(), pdf["_ok"].tolist(), json.loads(pdf["_entry"].iloc[0]))})
 
     key = [T.StructField(n, T.StringType()) for n in names]
     whole = T.StructField("_chunk", T.LongType())
-    said = held.select(*names, "_chunk", "_place", time, "_ok").groupBy(*names, "_chunk").applyInPandas(summarise, T.StructType([*key, whole, T.StructField("_said", T.StringType())]))
-    entries = materialize(said.groupBy(*names).applyInPandas(walk, T.StructType([*key, whole, T.StructField("_entry", T.StringType())])), "scan-entries")
+    said = _by_group(held.select(*names, "_chunk", "_place", time, "_ok"), [*names, "_chunk"], "_place", summarise, T.StructType([*key, whole, T.StructField("_said", T.StringType())]))
+    entries = materialize(_by_group(said, names, "_chunk", walk, T.StructType([*key, whole, T.StructField("_entry", T.StringType())])), "scan-entries")
     both = held.join(entries, [*names, "_chunk"])
-    return both.groupBy(*names, "_chunk").applyInPandas(replay, T.StructType([*rows.schema.fields, T.StructField(out, kind)]))
+    return _by_group(both, [*names, "_chunk"], "_place", replay, T.StructType([*rows.schema.fields, T.StructField(out, kind)]))
+
+
+def _by_group(rows: DataFrame, keys: list[str], order: str, each, schema: T.StructType) -> DataFrame:
+    """each(a group's rows in order), as applyInPandas, but many small groups share an Arrow batch: a group costs no batch of its own."""
+
+    def run(batches):
+        held: list[pd.DataFrame] = []
+        last = None
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            new = (pdf[keys] != pdf[keys].shift()).any(axis=1).to_numpy()
+            new[0] = last is None or tuple(pdf[keys].iloc[0]) != last
+            cuts = [i for i in range(len(pdf)) if new[i]]
+            if held and (not cuts or cuts[0] > 0):
+                held.append(pdf.iloc[: cuts[0] if cuts else len(pdf)])
+            made = []
+            if cuts:
+                if held:
+                    made.append(each(pd.concat(held)))
+                ends = [*cuts[1:], len(pdf)]
+                made += [each(pdf.iloc[a:z]) for a, z in zip(cuts[:-1], ends[:-1])]
+                held = [pdf.iloc[cuts[-1] :]]
+            last = tuple(pdf[keys].iloc[-1])
+            if made:
+                yield pd.concat(made)
+        if held:
+            yield each(pd.concat(held))
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, order).mapInPandas(run, schema)

@@ -131,8 +131,7 @@ def fact_extract_numbers(spark, sf_dir):
 
 
 @query("""WITH b AS (SELECT item_id, unnest(list_distinct(list_transform(range(1, length(text) - 6, 4), lambda i: substr(text, i, 8)))) AS g FROM benchmark WHERE length(text) >= 8),
-n AS (SELECT item_id, count(*) AS n FROM b GROUP BY 1), d AS (SELECT DISTINCT doc_id, substr(text, i, 8) AS g FROM documents, range(1, length(text) - 6) r(i)),
-h AS (SELECT item_id, doc_id, count(*) AS k FROM b JOIN d USING (g) GROUP BY 1, 2) SELECT item_id, doc_id, round(CAST(k AS DOUBLE) / n, 6) AS share FROM h JOIN n USING (item_id) WHERE CAST(k AS DOUBLE) / n >= 0.5""")
+n AS (SELECT item_id, count(*) AS n FROM b GROUP BY 1), h AS (SELECT item_id, doc_id, count(*) AS k FROM b JOIN documents d ON contains(d.text, b.g) GROUP BY 1, 2) SELECT item_id, doc_id, round(CAST(k AS DOUBLE) / n, 6) AS share FROM h JOIN n USING (item_id) WHERE CAST(k AS DOUBLE) / n >= 0.5""")
 def ngram_overlap(spark, sf_dir):
     """Benchmark items of which whole documents hold half of the pieces of eight characters."""
     items = S.table(spark, sf_dir, "benchmark").filter("length(text) >= 8")

@@ -25,7 +25,7 @@ def new_path(spark: SparkSession, tag: str) -> str:
 @contextmanager
 def small_batches(spark: SparkSession) -> Iterator[None]:
     """Rows reach Python tasks in Arrow batches of bounded size."""
-    limits = {"spark.sql.execution.arrow.maxBytesPerBatch": "4m", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+    limits = {"spark.sql.execution.arrow.maxBytesPerBatch": "2m", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
     before = {k: spark.conf.get(k) for k in limits}
     try:
         for k, v in limits.items():

@@ -1,4 +1,4 @@
-"""Queries over requests of a dialogue and over the evidence of cases: driver tables where SQL says the rule, else literal rows."""
+"""Queries over requests of a dialogue and over the evidence of cases."""
 
 from __future__ import annotations
 

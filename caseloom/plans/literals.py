@@ -1,17 +1,11 @@
-"""Queries over a few literal rows, for rules about words and dates, and over driver tables for plain table operators.
-
-Literal rows are given once and read by both engines; where DuckDB has no such rule, its text lists
-the rows that the rule's description demands, worked out by hand.
-"""
+"""Queries over driver tables for column functions, sources, joins, aggregates and retrieval."""
 
 from __future__ import annotations
 
-import datetime
-
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
-from ..operators import aggregates, build, evaluation, extraction, filters, joins, ranking, retrieval, similarity
+from ..operators import aggregates, build, evaluation, extraction, filters, joins, ranking, retrieval
 from ..sources import tables as S
 from .registry import query
 

@@ -108,7 +108,9 @@ def rerank_merge(scores: DataFrame, weight: float = 0.7) -> DataFrame:
     x = scores.join(ends, "query_id").withColumn("_r", F.when(F.col("_hi") > F.col("_lo"), (F.col("rerank") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(1.0))
     w = W.partitionBy("query_id", "case_id").orderBy(F.desc("_r"), F.desc("cosine"))
     top = x.withColumn("_n", F.row_number().over(w)).filter("_n <= 2")
-    return top.groupBy("query_id", "case_id").agg(F.round(weight * F.avg("cosine") + (1 - weight) * F.max("_r"), 6).alias("score"))
+    score = weight * F.avg("cosine") + round(1 - weight, 12) * F.max("_r")
+    # cosines of six decimals make exact halves common: those of the product, not of the shortest decimal, round up
+    return top.groupBy("query_id", "case_id").agg((F.round(score * 1e6) / 1e6).alias("score"))
 
 
 def evidence_rank(rows: DataFrame, text: str, dates: list[str], terms: list[str]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -42,9 +44,11 @@ def numbers(rows: DataFrame, key: str, text: str, pattern: str) -> DataFrame:
 def month_values(chunks: DataFrame, key: str, text: str, months: list[int], words: list[str]) -> DataFrame:
     """First number after a metric's name in the sentences that name a month."""
     pattern = "(?:" + "|".join(words) + r")[^。；]{0,40}?([-−]?\d+(?:\.\d+)?)"
-    rows = chunks.select(key, F.explode(sentences(F.col(text))).alias("s"), F.explode(F.array(*map(F.lit, months))).alias("month"))
+    held = lambda s: F.contains(s, F.lit("月")) & reduce(lambda a, b: a | b, [F.contains(s, F.lit(w)) for w in words])
+    rows = chunks.select(key, F.explode(F.filter(sentences(F.col(text)), held)).alias("s"))  # the other sentences are not read again
     v = F.replace(F.regexp_extract("s", pattern, 1), F.lit("−"), F.lit("-")).try_cast("double")
-    return rows.filter(F.contains("s", F.concat(F.col("month").cast("string"), F.lit("月")))).select(key, "month", v.alias("value")).dropna()
+    named = F.filter(F.array(*map(F.lit, months)), lambda m: F.contains("s", F.concat(m.cast("string"), F.lit("月"))))
+    return rows.select(key, named.alias("named"), v.alias("value")).dropna(subset=[key, "value"]).select(key, F.explode("named").alias("month"), "value")
 
 
 def derived_wind(found: DataFrame, case: str) -> DataFrame:

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from caseloom.operators import build, retrieval
+from caseloom.operators import build, extraction, retrieval
 from caseloom.operators import facts as N
 
 
@@ -63,3 +63,16 @@ def test_facts_once_and_by_reason_as_their_tables(spark):
     assert same(once.drop("end"), best.drop("end"))
     fields = ("metric", "relation", "reason")
     assert same(N.facts(rows, "id", "t", fields=fields, which="rejected"), found.filter("reason is not null").select("id", *fields))
+
+
+def test_values_of_months_by_sentence(spark):
+    rows = spark.createDataFrame([(1, "12月3日降水量为5毫米。1月无雨；降水量9毫米。2月和3月降水量-1.5毫米"), (2, None)], "id int, t string")
+    got = {tuple(r) for r in extraction.month_values(rows, "id", "t", [1, 2, 3, 12], ["降水量"]).collect()}
+    assert got == {(1, 2, 5.0), (1, 12, 5.0), (1, 2, -1.5), (1, 3, -1.5)}
+
+
+def test_readings_of_repeated_sentences_keep_their_own_times(spark):
+    """The same sentence after other days; a range that begins before it."""
+    texts = ["7月1日晴。能见度200米。", "7月2日至3日晴。能见度200米。8月9日能见度200米，9日至10日能见度100米。", "能见度200米。5月6日晴。"]
+    got = [(r.id, r.time) for r in N.readings(spark.createDataFrame(list(enumerate(texts)), "id int, t string"), "id", "t", N.SPECS["visibility"]).orderBy("id", "start").collect()]
+    assert got == [(0, "7-1"), (1, "7-2/7-3"), (1, "8-9"), (1, "8-9/8-10"), (2, "5-6")]

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from ..functions.scalars import cosine_score, lexical_terms
-from .blocks import top_cosines
+from ..functions.scalars import lexical_terms
+from .blocks import best as best_columns
+from .blocks import matrices, top_cosines, unit_rows
 
 DENSE, SPARSE, RRF_K, BM25_K1, BM25_B = 30, 30, 60, 1.2, 0.75
 
@@ -83,14 +87,42 @@ def retrieve(rows: DataFrame, query: str, vectors: DataFrame | None, k: int, key
     return found, mode, "; ".join(reasons)
 
 
-def candidate_scores(links: DataFrame, rows: DataFrame, queries: DataFrame, key: str, keep: int = 4, best: int = 2) -> DataFrame:
+CASE_SHARD = 8192  # chunks of a case that meet in one matrix; larger cases have several
+
+
+def candidate_scores(candidates: DataFrame, chunks: DataFrame, queries: DataFrame, key: str, keep: int = 4, best: int = 2) -> DataFrame:
     """Semantic score of each query's candidate cases: mean of their two best chunks' mapped cosines.
 
-    links: (query_id, case_id, key), the chunks of each query's own candidates; no other chunk is scored.
+    candidates: (query_id, case_id); chunks: (case_id, key, embedding). Only chunks of a query's own candidates are scored for it: a
+    case's queries meet its chunks as matrices, of which ``keep`` rows for each query go on; no table of pairs is made.
     """
-    used = links.join(rows.select(key, "embedding"), key).join(queries, "query_id")
-    scored = used.select("query_id", "case_id", key, cosine_score(F.col("embedding"), F.col("query_vector")).alias("s"))
-    w = W.partitionBy("query_id", "case_id").orderBy(F.desc("s"), key)
+    vectors = chunks.select("case_id", F.col(key).alias("key"), "embedding").filter("case_id is not null")
+    sizes = vectors.groupBy("case_id").agg(F.ceil(F.count("*") / CASE_SHARD).cast("int").alias("shards"))
+    dealt = vectors.join(sizes, "case_id").withColumn("shard", F.pmod(F.xxhash64("key"), F.col("shards")).cast("int"))
+    askers = candidates.join(queries, "query_id").join(sizes, "case_id").select("case_id", "query_id", "query_vector", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
+
+    def score(asked: pa.Table, held: pa.Table) -> pa.Table:
+        held = held.sort_by("key")
+        out = []
+        for q_at, q in matrices(asked["query_vector"]):
+            parts = [(at, m[:, : q.shape[1]]) for at, m in matrices(held["embedding"])]
+            for i in range(0, len(q), 256):
+                some, at, values = q[i : i + 256], [], []
+                for places, m in parts:
+                    cut = some[:, : m.shape[1]]
+                    at.append(places)
+                    values.append(np.clip((unit_rows(cut) @ unit_rows(m).T + 1) / 2, 0.0, 1.0))
+                if not at:
+                    continue
+                order = np.argsort(np.concatenate(at))
+                columns, top = best_columns(np.concatenate(values, axis=1)[:, order], keep)
+                whose = np.repeat(q_at[i : i + 256], columns.shape[1])
+                out.append(pa.table({"query_id": asked["query_id"].take(pa.array(whose)), "case_id": asked["case_id"].take(pa.array(whose)), "key": held["key"].take(pa.array(columns.ravel())), "s": pa.array(top.ravel())}))
+        return pa.concat_tables(out) if out else pa.table({"query_id": asked["query_id"].slice(0, 0), "case_id": asked["case_id"].slice(0, 0), "key": held["key"].slice(0, 0), "s": pa.array([], pa.float64())})
+
+    kind = T.StructType([queries.schema["query_id"], vectors.schema["case_id"], vectors.schema["key"], T.StructField("s", T.DoubleType())])
+    scored = askers.groupBy("case_id", "shard").cogroup(dealt.select("case_id", "shard", "key", "embedding").groupBy("case_id", "shard")).applyInArrow(score, kind)
+    w = W.partitionBy("query_id", "case_id").orderBy(F.desc("s"), "key")
     top = scored.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= keep)
     return top.groupBy("query_id", "case_id").agg(F.round(F.avg(F.when(F.col("_n") <= best, F.col("s"))), 6).alias("semantic"), F.count("*").alias("hits"))
 

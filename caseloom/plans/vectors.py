@@ -60,8 +60,7 @@ def semantic_scores(spark, sf_dir):
     v = S.table(spark, sf_dir, "embeddings")
     case = (F.col("vec_id") % 40).alias("case_id")
     candidates = retrieval.dense(v, queries(v), 20).select("query_id", case).distinct()
-    links = candidates.join(v.select("vec_id", case), "case_id")
-    return retrieval.candidate_scores(links, v, queries(v), "vec_id")
+    return retrieval.candidate_scores(candidates, v.select(case, "vec_id", "embedding"), queries(v), "vec_id")
 
 
 @query(DENSE + """, p AS (SELECT query_id, vec_id % 30 AS case_id, score AS cosine, CAST((vec_id * 37) % 101 AS DOUBLE) AS rerank FROM r WHERE rank <= 60),

@@ -76,3 +76,24 @@ def test_readings_of_repeated_sentences_keep_their_own_times(spark):
     texts = ["7月1日晴。能见度200米。", "7月2日至3日晴。能见度200米。8月9日能见度200米，9日至10日能见度100米。", "能见度200米。5月6日晴。"]
     got = [(r.id, r.time) for r in N.readings(spark.createDataFrame(list(enumerate(texts)), "id int, t string"), "id", "t", N.SPECS["visibility"]).orderBy("id", "start").collect()]
     assert got == [(0, "7-1"), (1, "7-2/7-3"), (1, "8-9"), (1, "8-9/8-10"), (2, "5-6")]
+
+
+def test_candidate_scores_without_pairs(spark, monkeypatch):
+    """Shards of three chunks; a case that no query asks for, a zero vector, equal scores."""
+    monkeypatch.setattr(retrieval, "CASE_SHARD", 3)
+    random.seed(6)
+    chunks = [(i % 3, i, [random.uniform(-1, 1) for _ in range(4)]) for i in range(40)] + [(1, 50, [0.0] * 4), (2, 51, [1.0, 0.0, 0.0, 0.0]), (2, 52, [1.0, 0.0, 0.0, 0.0])]
+    asked = {7: [1.0, 0.0, 0.0, 0.0], 8: [0.2, -0.4, 0.1, 0.9]}
+    pairs = [(7, 0), (7, 2), (8, 1)]
+    df = spark.createDataFrame
+    made = retrieval.candidate_scores(df(pairs, "query_id long, case_id long"), df(chunks, "case_id long, vec_id long, embedding array<float>"), df(list(asked.items()), "query_id long, query_vector array<float>"), "vec_id")
+
+    def mapped(a, b):
+        norm = sum(x * x for x in a) ** 0.5 * sum(x * x for x in b) ** 0.5
+        return ((sum(x * y for x, y in zip(a, b)) / norm if norm else 0.0) + 1) / 2
+
+    want = {}
+    for q, c in pairs:
+        s = sorted((mapped(asked[q], v) for case, _, v in chunks if case == c), reverse=True)
+        want[q, c] = (pytest.approx(sum(s[:2]) / 2, abs=1e-5), 4)
+    assert {(r.query_id, r.case_id): (r.semantic, r.hits) for r in made.collect()} == want

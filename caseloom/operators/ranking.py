@@ -130,32 +130,27 @@ def within_budget(rows: DataFrame, group: str, rank: str, text: str, order: str,
 
 def context_pack(rows: DataFrame, group: str, pos: str, text: str, sections: dict[str, list[str]], focus: list[str], limit: int = 12) -> DataFrame:
     """Packs each group: first and last row, two best for each section and for the focus terms, then the rows
-    after chosen ones, then by score, up to ``limit``, in document order."""
-    flat = {k: [t.lower() for t in v] for k, v in sections.items()}
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(pos).reset_index(drop=True)
-        if len(pdf) <= limit:
-            return pdf
-        low = pdf[text].fillna("").str.lower()
-        wanted = flat | {"_focus": [t.lower() for t in focus]}
-        hits = pd.DataFrame({k: low.map(lambda s, v=v: sum(map(s.count, v))) for k, v in wanted.items()})
-        chosen = [0, len(pdf) - 1]
-        for k in hits.columns:
-            best = hits[k][hits[k] > 0].sort_values(ascending=False, kind="stable").index[:2]
-            chosen += [i for i in best if i not in chosen]
-        chosen = chosen[:limit]
-        for i in sorted(chosen):
-            if len(chosen) < limit and i + 1 < len(pdf) and i + 1 not in chosen:
-                chosen.append(i + 1)
-        for i in hits.sum(axis=1).sort_values(ascending=False, kind="stable").index:
-            if len(chosen) >= limit:
-                break
-            if i not in chosen:
-                chosen.append(i)
-        return pdf.loc[sorted(chosen)]
-
-    return rows.groupBy(group).applyInPandas(fold, rows.schema)
+    after chosen ones, then by score, up to ``limit``. Windows of a group: its rows meet no Python, and texts only where they are asked for."""
+    low, w = F.lower(F.coalesce(F.col(text), F.lit(""))), W.partitionBy(group)
+    hits = lambda terms: sum((((F.length(low) - F.length(F.replace(low, F.lit(t), F.lit("")))) / len(t)).cast("long") for t in map(str.lower, terms)), F.lit(0))
+    wanted = [*sections.values(), focus]
+    names = [f"_k{i}" for i in range(len(wanted))]
+    out = rows.withColumns({k: hits(v) for k, v in zip(names, wanted)})
+    out = out.withColumns({"_i": F.row_number().over(w.orderBy(pos)), "_n": F.count(F.lit(1)).over(w)})
+    # the order in which rows are chosen: first, last, then the two best of each section
+    turn = [F.when(F.col("_i") == 1, 0), F.when(F.col("_i") == F.col("_n"), 1)]
+    for j, k in enumerate(names):
+        out = out.withColumn(f"_r{j}", F.row_number().over(w.orderBy(F.desc(k), "_i")))
+        turn.append(F.when((F.col(f"_r{j}") <= 2) & (F.col(k) > 0), 1 + 2 * j + F.col(f"_r{j}")))
+    out = out.withColumn("_turn", F.least(*turn)).withColumn("_seed", F.col("_turn").isNotNull() & (F.row_number().over(w.orderBy(F.asc_nulls_last("_turn"), "_i")) <= limit))
+    by_place = w.orderBy("_i")
+    out = out.withColumns({"_m": F.sum(F.col("_seed").cast("int")).over(w), "_next": ~F.col("_seed") & F.coalesce(F.lag("_seed").over(by_place), F.lit(False))})
+    out = out.withColumn("_next", F.col("_next") & (F.sum(F.col("_next").cast("int")).over(by_place) <= limit - F.col("_m")))
+    out = out.withColumns({"_two": F.col("_seed") | F.col("_next"), "_left": limit - F.sum((F.col("_seed") | F.col("_next")).cast("int")).over(w)})
+    total = sum((F.col(k) for k in names), F.lit(0))
+    place = F.row_number().over(w.orderBy(F.col("_two"), total.desc(), "_i"))  # chosen rows stand behind all others
+    out = out.withColumn("_taken", F.col("_two") | (place <= F.col("_left")) | (F.col("_n") <= limit))
+    return out.filter("_taken").select(*rows.columns)
 
 
 def role_coverage(rows: DataFrame, group: str, rank: str, role: str, text: str, roles: list[str], chars: int) -> DataFrame:

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from caseloom.operators import build, extraction, retrieval
+from caseloom.operators import build, extraction, ranking, retrieval
 from caseloom.operators import facts as N
 
 
@@ -97,3 +97,12 @@ def test_candidate_scores_without_pairs(spark, monkeypatch):
         s = sorted((mapped(asked[q], v) for case, _, v in chunks if case == c), reverse=True)
         want[q, c] = (pytest.approx(sum(s[:2]) / 2, abs=1e-5), 4)
     assert {(r.query_id, r.case_id): (r.semantic, r.hits) for r in made.collect()} == want
+
+
+def test_context_pack_needs_no_python(spark):
+    rows = spark.createDataFrame([(d, i, "plain " + "storm " * (i % 5 == d) + "heat " * (i in (6, 17))) for d in (1, 2) for i in range(1, 10 + 10 * d)], "doc long, pos long, t string")
+    made = ranking.context_pack(rows, "doc", "pos", "t", {"a": ["storm"]}, ["heat"], 6)
+    got = {d: sorted(r.pos for r in made.collect() if r.doc == d) for d in (1, 2)}
+    # document 1: 1 and 6 are the best of storm, 6 and 17 of heat; 2 and 7 follow chosen rows
+    assert got == {1: [1, 2, 6, 7, 17, 19], 2: [1, 2, 6, 7, 17, 29]}
+    assert "Pandas" not in made._jdf.queryExecution().toString()

@@ -4,6 +4,7 @@ A rule's outcome for a row depends on all earlier rows of its key, so a key woul
 cut into chunks of ``CHUNK`` by place. Each chunk is summarised on its own as a table from entry state to exit state;
 the summaries of a key are walked in order, which gives each chunk's entry state; then all chunks are
 replayed at once. A key of any size is spread over tasks; only its summaries, one for each chunk, meet.
+A key of one chunk needs none of this: such keys are replayed one after the other behind a single shuffle.
 """
 
 from __future__ import annotations
@@ -12,10 +13,14 @@ import json
 from bisect import bisect_left
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..sources.shared import materialize
 from .order import placed
@@ -100,13 +105,56 @@ class Breaker:
 def scanned(rows: DataFrame, keys: list[str], time: str, order: list[str], rule, out: str, kind: T.DataType, ok: str | None = None, chunk: int = CHUNK) -> DataFrame:
     """rows with what the rule says of each, in the order of (time, order) of its key. time: numbers; ok: a boolean column that the rule reads.
 
-    Null keys are one key; rows equal in time and order are taken in no stated order.
+    Null keys are one key; rows without a time come last; rows equal in time and order are taken in no stated order.
     """
-    fields = [f.name for f in rows.schema.fields]
-    held = placed(rows, [time, *order], keys, name="_place").withColumn("_chunk", F.floor(F.col("_place") / chunk).cast("long"))
-    held = materialize(held.withColumn("_ok", F.col(ok) if ok else F.lit(True)), "scan-rows")
     names = [f"_k{i}" for i in range(len(keys))]
-    held = held.withColumns({n: F.coalesce(F.col(k).cast("string"), F.lit("\0")) for n, k in zip(names, keys)})  # a key that joins where it is null
+    keyed = {n: F.coalesce(F.concat(F.lit("="), F.col(k).cast("string")), F.lit("")) for n, k in zip(names, keys)}  # a key that joins where it is null
+    whole = T.StructType([*rows.schema.fields, T.StructField(out, kind)])
+    times = [F.col(time).asc_nulls_last(), *order]
+    held = rows.withColumns(keyed).withColumn("_ok", F.col(ok) if ok else F.lit(True))
+    large = materialize(held.groupBy(*names).agg(F.count("*").alias("_n")).filter(F.col("_n") > chunk).select(*names), "scan-large")
+    if large.isEmpty():
+        return _whole_keys(held, names, time, times, rule, whole)
+    apart = F.broadcast(large)  # a row for each ``chunk`` rows at most
+    cut = _cut_keys(held.join(apart, names, "left_semi").select(*rows.columns), keys, keyed, time, times, rule, whole, ok, chunk)
+    return _whole_keys(held.join(apart, names, "left_anti"), names, time, times, rule, whole).unionAll(cut)
+
+
+def _whole_keys(held: DataFrame, names: list[str], time: str, times: list, rule, schema: T.StructType) -> DataFrame:
+    """Keys of one chunk: rows pass in order, and a key's rows are held until they are all there."""
+    fields, kind = schema.names[:-1], to_arrow_type(schema[-1].dataType)
+
+    def replayed(t: pa.Table, starts: list[int]) -> list[pa.RecordBatch]:
+        at = [float("nan") if x is None else x for x in t[time].to_pylist()]
+        ok, said = t["_ok"].to_pylist(), []
+        for a, z in zip(starts, [*starts[1:], t.num_rows]):
+            said += rule.replay(at[a:z], ok[a:z], rule.start)
+        return t.select(fields).append_column(schema.names[-1], pa.array(said, kind)).combine_chunks().to_batches()
+
+    def run(batches):
+        rest = None
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            t = t if rest is None else pa.concat_tables([rest, t])
+            new = np.zeros(max(t.num_rows - 1, 0), bool)
+            for n in names:
+                column = t[n].combine_chunks()
+                new |= pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
+            starts = [0, *(np.flatnonzero(new) + 1).tolist()]
+            rest = t.slice(starts[-1])
+            if starts[-1]:
+                yield from replayed(t.slice(0, starts[-1]), starts[:-1])
+        if rest is not None and rest.num_rows:
+            yield from replayed(rest, [0])
+
+    return held.repartition(*names).sortWithinPartitions(*names, *times).mapInArrow(run, schema)
+
+
+def _cut_keys(rows: DataFrame, keys: list[str], keyed: dict, time: str, times: list, rule, schema: T.StructType, ok: str | None, chunk: int) -> DataFrame:
+    """Keys of several chunks: summarised, walked, replayed."""
+    names, fields, out = list(keyed), rows.columns, schema.names[-1]
+    held = placed(rows, times, keys, name="_place").withColumn("_chunk", F.floor(F.col("_place") / chunk).cast("long"))
+    held = materialize(held.withColumn("_ok", F.col(ok) if ok else F.lit(True)), "scan-rows").withColumns(keyed)
 
     def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
         said = json.dumps(rule.summarise(pdf[time].tolist(), pdf["_ok"].tolist()))
@@ -127,7 +175,7 @@ def scanned(rows: DataFrame, keys: list[str], time: str, order: list[str], rule,
     said = _by_group(held.select(*names, "_chunk", "_place", time, "_ok"), [*names, "_chunk"], "_place", summarise, T.StructType([*key, whole, T.StructField("_said", T.StringType())]))
     entries = materialize(_by_group(said, names, "_chunk", walk, T.StructType([*key, whole, T.StructField("_entry", T.StringType())])), "scan-entries")
     both = held.join(entries, [*names, "_chunk"])
-    return _by_group(both, [*names, "_chunk"], "_place", replay, T.StructType([*rows.schema.fields, T.StructField(out, kind)]))
+    return _by_group(both, [*names, "_chunk"], "_place", replay, schema)
 
 
 def _by_group(rows: DataFrame, keys: list[str], order: str, each, schema: T.StructType) -> DataFrame:

@@ -44,3 +44,25 @@ def test_a_hot_key_is_cut(spark):
         for _, part in pdf.groupby(pdf["k"].fillna("none")):
             assert [got[i] for i in part["id"]] == rule.replay(part["t"].tolist(), part["ok"].tolist(), rule.start)
     assert scan.scanned(rows.limit(0), ["k"], "t", ["id"], RULES[0], "out", T.BooleanType()).count() == 0
+
+
+def test_keys_of_one_chunk_are_not_cut(spark, monkeypatch):
+    """They pass in one shuffle, a group over several Arrow batches too; a null key is not the key of a zero character; rows without a time come last."""
+    rows = spark.range(1200).select("id", F.when(F.col("id") % 4 == 1, F.lit("\0")).when(F.col("id") % 4 > 1, F.concat(F.lit("k"), (F.col("id") % 200).cast("string"))).alias("k"), F.when(F.col("id") % 40 > 1, (F.col("id") * 7919 % 1201).cast("long")).alias("t"))
+    monkeypatch.setattr(scan, "placed", None)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {r.id: r.out for r in scan.scanned(rows, ["k"], "t", ["id"], scan.Claims(50), "out", T.BooleanType()).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    groups = {}
+    for r in rows.collect():
+        groups.setdefault(r.k, []).append((r.t is None, r.t or 0, r.id))
+    want = {}
+    for members in groups.values():
+        until = None
+        for missing, t, i in sorted(members):
+            want[i] = until is None or (not missing and t >= until)
+            if want[i]:
+                until = t + 50
+    assert got == want

@@ -144,12 +144,11 @@ def bucketed_upsert(spark, sf_dir):
 
 @query(ORACLES["ttl_claims"])
 def streamed_claims(spark, sf_dir):
-    """ttl_claims as a stream: the events in four files by time, two before and two after a restart."""
+    """ttl_claims as a stream: the events in four batches by time, each of as many files as Spark writes, with a restart between them."""
     path, rows = new_path(spark, "claims"), log(spark, sf_dir).select("user_id", "event_type", "event_id", "ts")
     for i in range(4):
         low, high = (f"2024-01-{d:02d}" for d in (1 + 7 * i, 8 + 7 * i))
         part = (F.col("ts") >= F.lit(low) if i else F.lit(True)) & (F.col("ts") < F.lit(high) if i < 3 else F.lit(True))
-        rows.filter(part).coalesce(1).write.mode("append").parquet(f"{path}/in")
-        if i % 2:
-            stateful.run_available(lambda s: stateful.claims(s, ["user_id", "event_type"], "ts", "event_id", 86400), spark, f"{path}/in", rows.schema, path)
+        rows.filter(part).write.mode("append").parquet(f"{path}/in")
+        stateful.run_available(lambda s: stateful.claims(s, ["user_id", "event_type"], "ts", "event_id", 86400), spark, f"{path}/in", rows.schema, path, files=None)
     return spark.read.parquet(f"{path}/rows")

@@ -55,3 +55,14 @@ def test_a_timer_ends_the_cooldown(spark, tmp_path):
         stateful.run_available(lambda s: stateful.breakers(s, "service", "ts", "ok", "n", 1, 60), spark, str(tmp_path / "in"), schema, str(tmp_path / "out"))
     rows = {(r.service, r.n, r.state) for r in spark.read.parquet(str(tmp_path / "out" / "rows")).collect()}
     assert rows == {(1, 0, "open"), (1, None, "half-open"), (2, 1, "closed"), (2, 2, "closed"), (1, 3, "closed")}
+
+
+def test_keys_share_buckets_of_state(spark, fed):
+    """Three values of state for all keys: the rows that win are the same, a key's claims do not touch another's, null keys are one."""
+    events, feed, path = fed
+    feed(0), feed(1), feed(2), feed(3)
+    held = lambda s: s.withColumn("user_id", F.when(F.col("user_id") > 2, F.col("user_id")))
+    stateful.run_available(lambda s: stateful.claims(held(s), ["user_id", "event_type"], "ts", "event_id", 86400, buckets=3), spark, f"{path}/in", events.schema, f"{path}/claims", files=None)
+    got = sorted(tuple(r) for r in spark.read.parquet(f"{path}/claims/rows").select("event_id").collect())
+    want = sorted(tuple(r) for r in state.ttl_claims(held(events), ["user_id", "event_type"], "ts", "event_id", 86400).select("event_id").collect())
+    assert got == want and len(want) > 50

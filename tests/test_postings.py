@@ -41,3 +41,17 @@ def test_empty_table(spark, tmp_path):
     queries = spark.createDataFrame([(1, ["rare"])], "query_id int, query_tokens array<string>")
     postings.append(corpus(spark, 50), "doc_id", F.col("t"), path, generation=1)
     assert postings.search(spark, path, queries, 5, "doc_id")[0].count() == 1
+
+
+def test_an_index_in_parts_of_blocks_is_the_same(spark, tmp_path, monkeypatch):
+    """Long documents are counted in parts of their block; documents meet before their words do: words are never shuffled one by one."""
+    docs, queries = corpus(spark, 300), spark.createDataFrame([(1, ["rare", "w3"]), (2, ["w1", "w390"])], "query_id int, query_tokens array<string>")
+    found = []
+    for i, tokens in enumerate((1 << 23, 50)):
+        monkeypatch.setattr(postings, "PART_TOKENS", tokens)
+        path = str(tmp_path / str(i))
+        postings.append(docs, "doc_id", F.col("t"), path, block_docs=64)
+        lists = spark.read.parquet(f"{path}/lists")
+        found.append((sorted(map(str, lists.collect())), sorted(postings.search(spark, path, queries, 5, "doc_id")[0].collect())))
+        assert {c: lists.filter(F.size("postings") != F.col("n")).count() for c in ("n",)} == {"n": 0}
+    assert found[0] == found[1] and len(found[0][1]) == 10

@@ -9,7 +9,7 @@ string alone. So strings that are equal share an anchor, and only anchors' neigh
 2. ``shared``: a shard returns to the blocks the hashes that occur in two documents or more.
 3. ``segments``: a block sends the text around shared anchors, each different text once, with the
    least doc_id that has it there.
-4. A shard concatenates its different texts and builds their suffix array by induced sorting:
+4. A shard concatenates its different texts, whole anchors of about ``TOGETHER`` bytes at a time, and builds their suffix array by induced sorting:
    suffixes are classified, the leftmost-smaller substrings are sorted by a first induction and
    the string of their names is sorted in the same way, recursively, and all suffixes are induced from them, bucket by bucket.
    Common prefixes of neighbours, permuted to text order and cut at ``length``, give the classes of equal
@@ -253,6 +253,24 @@ def least_owner(segments: list[bytes], owner: np.ndarray, length: int) -> np.nda
     return out[pos]
 
 
+TOGETHER = 200_000  # bytes of a suffix array, about: one that stays in a core's cache costs half as much a byte as one of megabytes
+
+
+def together(anchor: np.ndarray, sizes: np.ndarray, most: int = TOGETHER) -> Iterator[np.ndarray]:
+    """Numbers of the texts of each suffix array: whole anchors, in order, until there are ``most`` bytes.
+
+    Equal strings share their anchor: a text that alone has its anchor meets no other text and is in none.
+    """
+    _, group, count = np.unique(anchor, return_inverse=True, return_counts=True)
+    meet = np.flatnonzero(count[group] > 1)
+    meet = meet[np.argsort(group[meet], kind="stable")]
+    if len(meet):
+        first = np.append(True, np.diff(group[meet]) > 0)  # of an anchor
+        before = np.cumsum(sizes[meet]) - sizes[meet]
+        number = before[first][np.cumsum(first) - 1] // most
+        yield from np.split(meet, np.flatnonzero(np.diff(number)) + 1)
+
+
 # --- Spark ----------------------------------------------------------------------------------------------------
 
 
@@ -357,10 +375,7 @@ def removed(docs: DataFrame, length: int = 50) -> DataFrame:
         anchor[mine] = h
         starts = np.array([len(s) for s in kept]) - length + 1
         at, least = np.cumsum(starts) - starts, np.repeat(low, starts)
-        # equal strings share their anchor: a text that alone has its anchor meets no other text
-        _, group, count = np.unique(anchor, return_inverse=True, return_counts=True)
-        meet = np.flatnonzero(count[group] > 1)
-        if len(meet):
+        for meet in together(anchor, starts + length - 1):
             least[_runs(at[meet], starts[meet])] = least_owner([kept[k] for k in meet], low[meet], length)
         hit = np.flatnonzero(np.minimum.reduceat(least, at)[mine] < hi)
         used, name = np.unique(mine[hit]), np.empty(len(kept), np.uint64)

@@ -89,3 +89,15 @@ def test_recursion_and_common_prefixes_on_repetitive_strings():
     a, b = r.integers(0, 700, 300), r.integers(0, 700, 300)
     plain = [next((i for i in range(50) if raw[x + i : x + i + 1] != raw[y + i : y + i + 1]), 50) for x, y in zip(a.tolist(), b.tolist())]
     assert S._common(text, a, b, 50).tolist() == plain
+
+
+def test_a_shard_is_sorted_in_parts_of_whole_anchors():
+    """Every text that shares its anchor is in one part, all of an anchor together, parts are bounded where anchors are."""
+    random = np.random.default_rng(5)
+    anchor, sizes = random.integers(0, 400, 1000).astype(np.uint64), random.integers(50, 90, 1000)
+    parts = list(D.together(anchor, sizes, 2000))
+    alone = np.isin(anchor, [k for k, n in zip(*np.unique(anchor, return_counts=True)) if n == 1])
+    assert sorted(np.concatenate(parts).tolist()) == np.flatnonzero(~alone).tolist() and len(parts) > 20
+    of = [set(anchor[p].tolist()) for p in parts]
+    assert sum(map(len, of)) == len(set.union(*of)) and max(sizes[p].sum() for p in parts) < 2000 + 90 * 15
+    assert list(D.together(np.arange(5, dtype=np.uint64), sizes[:5])) == []

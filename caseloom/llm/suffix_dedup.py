@@ -9,7 +9,7 @@ string alone. So strings that are equal share an anchor, and only anchors' neigh
 2. ``shared``: a shard returns to the blocks the hashes that occur in two documents or more.
 3. ``segments``: a block sends the text around shared anchors, each different text once, with the
    least doc_id that has it there.
-4. A shard concatenates its different texts, whole anchors of about ``TOGETHER`` bytes at a time, and builds their suffix array by induced sorting:
+4. A shard sets texts aside that agree with no other for long enough around their anchor, concatenates the others, whole anchors of about ``TOGETHER`` bytes at a time, and builds their suffix array by induced sorting:
    suffixes are classified, the leftmost-smaller substrings are sorted by a first induction and
    the string of their names is sorted in the same way, recursively, and all suffixes are induced from them, bucket by bucket.
    Common prefixes of neighbours, permuted to text order and cut at ``length``, give the classes of equal
@@ -45,6 +45,16 @@ _BYTE = np.random.default_rng(7).integers(0, 1 << 63, 256, dtype=np.uint64) * np
 _POS_BITS = np.uint64(23)
 
 
+def _grams(raw: np.ndarray) -> np.ndarray:
+    """Hashes of the ``GRAM``-byte substrings."""
+    h, span = _BYTE[raw], 1
+    while span < GRAM:
+        h = h[:-span] * np.uint64(0x9E3779B97F4A7C15 ^ span) + h[span:]
+        span *= 2
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
 def cells(raw: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first start, last start, anchor hash) of the runs of strings with a common anchor.
 
@@ -53,12 +63,7 @@ def cells(raw: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarray,
     n = len(raw)
     if n < length:
         return (np.empty(0, np.int64),) * 2 + (np.empty(0, np.uint64),)
-    h, span = _BYTE[raw], 1
-    while span < GRAM:
-        h = h[:-span] * np.uint64(0x9E3779B97F4A7C15 ^ span) + h[span:]
-        span *= 2
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(32)
+    h = _grams(raw)
     mask = (np.uint64(1) << _POS_BITS) - np.uint64(1)
     key = (h & ~mask) | np.arange(len(h), dtype=np.uint64)  # the hash's upper bits, ties to the left
     width, have = length - GRAM + 1, 1
@@ -271,6 +276,35 @@ def together(anchor: np.ndarray, sizes: np.ndarray, most: int = TOGETHER) -> Ite
         yield from np.split(meet, np.flatnonzero(np.diff(number)) + 1)
 
 
+CUTS = 4  # parts of the places that an anchor can have in a string
+
+
+def meeting(texts: list[bytes], anchor: np.ndarray, length: int) -> np.ndarray:
+    """Numbers of the texts that may share a string with another text; all others meet none and need no suffix array.
+
+    Equal strings have their anchor at the same place. A string whose anchor has from a to z bytes before it holds
+    the a bytes before the anchor and the length - GRAM - z after it, so that texts which share such a string share this core as well.
+    """
+    _, group, count = np.unique(anchor, return_inverse=True, return_counts=True)
+    several = np.flatnonzero(count[group] > 1)
+    sizes = np.array([len(texts[k]) for k in several], np.int64)
+    may = np.zeros(len(several), bool)
+    at = np.empty(len(several), np.int64)  # of the anchor: the first place with its hash, as a text begins with a string that has it
+    for part in np.split(np.arange(len(several)), np.flatnonzero(np.diff(np.cumsum(sizes) // CHUNK)) + 1) if len(several) else ():
+        h = _grams(np.frombuffer(b"".join([texts[k] for k in several[part]]), np.uint8))
+        begin = np.cumsum(sizes[part]) - sizes[part]
+        hit = np.flatnonzero(h == np.repeat(anchor[several[part]], sizes[part])[: len(h)])
+        at[part] = hit[np.searchsorted(hit, begin)] - begin
+    width = length - GRAM + 1
+    for a in range(0, width, step := -(-width // CUTS)):
+        first, end = at - a, at + length - min(a + step, width) + 1
+        ok = np.flatnonzero((first >= 0) & (end <= sizes))
+        number: dict[bytes, int] = {}
+        core = np.array([number.setdefault(texts[k][i:j], len(number)) for k, i, j in zip(several[ok].tolist(), first[ok].tolist(), end[ok].tolist())], np.int64)
+        may[ok] |= np.bincount(core)[core] > 1
+    return several[may]
+
+
 # --- Spark ----------------------------------------------------------------------------------------------------
 
 
@@ -375,7 +409,9 @@ def removed(docs: DataFrame, length: int = 50) -> DataFrame:
         anchor[mine] = h
         starts = np.array([len(s) for s in kept]) - length + 1
         at, least = np.cumsum(starts) - starts, np.repeat(low, starts)
-        for meet in together(anchor, starts + length - 1):
+        may = meeting(kept, anchor, length)
+        for part in together(anchor[may], starts[may] + length - 1):
+            meet = may[part]
             least[_runs(at[meet], starts[meet])] = least_owner([kept[k] for k in meet], low[meet], length)
         hit = np.flatnonzero(np.minimum.reduceat(least, at)[mine] < hi)
         used, name = np.unique(mine[hit]), np.empty(len(kept), np.uint64)

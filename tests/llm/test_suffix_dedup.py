@@ -101,3 +101,29 @@ def test_a_shard_is_sorted_in_parts_of_whole_anchors():
     of = [set(anchor[p].tolist()) for p in parts]
     assert sum(map(len, of)) == len(set.union(*of)) and max(sizes[p].sum() for p in parts) < 2000 + 90 * 15
     assert list(D.together(np.arange(5, dtype=np.uint64), sizes[:5])) == []
+
+
+def test_only_texts_that_may_share_a_string_are_sorted():
+    """Texts that alone have a long core around their anchor are in no suffix array; whoever shares a string is in one."""
+    random = np.random.default_rng(8)
+    stem = bytes(random.integers(97, 123, 84).astype(np.uint8))
+    anchor = {}
+    for cut in range(0, 35):  # the same string of 50 bytes, with its anchor at each place, in two texts
+        for k in range(2):
+            text = bytes(random.integers(97, 123, 40).astype(np.uint8)) + stem[cut : cut + 50] + bytes(random.integers(97, 123, 40).astype(np.uint8))
+            for _, data, _, first, last, h in D.all_cells([text], 50):
+                anchor |= {data[a : z + 50]: int(x) for a, z, x in zip(first.tolist(), last.tolist(), h.tolist())}
+    for _ in range(300):  # texts with the anchor of another, and little else of it
+        text = bytes(random.integers(97, 123, 34).astype(np.uint8)) + stem[34:50] + bytes(random.integers(97, 123, 34).astype(np.uint8))
+        for _, data, _, first, last, h in D.all_cells([text], 50):
+            anchor |= {data[a : z + 50]: int(x) for a, z, x in zip(first.tolist(), last.tolist(), h.tolist())}
+    texts, anchors = list(anchor), np.array(list(anchor.values()), np.uint64)
+    of = {}
+    for k, t in enumerate(texts):
+        for i in range(len(t) - 49):
+            of.setdefault(t[i : i + 50], set()).add(k)
+    share = set().union(*[x for x in of.values() if len(x) > 1])
+    may = set(D.meeting(texts, anchors, 50).tolist())
+    several = sum(n for n in np.unique(anchors, return_counts=True)[1] if n > 1)
+    assert share <= may and len(share) > 30 and len(may) < several / 2
+    assert D.meeting([], np.empty(0, np.uint64), 50).tolist() == []

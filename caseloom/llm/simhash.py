@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, materialize, sliced
+from .common import give_heap_back, id_text, materialize, sliced
 
 SAMPLE = 32_768  # fingerprints that the tree is fitted on
 SHARD_ROWS = 100_000  # rows aimed at in a shard: each level of the tree repeats about a quarter of its rows
@@ -279,7 +279,9 @@ def _common(rows: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _similar(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, k: int, similarity: float) -> DataFrame:
     """The pairs (a, b) of bodies whose whole texts have the similarity."""
+    give_heap_back(rows.sparkSession)
     pairs = materialize(pairs, "pairs")
+    give_heap_back(rows.sparkSession)
     ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("body")).distinct().join(nodes.select("id", "body"), "body"), "compared")
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
     texts = materialize(rows.join(ids.withColumnRenamed("id", "doc_id"), ["doc_id", "body"], "left_semi").dropDuplicates(["body"]).select("body", "text"), "texts")
@@ -338,6 +340,7 @@ def near_duplicate_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8,
     prints = materialize(nodes.groupBy("fp").agg(F.min("id").alias("id")), "prints")
     equal = nodes.join(prints.withColumnRenamed("id", "a"), "fp").filter("a <> id").select("a", F.col("id").alias("b"))
 
+    give_heap_back(docs.sparkSession)
     every = nodes.select("body", "n", F.posexplode("first").alias("at", "s")).withColumn("indexed", F.col("at") < _prefix(F.col("n"), similarity, False, F.ceil))
     buckets = every.groupBy("s").agg(F.count("*").alias("met"), F.max("indexed").alias("any")).filter("met > 1 and any")
     met = materialize(every.join(buckets.select("s", "met"), "s").join(nodes.select("body", "bits"), "body"), "met")
@@ -370,6 +373,7 @@ def near_duplicate_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8,
             pairs = salted.alias("x").join(other.alias("y"), (F.col("x.s") == F.col("y.s")) & (F.col("x.salt") == F.col("y.salt")) & smaller)
         pairs = pairs.filter(F.col("x.part") != F.col("y.part")).filter(may("x", "y")).select(F.col("x.body").alias("a"), F.col("y.body").alias("b")).distinct()
         links = materialize(links.union(_similar(pairs, nodes, rows, k, similarity)), "links")
+    give_heap_back(docs.sparkSession)
     names = nodes.select("body", "id")
     named = links.join(names.toDF("a", "m"), "a").join(names.toDF("b", "n"), "b").select(F.least("m", "n").alias("a"), F.greatest("m", "n").alias("b")).filter("a <> b")
     parts = components(near_links(prints, radius).union(equal).union(named).distinct())

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,8 +25,8 @@ def new_path(spark: SparkSession, tag: str) -> str:
 
 @contextmanager
 def small_batches(spark: SparkSession) -> Iterator[None]:
-    """Rows reach Python tasks in Arrow batches of bounded size."""
-    limits = {"spark.sql.execution.arrow.maxBytesPerBatch": "2m", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+    """Rows reach Python tasks in Arrow batches of bounded size, and are read from Parquet in batches of as many: texts of 4,096 rows are arrays of tens of MB."""
+    limits = {"spark.sql.execution.arrow.maxBytesPerBatch": "2m", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.parquet.columnarReaderBatchSize": "1000"}
     before = {k: spark.conf.get(k) for k in limits}
     try:
         for k, v in limits.items():
@@ -44,6 +45,15 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_heap_back(spark: SparkSession) -> None:
+    """Executors collect their garbage, after which a heap shrinks to what is in use: else one session's heaps only grow, to their limit.
+
+    A task for each core reaches every idle executor; one that gets none keeps its heap, which changes no result.
+    """
+    n = 1 if spark.sparkContext.master.startswith("local[") else spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.java_method(F.lit("java.lang.System"), F.lit("gc"))).write.format("noop").mode("overwrite").save()
+
+
 def remove(spark: SparkSession, *tables: DataFrame) -> None:
     """Deletes the files of tables that ``materialize`` wrote and that nothing reads any more."""
     home = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark)).getName()

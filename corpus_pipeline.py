@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; all but the
 last return the columns of ``documents``. Between stages the rows are written as Parquet and read
-again, so that a lost executor costs no earlier stage. SQL cannot express it (a conditional random
+again, so that a lost executor costs no earlier stage, and executors give back the heap that a stage needed before the next begins. SQL cannot express it (a conditional random
 field, graph components): the tests hold each stage against a plain version instead.
 """
 
@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseloom.llm.common import materialize
+from caseloom.llm.common import give_heap_back, materialize
 from caseloom.llm.decontamination import contaminated
 from caseloom.llm.packing import pack
 from caseloom.llm.pii import sanitise
@@ -54,6 +54,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null, empty and wordless texts stay; very long ones are scored whole; an empty table gives none; other columns stay as they are.
     """
+    give_heap_back(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~held_out(3, 1))
     rows, name = _numbered(docs)
     return _without(rows, name, score_toxicity(docs, labels, _documents(rows, name)).filter("score >= 0.7"), docs.columns, "toxic")
@@ -66,6 +67,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     copies the one of least MD5 of its text stays, of equal rows one; unlike texts of one doc_id all stay.
     Texts without a word are copies of each other. Very long texts are compared by all shingles; an empty table gives none.
     """
+    give_heap_back(spark)
     rows, name = _numbered(docs)
     groups = near_duplicate_groups(_documents(rows, name), k=5, similarity=0.8)
     return _without(rows, name, groups.filter("doc_id <> component_id"), docs.columns, "copies")
@@ -76,18 +78,21 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Null and empty texts stay; very long ones are read whole; an empty table, or benchmark, takes none; other columns stay as they are.
     """
+    give_heap_back(spark)
     rows, name = _numbered(docs)
     return _without(rows, name, contaminated(_documents(rows, name), spark.read.parquet(f"{sf_dir}/benchmark.parquet")), docs.columns, "leaks")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by labels; every row stays, null and empty texts as they are, equal rows alike."""
+    give_heap_back(spark)
     clean = sanitise(docs)
     return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else clean
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of 1,024 token ids, a row for each piece of a document; null and empty texts are one id, the end."""
+    give_heap_back(spark)
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), window=1024, end_id=0)
 
 

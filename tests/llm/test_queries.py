@@ -87,3 +87,20 @@ def test_toxic_and_leaked_rows_go_whatever_their_id(spark):
     kept = {(r.doc_id, r.text) for r in corpus_pipeline.decontamination(spark, mixed, SMALL).collect()}
     was = {(r.doc_id, r.text) for r in docs.filter("doc_id = 7").collect()}
     assert was <= kept and (7, item) not in kept and (None, f"before {item} after") not in kept
+
+
+def test_stages_begin_with_the_heap_given_back(spark):
+    """Every stage has the executors collect their garbage, so that their heaps don't grow from stage to stage."""
+    collectors = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    whole = lambda: sum(c.getCollectionCount() for c in collectors if "Old" in c.getName() or "MarkSweep" in c.getName())
+    few = spark.read.parquet(f"{SMALL}/documents.parquet").limit(20)
+    for name, stage in [x for x in corpus_pipeline.STAGES if x[0] in ("decontamination", "personal_data")]:
+        before = whole()
+        stage(spark, few, SMALL)
+        assert whole() > before, name
+
+
+def test_texts_are_read_in_bounded_batches(spark):
+    with corpus_pipeline.materialize.__globals__["small_batches"](spark):
+        assert int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")) <= 1000
+    assert int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")) > 1000

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared import give_heap_back, materialize, new_path, remove, shared_dir, small_batches  # noqa: F401  (for the operators)
+from ..sources.shared import give_heap_back, materialize, new_path, remove, shared_dir, shuffles_dropped, small_batches  # noqa: F401  (for the operators)
 
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_heap_back, id_text, materialize, sliced
+from .common import give_heap_back, id_text, materialize, remove, shuffles_dropped, sliced
 
 SAMPLE = 32_768  # fingerprints that the tree is fitted on
 SHARD_ROWS = 100_000  # rows aimed at in a shard: each level of the tree repeats about a quarter of its rows
@@ -208,9 +208,10 @@ def components(links: DataFrame) -> DataFrame:
             out = near.select(F.col("m").alias("a"), F.col("v").alias("b")).union(least.select(F.col("m"), F.col("u")))
         return out.filter("a <> b").distinct()
 
-    edges, before = materialize(links, "links"), None
+    edges, before = materialize(links, "edges"), None
     while True:
-        edges = materialize(star(star(edges, large=True), large=False), "stars")
+        old, edges = edges, materialize(star(star(edges, large=True), large=False), "stars")
+        remove(links.sparkSession, old)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("b").alias("id"), F.col("a").alias("component"))
@@ -228,7 +229,8 @@ def near_duplicates(docs: DataFrame, k: int = 3, radius: int = 3) -> DataFrame:
 
 # Looser copies, for pipelines: exact similarity of word shingles ------------------------------------------
 
-ORDER_SAMPLE = 10_000  # texts whose shingle counts give the order, rare ones first; it decides cost, never results
+ORDER_SAMPLE = 10_000  # texts, at the least, whose shingle counts give the order, rare ones first; it decides cost, never results
+ORDER_SHARE = 24  # and one of so many: else shingles that are rare in the sample are in ever more texts, whose pairs grow with the square
 ORDER_SHINGLES = 250_000  # of their repeated shingles so many, the most frequent, are broadcast
 SHARED = 2  # shingles that two prefixes must share
 LIGHT = 32  # texts that all meet in a bucket; in larger ones leaders come first
@@ -250,12 +252,31 @@ def _parity(h: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
+def _wide(h: np.ndarray) -> bytes:
+    """The same with two bits or more for each shingle, 512 at the least: that of 512 bits says nothing of texts of more than a thousand shingles."""
+    n = max(512, 1 << int(2 * len(h) - 1).bit_length())
+    return np.packbits((np.bincount((h & np.uint64(n - 1)).astype(np.int64), minlength=n) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def _apart(x: bytes, y: bytes) -> int:
+    """Bits in which two wide bitmaps differ, the longer one folded to the length of the other: so many shingles at the least are in one set only."""
+    a, b = sorted((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), key=len)
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def jaccard(x: np.ndarray, y: np.ndarray) -> float:
     """Of two sorted sets, each of different shingle hashes."""
     both = len(np.intersect1d(x, y, True))
     return both / max(1, len(x) + len(y) - both)
 
 
+def _need(m, n, similarity: float):
+    """Shingles in common at the least."""
+    return similarity / (1 + similarity) * (m + n) - 1e-6
+
+
 def _prefix(n, similarity: float, any_size: bool, ceil=np.ceil):
     """Shingles of a text of n among which it shares ``SHARED`` with any similar one (or any not smaller)."""
     return n - ceil((similarity if any_size else 2 * similarity / (1 + similarity)) * n - 1e-6) + SHARED
@@ -269,22 +290,34 @@ def _common(rows: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
             for t in b.column(1).cast(pa.binary()).to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(_shingle_hashes(t, k).view(np.int64))], names=["s"])
 
-    every = max(1, rows.count() // ORDER_SAMPLE)
+    every = max(1, min(rows.count() // ORDER_SAMPLE, ORDER_SHARE))
     few = rows.filter(F.pmod(F.col("body"), F.lit(every)) == 0).dropDuplicates(["body"]).select("body", "text")
-    found = few.mapInArrow(run, "s long").groupBy("s").count().filter("count > 1").orderBy(F.desc("count"), "s").limit(ORDER_SHINGLES).toArrow()
+    with shuffles_dropped(rows.sparkSession):
+        found = few.mapInArrow(run, "s long").groupBy("s").count().filter("count > 1").orderBy(F.desc("count"), "s").limit(ORDER_SHINGLES).toArrow()
     s, n = found.column("s").to_numpy().view(np.uint64), found.column("count").to_numpy()
     order = np.argsort(s)
     return s[order], n[order]
 
 
 def _similar(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, k: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of bodies whose whole texts have the similarity."""
-    give_heap_back(rows.sparkSession)
+    """The pairs (a, b) of bodies whose whole texts have the similarity; only texts whose wide bitmaps allow for it meet."""
+    spark = rows.sparkSession
+    give_heap_back(spark)
     pairs = materialize(pairs, "pairs")
-    give_heap_back(rows.sparkSession)
-    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("body")).distinct().join(nodes.select("id", "body"), "body"), "compared")
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-    texts = materialize(rows.join(ids.withColumnRenamed("id", "doc_id"), ["doc_id", "body"], "left_semi").dropDuplicates(["body"]).select("body", "text"), "texts")
+    give_heap_back(spark)
+    meant = materialize(pairs.select(F.explode(F.array("a", "b")).alias("body")).distinct().join(nodes.select("body", "id", "n", "wide"), "body"), "meant")
+
+    def allowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
+            met = zip(*(b.column(i).to_pylist() for i in range(2, 6)))
+            yield b.filter(pa.array([_apart(x, y) <= m + n - 2 * _need(m, n, similarity) for m, n, x, y in met], pa.bool_())).select(["a", "b"])
+
+    sides = meant.select("body", "n", "wide")
+    near = pairs.join(sides.toDF("a", "m", "x"), "a").join(sides.toDF("b", "n", "y"), "b").select("a", "b", "m", "n", "x", "y")
+    near = materialize(near.mapInArrow(allowed, "a long, b long"), "near")
+    ids = materialize(near.select(F.explode(F.array("a", "b")).alias("body")).distinct().join(meant.select("id", "body"), "body"), "compared")
+    few = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+    texts = materialize(rows.join(few.withColumnRenamed("id", "doc_id"), ["doc_id", "body"], "left_semi").dropDuplicates(["body"]).select("body", "text"), "texts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, np.ndarray] = {}
@@ -302,8 +335,10 @@ def _similar(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, k: int, simila
             a, c, x, y = (b.column(i).cast(pa.binary()).to_pylist() if i > 1 else b.column(i).to_pylist() for i in range(4))
             yield b.filter(pa.array([jaccard(shingles(*p), shingles(*q)) >= similarity for p, q in zip(zip(a, x), zip(c, y))], pa.bool_())).select(["a", "b"])
 
-    both = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b").select("a", "b", "x", "y")
-    return materialize(both.mapInArrow(run, "a long, b long"), "similar")
+    both = near.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    found = materialize(both.mapInArrow(run, "a long, b long"), "similar")
+    remove(spark, pairs, meant, near, ids, texts)
+    return found
 
 
 def near_duplicate_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, radius: int = 3) -> DataFrame:
@@ -316,14 +351,15 @@ def near_duplicate_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8,
     ``LEADS`` leaders; then whoever is not joined yet meets all others of the bucket. Each meeting
     pair is decided by all shingles of both texts, so no pair is missed and none is estimated.
     """
-    need = lambda m, n: similarity / (1 + similarity) * (m + n) - 1e-6  # noqa: E731  shingles in common at the least
+    need = lambda m, n: _need(m, n, similarity)
+    spark = docs.sparkSession
     rows = id_text(docs).filter("doc_id is not null").withColumn("body", F.xxhash64("text"))
-    common = docs.sparkSession.sparkContext.broadcast(_common(rows, k))
+    common = spark.sparkContext.broadcast(_common(rows, k))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts = common.value
         for b in sliced(batches):
-            fp, sizes, firsts, bits = [], [], [], []
+            fp, sizes, firsts, bits, wide = [], [], [], [], []
             for t in b.column(1).cast(pa.binary()).to_pylist():
                 h = _shingle_hashes(t, k)
                 at = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
@@ -331,19 +367,24 @@ def near_duplicate_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8,
                 fp.append(simhash(t, k))
                 sizes.append(len(h))
                 bits.append(_parity(h))
+                wide.append(_wide(h))
                 firsts.append(h[np.lexsort((h, often))[: int(_prefix(len(h), similarity, True))]].view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], names=["doc_id", "body", "fp", "n", "first", "bits"])
-
-    marks = materialize(rows.select("doc_id", "text", "body").mapInArrow(run, "doc_id long, body long, fp long, n int, first array<long>, bits array<long>"), "marks")
-    first = marks.groupBy("body").agg(F.min("doc_id").alias("id"))
-    nodes = materialize(marks.join(first, "body").filter("doc_id = id").select("id", "body", "fp", "n", "first", "bits").dropDuplicates(["body"]), "nodes")
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64())), pa.array(wide, pa.binary())], names=["doc_id", "body", "fp", "n", "first", "bits", "wide"])
+
+    marks = materialize(rows.select("doc_id", "text", "body").mapInArrow(run, "doc_id long, body long, fp long, n int, first array<long>, bits array<long>, wide binary"), "marks")
+    ids = materialize(marks.select("doc_id", "body"), "ids")
+    least = ids.groupBy("body").agg(F.min("doc_id").alias("id"))
+    held = materialize(marks.join(least, "body").filter("doc_id = id").drop("doc_id").dropDuplicates(["body"]), "held")
+    remove(spark, marks)
+    nodes = materialize(held.select("body", "id", "fp", "n", "wide"), "nodes")
     prints = materialize(nodes.groupBy("fp").agg(F.min("id").alias("id")), "prints")
     equal = nodes.join(prints.withColumnRenamed("id", "a"), "fp").filter("a <> id").select("a", F.col("id").alias("b"))
 
-    give_heap_back(docs.sparkSession)
-    every = nodes.select("body", "n", F.posexplode("first").alias("at", "s")).withColumn("indexed", F.col("at") < _prefix(F.col("n"), similarity, False, F.ceil))
+    give_heap_back(spark)
+    every = held.select("body", "n", F.posexplode("first").alias("at", "s")).withColumn("indexed", F.col("at") < _prefix(F.col("n"), similarity, False, F.ceil))
     buckets = every.groupBy("s").agg(F.count("*").alias("met"), F.max("indexed").alias("any")).filter("met > 1 and any")
-    met = materialize(every.join(buckets.select("s", "met"), "s").join(nodes.select("body", "bits"), "body"), "met")
+    met = materialize(every.join(buckets.select("s", "met"), "s").join(held.select("body", "bits"), "body"), "met")
+    remove(spark, held)
 
     def may(a: str, b: str):
         """Sizes, places and bitmaps allow for the similarity."""
@@ -363,7 +404,9 @@ def near_duplicate_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8,
         open_ = heavy.join(parts, "body", "left").withColumn("part", F.coalesce("part", "body"))
         split = open_.groupBy("s").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.min_by(F.struct("body", "n", "at", "part", "bits"), F.xxhash64("body", F.lit(i))).alias("y")).filter("p <> q")
         open_ = materialize(open_.join(split.select("s", "y"), "s"), "open")
+        remove(spark, parts)
         if open_.isEmpty():
+            remove(spark, open_)
             break
         if i < LEADS:
             pairs = open_.select(F.struct("body", "n", "at", "part", "bits").alias("x"), "y")
@@ -372,10 +415,14 @@ def near_duplicate_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8,
             other = open_.drop("y").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
             pairs = salted.alias("x").join(other.alias("y"), (F.col("x.s") == F.col("y.s")) & (F.col("x.salt") == F.col("y.salt")) & smaller)
         pairs = pairs.filter(F.col("x.part") != F.col("y.part")).filter(may("x", "y")).select(F.col("x.body").alias("a"), F.col("y.body").alias("b")).distinct()
-        links = materialize(links.union(_similar(pairs, nodes, rows, k, similarity)), "links")
-    give_heap_back(docs.sparkSession)
+        more = _similar(pairs, nodes, rows, k, similarity)
+        old, links = links, materialize(links.union(more), "links")
+        remove(spark, old, more, open_)
+    remove(spark, met)
+    give_heap_back(spark)
     names = nodes.select("body", "id")
     named = links.join(names.toDF("a", "m"), "a").join(names.toDF("b", "n"), "b").select(F.least("m", "n").alias("a"), F.greatest("m", "n").alias("b")).filter("a <> b")
     parts = components(near_links(prints, radius).union(equal).union(named).distinct())
-    done = names.join(parts, "id", "left").select("body", F.coalesce("component", "id").alias("component_id"))
-    return marks.join(done, "body").select("doc_id", "component_id")
+    done = materialize(names.join(parts, "id", "left").select("body", F.coalesce("component", "id").alias("component_id")), "groups")
+    remove(spark, nodes, prints, links, parts)
+    return ids.join(done, "body").select("doc_id", "component_id")

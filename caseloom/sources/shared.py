@@ -24,23 +24,31 @@ def new_path(spark: SparkSession, tag: str) -> str:
 
 
 @contextmanager
-def small_batches(spark: SparkSession) -> Iterator[None]:
-    """Rows reach Python tasks in Arrow batches of bounded size, and are read from Parquet in batches of as many: texts of 4,096 rows are arrays of tens of MB."""
-    limits = {"spark.sql.execution.arrow.maxBytesPerBatch": "2m", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.parquet.columnarReaderBatchSize": "1000"}
-    before = {k: spark.conf.get(k) for k in limits}
+def _set(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    before = {k: spark.conf.get(k, None) for k in settings}
     try:
-        for k, v in limits.items():
+        for k, v in settings.items():
             spark.conf.set(k, v)
         yield
     finally:
         for k, v in before.items():
-            spark.conf.set(k, v)
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+def small_batches(spark: SparkSession):
+    """Rows reach Python tasks in Arrow batches of bounded size, and are read from Parquet in batches of as many: texts of 4,096 rows are arrays of tens of MB."""
+    return _set(spark, {"spark.sql.execution.arrow.maxBytesPerBatch": "2m", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.parquet.columnarReaderBatchSize": "1000"})
+
+
+def shuffles_dropped(spark: SparkSession):
+    """The shuffle files of a query go when it ends, else they stay until the driver happens to collect its garbage: with a large heap, for ever."""
+    return _set(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"})
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write to the shared folder and read again: cuts the lineage, survives lost executors."""
     spark, path = df.sparkSession, new_path(df.sparkSession, tag)
-    with small_batches(spark):
+    with small_batches(spark), shuffles_dropped(spark):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

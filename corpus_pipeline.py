@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseloom.llm.common import give_heap_back, materialize
+from caseloom.llm.common import give_heap_back, materialize, remove
 from caseloom.llm.decontamination import contaminated
 from caseloom.llm.packing import pack
 from caseloom.llm.pii import sanitise
@@ -102,6 +102,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    for i, (name, stage) in enumerate(STAGES[:-1]):
+        read, docs = docs, materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        if i:  # the input stays
+            remove(spark, read)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -133,3 +133,67 @@ def test_recall_of_a_thousand_pairs_just_above_the_threshold(spark):
     joined = [got[2 * i] == got[2 * i + 1] for i in range(1800)]
     assert sum(j >= 0.8 for j in similarity) >= 1000
     assert joined == [j >= 0.8 for j in similarity]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 2**32), st.integers(0, 3000), st.integers(0, 3000), st.integers(0, 3000))
+def test_wide_bitmaps_differ_in_no_more_bits_than_sets_in_shingles(seed, both, one, other):
+    h = np.unique(np.random.default_rng(seed).integers(0, 2**64, both + one + other, dtype=np.uint64))
+    np.random.default_rng(seed).shuffle(h)
+    x, y = np.sort(h[: both + one]), np.sort(np.concatenate((h[:both], h[both + one :])))
+    apart = S._apart(S._wide(x), S._wide(y))
+    assert apart == S._apart(S._wide(y), S._wide(x)) <= len(np.setxor1d(x, y))
+    if one + other > 0.5 * (len(x) + len(y)) > 300 and 0.8 <= len(x) / max(1, len(y)) <= 1.25:
+        assert apart > 0.2 / 1.8 * (len(x) + len(y))  # far from similar, and the bitmaps show it
+
+
+def test_texts_that_cannot_be_similar_do_not_meet(spark, monkeypatch):
+    """Long texts share a few frequent lines: their bitmaps part them before any text is shuffled."""
+    r = np.random.default_rng(5)
+    lines = [" ".join(f"line{i}-{j}" for j in range(9)) for i in range(3)]
+    texts = ["\n".join([lines[i % 3], " ".join(f"w{x}" for x in r.integers(0, 10**9, 1500)), lines[i % 2]]) for i in range(40)]
+    texts.append(texts[7] + " one more end")
+    rows = S.id_text(docs(spark, texts)).withColumn("body", S.F.xxhash64("text"))
+    sets = [S._shingle_hashes(t.encode(), 5) for t in texts]
+    body = {x.doc_id: x.body for x in rows.collect()}
+    nodes = spark.createDataFrame([(body[i], i, len(h), bytearray(S._wide(h))) for i, h in enumerate(sets)], "body long, id long, n int, wide binary")
+    pairs = spark.createDataFrame([(body[i], body[j]) for i in range(41) for j in range(i)], "a long, b long")
+    read = {}
+
+    def told(df, tag):
+        out = materialize(df, tag)
+        read[tag] = out.count()
+        return out
+
+    materialize = S.materialize
+    monkeypatch.setattr(S, "materialize", told)
+    assert {frozenset(x) for x in S._similar(pairs, nodes, rows, 5, 0.8).collect()} == {frozenset((body[7], body[40]))}
+    assert read["pairs"] == 820 and read["texts"] == 2
+
+
+def test_the_sample_that_orders_shingles_grows_with_the_table(spark, monkeypatch):
+    """A line in one text of 20 is known as frequent, however small the least sample is."""
+    monkeypatch.setattr(S, "ORDER_SAMPLE", 10)
+    line = " ".join(f"often{j}" for j in range(7))
+    texts = [" ".join(f"t{i}-{j}" for j in range(30)) + ("\n" + line if i % 20 == 0 else "") for i in range(4800)]
+    rows = S.id_text(docs(spark, texts)).withColumn("body", S.F.xxhash64("text"))
+    known, counts = S._common(rows, 5)
+    assert set(S._shingle_hashes(line.encode(), 5).tolist()) <= set(known.tolist()) and counts.min() >= 2
+
+
+def test_near_dedup_leaves_only_the_tables_of_its_result(spark):
+    """Tables of the phases go when they are read for the last time, shuffle files with the query that wrote them."""
+    import os
+
+    words = [f"w{i}" for i in range(3000)]
+    r = np.random.default_rng(8)
+    texts = [" ".join(r.choice(words, 150)) for _ in range(60)]
+    texts += [t + " tail" for t in texts[:20]] + [f"{texts[0]} {' '.join(r.choice(words, 9))}" for _ in range(60)]
+    shuffled = lambda: {x.rsplit("/", 1)[-1] for x in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if "/shuffle_" in x}
+    home = S.materialize.__globals__["shared_dir"](spark).removeprefix("file://")
+    before, files = set(os.listdir(home)), shuffled()
+    found = S.near_duplicate_groups(docs(spark, texts))
+    assert {x.rsplit("-", 1)[0] for x in set(os.listdir(home)) - before} == {"ids", "groups"}
+    assert len(shuffled() - files) <= 16, "a materialized table leaves its shuffle files"
+    got = {x.doc_id: x.component_id for x in found.collect()}
+    assert len(got) == 140 and all(got[60 + i] == i for i in range(20)) and all(got[i] == 0 for i in range(80, 140))

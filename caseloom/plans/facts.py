@@ -14,7 +14,7 @@ PLACE_OF = {"A": "原平", "N": "河曲", "R": "五台"}
 
 
 def reports(spark, sf_dir):
-    """l_orderkey, text: a report of each order, a passage for each line, in their order. Only columns are shuffled; passages are written where an order's lines meet."""
+    """l_orderkey, text: a report of each order, a passage for each line, by number, day, then what they say. Only columns are shuffled; passages are written where an order's lines meet."""
     place = F.create_map(*[F.lit(x) for kv in PLACE_OF.items() for x in kv])
 
     def said(x):
@@ -26,7 +26,8 @@ def reports(spark, sf_dir):
 
     line = F.struct("l_linenumber", F.col("l_shipdate").alias("day"), F.col("l_quantity").cast("int").alias("q"), F.col("l_returnflag").alias("flag"))
     lines = S.table(spark, sf_dir, "lineitem").select("l_orderkey", line.alias("x"))
-    return lines.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), said), "").alias("text"))  # an order has a few lines
+    passages = F.transform(F.collect_list("x"), lambda x: F.struct(x["l_linenumber"].alias("number"), x["day"].alias("day"), said(x).alias("said")))  # an order has a few lines
+    return lines.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(passages), lambda x: x["said"]), "").alias("text"))
 
 
 LINES = "WITH l AS (SELECT l_orderkey, CAST(l_quantity AS INTEGER) AS q, l_returnflag AS f, month(l_shipdate) AS m, day(l_shipdate) AS d FROM lineitem) "

@@ -27,7 +27,7 @@ from itertools import combinations_with_replacement
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import give_heap_back, id_text, materialize, remove, shuffles_dropped, sliced
@@ -252,18 +252,19 @@ def _parity(h: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def _wide(h: np.ndarray) -> bytes:
+def _wide(h: np.ndarray) -> np.ndarray:
     """The same with two bits or more for each shingle, 512 at the least: that of 512 bits says nothing of texts of more than a thousand shingles."""
     n = max(512, 1 << int(2 * len(h) - 1).bit_length())
-    return np.packbits((np.bincount((h & np.uint64(n - 1)).astype(np.int64), minlength=n) & 1).astype(np.uint8), bitorder="little").tobytes()
+    return np.packbits((np.bincount((h & np.uint64(n - 1)).astype(np.int64), minlength=n) & 1).astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def _apart(x: bytes, y: bytes) -> int:
-    """Bits in which two wide bitmaps differ, the longer one folded to the length of the other: so many shingles at the least are in one set only."""
-    a, b = sorted((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), key=len)
-    while len(b) > len(a):
-        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
-    return int(np.bitwise_count(a ^ b).sum())
+def _apart(x: Column, y: Column) -> Column:
+    """Bits in which two wide bitmaps differ, one of twice the length folded to that of the other: so many shingles at the least are in one set only. Else zero."""
+    xor = lambda a, b: F.zip_with(a, b, lambda p, q: p.bitwiseXOR(q))
+    fold = lambda a, n: xor(F.slice(a, F.lit(1), n), F.slice(a, n + 1, n))
+    bits = lambda a: F.aggregate(a, F.lit(0), lambda found, w: found + F.bit_count(w))
+    m, n = F.size(x), F.size(y)
+    return F.when(m == n, bits(xor(x, y))).when(m == 2 * n, bits(xor(fold(x, n), y))).when(n == 2 * m, bits(xor(x, fold(y, m)))).otherwise(0)
 
 
 def jaccard(x: np.ndarray, y: np.ndarray) -> float:
@@ -307,14 +308,9 @@ def _similar(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, k: int, simila
     give_heap_back(spark)
     meant = materialize(pairs.select(F.explode(F.array("a", "b")).alias("body")).distinct().join(nodes.select("body", "id", "n", "wide"), "body"), "meant")
 
-    def allowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sliced(batches):
-            met = zip(*(b.column(i).to_pylist() for i in range(2, 6)))
-            yield b.filter(pa.array([_apart(x, y) <= m + n - 2 * _need(m, n, similarity) for m, n, x, y in met], pa.bool_())).select(["a", "b"])
-
     sides = meant.select("body", "n", "wide")
-    near = pairs.join(sides.toDF("a", "m", "x"), "a").join(sides.toDF("b", "n", "y"), "b").select("a", "b", "m", "n", "x", "y")
-    near = materialize(near.mapInArrow(allowed, "a long, b long"), "near")
+    near = pairs.join(sides.toDF("a", "m", "x"), "a").join(sides.toDF("b", "n", "y"), "b")
+    near = materialize(near.filter(_apart(F.col("x"), F.col("y")) <= F.col("m") + F.col("n") - 2 * _need(F.col("m"), F.col("n"), similarity)).select("a", "b"), "near")
     ids = materialize(near.select(F.explode(F.array("a", "b")).alias("body")).distinct().join(meant.select("id", "body"), "body"), "compared")
     few = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
     texts = materialize(rows.join(few.withColumnRenamed("id", "doc_id"), ["doc_id", "body"], "left_semi").dropDuplicates(["body"]).select("body", "text"), "texts")
@@ -369,9 +365,9 @@ def near_duplicate_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8,
                 bits.append(_parity(h))
                 wide.append(_wide(h))
                 firsts.append(h[np.lexsort((h, often))[: int(_prefix(len(h), similarity, True))]].view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64())), pa.array(wide, pa.binary())], names=["doc_id", "body", "fp", "n", "first", "bits", "wide"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64())), pa.array(wide, pa.list_(pa.int64()))], names=["doc_id", "body", "fp", "n", "first", "bits", "wide"])
 
-    marks = materialize(rows.select("doc_id", "text", "body").mapInArrow(run, "doc_id long, body long, fp long, n int, first array<long>, bits array<long>, wide binary"), "marks")
+    marks = materialize(rows.select("doc_id", "text", "body").mapInArrow(run, "doc_id long, body long, fp long, n int, first array<long>, bits array<long>, wide array<long>"), "marks")
     ids = materialize(marks.select("doc_id", "body"), "ids")
     least = ids.groupBy("body").agg(F.min("doc_id").alias("id"))
     held = materialize(marks.join(least, "body").filter("doc_id = id").drop("doc_id").dropDuplicates(["body"]), "held")
